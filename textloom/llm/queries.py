@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import canonical as p1
-from textloom.sources import requests, with_text
+from textloom.llm import garbled as p4
+from textloom.llm import sentences as p2
+from textloom.sources import requests, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,8 +21,26 @@ def p1_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return p1.canonical(requests(spark, folder).distinct()).select("request_id", "canonical_text")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    picked = table(spark, folder, "review_sample").filter("review_task = 'sentences'").select("request_id").distinct()
+    texts = requests(spark, folder).join(picked, "request_id", "left_semi")
+    return p2.sentences(texts).select("request_id", "start_char", "end_char").distinct()
+
+
+def p2_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return p2.sentences(requests(spark, folder)).distinct()
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4.restore(requests(spark, folder)).filter("garbled").select("request_id").distinct()
+
+
+def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return p4.restore(requests(spark, folder)).filter("garbled").select("request_id", F.col("restored").alias("text")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_canonical": p1_canonical}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_sentences, p4_found, p4_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
