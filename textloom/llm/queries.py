@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import canonical as p1
 from textloom.llm import garbled as p4
+from textloom.llm import language as p7
 from textloom.llm import sentences as p2
 from textloom.sources import requests, table
 
@@ -39,8 +40,16 @@ def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
     return p4.restore(requests(spark, folder)).filter("garbled").select("request_id", F.col("restored").alias("text")).distinct()
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7.wrong_labels(requests(spark, folder, "request_id", "text", "language_code"))
+
+
+def p7_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return p7.segments(requests(spark, folder, "request_id", "text", "language_code")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_sentences, p4_found, p4_restored)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_sentences, p4_found, p4_restored, p7_found, p7_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
