@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from textloom.llm import canonical as p1
 from textloom.llm import garbled as p4
 from textloom.llm import language as p7
+from textloom.llm import quality as p5
+from textloom.llm import reading as p3
 from textloom.llm import sentences as p2
 from textloom.sources import requests, table
 
@@ -32,6 +34,22 @@ def p2_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return p2.sentences(requests(spark, folder)).distinct()
 
 
+def _reading(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Requests picked for reading: those of unknown level, and the texts of known level."""
+    picked = table(spark, folder, "review_sample").filter("review_task = 'reading'").groupBy("request_id").agg(F.max("known_level").alias("known_level"))
+    texts = requests(spark, folder).join(picked, "request_id")
+    return texts.filter("known_level IS NULL"), texts.filter("known_level IS NOT NULL")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    unknown, known = _reading(spark, folder)
+    return p3.levels(unknown, p3.grader(known)).select("request_id", "reading_level").distinct()
+
+
+def p3_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return p3.levels(requests(spark, folder), p3.grader(_reading(spark, folder)[1])).distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4.restore(requests(spark, folder)).filter("garbled").select("request_id").distinct()
 
@@ -40,6 +58,14 @@ def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
     return p4.restore(requests(spark, folder)).filter("garbled").select("request_id", F.col("restored").alias("text")).distinct()
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5.shapes(requests(spark, folder)).filter("text_shape != 'prose'").select("request_id", "text_shape").distinct()
+
+
+def p5_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return p5.shapes(requests(spark, folder)).distinct()
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7.wrong_labels(requests(spark, folder, "request_id", "text", "language_code"))
 
@@ -49,7 +75,7 @@ def p7_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_sentences, p4_found, p4_restored, p7_found, p7_segments)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_sentences, p3_found, p3_levels, p4_found, p4_restored, p5_found, p5_statistics, p7_found, p7_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
