@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.llm import canonical as p1
 from textloom.llm import garbled as p4
 from textloom.llm import language as p7
+from textloom.llm import leaks as p8
 from textloom.llm import quality as p5
 from textloom.llm import reading as p3
 from textloom.llm import sentences as p2
@@ -74,8 +75,20 @@ def p7_segments(spark: SparkSession, folder: str) -> DataFrame:
     return p7.segments(requests(spark, folder, "request_id", "text", "language_code")).distinct()
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return p8.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_sentences, p3_found, p3_levels, p4_found, p4_restored, p5_found, p5_statistics, p7_found, p7_segments)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_sentences, p3_found, p3_levels, p4_found, p4_restored, p5_found, p5_statistics, p7_found, p7_segments, p8_found, p8_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
