@@ -57,13 +57,14 @@ NUMBERED = re.compile(r"[^\S\n]*\d{1,3}\.[^\S\n]+[^\s.!?。！？][^\n.!?。！
 BULLET = re.compile(r"[^\S\n]*(?:[-*•‣▪◦·–—]|\[[ xX]\]|\(?[a-z\d]{1,2}\)|\d{1,3}[.)])[^\S\n]+\S")
 
 LETTER, UPPER, LOWER, DIGIT = 1, 2, 3, 4
+UNCLEAN = re.compile(f"[{INVISIBLE}\u200c\u200dＡ-ｚ０-９．]")
 
 
 def _clean(text: str) -> tuple[str, np.ndarray | None]:
     """The text without invisible characters and with single-character widths folded, and the places of its characters."""
     if text.isascii():
         return text, None
-    if not any(c in text for c in INVISIBLE) and not re.search("[！-～‌‍]", text):
+    if not UNCLEAN.search(text):
         return text, None
     keep = [k for k, c in enumerate(text) if c not in INVISIBLE and c not in "‌‍"]
     folded = "".join(ud.normalize("NFKC", text[k]) if "Ａ" <= text[k] <= "ｚ" or "０" <= text[k] <= "９" or text[k] == "．" else text[k] for k in keep)
