@@ -74,11 +74,11 @@ AT_SIGN = re.compile(r"[@＠]|[\[(（][ ]?at[ ]?[\])）]", re.I)
 
 L = r"(?:,[ ]?|[ ]?\n[ ]?)"
 ADDRESSES = [
-    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)[ ]\d+\w?,[ ])?\d+(?:-?[A-Z])?[ ](?:{CAP}[ ]){{1,3}}(?:{STREET_EN})\b\.?(?:{L}(?:Apt\.?|Flat|Unit|Suite|#)[ ]?\d+\w?)?(?:{L}[A-Z][a-z]+(?:[ ][A-Z][a-z]+)?(?:,?[ ][A-Z]{{2}}[ ]\d{{5}}|[ ]\d{{5}}|,[ ][A-Z]{{1,2}}\d{{1,3}}[ ]\d[A-Z]{{2}})?)?",
+    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)[ ]\d+\w?,[ ])?(?<![\d.\-/])[1-9]\d{{0,4}}(?:-?[A-Z])?[ ](?:{CAP}[ ]){{1,3}}(?:{STREET_EN})\b\.?(?:{L}(?:Apt\.?|Flat|Unit|Suite|#)[ ]?\d+\w?)?(?:{L}[A-Z][a-z]+(?:[ ][A-Z][a-z]+)?(?:,?[ ][A-Z]{{2}}[ ]\d{{5}}|[ ]\d{{5}}|,[ ][A-Z]{{1,2}}\d{{1,3}}[ ]\d[A-Z]{{2}})?)?",
     r"P\.?[ ]?O\.?[ ]?Box[ ]\d+(?:,[ ][A-Z][a-z]+(?:[ ][A-Z][a-z]+)?(?:,?[ ][A-Z]{2}[ ]\d{5}|[ ]\d{5}|,[ ][A-Z]{1,2}\d{1,3}[ ]\d[A-Z]{2})?)?",
     rf"(?:{CAP}\.?[ ]){{0,3}}{CAP}\.?[ ]\d+[ ]?[a-z]?{L}(?:[A-Z]{{1,2}}-)?\d{{5}}[ ]{CAP}(?:[ ](?:am|an[ ]der|bei)[ ]{CAP})?",
     rf"Postfach[ ]\d[\d ]*(?:{L}(?:[A-Z]{{1,2}}-)?\d{{5}}[ ]{CAP})?",
-    rf"(?:(?:bât\.|bâtiment|apt\.)[ ][A-Z\d]+,[ ])?\d+(?:[ ]?(?:bis|ter|quater))?,?[ ](?:{STREET_FR})[ ](?:(?:de[ ]la|de[ ]l['’]|des|du|de|d['’])[ ]?)?{CAP}(?:[ ]{CAP})?(?:{L}\d{{5}}[ ]{CAP}(?:[ ]{CAP})?)?",
+    rf"(?:(?:bât\.|bâtiment|apt\.)[ ][A-Z\d]+,[ ])?(?<![\d.\-/])[1-9]\d{{0,4}}(?:[ ]?(?:bis|ter|quater))?,?[ ](?:{STREET_FR})[ ](?:(?:de[ ]la|de[ ]l['’]|des|du|de|d['’])[ ]?)?{CAP}(?:[ ]{CAP})?(?:{L}\d{{5}}[ ]{CAP}(?:[ ]{CAP})?)?",
     rf"B\.?P\.?[ ]\d+(?:{L}\d{{5}}[ ]{CAP})?",
     rf"(?:{STREET_ES})[ ]?(?:(?:de|del|la|las|los|el)[ ]){{0,3}}{CAP}(?:[ ](?:(?:de|del|la|las|los)[ ])?{CAP}){{0,3}},?[ ]\d+\w?(?:,[ ]\d{{1,2}}(?!\d)\.?[ºª]?[ ]?[A-Z]?(?!\w))?(?:{L}\d{{5}}[ ]{CAP}(?:[ ]{CAP})?)?",
     rf"(?:Apartado(?:[ ]de[ ]Correos)?|Apdo\.)[ ]\d+(?:{L}\d{{5}}[ ]{CAP}(?:[ ]{CAP})?)?",
@@ -209,7 +209,7 @@ class Finder:
             for a, b, strong in addresses:
                 before = text[max(0, a - 40) : a]
                 cue = int(re.search(r"(?:\bto|\ban|\bpour|\bir a|адресу:|往|は|إلى|نشانی:|소포는|[:：]|\n)[ ]?$", before) is not None)
-                out.append((a, b, "address", (strong, cue if cue else -1, 1)))
+                out.append((a, b, "address", (strong, cue if cue else -1 if strong else 0, -1)))
         if numbers:
             seen_to = -1
             for m in numbers:
@@ -378,8 +378,6 @@ class Finder:
             n = neighbour(b, 1)
             if not n or not (k := name_word(n[2])) or (n[3] != " " and (k == 2 or known > 1 or initials)):
                 break
-            if k == 2 and (known > 1 or text[n[1] : n[1] + 1] == "" ):
-                pass
             b = n[1]
             known, initials = known + (k == 1), initials + (k == 2)
             if n[3] != " ":
@@ -390,7 +388,7 @@ class Finder:
                 b, known = n[1], known + 1
         for _ in range(2):
             n = neighbour(a, -1)
-            if not n or not (k := name_word(n[2])) or n[3] != " " or known + initials >= 3:
+            if not n or not (k := name_word(n[2])) or n[3] != " " or known + initials >= 3 or (k == 2 and (known > 1 or initials)):
                 break
             a = n[0]
             known, initials = known + (k == 1), initials + (k == 2)
