@@ -11,6 +11,7 @@ from textloom.llm import canonical as p1
 from textloom.llm import garbled as p4
 from textloom.llm import language as p7
 from textloom.llm import leaks as p8
+from textloom.llm import mixing as p9
 from textloom.llm import pii as p10
 from textloom.llm import quality as p5
 from textloom.llm import reading as p3
@@ -88,6 +89,18 @@ def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder)
 
 
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return p9.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10.spans(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -97,7 +110,7 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_sentences, p3_found, p3_levels, p4_found, p4_restored, p5_found, p5_statistics, p7_found, p7_segments, p8_found, p8_leaks, p10_found, p10_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_sentences, p3_found, p3_levels, p4_found, p4_restored, p5_found, p5_statistics, p7_found, p7_segments, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
