@@ -23,13 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from textloom.llm import garbled
 from textloom.llm.canonical import transducer
 from textloom.llm.sentences import spans
 
-#: Labelled texts per language that are drawn (by hash of their id), and the characters of them an automaton holds.
+#: Labelled texts per language, about, that are drawn (by hash of their id), and the characters of them an automaton holds.
 SAMPLE_TEXTS = 400
 SAMPLE_CHARS = 24_000
 #: Price of a change of language, in phrases, and the phrases a letter beyond which a text is in no language.
@@ -224,10 +223,13 @@ def _normal_code(codes: pd.Series) -> pd.Series:
 
 
 def labelled_sample(df: DataFrame, key: str, column: str, code: str) -> list[tuple[str, str]]:
-    """At most SAMPLE_TEXTS texts of each usable label, drawn by the hash of their id."""
+    """About SAMPLE_TEXTS texts of each usable label, drawn by the hash of their id."""
     rows = df.filter(F.length(column) > 0).select(key, F.col(column).alias("t"), _normal_code(F.col(code)).alias("c")).filter("c IS NOT NULL")
-    rank = F.row_number().over(W.partitionBy("c").orderBy(F.xxhash64(key), "t"))
-    return [(r["c"], r["t"]) for r in rows.withColumn("n", rank).filter(F.col("n") <= SAMPLE_TEXTS).orderBy("c", "n").select("c", "t").collect()]
+    sizes = [(r["c"], r["count"]) for r in rows.groupBy("c").count().collect()]  # one row for each of ten labels
+    chosen = F.lit(False)
+    for c, n in sizes:
+        chosen = chosen | ((F.col("c") == c) & (F.pmod(F.xxhash64(key), F.lit(n)) < SAMPLE_TEXTS))
+    return sorted((r["c"], r["t"]) for r in rows.filter(chosen).select("c", "t").distinct().collect())
 
 
 def _repair(model: garbled.Model, text: str) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.sentences import _clean
 
-#: Documents (the first by hash of their id) on whose candidates reliabilities and classifier are fitted.
+#: Documents, about, (drawn by hash of their id) on whose candidates reliabilities and classifier are fitted.
 FIT_DOCS = 4_000
 #: Name words that the gazetteer holds at most (the most frequent); bounds what is broadcast.
 GAZETTEER = 200_000
@@ -512,7 +512,9 @@ def fit(df: DataFrame, key: str = "doc_id", column: str = "text") -> tuple[dict[
     """Gazetteer from all rows, and classifier from the candidates of FIT_DOCS of them."""
     names = gather_names(df, column)
     finder = Finder(names)
-    rows = df.filter(F.length(column) > 0).select(column, F.xxhash64(key).alias("h")).orderBy("h").limit(FIT_DOCS).toLocalIterator()
+    rows = df.filter(F.length(column) > 0)
+    every = max(1, rows.count())  # about FIT_DOCS rows, wherever they lie: nothing is sorted or gathered but these
+    rows = rows.filter(F.pmod(F.xxhash64(key), F.lit(every)) < FIT_DOCS).select(column).toLocalIterator()
     sample = [(kind, votes) for r in rows for _, _, kind, votes in finder.candidates(_clean(r[0])[0])]
     return names, SpanClassifier(sample)
 

@@ -27,6 +27,8 @@ from textloom.llm.canonical import transducer
 SHAPES = ("prose", "list", "table", "junk")
 #: Weakly labelled texts of each shape that the trees are trained on (the first by hash of the text).
 TRAIN_TEXTS = 1_500
+#: Rows, about, (drawn by hash of the text) that are looked at for weak labels.
+FIT_ROWS = 40_000
 #: Units of the corpus that count as common words.
 COMMON = 20_000
 ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.25, 48
@@ -320,7 +322,9 @@ def shapes(df: DataFrame, key: str = "request_id", column: str = "text") -> Data
             stats = [statistics(repair(x)[1], shared.value[1]) for x in b[column]]
             yield pd.DataFrame({"h": b["h"], "stats": stats, "label": [weak_label(s) for s in stats]})
 
-    weak = rows.select(F.xxhash64(column).alias("h"), column).mapInPandas(measure, "h long, stats array<double>, label int").filter("label >= 0")
+    every = max(1, rows.count())
+    drawn = rows.select(F.xxhash64(column).alias("h"), column).filter(F.pmod("h", F.lit(every)) < FIT_ROWS)
+    weak = drawn.mapInPandas(measure, "h long, stats array<double>, label int").filter("label >= 0")
     rank = F.row_number().over(W.partitionBy("label").orderBy("h", "stats"))
     sample = weak.withColumn("n", rank).filter(F.col("n") <= TRAIN_TEXTS).orderBy("label", "n").collect()
     model = spark.sparkContext.broadcast(train([(list(r["stats"]), r["label"]) for r in sample], common))

@@ -23,7 +23,7 @@ from textloom.llm import garbled
 from textloom.llm.canonical import transducer
 from textloom.llm.sentences import spans
 
-#: Texts of known level that the models are trained on (the first by hash of their id); bounds what is broadcast.
+#: Texts of known level, about, that the models are trained on (drawn by their hash); bounds what is broadcast.
 TRAIN_TEXTS = 20_000
 LEVELS = (1, 2, 3)
 WEIGHTS = (0.5, 0.3, 0.17, 0.03)  # trigram, bigram, unigram, uniform
@@ -133,8 +133,9 @@ class Grader:
 def grader(known: DataFrame, column: str = "text", level: str = "known_level") -> Grader:
     """Train on rows of (text, level)."""
     rows = known.filter(F.col(level).isNotNull() & (F.length(column) > 0)).select(F.col(column).alias("t"), F.col(level).cast("int").alias("v")).distinct()
-    rows = rows.orderBy(F.xxhash64("t"), "t", "v").limit(TRAIN_TEXTS)
-    return Grader([(r["t"], r["v"]) for r in rows.collect()])
+    every = max(1, rows.count())
+    rows = rows.filter(F.pmod(F.xxhash64("t"), F.lit(every)) < TRAIN_TEXTS)
+    return Grader(sorted((r["t"], r["v"]) for r in rows.collect()))
 
 
 def levels(df: DataFrame, model: Grader, key: str = "request_id", column: str = "text") -> DataFrame:
