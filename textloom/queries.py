@@ -1,30 +1,491 @@
-"""Queries over the test tables, and their SQL, for the core operators."""
+"""Queries over the test tables for the core operators. Integers come out as bigint, for the SQL's sake."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from textloom.operators import rejects
+from textloom import oracle
+from textloom.functions import text as fx
+from textloom.operators import affect, baseline, compare, entropy, graph, literary, macro, micro, rejects, telemetry, wave, windows
+from textloom.plans import analyze
 from textloom.sources import table
 
+KEY = ["doc_id"]
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 
+
+def wide(df: DataFrame) -> DataFrame:
+    """Whole numbers as bigint."""
+    return df.select(*[F.col(f"`{f.name}`").cast("bigint").alias(f.name) if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = lambda spark, folder: wide(f(spark, folder))
+    return f
+
+
+def docs(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    return table(spark, folder, "documents", "doc_id", "text", *more)
+
+
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, digits) for c in columns})
+
+
+@query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.failures(table(spark, folder, "lexicon_raw"))
 
 
+@query
 def p6_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.loaded(table(spark, folder, "lexicon_raw"))
 
 
+# windows and places
+
+
+@query
+def win_boundaries(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.segments(docs(spark, folder)).select("doc_id", "seg", "offset", F.length("seg_text").alias("length"), "eof")
+
+
+@query
+def win_slide(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.windows(docs(spark, folder)).withColumn("digest", F.md5("text")).drop("text")
+
+
+@query
+def win_counts_per_doc(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.plain_windows(docs(spark, folder)).groupBy("doc_id").agg(F.count("*").alias("n_windows"))
+
+
+@query
+def line_index(spark: SparkSession, folder: str) -> DataFrame:
+    lines = docs(spark, folder).filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    before = F.sum(F.length("line") + 1).over(W.partitionBy("doc_id").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
+    return lines.select("doc_id", (F.col("k") + 1).alias("line_no"), F.coalesce(before, F.lit(0)).alias("start_char"))
+
+
+@query
+def snippets(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.snippets(docs(spark, folder).filter("text IS NOT NULL")).drop("text")
+
+
+@query
+def sent_split(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).select("doc_id", F.posexplode(fx.sentences(F.col("text"))).alias("sent", "s"))
+
+
+@query
+def sanitize_prose(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).filter("text IS NOT NULL").select("doc_id", fx.prose(F.col("text")).alias("prose"))
+
+
+@query
+def german_fold(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).filter("text IS NOT NULL").select("doc_id", fx.german_fold(F.col("text")).alias("folded"))
+
+
+# telemetry
+
+
+@query
+def tel_words(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.word_counts(windows.plain_windows(docs(spark, folder))).drop("text")
+
+
+@query
+def tel_top5(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.top_letters(telemetry.latin_letters(docs(spark, folder), KEY), KEY)
+
+
+@query
+def tel_doubles(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.doubles(docs(spark, folder), KEY)
+
+
+@query
+def letter_freq_latin(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.latin_letters(docs(spark, folder), KEY)
+
+
+@query
+def letter_freq_ru(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.cyrillic_letters(docs(spark, folder), KEY)
+
+
+@query
+def letter_freq_ar(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.arabic_letters(docs(spark, folder), KEY)
+
+
+@query
+def letter_freq_fa(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.arabic_letters(docs(spark, folder), KEY, farsi=True)
+
+
+@query
+def letter_freq_ko(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.hangul_letters(docs(spark, folder), KEY)
+
+
+@query
+def stego_flag(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.hidden(docs(spark, folder).filter("text IS NOT NULL")).drop("text")
+
+
+@query
+def punct_wave(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.pause_wave(docs(spark, folder), KEY)
+
+
+@query
+def ja_scripts(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.scripts_ja(docs(spark, folder).filter("text IS NOT NULL")).drop("text")
+
+
+# letter weights
+
+
+@query
+def micro_axes(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.axes(telemetry.latin_letters(docs(spark, folder), KEY), KEY)
+
+
+@query
+def bpv_words(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.score_words(micro.vocabulary(docs(spark, folder)))
+
+
+@query
+def bpv_window(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.window_scores(windows.plain_windows(docs(spark, folder)), ["doc_id", "win_idx"])
+
+
+@query
+def micro_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.vectors(windows.plain_windows(docs(spark, folder)), ["doc_id", "win_idx"])
+
+
+@query
+def micro_es(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.vectors(docs(spark, folder, "lang").filter("lower(lang) = 'es'"), KEY, language="ES")
+
+
+@query
+def micro_fr(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.vectors(docs(spark, folder, "lang").filter("lower(lang) = 'fr'"), KEY, language="FR")
+
+
+@query
+def micro_de(spark: SparkSession, folder: str) -> DataFrame:
+    d = docs(spark, folder, "lang").filter("lower(lang) = 'de'").withColumn("text", fx.german_fold(F.col("text")))
+    return micro.vectors(d, KEY)
+
+
+# entropy and wave
+
+
+@query
+def ent_burstiness(spark: SparkSession, folder: str) -> DataFrame:
+    return entropy.entropy(docs(spark, folder), KEY)
+
+
+@query
+def som_word(spark: SparkSession, folder: str) -> DataFrame:
+    return wave.words(docs(spark, folder))
+
+
+@query
+def som_window(spark: SparkSession, folder: str) -> DataFrame:
+    return wave.summary(docs(spark, folder), KEY)
+
+
+@query
+def som_envelope(spark: SparkSession, folder: str) -> DataFrame:
+    return wave.envelope(docs(spark, folder), KEY)
+
+
+@query
+def som_categories(spark: SparkSession, folder: str) -> DataFrame:
+    return wave.categories(docs(spark, folder), KEY)
+
+
+@query
+def som_fft(spark: SparkSession, folder: str) -> DataFrame:
+    return wave.spectrum(docs(spark, folder), KEY)
+
+
+# baselines
+
+
+@query
+def base_welford(spark: SparkSession, folder: str) -> DataFrame:
+    out = baseline.running(table(spark, folder, "events"), ["event_type"], ["event_id"]).select("event_id", "event_type", "n", "mu", "sigma", "z")
+    return rounded(rounded(out, 5, "mu", "sigma"), 4, "z")
+
+
+@query
+def base_ema(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(baseline.moving_average(table(spark, folder, "events"), ["event_type"], ["event_id"]).select("event_id", "event_type", "ema"), 5, "ema")
+
+
+@query
+def base_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(baseline.snapshot(table(spark, folder, "events"), ["event_type"]), 5, "mu", "sigma")
+
+
+def _z_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Micro axes and, standing in for a seed table, word measures as the other side; z over all documents."""
+    d = docs(spark, folder)
+    a = micro.axes(telemetry.latin_letters(d, KEY), KEY).unpivot(KEY, ["anxiety", "attention", "emotion", "agitation"], "variable", "value")
+    b = literary.word_lengths(d, KEY).select("doc_id", F.col("short_share").alias("power_control"), F.col("middle_share").alias("power_submission"), F.col("long_share").alias("visibility_exposure"), F.col("mean_length").alias("kinetic_aggression"))
+    b = b.unpivot(KEY, ["power_control", "power_submission", "visibility_exposure", "kinetic_aggression"], "variable", "value")
+    return baseline.running(a, ["variable"], KEY), baseline.running(b, ["variable"], KEY)
+
+
+@query
+def dis_bridge(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(baseline.bridge_events(*_z_scores(spark, folder), KEY), 4, "delta")
+
+
+@query
+def dis_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = _z_scores(spark, folder)
+    return rounded(baseline.ranked_events(a, b, baseline.bridge_events(a, b, KEY), KEY), 4, "delta")
+
+
+# clusters and affect
+
+
+@query
+def macro_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(macro.centroids(table(spark, folder, "embeddings")), 5, "value")
+
+
+@query
+def macro_cosine(spark: SparkSession, folder: str) -> DataFrame:
+    v = table(spark, folder, "embeddings")
+    return rounded(macro.similar(v, macro.centroids(v), least=0.1), 4, "sim")
+
+
+def _tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder, "lang").select("doc_id", F.lower("lang").alias("lang"), F.explode(literary.tokens(F.col("text"))).alias("word"))
+
+
+@query
+def macro_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The lexicon's words as seeds: emotion as cluster, strong or weak as pole."""
+    lex = affect.intensity(rejects.loaded(table(spark, folder, "lexicon_raw")))
+    seeds = lex.select("lang", F.col("emotion").alias("cluster"), F.when(F.col("score") >= 0.5, "strong").otherwise("weak").alias("pole"), "word", F.concat("emotion", F.col("score").cast("string")).alias("ord"))
+    return macro.pole_scores(_tokens(spark, folder), seeds, KEY)
+
+
+@query
+def lex_intensity(spark: SparkSession, folder: str) -> DataFrame:
+    return affect.intensity(rejects.loaded(table(spark, folder, "lexicon_raw")))
+
+
+@query
+def pds_affect(spark: SparkSession, folder: str) -> DataFrame:
+    return affect.profile(_tokens(spark, folder), affect.intensity(rejects.loaded(table(spark, folder, "lexicon_raw"))), KEY)
+
+
+@query
+def pds_rotate(spark: SparkSession, folder: str) -> DataFrame:
+    lex = affect.intensity(rejects.loaded(table(spark, folder, "lexicon_raw"))).groupBy("lang", "word")
+    s = {e: F.coalesce(F.max(F.when(F.col("emotion") == e, F.col("score"))), F.lit(0.0)) for e in rejects.EMOTIONS}
+    return affect.rotate(lex.agg(F.greatest(s["joy"], s["trust"]).alias("v"), F.greatest(s["anger"], s["surprise"]).alias("a"), F.greatest(s["disgust"], s["anticipation"]).alias("d")))
+
+
+# literary
+
+
+@query
+def sty_ttr(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.variety(docs(spark, folder), KEY)
+
+
+@query
+def sty_funcwords(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.function_words(docs(spark, folder), KEY)
+
+
+@query
+def sty_sentlen(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.sentence_lengths(docs(spark, folder), KEY)
+
+
+@query
+def sty_wordlen(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.word_lengths(docs(spark, folder), KEY)
+
+
+@query
+def sty_punct(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.punctuation(docs(spark, folder), KEY)
+
+
+@query
+def nar_voice(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.voice(docs(spark, folder), KEY)
+
+
+@query
+def nar_speech(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.direct_speech(docs(spark, folder), KEY)
+
+
+@query
+def nar_mattr(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.moving_ttr(docs(spark, folder), KEY)
+
+
+@query
+def lex_curve(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.curve(docs(spark, folder), KEY)
+
+
+def _read(language: str) -> Query:
+    return lambda spark, folder: literary.readability(docs(spark, folder, "lang").filter(F.lower("lang") == language), KEY, language)
+
+
+for _language in ("en", "de", "fr"):
+    _f = _read(_language)
+    _f.__name__ = f"read_{_language}"
+    query(_f)
+
+
+@query
+def rh_alliteration(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.alliteration(docs(spark, folder), KEY)
+
+
+@query
+def rh_anaphora(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.repetition(docs(spark, folder), KEY)
+
+
+@query
+def rh_epistrophe(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.repetition(docs(spark, folder), KEY, end=True)
+
+
+@query
+def rh_polysyndeton(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.polysyndeton(docs(spark, folder), KEY)
+
+
+@query
+def rh_asyndeton(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.asyndeton(docs(spark, folder), KEY)
+
+
+@query
+def rh_question(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.questions(docs(spark, folder), KEY)
+
+
+@query
+def arg_score(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.arguments(docs(spark, folder), KEY)
+
+
+# graph
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with some letters as features and their sources as corpora."""
+    d = docs(spark, folder, "source")
+    letters = telemetry.latin_letters(d, KEY).filter(F.col("letter").isin(*"BKMQWXZ"))
+    features = letters.select(F.concat(F.lit("d"), "doc_id").alias("src"), F.col("letter").alias("dst"), F.lit("CO_OCCURS_WITH").alias("relation"), F.col("n").cast("double").alias("weight"))
+    member = d.select(F.concat(F.lit("d"), "doc_id").alias("src"), F.coalesce("source", F.lit("none")).alias("dst"), F.lit("BELONGS_TO").alias("relation"), F.lit(1.0).alias("weight"))
+    return features.unionAll(member)
+
+
+@query
+def g_cooc(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.corpus_matrix(_edges(spark, folder), ["op_ed"])
+
+
+@query
+def g_laplacian(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.laplacian(graph.corpus_matrix(_edges(spark, folder), ["op_ed"]))
+
+
+@query
+def g_spectrum(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.spectrum(graph.laplacian(graph.corpus_matrix(_edges(spark, folder), ["op_ed"])))
+
+
+@query
+def g_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(graph.jaccard(graph.corpus_matrix(_edges(spark, folder), ["op_ed"])), 6, "value")
+
+
+@query
+def g_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    e = _edges(spark, folder)
+    return rounded(graph.divergence(graph.corpus_matrix(e, ["op_ed"]), graph.corpus_matrix(e, ["letters"])), 6, "value")
+
+
+@query
+def g_bfs(spark: SparkSession, folder: str) -> DataFrame:
+    """From the first entity to its sources, and from these to their entities."""
+    d = table(spark, folder, "documents", "entity_id", "source").filter("entity_id IS NOT NULL")
+    a = d.select(F.col("entity_id").alias("src"), F.coalesce("source", F.lit("none")).alias("dst")).distinct()
+    edges = a.unionAll(a.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("src", "dst", F.lit("r").alias("relation"), F.lit(1.0).alias("weight"))
+    start = d.agg(F.min("entity_id")).first()[0]
+    nodes = edges.select(F.col("src").alias("id")).distinct()
+    return graph.reach(nodes, edges, [start] if start else [], 2).select("src", "dst") if start else edges.select("src", "dst").limit(0)
+
+
+# comparison
+
+
+def _spans(spark: SparkSession, folder: str) -> DataFrame:
+    w = table(spark, folder, "window_results", "request_id", "win_idx", "start_char", "end_char").distinct()
+    return w.withColumn("length", F.max("end_char").over(W.partitionBy("request_id")))
+
+
+@query
+def cmp_align(spark: SparkSession, folder: str) -> DataFrame:
+    w = _spans(spark, folder)
+    other = w.withColumn("request_id", F.col("request_id") - 1)
+    return compare.position_scores(w, other, ["request_id", "win_idx"])
+
+
+@query
+def cmp_delta(spark: SparkSession, folder: str) -> DataFrame:
+    w = windows.plain_windows(docs(spark, folder))
+    v = micro.axes(telemetry.latin_letters(w, ["doc_id", "win_idx"]), ["doc_id", "win_idx"])
+    return compare.delta(v, v.withColumn("doc_id", F.col("doc_id") - 1), ["doc_id", "win_idx"], ["anxiety", "attention", "emotion", "agitation"])
+
+
+@query
+def cmp_burrows(spark: SparkSession, folder: str) -> DataFrame:
+    return compare.burrows(literary.function_words(docs(spark, folder), KEY), "doc_id")
+
+
+@query
+def analyze_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return analyze.flagship(docs(spark, folder))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_loaded(spark, folder)
+    return analyze_windows(spark, folder)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found, "p6_loaded": p6_loaded}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
