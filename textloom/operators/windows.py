@@ -65,6 +65,6 @@ def snippets(w: DataFrame, text: str = "text", length: int = 60) -> DataFrame:
     """The first and last `length` characters of a text, cut at a word."""
     t = F.col(text)
     short = F.length(t) <= length
-    head = F.regexp_replace(F.substring(t, F.lit(1), F.lit(length)), r"\s\S*$", "")
+    head = F.regexp_replace(F.substring(t, F.lit(1), F.lit(length)), r"\s\S*\z", "")
     tail = F.regexp_replace(F.substring(t, F.length(t) - length + 1, F.lit(length)), r"^\S*\s", "")
     return w.withColumns({"head": F.when(short, t).otherwise(head), "tail": F.when(short, t).otherwise(tail)})
