@@ -129,13 +129,13 @@ class Model:
             elif not u[0].isalpha():
                 total -= 6.0 if u in TYPOGRAPHIC else 11.0
             else:
-                wide = IDEOGRAPH.match(u)
+                wide, met = IDEOGRAPH.match(u), p is not None
                 if p is None:
                     p = -22.0 if wide else -6.0 - (2.5 if u.isascii() else 3.5) * len(u)
                 total += 0.6 * p if wide else p  # pairs overlap
                 if len(u) > 1 and not u.isascii():
                     n += len(u)
-                    known += len(u) if p is not None else 0
+                    known += len(u) if met else 0
         return total - 4.0 * sum(1 for c in text if "\x80" <= c < "\xa0"), known, n
 
     def _candidates(self, piece: str) -> list[tuple[float, str, int]]:
@@ -240,7 +240,8 @@ def unit_counts(df: DataFrame, column: str = "text") -> DataFrame:
             for t in b[column]:
                 if t:
                     c.update(units(t))
-            yield pd.DataFrame({"unit": list(c), "n": list(c.values())}, columns=["unit", "n"])
+            if c:
+                yield pd.DataFrame({"unit": list(c), "n": list(c.values())})
 
     return df.select(column).mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 

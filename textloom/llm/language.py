@@ -257,7 +257,8 @@ def segments(df: DataFrame, key: str = "request_id", column: str = "text", code:
                 own = normal_code(given if isinstance(given, str) else None)
                 found = find.segments(_repair(model, text), own) if isinstance(text, str) and text else []
                 out += [(k, own, n, c, conf, len(found)) for n, (c, conf, _, _) in enumerate(found)]
-            yield pd.DataFrame(out, columns=[key, "given_code", "seg_no", "lang_code", "confidence", "n_segments"])
+            if out:
+                yield pd.DataFrame(out, columns=[key, "given_code", "seg_no", "lang_code", "confidence", "n_segments"])
 
     return df.select(key, column, code).mapInPandas(run, f"{key} {kind}, given_code string, seg_no long, lang_code string, confidence double, n_segments int")
 

@@ -128,7 +128,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "i
             scan = Scanner(shared.value)
             for b in batches:
                 found = [(k, *x) for k, t in zip(b[key], b[column], strict=True) if t for x in scan.leaks(t)]
-                yield pd.DataFrame(found, columns=[key, item, "share", "start_char", "end_char"])
+                if found:
+                    yield pd.DataFrame(found, columns=[key, item, "share", "start_char", "end_char"])
 
         df = docs.select(key, column).mapInPandas(run, kinds)
         out = df if out is None else out.unionAll(df)

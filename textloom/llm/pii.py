@@ -502,7 +502,8 @@ def gather_names(df: DataFrame, column: str = "text", size: int = GAZETTEER) ->
                 if t:
                     for m in mentions(_clean(t)[0]):
                         c.update([w for w in m.split("\t") if not w.endswith(".")] if "\t" in m else [f"={m}"])
-            yield pd.DataFrame({"w": list(c), "n": list(c.values())}, columns=["w", "n"])
+            if c:
+                yield pd.DataFrame({"w": list(c), "n": list(c.values())})
 
     top = df.select(column).mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") >= MENTIONS)
     return {r["w"]: r["n"] for r in top.orderBy(F.desc("n"), "w").limit(size).toLocalIterator()}
@@ -529,7 +530,8 @@ def spans(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame
         tagger = Tagger(Finder(names), classifier)
         for b in batches:
             out = [(k, *x) for k, t in zip(b[key], b[column], strict=True) if t for x in tagger.spans(t)]
-            yield pd.DataFrame(out, columns=[key, "start_char", "end_char", "pii_type"])
+            if out:
+                yield pd.DataFrame(out, columns=[key, "start_char", "end_char", "pii_type"])
 
     return df.select(key, column).mapInPandas(run, f"{key} {kind}, start_char long, end_char long, pii_type string")
 

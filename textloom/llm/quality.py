@@ -171,12 +171,15 @@ class Trees:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         k = len(SHAPES)
+        self.trees: list[list[list[tuple]]] = []
+        self.temperature = 1.0
+        if not len(y):  # nothing to learn from: all is prose
+            self.cuts, self.base = [np.zeros(0) for _ in NAMES], np.log(np.array([0.97, 0.01, 0.01, 0.01]))
+            return
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)], 1)
         prior = np.array([weight[y == c].sum() for c in range(k)]) + 1.0
         self.base = np.log(prior / prior.sum())
-        self.trees: list[list[list[tuple]]] = []
-        self.temperature = 1.0
         score = np.tile(self.base, (len(y), 1))
         target = np.eye(k)[y]
         for _ in range(ROUNDS):
@@ -319,6 +322,8 @@ def shapes(df: DataFrame, key: str = "request_id", column: str = "text") -> Data
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repair = _repairer(shared.value[0])
         for b in batches:
+            if not len(b):
+                continue
             stats = [statistics(repair(x)[1], shared.value[1]) for x in b[column]]
             yield pd.DataFrame({"h": b["h"], "stats": stats, "label": [weak_label(s) for s in stats]})
 

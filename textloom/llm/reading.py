@@ -147,6 +147,7 @@ def levels(df: DataFrame, model: Grader, key: str = "request_id", column: str =
         for b in batches:
             scores = [(k, shared.value.grade(t)) for k, t in zip(b[key], b[column], strict=True) if isinstance(t, str)]
             scores = [(k, s, math.ceil(s - 0.5)) for k, s in scores if s is not None]
-            yield pd.DataFrame(scores, columns=[key, "reading_score", "reading_level"])
+            if scores:
+                yield pd.DataFrame(scores, columns=[key, "reading_score", "reading_level"])
 
     return df.select(key, column).mapInPandas(run, f"{key} {kind}, reading_score double, reading_level long")
