@@ -64,6 +64,27 @@ def prose(text: Column) -> Column:
     return strip(text)
 
 
+def prose_of_script(text: Column, marks: str = "", ends: str = ".!?") -> Column:
+    """As prose, for scripts other than Latin: Latin words and the given marks are dropped, emphasis stays."""
+    for pattern, by in (
+        (r"(?s)```.*?```", " "),
+        (r"`[^`\n]+`", " "),
+        (r"(?m)^[ \t]*[-*=]{3,}[ \t]*$", " "),
+        (r"(?m)^[ \t]*(?:#{1,6}|[*\->|]|=>)[ \t]*", ""),
+        (r"[A-Za-z]+", " "),
+        (marks, ""),
+        (r"[\t\f\r ]+", " "),
+        (rf"(?m)([^\s{ends}])[ \t]*$", "$1."),
+        (r"\s+", " "),
+    ):
+        text = F.regexp_replace(text, pattern, by) if pattern else text
+    return strip(text)
+
+
+#: Arabic vowel marks and the elongation sign.
+HARAKAT = r"[\x{0610}-\x{061A}\x{0640}\x{064B}-\x{065F}\x{0670}]"
+
+
 def pauses(text: Column) -> Column:
     """Magnitudes of the punctuation marks, in order."""
     table = F.create_map(*[F.lit(x) for kv in PAUSES.items() for x in kv])

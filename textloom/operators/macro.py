@@ -8,9 +8,12 @@ Defined results: texts without content words score 0 for all poles; ties of a ve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Polite and casual forms with their weights.
+KEIGO = dict(zip("ございます いたします おります 申します いただきます くださいます いらっしゃ おっしゃ なさいます くださ ご覧 まいります いただ 存じます ます ました ません でございます です でした でしょう お ご だよ じゃない だろう だな っていう".split(),
+    (2.5, 2.5, 2.0, 2.0, 2.0, 2.0, 1.8, 1.8, 1.8, 1.5, 1.5, 1.5, 1.5, 1.8, 1.0, 1.0, 1.0, 2.0, 0.8, 0.8, 0.8, 0.4, 0.5, -0.8, -1.0, -0.6, -0.8, -0.6), strict=True))
 #: Similarity above which a vector counts for a pole.
 SIMILAR = 0.65
 
@@ -57,3 +60,23 @@ def similar(vectors: DataFrame, centres: DataFrame, key: str = "vec_id", label:
     norm = v.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
     dots = v.join(centres.withColumnRenamed(label, "pole"), "dim").groupBy(key, "pole").agg(F.sum(F.col("x") * F.col("value")).alias("dot"))
     return dots.join(norm, key).select(key, "pole", F.when(F.col("n") > 0, F.col("dot") / F.col("n")).otherwise(0.0).alias("sim")).filter(F.col("sim") > least)
+
+
+def politeness(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """key, formal, casual: weighted uses of polite and casual forms per 100 characters; each form counts by itself."""
+
+    def total(sign: int) -> Column:
+        used = [(F.length(text) - F.length(F.replace(F.col(text), F.lit(p), F.lit("")))) / len(p) * abs(w) for p, w in KEIGO.items() if w * sign > 0]
+        return F.round(sum(used, F.lit(0.0)) * 100 / F.length(text) + 1e-9, 4)
+
+    return df.filter(F.length(text) > 0).select(*key, total(1).alias("formal"), total(-1).alias("casual"))
+
+
+def first_contained(tokens: DataFrame, seeds: DataFrame, key: list[str]) -> DataFrame:
+    """For scripts without word boundaries: each token takes the first seed (by ord) that it contains.
+
+    Distinct tokens are few and seeds are a small list, so they are compared once and joined back.
+    """
+    words = tokens.select("lang", "word").distinct()
+    hit = words.join(F.broadcast(seeds.withColumnRenamed("word", "seed")), "lang").filter(F.col("word").contains(F.col("seed")))
+    return tokens.join(hit.groupBy("lang", "word").agg(F.min_by(F.struct("cluster", "pole"), "ord").alias("s")).select("lang", "word", "s.cluster", "s.pole"), ["lang", "word"]).select(*key, "word", "cluster", "pole")

@@ -9,94 +9,160 @@ Defined results: texts without letters have no row; a window without words has r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import words
-from textloom.operators.telemetry import LATIN
+from textloom.operators.telemetry import ARABIC, ARABIC_FOLD, CYRILLIC, FARSI, LATIN, letters, scripts_ja
 
-# Letter weights A to Z, multipliers of doubled letters, of positions, of pairs and of marked words.
-WEIGHTS = dict(zip(LATIN, (8, 7, 5, 6, 4, 6, 5, 7, 9, 4, 8, 6, 8, 7, 5, 7, 6, 7, 6, 7, 5, 6, 8, 7, 5, 9), strict=True))
-DOUBLE = {**dict.fromkeys("SFVZ", 1.8), **dict.fromkeys("BDPTKGC", 1.6), **dict.fromkeys("LMNR", 1.4), **dict.fromkeys("AEIOU", 1.3)}
-PAIRS = {"BH": 1.5, "KZ": 1.8, "CO": 1.4, "ES": 0.8, "CI": 0.7, "AS": 1.7, "MW": 2.0}
-FIRST, LAST, MARKED = 1.5, 0.75, 1.2
-SPANISH_DOUBLE = {"R": 2.0, "L": 1.5}
+
+@dataclass(frozen=True)
+class Alphabet:
+    """Letters with their weights, multipliers of doubled letters, pairs that act on each other, letters that mark a word, and axes."""
+
+    letters: str
+    weights: tuple[float, ...]
+    doubles: dict[str, float]
+    pairs: dict[str, float]
+    marks: str
+    axes: dict[str, str]
+    silent: str = ""
+
+    @property
+    def table(self) -> dict[str, float]:
+        return dict(zip(self.letters, self.weights, strict=True))
+
+
+def _groups(**of: str) -> dict[str, float]:
+    return {c: float(m.replace("x", "").replace("_", ".")) for m, cs in of.items() for c in cs}
 
 
-def word_score(word: str, double: dict[str, float] = DOUBLE, silent: str = "") -> float:
-    """Score of one upper-case word. `silent` letters count nothing at the end of a word."""
-    n = len(word)
+FIRST, LAST, MARKED = 1.5, 0.75, 1.2
+# Weights, multipliers and pairs of the alphabets.
+EN = Alphabet(
+    LATIN, (8, 7, 5, 6, 4, 6, 5, 7, 9, 4, 8, 6, 8, 7, 5, 7, 6, 7, 6, 7, 5, 6, 8, 7, 5, 9),
+    _groups(x1_8="SFVZ", x1_6="BDPTKGC", x1_4="LMNR", x1_3="AEIOU"),
+    {"BH": 1.5, "KZ": 1.8, "CO": 1.4, "ES": 0.8, "CI": 0.7, "AS": 1.7, "MW": 2.0}, "WMK",
+    {"anxiety": "SN", "attention": "AK", "emotion": "MW", "agitation": "RZ"},
+)
+ES = replace(EN, doubles=EN.doubles | {"R": 2.0, "L": 1.5})
+FR = replace(EN, silent="STXD")
+RU = Alphabet(
+    CYRILLIC, (8, 7, 6, 5, 5, 4, 5, 8, 9, 9, 6, 8, 6, 8, 7, 5, 7, 7, 6, 7, 5, 6, 7, 6, 8, 7, 8, 3, 8, 4, 6, 7, 8),
+    _groups(x1_8="ЖЗСФХШЩ", x1_6="БГДКПТЦЧ", x1_4="ЛМНР", x1_3="АЕЁИОУЫЭЮЯ"),
+    {"БХ": 1.5, "КШ": 1.8, "ГО": 1.4, "НС": 0.8, "ВИ": 0.7, "АС": 1.7, "МЮ": 2.0}, "ЖШЩЫЮ",
+    {"anxiety": "НС", "attention": "АК", "emotion": "МЮ", "agitation": "РЗ"},
+)
+AR = Alphabet(
+    ARABIC, (5, 7, 6, 5, 8, 8, 7, 6, 5, 8, 7, 6, 7, 8, 9, 8, 7, 9, 8, 6, 8, 7, 6, 7, 6, 4, 5, 5),
+    _groups(x1_8="حخصضطظعغق", x1_6="زسش", x1_5="بتجدرك", x1_4="لمن", x1_3="اوي"),
+    {"رع": 1.8, "بص": 1.7, "ام": 1.5, "سن": 0.8, "خق": 0.7, "ذه": 1.6, "جع": 2.0}, "شصضطظعغ",
+    {"anxiety": "نس", "attention": "اع", "emotion": "مو", "agitation": "رج"},
+)
+FA = replace(AR, letters=FARSI, weights=(*AR.weights, 7, 7, 7, 6), doubles=AR.doubles | {"پ": 1.5, "چ": 1.5, "ژ": 1.6, "گ": 1.5})
+ALPHABETS = {"EN": EN, "DE": EN, "ES": ES, "FR": FR, "RU": RU, "AR": AR, "FA": FA}
+
+
+def prepared(text: Column, language: str) -> Column:
+    """Upper case, or letter variants folded and marks dropped."""
+    if language in ("AR", "FA"):
+        return F.translate(F.regexp_replace(text, r"[\x{064B}-\x{065F}\x{0640}]", ""), *ARABIC_FOLD)
+    return F.upper(text)
+
+
+def words_of(text: Column, language: str) -> Column:
+    return F.regexp_extract_all(prepared(text, language), F.lit(f"[{ALPHABETS[language].letters}]+"), F.lit(0))
+
+
+def word_score(word: str, alphabet: Alphabet = EN) -> float:
+    """Score of one word: doubled letters first, then pairs at a distance of one or two, then what is left by its place."""
+    n, weight = len(word), alphabet.table
     total, used = 0.0, [False] * n
     i = 0
     while i + 1 < n:
         if word[i] == word[i + 1]:
-            total += WEIGHTS[word[i]] * double.get(word[i], 1.0)
+            total += weight[word[i]] * alphabet.doubles.get(word[i], 1.0)
             used[i] = used[i + 1] = True
             i += 2
         else:
             i += 1
+    pairs = {frozenset(k): v for k, v in alphabet.pairs.items()}
     for i in range(n):
         for d, reach in ((1, 1.0), (2, 0.5)):
             j = i + d
-            if j < n and (f := PAIRS.get("".join(sorted(word[i] + word[j])))):
-                half = (WEIGHTS[word[i]] + WEIGHTS[word[j]]) * f * reach / 2
+            if j < n and (f := pairs.get(frozenset((word[i], word[j])))):
+                half = (weight[word[i]] + weight[word[j]]) * f * reach / 2
                 for k in (i, j):
                     if not used[k]:
                         total += half
                         used[k] = True
     for i in range(n):
         if not used[i]:
-            place = FIRST if i == 0 else (0.0 if word[i] in silent else LAST) if i == n - 1 else 1.0
-            total += WEIGHTS[word[i]] * place
-    return total * (MARKED if any(c in "WMK" for c in word) else 1.0)
+            place = FIRST if i == 0 else (0.0 if word[i] in alphabet.silent else LAST) if i == n - 1 else 1.0
+            total += weight[word[i]] * place
+    return total * (MARKED if any(c in alphabet.marks for c in word) else 1.0)
 
 
-def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct upper-case words."""
-    return df.select(F.explode(words(F.upper(text))).alias("word")).distinct()
+def vocabulary(df: DataFrame, text: str = "text", language: str = "EN") -> DataFrame:
+    """Distinct words."""
+    return df.select(F.explode(words_of(F.col(text), language)).alias("word")).distinct()
 
 
 def score_words(vocab: DataFrame, language: str = "EN") -> DataFrame:
     """word, score."""
-    double = DOUBLE | SPANISH_DOUBLE if language == "ES" else DOUBLE
-    silent = "STXD" if language == "FR" else ""
+    alphabet = ALPHABETS[language]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"word": b["word"], "score": [word_score(w, double, silent) for w in b["word"]]})
+            if len(b):
+                yield pd.DataFrame({"word": b["word"], "score": [word_score(w, alphabet) for w in b["word"]]})
 
     return vocab.select("word").mapInPandas(run, "word string, score double")
 
 
 def window_scores(df: DataFrame, key: list[str], text: str = "text", language: str = "EN") -> DataFrame:
     """key, raw_score, total_chars, words_with_visual."""
-    uses = df.select(*key, F.explode(words(F.upper(text))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("uses"))
-    scored = score_words(vocabulary(df, text), language)
+    uses = df.select(*key, F.explode(words_of(F.col(text), language)).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("uses"))
+    scored = score_words(vocabulary(df, text, language), language)
     return uses.join(scored, "word").groupBy(*key).agg(
         F.round(F.sum(F.col("score") * F.col("uses")) + 1e-9, 4).alias("raw_score"),
         F.sum(F.length("word") * F.col("uses")).alias("total_chars"),
-        F.sum(F.when(F.col("word").rlike("[WMK]"), F.col("uses")).otherwise(0)).alias("words_with_visual"),
+        F.sum(F.when(F.col("word").rlike(f"[{ALPHABETS[language].marks}]"), F.col("uses")).otherwise(0)).alias("words_with_visual"),
     )
 
 
-def axes(letter_counts: DataFrame, key: list[str]) -> DataFrame:
+def axes(letter_counts: DataFrame, key: list[str], language: str = "EN") -> DataFrame:
     """The axes that only need letter counts: anxiety, attention, emotion, agitation, in per cent of all weight."""
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("letter"))
+    alphabet = ALPHABETS[language]
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in alphabet.table.items() for x in kv]), F.col("letter"))
     w = letter_counts.withColumn("w", weight * F.col("n"))
 
-    def share(of: str) -> F.Column:
-        return F.round(100.0 * F.sum(F.when(F.col("letter").isin(*of), F.col("w")).otherwise(0)) / F.sum("w") + 1e-9, 6)
+    def share(name: str) -> Column:
+        part = F.sum(F.when(F.col("letter").isin(*alphabet.axes[name]), F.col("w")).otherwise(0))
+        return F.round(100.0 * part / F.sum("w") + 1e-9, 6).alias(name)
 
-    return w.groupBy(*key).agg(share("SN").alias("anxiety"), share("AK").alias("attention"), share("MW").alias("emotion"), share("RZ").alias("agitation"))
+    return w.groupBy(*key).agg(*[share(name) for name in alphabet.axes])
 
 
 def vectors(df: DataFrame, key: list[str], text: str = "text", language: str = "EN") -> DataFrame:
     """All six axes of a text or window."""
-    from textloom.operators.telemetry import latin_letters
-
     s = window_scores(df, key, text, language)
-    a = axes(latin_letters(df, key, text), key)
+    a = axes(letters(df, key, prepared(F.col(text), language), ALPHABETS[language].letters), key, language)
     intensity = F.round(F.col("raw_score") / F.greatest(F.lit(1), F.col("total_chars")) + 1e-9, 4)
     return s.join(a, key).select(*key, intensity.alias("intensity"), "anxiety", "attention", "emotion", "agitation", F.col("words_with_visual").cast("double").alias("complexity"))
+
+
+def script_axes(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Japanese: axes from the shares of kanji, hiragana and katakana; texts without any have no row."""
+    s = scripts_ja(df, text).filter("kanji + hiragana + katakana > 0")
+    return s.select(*key, *[F.round(F.col(c) * f + 1e-9, 4).alias(name) for name, c, f in (("intensity", "kanji_ratio", 100), ("attention", "kanji_ratio", 80), ("emotion", "hiragana_ratio", 100), ("agitation", "katakana_ratio", 100))], F.lit(0.0).alias("anxiety"))
+
+
+def stroke_axes(df: DataFrame, strokes: DataFrame, key: list[str], text: str = "text", unknown: int = 8) -> DataFrame:
+    """Chinese: axes from the mean number of strokes; `strokes` (ch, n) is a parameter table, other ideographs count `unknown`."""
+    chars = df.select(*key, F.explode(F.split(F.regexp_replace(text, r"[^\x{4E00}-\x{9FFF}]+", ""), "")).alias("ch")).filter("ch != ''").groupBy(*key, "ch").agg(F.count("*").alias("uses"))
+    d = F.sum(F.coalesce("n", F.lit(unknown)) * F.col("uses")) / F.sum("uses")
+    m = chars.join(strokes, "ch", "left").groupBy(*key).agg(d.alias("d"))
+    return m.select(*key, *[F.round(F.least(F.lit(100.0), f * F.col("d")) + 1e-9, 4).alias(name) for name, f in (("intensity", 8), ("attention", 6), ("complexity", 10))])

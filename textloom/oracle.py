@@ -31,7 +31,7 @@ def sql() -> dict[str, str]:
     from textloom.operators import literary as lit
     from textloom.operators import baseline, micro, telemetry, wave
 
-    weight = "CASE letter " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in micro.WEIGHTS.items()) + " END"
+    weight = "CASE letter " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in micro.EN.table.items()) + " END"
     fw, pron = quoted(lit.FUNCTION_WORDS), quoted((*lit.FIRST, *lit.SECOND, *lit.THIRD))
     latin = "SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z]+', '', 'g'), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY ALL"
     fold_from, fold_to = wave.FOLD
@@ -129,7 +129,6 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
         "rh_polysyndeton": f"WITH {SENT}, x AS (SELECT doc_id, sent, unnest(w) AS conjunction FROM sw) SELECT doc_id, sent, conjunction, count(*) AS n FROM x WHERE conjunction IN ('and', 'or', 'nor', 'but') GROUP BY ALL HAVING count(*) >= 3",
         "rh_asyndeton": f"WITH {SENT} SELECT doc_id, sent FROM sw WHERE len(regexp_extract_all(s, ',')) >= 2 AND len(list_filter(w, lambda v: v IN ('and', 'or', 'nor', 'but'))) = 0",
         "rh_question": f"WITH {SENT} SELECT doc_id, sent, CASE WHEN len(list_filter(w, lambda v: v IN ('anyone', 'everyone', 'nobody', 'no', 'one', 'whoever', 'whatever', 'we', 'you'))) > 0 OR len(list_filter(w, lambda v: v NOT IN ({fw}))) <= 8 THEN 0.78::DOUBLE ELSE 0.55::DOUBLE END AS confidence FROM sw WHERE s LIKE '%?' AND len(list_filter(w, lambda v: v IN ({quoted(lit.INTERROGATIVES)}))) > 0",
-        "arg_score": f"WITH {SENT}, x AS (SELECT doc_id, sent, len(list_filter(w, lambda v: v IN ({quoted(lit.LOGOS)}))) AS logos, len(list_filter(w, lambda v: v IN ({quoted(lit.ETHOS)}))) AS ethos FROM sw) SELECT *, CASE WHEN logos >= ethos THEN 'logos' ELSE 'ethos' END AS dominant FROM x WHERE greatest(logos, ethos) >= 2",
         "g_cooc": f"WITH {graph}, {matrix('m', 'op_ed')} SELECT i, j, value FROM m",
         "g_laplacian": f"WITH {graph}, {matrix('m', 'op_ed')}, o AS (SELECT i, j, -value AS value FROM m WHERE i <> j) SELECT i, j, value FROM o UNION ALL SELECT i, i AS j, -sum(value) AS value FROM o GROUP BY i",
         "g_jaccard": f"WITH {graph}, {matrix('m', 'op_ed')}, {jac('jj', 'm')} SELECT i, j, round(value + 1e-9, 6) AS value FROM jj",
@@ -137,6 +136,48 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
         "g_bfs": "WITH a AS (SELECT DISTINCT entity_id AS src, coalesce(source, 'none') AS dst FROM documents WHERE entity_id IS NOT NULL), s AS (SELECT min(entity_id) AS id FROM documents), one AS (SELECT a.src, a.dst FROM a JOIN s ON a.src = s.id) SELECT src, dst FROM one UNION ALL SELECT a.dst AS src, a.src AS dst FROM a WHERE a.dst IN (SELECT dst FROM one)",
         "cmp_align": "WITH x AS (SELECT w.request_id, win_idx, (start_char + end_char) / 2 / max(end_char) OVER (PARTITION BY w.request_id) AS m FROM (SELECT DISTINCT request_id, win_idx, start_char, end_char FROM window_results) w) SELECT a.request_id, CAST(a.win_idx AS BIGINT) AS win_idx, round(greatest(0.0, 1 - abs(a.m - b.m)) + 1e-9, 6) AS score FROM x a JOIN x b ON b.request_id = a.request_id + 1 AND b.win_idx = a.win_idx",
     }
+    def count_in(ws: list[str]) -> str:
+        return f"len(list_filter(w, lambda v: v IN ({quoted(ws)})))"
+
+    appeal = {n: count_in(ws) + "".join(f" + CASE WHEN contains(lower(s), '{p}') THEN 2 ELSE 0 END" for p in lit.PHRASES[n]) for n, ws in (("logos", lit.LOGOS), ("ethos", lit.ETHOS), ("pathos", lit.PATHOS))}
+    args = f"WITH {SENT}, x AS (SELECT doc_id, sent, {', '.join(f'{e} AS {n}' for n, e in appeal.items())} FROM sw), y AS (SELECT *, CASE WHEN logos >= ethos AND logos >= pathos THEN 'logos' WHEN ethos >= pathos THEN 'ethos' ELSE 'pathos' END AS dominant FROM x WHERE greatest(logos, ethos, pathos) >= 2)"
+    out["arg_score"] = f"{args} SELECT * FROM y"
+    out["arg_ratios"] = f"{args}, r AS (SELECT doc_id, {', '.join(f'round(avg(CASE WHEN dominant = {chr(39)}{n}{chr(39)} THEN 1.0 ELSE 0 END) + 1e-9, 4) AS {n}' for n in appeal)} FROM y GROUP BY doc_id) SELECT *, CASE WHEN greatest(logos, ethos, pathos) < 0.4 THEN 'balanced' WHEN logos = greatest(logos, ethos, pathos) THEN 'logos' WHEN ethos = greatest(logos, ethos, pathos) THEN 'ethos' ELSE 'pathos' END AS balance FROM r"
+    out["rh_assonance"] = f"WITH {SENT}, x AS (SELECT doc_id, sent, unnest(w) AS w FROM sw), y AS (SELECT doc_id, sent, regexp_extract(w, '[aeiou]+') AS vowels FROM x WHERE length(w) > 2 AND w NOT IN ({fw})) SELECT doc_id, sent, vowels, count(*) AS n FROM y WHERE vowels <> '' GROUP BY ALL HAVING count(*) >= 3"
+    out["rh_simile"] = f"WITH {SENT} SELECT doc_id, sent FROM sw WHERE regexp_matches(s, '{lit.SIMILE}')"
+    out["rh_hyperbole"] = f"WITH {SENT} SELECT doc_id, sent FROM sw WHERE regexp_matches(s, '{lit.HYPERBOLE}')"
+    table = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(p.strip().split() for p in lit.OXYMORA.split(",")))
+    toks = f"WITH {SENT}, x AS (SELECT doc_id, sent, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM sw)"
+    out["rh_oxymoron"] = f"{toks} SELECT a.doc_id, a.sent, arg_min(o.a || ' ' || o.b, o.ord) AS pair FROM x a JOIN (VALUES {table}) AS o(ord, a, b) ON a.word = o.a JOIN x b ON b.doc_id = a.doc_id AND b.sent = a.sent AND b.word = o.b WHERE abs(a.pos - b.pos) <= 7 GROUP BY a.doc_id, a.sent"
+    side = f"CASE WHEN word IN ({fw}, {quoted(lit.CONTRASTIVE)}) THEN 0 ELSE 1 END"
+    out["rh_antithesis"] = f"{toks}, y AS (SELECT *, sum({side}) OVER (PARTITION BY doc_id, sent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, sum({side}) OVER (PARTITION BY doc_id, sent ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f FROM x) SELECT doc_id, sent, arg_min(word, pos) AS pivot FROM y WHERE word IN ({quoted(lit.CONTRASTIVE)}) AND p >= 3 AND f >= 3 GROUP BY doc_id, sent"
+    out["rh_litotes"] = f"{toks} SELECT DISTINCT a.doc_id, a.sent FROM x a JOIN x b ON b.doc_id = a.doc_id AND b.sent = a.sent AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 WHERE a.word = 'not' AND (b.word IN ({quoted(lit.NEGATIVE)}) OR regexp_matches(b.word, '^(?:un|in|im|ir|il|dis|non)[a-z]{{4,}}$'))"
+
+    def axes_of(alphabet: micro.Alphabet, text: str) -> str:
+        w = "CASE letter " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in alphabet.table.items()) + " END"
+        shares = ", ".join(f"round(100.0 * sum(CASE WHEN letter IN ({quoted(tuple(of))}) THEN n * {w} ELSE 0 END) / sum(n * {w}) + 1e-9, 6) AS {name}" for name, of in alphabet.axes.items())
+        return f"SELECT doc_id, {shares} FROM (SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace({text}, '[^{alphabet.letters}]+', '', 'g'), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY ALL) GROUP BY doc_id"
+
+    arabic = f"translate(text, '{telemetry.ARABIC_FOLD[0]}', '{telemetry.ARABIC_FOLD[1]}')"
+    out |= {"micro_axes_ru": axes_of(micro.RU, "upper(text)"), "micro_axes_ar": axes_of(micro.AR, arabic), "micro_axes_fa": axes_of(micro.FA, arabic)}
+    out["micro_ja"] = f"SELECT doc_id, round(kanji_ratio * 100 + 1e-9, 4) AS intensity, round(kanji_ratio * 80 + 1e-9, 4) AS attention, round(hiragana_ratio * 100 + 1e-9, 4) AS emotion, round(katakana_ratio * 100 + 1e-9, 4) AS agitation, 0.0::DOUBLE AS anxiety FROM ({out['ja_scripts']}) WHERE kanji + hiragana + katakana > 0"
+    from textloom.queries import STROKES
+
+    strokes = "CASE ch " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in STROKES) + " ELSE 8 END"
+    out["micro_zh"] = f"WITH c AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^\\x{{4E00}}-\\x{{9FFF}}]+', '', 'g'), '')) AS ch FROM documents), m AS (SELECT doc_id, avg({strokes}) AS d FROM c WHERE ch <> '' GROUP BY doc_id) SELECT doc_id, {', '.join(f'round(least(100.0, {f} * d) + 1e-9, 4) AS {n}' for n, f in (('intensity', 8), ('attention', 6), ('complexity', 10)))} FROM m"
+
+    def script(marks: str, ends: str) -> str:
+        t = "text"
+        for p, by in (("(?s)```.*?```", " "), ("`[^`\\n]+`", " "), ("(?m)^[ \\t]*[-*=]{3,}[ \\t]*$", " "), ("(?m)^[ \\t]*(?:#{1,6}|[*\\->|]|=>)[ \\t]*", ""), ("[A-Za-z]+", " "), (marks, ""), ("[\\t\\f\\r ]+", " "), (f"(?m)([^\\s{ends}])[ \\t]*$", "\\1."), ("\\s+", " "), ("^\\s+|\\s+$", "")):
+            t = f"regexp_replace({t}, '{p}', '{by}', 'g')" if p else t
+        return f"SELECT doc_id, {t} AS prose FROM documents WHERE text IS NOT NULL"
+
+    out |= {"sanitize_ru": script("", ".!?"), "sanitize_abjad": script("[\\x{0610}-\\x{061A}\\x{0640}\\x{064B}-\\x{065F}\\x{0670}]", ".!?،؟")}
+    from textloom.operators.macro import KEIGO
+
+    forms = {s: " + ".join(f"(length(text) - length(replace(text, '{p}', ''))) / {len(p)} * {abs(w)}" for p, w in KEIGO.items() if w * s > 0) for s in (1, -1)}
+    out["macro_keigo"] = f"SELECT doc_id, round(({forms[1]}) * 100 / length(text) + 1e-9, 4) AS formal, round(({forms[-1]}) * 100 / length(text) + 1e-9, 4) AS casual FROM documents WHERE length(text) > 0"
+
     def z(source: str, name: str) -> str:
         r = "PARTITION BY variable ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
         return f"""{name} AS (SELECT doc_id, variable, CASE WHEN n < 2 THEN value ELSE (value - mu) / sqrt(greatest(v, 1e-9)) END AS z FROM

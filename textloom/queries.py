@@ -190,6 +190,56 @@ def micro_de(spark: SparkSession, folder: str) -> DataFrame:
     return micro.vectors(d, KEY)
 
 
+def _vectors(language: str) -> Query:
+    return lambda spark, folder: micro.vectors(docs(spark, folder, "lang").filter(F.lower("lang") == language), KEY, language=language.upper())
+
+
+def _letter_axes(language: str) -> Query:
+    def f(spark: SparkSession, folder: str) -> DataFrame:
+        a = micro.ALPHABETS[language.upper()]
+        return micro.axes(telemetry.letters(docs(spark, folder), KEY, micro.prepared(F.col("text"), language.upper()), a.letters), KEY, language.upper())
+
+    return f
+
+
+for _language in ("ru", "ar", "fa"):
+    _f = _vectors(_language)
+    _f.__name__ = f"micro_{_language}"
+    query(_f)
+    _f = _letter_axes(_language)
+    _f.__name__ = f"micro_axes_{_language}"
+    query(_f)
+
+
+@query
+def micro_ja(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.script_axes(docs(spark, folder), KEY)
+
+
+#: A few ideographs with their strokes; a full table is a parameter.
+STROKES = [("一", 1), ("二", 2), ("三", 3), ("的", 8), ("了", 2), ("在", 6), ("不", 4), ("人", 2), ("大", 3), ("会", 6), ("是", 9), ("和", 8), ("年", 6), ("日", 4), ("月", 4)]
+
+
+@query
+def micro_zh(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.stroke_axes(docs(spark, folder), spark.createDataFrame(STROKES, "ch string, n int"), KEY)
+
+
+@query
+def sanitize_ru(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).filter("text IS NOT NULL").select("doc_id", fx.prose_of_script(F.col("text")).alias("prose"))
+
+
+@query
+def sanitize_abjad(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).filter("text IS NOT NULL").select("doc_id", fx.prose_of_script(F.col("text"), fx.HARAKAT, ".!?،؟").alias("prose"))
+
+
+@query
+def macro_keigo(spark: SparkSession, folder: str) -> DataFrame:
+    return macro.politeness(docs(spark, folder), KEY)
+
+
 # entropy and wave
 
 
@@ -398,6 +448,41 @@ def arg_score(spark: SparkSession, folder: str) -> DataFrame:
     return literary.arguments(docs(spark, folder), KEY)
 
 
+@query
+def arg_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.argument_ratios(literary.arguments(docs(spark, folder), KEY), KEY)
+
+
+@query
+def rh_assonance(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.assonance(docs(spark, folder), KEY)
+
+
+@query
+def rh_simile(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.by_pattern(docs(spark, folder), KEY, literary.SIMILE)
+
+
+@query
+def rh_hyperbole(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.by_pattern(docs(spark, folder), KEY, literary.HYPERBOLE)
+
+
+@query
+def rh_oxymoron(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.oxymora(docs(spark, folder), KEY)
+
+
+@query
+def rh_antithesis(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.antithesis(docs(spark, folder), KEY)
+
+
+@query
+def rh_litotes(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.litotes(docs(spark, folder), KEY)
+
+
 # graph
 
 
