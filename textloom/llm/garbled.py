@@ -43,7 +43,8 @@ UNIT = re.compile(rf"[{NO_SPACE}々ー]+|[^\W\d_{NO_SPACE}]+|[^\w\s]|�+")
 IDEOGRAPH = re.compile(rf"[{NO_SPACE}]")
 #: A text is cut into pieces at white space, where a script without spaces begins or ends, and after its full stops.
 WIDE = "　-〿！-ﾟ" + NO_SPACE
-PIECE = re.compile(rf"[ \t\n\r]+|[{WIDE}]*?[{WIDE}](?:(?<=[。！？])|(?![{WIDE}]))|[^ \t\n\r{WIDE}]+")
+MORE = f"[{WIDE}�]|[∀-⋿─-◿､](?=[{WIDE}�])"  # within such a run, what double-byte tables hold besides
+PIECE = re.compile(rf"[ \t\n\r]+|[{WIDE}](?:{MORE})*?(?:(?<=[。！？])|(?!{MORE}))|[^ \t\n\r{WIDE}]+")
 # Signs that are common in some language's typography.
 TYPOGRAPHIC = set("“”‘’„«»‹›…–—°º£€¿¡§±•·№©®™、。「」『』《》〈〉【】！？，：；（）・～，؛؟،٪¥")
 
@@ -86,12 +87,20 @@ def _bytes(text: str, codec: str) -> bytes | None:
         return None
 
 
-def _invert(text: str, w: str, r: str) -> str | None:
-    """What was written in r, if `text` is it read as w. A few lost bytes are wildcards (U+FFFD)."""
-    lost = text.count("�") + text.count("・") if w in DOUBLE else text.count("�")
-    raw = _bytes(text.replace("�", "?") if lost else text, w)
-    if raw is None:
-        return None
+#: Bytes that a reader has no character for (a double-byte one may find none for any), so that they get lost.
+LOST = {**dict.fromkeys(DOUBLE, tuple(range(0x80, 0xC0))), "cp1252": (0x81, 0x8D, 0x8F, 0x90, 0x9D), "cp1250": (0x81, 0x83, 0x88, 0x90, 0x98), "cp1251": (0x98,)}
+
+
+def _raw(text: str, w: str) -> bytes | None:
+    """The bytes that were read as w; the first byte that w loses stands for a lost one."""
+    if "�" not in text:
+        return _bytes(text, w)
+    parts = [_bytes(p, w) for p in text.split("�")]
+    return None if None in parts else bytes([LOST.get(w, b"?")[0]]).join(parts)
+
+
+def _read(raw: bytes, r: str) -> str | None:
+    """Bytes read as r. A few lost ones are wildcards (U+FFFD)."""
     try:
         return raw.decode(r)
     except UnicodeDecodeError:
@@ -100,6 +109,18 @@ def _invert(text: str, w: str, r: str) -> str | None:
         return out if solid > 2 * out.count("�") else None
 
 
+def _invert(text: str, w: str, r: str) -> str | None:
+    """What was written in r, if `text` is it read as w."""
+    raw = _raw(text, w)
+    return None if raw is None else _read(raw, r)
+
+
+#: The channels by W: (number, R).
+BY_READER: dict[str, list[tuple[int, str]]] = {}
+for _c, (_w, _r) in enumerate(CHANNELS):
+    BY_READER.setdefault(_w, []).append((_c, _r))
+
+
 class Model:
     """The channel model over given unit counts."""
 
@@ -112,6 +133,8 @@ class Model:
         for u in counts:
             if not u.isascii() and len(u) > 1 and (key := re.sub(r"[^\x00-\x7f]", "", u)):
                 self.by_ascii.setdefault(key, []).append(u)
+        odd = [n for u, n in counts.items() if not u.isascii() and u[0].isalpha()]
+        self.typical = sum(n * math.log(n / total) for n in odd) / (sum(odd) or 1)
         seen: Counter[str] = Counter()
         for u, n in counts.items():
             for ch in set(u):
@@ -145,8 +168,18 @@ class Model:
         base, base_known, base_n = max(self.score(piece), self.score(transducer().canonical(piece)))  # disguise isn't damage
         seen = {piece}
         out = []
-        for c, (w, r) in enumerate(CHANNELS):
-            text = _invert(piece, w, r)
+        own = [self.log.get(u) for u in units(piece) if not u.isascii() and u[0].isalpha() and len(u) > 1]
+        # words as common as the corpus's words usually are were hardly made by a wrong decoding: only right UTF-8 could tell otherwise
+        usual = bool(own) and None not in own and sum(own) / len(own) > self.typical - 2.0
+        readings = []
+        for w, of in BY_READER.items():
+            if usual and w in DOUBLE:
+                continue
+            raw = _raw(piece, w)
+            if raw is not None:
+                readings += [(c, w, r, raw) for c, r in of if r == "utf-8" or not usual]
+        for c, w, r, raw in sorted(readings):
+            text = self._lattice(piece, w, raw) if r == "utf-8" and w in LOST and "�" in piece else _read(raw, r)
             if text is None or text in seen:
                 continue
             seen.add(text)
@@ -173,6 +206,20 @@ class Model:
         out.sort(key=lambda x: (-x[0], x[2]))
         return out[:4]
 
+    def _lattice(self, piece: str, w: str, raw: bytes) -> str | None:
+        """The likeliest reading over the bytes that may have been lost, decided from left to right."""
+        parts = [_bytes(p, w) for p in piece.split("�")]
+        done = parts[0]
+        for part in parts[1:]:
+            left, right = done[-12:], part[:12]
+
+            def likely(x: int, left: bytes = left, right: bytes = right) -> tuple[float, int]:
+                t = (left + bytes([x]) + right).decode("utf-8", "replace")
+                return self.score(t)[0] - 6.0 * t.count("�"), -x
+
+            done += bytes([max(LOST[w], key=likely)]) + part
+        return _read(done, "utf-8")
+
     def _fill(self, piece: str) -> str:
         """Put the likeliest words in the place of replacement characters."""
 
