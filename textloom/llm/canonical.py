@@ -196,7 +196,8 @@ class Transducer:
         out, at = [], 0
         for m in self.runs.finditer(text):
             start = m.start() - (m.start() > at and text[m.start()] not in self.bare)
-            out += text[at:start], self.resolve(text[start : m.end()])
+            run = text[start : m.end()]
+            out += text[at:start], self.resolve(run) if len(run) <= 40 else self._resolve(run)
             at = m.end()
         return "".join((*out, text[at:])) if at else text
 

@@ -26,6 +26,9 @@ from textloom.llm.canonical import transducer
 #: Most frequent units of the corpus that make up the language model; bounds what is broadcast (about 10 MB).
 VOCABULARY = 150_000
 
+#: Pieces up to this length are remembered by a worker.
+CACHED = 300
+
 SINGLE = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac_roman", "mac_cyrillic", "iso8859-2", "iso8859-5", "iso8859-6", "iso8859-15")
 DOUBLE = ("gbk", "big5", "cp932", "cp949", "euc_jp")
 LATIN_READERS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "iso8859-15", "koi8-r", "cp866", "cp1254", "cp852")
@@ -239,7 +242,7 @@ class Model:
         if text.isascii():
             return False, text
         parts = PIECE.findall(text)
-        readings = [self.candidates(p) if p and not p.isascii() else [] for p in parts]
+        readings = [[] if p.isascii() else self.candidates(p) if len(p) <= CACHED else self._candidates(p) for p in parts]
         lost = "�" in text
         if not lost and not any(readings):
             return False, text

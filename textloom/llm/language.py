@@ -114,12 +114,13 @@ class Automaton:
 
 
 LETTERS = re.compile(r"(?<![\w/])[^\W\d_]+(?:[’'\-][^\W\d_]+)*(?![\d_/])")
-ADDRESS = re.compile(r"\w+://\S+")
+ADDRESS = re.compile(r"[a-z][a-z0-9+.\-]{0,15}://\S+")
 
 
 def _letters(text: str) -> str:
     """Words only, lower case, one space between them."""
-    return " ".join(LETTERS.findall(ADDRESS.sub(" ", text.lower())))
+    text = text.lower()
+    return " ".join(LETTERS.findall(ADDRESS.sub(" ", text) if "://" in text else text))
 
 
 def clean_sample(labelled: list[tuple[str, str]]) -> dict[str, str]:
@@ -181,7 +182,7 @@ class Identifier:
         weigh = [a.bits for a in self.automata]
         low = min(weigh)
         n = len(self.codes)
-        table = [self.costs(s) for _, _, s in units]
+        table = [self.costs(s) if len(s) <= 300 else self._costs(s) for _, _, s in units]
         best = [0.0] * n
         back: list[list[int]] = []
         for row in table:

@@ -47,17 +47,28 @@ OTHER = re.compile(r"[^\x00-\x7f]+")
 TO_SPACE = str.maketrans({chr(o): " " for o in range(128) if not chr(o).isalnum()} | {chr(o): chr(o).lower() for o in range(65, 91)})
 
 
-@lru_cache(100_000)
+#: Runs up to this length are remembered by a worker.
+CACHED = 40
+
+
 def _fold(run: str) -> str:
     t = transducer()
     text = ud.normalize("NFKD", t._pass(run).translate(JOINERS).translate(t.skeleton)).lower()
     return "".join(c if c.isascii() else chr(97 + ord(c) % 26) if c.isalnum() else "" if ud.combining(c) else " " for c in text)
 
 
+_fold_short = lru_cache(50_000)(_fold)
+
+
+def _folded_run(m: re.Match) -> str:
+    run = m.group()
+    return _fold_short(run) if len(run) <= CACHED else _fold(run)
+
+
 def folded(text: str) -> str:
     """The words in ASCII, one space around each; equal words stay equal."""
     if not text.isascii():
-        text = OTHER.sub(lambda m: _fold(m.group()), text)
+        text = OTHER.sub(_folded_run, text)
     return f" {' '.join(text.translate(TO_SPACE).split())} "
 
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 import unicodedata as ud
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -119,8 +118,8 @@ def _period_ends(text: str, start: int, gap: bool, nxt: str, begin: int) -> bool
     return not (len(low) > 1 and "." in low and all(len(x) <= 2 for x in low.split(".")) and last.isupper())
 
 
-def _events(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Event code, place where a sentence would end, and place where the next would start.
+def _events(text: str) -> tuple[list[int], list[int]]:
+    """Event codes, and the places where a sentence would end.
 
     Codes: 0 an end that only holds outside quotations, 1 an end that always holds (paragraph, heading),
     10 + q opens quotation q, 100 + q closes it (“ closes „ and opens itself otherwise: 150).
@@ -145,7 +144,6 @@ def _events(text: str) -> tuple[list[int], list[int], list[int]]:
     if at := heading(0):
         put(1, at)
         skip_to = at
-    opened_until: dict[int, int] = {}
     for m in EVENTS.finditer(text):
         s, e = m.span()
         if e <= skip_to:
@@ -156,14 +154,13 @@ def _events(text: str) -> tuple[list[int], list[int], list[int]]:
             if len(tok) > 1:
                 put(1, s)
                 prev_term = True
-            elif BULLET.match(text, e) and (text[e : e + 12].lstrip()[:1] not in "–—-" or text[e : e + 12].lstrip(" –—-*\t")[:1].isupper() or text[:s].rstrip()[-1:] not in CLOSERS + "»"):
-                look = text[e : e + 12].lstrip(" –—-\t")
-                if text[e:].lstrip(" \t")[:1] in "–—" and look[:1].islower():
-                    pass
-                else:
-                    put(1 if not prev_term else 0, s)
+            elif BULLET.match(text, e):
+                ahead = text[e : e + 12].lstrip(" \t")
+                # a dash before a small letter goes on with reported speech, one before a capital opens a turn
+                if ahead[:1] not in "–—" or not ahead.lstrip("–— \t")[:1].islower():
+                    put(0 if prev_term else 1, s)
             begin = e
-            if prev_term or text[:s].rstrip()[-1:] in TERMINATORS + CLOSERS or len(tok) > 1:
+            if prev_term or len(tok) > 1 or (text[max(0, s - 40) : s].rstrip()[-1:] or "x") in TERMINATORS + CLOSERS:
                 if at := heading(e):
                     put(1, s)
                     put(1, at)
@@ -263,7 +260,7 @@ def _events(text: str) -> tuple[list[int], list[int], list[int]]:
         if end:
             put(0, k)
         prev_term = end or nxt == ""
-    return codes, ends, []
+    return codes, ends
 
 
 def _step(state: int, code: int) -> int:
@@ -330,7 +327,7 @@ def spans(text: str) -> list[tuple[int, int]]:
     if not text or text.isspace():
         return []
     clean, places = _clean(text)
-    codes, ends, _ = _events(clean)
+    codes, ends = _events(clean)
     codes = _unclosed(codes, ends)
     arr = np.array(codes, dtype=np.int16)
     blocks = [arr[k : k + BLOCK] for k in range(0, len(arr), BLOCK)]
@@ -359,9 +356,8 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start_char", T.LongType()), T.S
 
 @F.pandas_udf(SPANS)
 def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    find = lru_cache(4096)(spans)
     for s in texts:
-        yield s.map(lambda t: [{"start_char": a, "end_char": b} for a, b in find(t)] if isinstance(t, str) else [])
+        yield s.map(lambda t: [{"start_char": a, "end_char": b} for a, b in spans(t)] if isinstance(t, str) else [])
 
 
 def sentences(df: DataFrame, key: str = "request_id", column: str = "text") -> DataFrame:
