@@ -12,7 +12,7 @@ text as it is, end exclusive; where accepted spans overlap, the longer one stays
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -113,6 +113,18 @@ def _automaton(words: dict[str, tuple]) -> ahocorasick.Automaton | None:
     return None
 
 
+def _before(spans: list[tuple], a: int, most: int) -> bool:
+    """Does one of the spans, which are in order, end at most so many characters before a?"""
+    k = bisect_left(spans, (a,))
+    return k > 0 and 0 <= a - spans[k - 1][1] <= most
+
+
+def _free(kept: list[tuple], a: int, b: int) -> bool:
+    """Does a..b touch none of the kept spans, which are in order and apart?"""
+    k = bisect_left(kept, (a,))
+    return (k == len(kept) or b <= kept[k][0]) and (k == 0 or kept[k - 1][1] <= a)
+
+
 _CUES: dict[str, tuple] = {}
 for _kind, _list in (("name", NAME_CUES), ("open", OPEN_MARKS), ("id", ID_CUES), ("phone", PHONE_CUES), ("other", OTHER_CUES)):
     for _w in _list:
@@ -201,6 +213,7 @@ class Finder:
                     if tail is not None and span not in emails:
                         emails.append(span)
                         out.append((*span, "email", (good, local_letter, 1)))
+        emails.sort()
         addresses = []
         numbers = [m for m in ANCHOR.finditer(text)]
         has_digit = bool(numbers) or re.search(r"\d", text) is not None
@@ -220,7 +233,7 @@ class Finder:
                     continue
                 a, b = got
                 seen_to = b
-                if any(x < b and a < y for x, y, _ in addresses) or any(x < b and a < y for x, y in emails):
+                if not _free(addresses, a, b) or not _free(emails, a, b):
                     continue
                 out += self._numeric(text, a, b, cues(), emails, addresses)
         out += self._persons(text, cues)
@@ -248,9 +261,9 @@ class Finder:
         found.sort(key=lambda x: (-(x[1] - x[0]), x[0]))
         kept: list[tuple[int, int, int]] = []
         for f in found:
-            if all(f[1] <= g[0] or g[1] <= f[0] for g in kept):
-                kept.append(f)
-        return sorted(kept)
+            if _free(kept, f[0], f[1]):
+                insort(kept, f)
+        return kept
 
     @staticmethod
     def _number(text: str, at: int) -> tuple[int, int] | None:
@@ -303,8 +316,8 @@ class Finder:
         letters = re.search(r"[A-Z]", s) is not None
         cue, _ = self._nearest(hits, text, a)
         left = text[max(0, a - 8) : a]
-        near = any(0 <= a - y <= 5 for _, y in emails)
-        line = (left.endswith("\n") or left.rstrip().endswith(("Tel.", "Tél."))) and any(0 <= a - y <= 14 for _, y, _ in addresses)
+        near = _before(emails, a, 5)
+        line = (left.endswith("\n") or left.rstrip().endswith(("Tel.", "Tél."))) and _before(addresses, a, 14)
         right = text[b : b + 6]
         asked = near or line or right.startswith((" 번으로", "번으로", " تماس"))
         plain = s.lstrip("(（+")
@@ -478,8 +491,8 @@ class Tagger:
         scored.sort(key=lambda x: (-(x[1] - x[0]) if x[2] == "address" else 0, -x[3], -(x[1] - x[0]), x[0]))
         kept: list[tuple[int, int, str]] = []
         for a, b, kind, _ in scored:
-            if all(b <= x or y <= a for x, y, _ in kept):
-                kept.append((a, b, kind))
+            if _free(kept, a, b):
+                insort(kept, (a, b, kind))
         if places is not None:
             kept = [(int(places[a]), int(places[b - 1]) + 1, kind) for a, b, kind in kept]
         return sorted(kept)
