@@ -184,7 +184,7 @@ def test_rejects(spark):
 
 
 def test_empty_tables(spark):
-    none = docs(spark).limit(0) if False else spark.createDataFrame([], TEXTS)
+    none = spark.createDataFrame([], TEXTS)
     k = ["doc_id"]
     for df in (windows.windows(none), telemetry.latin_letters(none, k), micro.vectors(none, k), entropy.entropy(none, k), wave.summary(none, k), wave.spectrum(none, k), literary.variety(none, k), literary.moving_ttr(none, k), literary.readability(none, k, "en"), literary.arguments(none, k)):
         assert df.count() == 0
@@ -201,3 +201,48 @@ def test_long_text_and_clashing_columns(spark):
 def test_prose(spark):
     d = docs(spark, "# Head\n\n```code```\n* item one\nsome `x` **bold** text")
     assert d.select(fx.prose(F.col("text"))).first()[0] == "Head. item one. some bold text."
+
+
+def test_entities_and_triggers(spark):
+    from textloom.operators import entity
+
+    d = spark.createDataFrame([(k, "e1") for k in range(12)] + [(50, "e2"), (50, "e2"), (60, None)], "doc_id long, entity_id string")
+    assert {(r.entity_id, r.documents, r.confidence) for r in entity.records(d).collect()} == {("e1", 12, 1.0), ("e2", 1, 0.1)}
+    vad = spark.createDataFrame([(1, 1, 0.1, 0.9, 0.9), (2, 1, 0.1, 0.9, 0.1)], "doc_id long, matched long, v_mean double, a_mean double, d_mean double")
+    e = spark.createDataFrame([(1, "anger", 0.8, 0.0), (1, "disgust", 0.6, 0.0), (2, "fear", 0.7, 0.0), (2, "anticipation", 0.7, 0.0)], "doc_id long, emotion string, mean_score double, sd_score double")
+    assert {tuple(r) for r in affect.triggers(vad, e, ["doc_id"]).collect()} == {(1, True, True, False), (2, False, False, True)}
+
+
+def test_fallback_lexicon(spark):
+    lex = spark.createDataFrame([("en", "a"), ("de", "b")], "lang string, word string")
+    assert {tuple(r) for r in affect.with_fallback(lex, ["de", "fr"]).collect()} == {("de", "b"), ("fr", "a")}
+
+
+def test_sinks_and_udtf(spark, tmp_path):
+    from textloom.functions import udtf
+    from textloom.sources import sinks
+
+    path = str(tmp_path / "t")
+    for n in (1, 2):
+        sinks.replace_table(spark.range(n), path)
+    assert spark.read.parquet(path).count() == 2
+    sinks.export(spark.range(3), str(tmp_path / "c"), "csv")
+    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 3
+    udtf.register(spark)
+    rows = spark.sql("SELECT start_char FROM text_windows(repeat('x', 1501), 1000, 500)").collect()
+    assert [r.start_char for r in rows] == [0, 500, 1000]
+
+
+def test_alphabets():
+    assert micro.word_score("Я", micro.RU) == 12.0
+    assert micro.word_score("ЖЖ", micro.RU) == pytest.approx(8 * 1.8 * 1.2)
+    assert micro.word_score("جع", micro.AR) == pytest.approx(((8 + 9) * 2.0) * 1.2)
+    assert micro.word_score("AS", micro.FR) == micro.word_score("AS", micro.EN)  # consumed by the pair before it could be silent
+    assert micro.word_score("BT", micro.FR) == 7 * 1.5
+
+
+def test_plan(spark):
+    from textloom.plans import analyze
+
+    out = analyze.analyze(docs(spark, "The cat sat. It ran!", None, ""))
+    assert {name: df.count() for name, df in out.items()} == {"windows": 1, "telemetry": 1, "micro": 1, "entropy": 1, "wave": 1, "baselines": 6}

@@ -46,3 +46,36 @@ def rotate(df: DataFrame) -> DataFrame:
     danger = clip(-0.7 * v + 0.3 * a)
     quadrant = F.when((p >= 0) & (danger >= 0), "Apex Threat").when(p >= 0, "Benevolent Authority").when(danger < 0, "Composed Submission").otherwise("Desperate Panic")
     return df.withColumns({"power": F.round(p + 1e-9, 4), "danger": F.round(danger + 1e-9, 4), "structure": F.round(s + 1e-9, 4), "quadrant": quadrant})
+
+
+def with_fallback(lexicon: DataFrame, langs: list[str], default: str = "en") -> DataFrame:
+    """The lexicon of each asked language; one without any row gets the default's rows under its own name."""
+    spark = lexicon.sparkSession
+    asked = spark.createDataFrame([(x,) for x in dict.fromkeys(langs)], "lang string")
+    own = lexicon.join(asked, "lang", "left_semi")
+    empty = asked.join(lexicon.select("lang").distinct(), "lang", "left_anti")
+    rest = [c for c in lexicon.columns if c != "lang"]
+    # one copy of the default lexicon for each language without rows: both sides are small by their nature
+    borrowed = empty.withColumn("from", F.lit(default)).join(lexicon.withColumnRenamed("lang", "from"), "from").select("lang", *rest)
+    return own.select("lang", *rest).unionByName(borrowed)
+
+
+def valence(tokens: DataFrame, lexicon: DataFrame, key: list[str]) -> DataFrame:
+    """key, matched, and mean and deviation (population) of v, a and d over the matched tokens (key..., lang, word)."""
+    m = tokens.join(lexicon.select("lang", "word", "v", "a", "d"), ["lang", "word"])
+    return m.groupBy(*key).agg(F.count("*").alias("matched"), *[f(c) for c in "vad" for f in (lambda c: F.round(F.avg(c) + 1e-9, 4).alias(f"{c}_mean"), lambda c: F.round(F.stddev_pop(c) + 1e-9, 4).alias(f"{c}_sd"))])
+
+
+def triggers(vad: DataFrame, emotions: DataFrame, key: list[str]) -> DataFrame:
+    """key, escalation, contempt, paranoia from the results of `valence` and `profile`; absent emotions count 0."""
+    names = ("anger", "disgust", "fear", "anticipation")
+    e = emotions.groupBy(*key).agg(*[F.coalesce(F.max(F.when(F.col("emotion") == n, F.col("mean_score"))), F.lit(0.0)).alias(n) for n in names], F.coalesce(F.max(F.when(F.col("emotion") == "anger", F.col("sd_score"))), F.lit(0.0)).alias("anger_sd"))
+    power = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("d_mean") * 2 - 1))
+    danger = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -0.7 * (F.col("v_mean") * 2 - 1) + 0.3 * (F.col("a_mean") * 2 - 1)))
+    threat, panic = (power >= 0) & (danger >= 0), (power < 0) & (danger >= 0)
+    return vad.join(e, key).select(
+        *key,
+        (threat & ((F.col("anger") > 0.75) | (F.col("anger_sd") > 0.4))).alias("escalation"),
+        (threat & (F.col("anger") > 0.6) & (F.col("disgust") > 0.5)).alias("contempt"),
+        (panic & (F.col("fear") > 0.6) & (F.col("anticipation") > 0.6)).alias("paranoia"),
+    )

@@ -95,3 +95,20 @@ def remove_document(nodes: DataFrame, edges: DataFrame, doc: str) -> tuple[DataF
 def reindex(edges: DataFrame, new: DataFrame) -> DataFrame:
     """A document's edges are replaced by the new ones, so that indexing twice changes nothing."""
     return edges.join(new.select("src").distinct(), "src", "left_anti").unionByName(new)
+
+
+def index(docs: DataFrame, features: DataFrame, least: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of documents (doc, corpus) and their features (doc, node, kind, relation, weight).
+
+    Features that weigh less than `least` are left out, except devices, which count 1.
+    """
+    kept = features.filter((F.col("kind") == "StylisticDevice") | (F.abs("weight") >= least))
+    edges = kept.select(F.col("doc").alias("src"), F.col("node").alias("dst"), "relation", "weight")
+    member = docs.filter("corpus IS NOT NULL").select(F.col("doc").alias("src"), F.col("corpus").alias("dst"), F.lit("BELONGS_TO").alias("relation"), F.lit(1.0).alias("weight"))
+    nodes = docs.select(F.col("doc").alias("id"), F.lit("Document").alias("type")).unionAll(docs.filter("corpus IS NOT NULL").select("corpus", F.lit("Corpus"))).unionAll(kept.select("node", "kind"))
+    return nodes.distinct(), edges.unionAll(member)
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """src, relation, features: how many nodes each node reaches by each relation."""
+    return edges.groupBy("src", "relation").agg(F.countDistinct("dst").alias("features"))

@@ -198,6 +198,20 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
     out["macro_exact"] = f"WITH {words}, seed AS (SELECT lang, word, emotion || '_' || CASE WHEN score >= 0.5 THEN 'strong' ELSE 'weak' END AS pole_name FROM (SELECT *, row_number() OVER (PARTITION BY lang, word ORDER BY emotion || CAST(score AS VARCHAR) DESC) AS k FROM lex) WHERE k = 1), n AS (SELECT doc_id, count(*) AS total FROM tw GROUP BY doc_id) SELECT doc_id, pole_name, round(count(*) / any_value(total) + 1e-9, 6) AS score FROM tw JOIN seed USING (lang, word) JOIN n USING (doc_id) GROUP BY ALL"
     s = {e: f"coalesce(max(score) FILTER (WHERE emotion = '{e}'), 0.0)" for e in ("joy", "trust", "anger", "surprise", "disgust", "anticipation")}
     out["pds_rotate"] = f"WITH lex AS ({out['lex_intensity']}), x AS (SELECT lang, word, greatest({s['joy']}, {s['trust']}) AS v, greatest({s['anger']}, {s['surprise']}) AS a, greatest({s['disgust']}, {s['anticipation']}) AS d FROM lex GROUP BY ALL), y AS (SELECT *, greatest(-1.0, least(1.0, d * 2 - 1)) AS p, greatest(-1.0, least(1.0, -0.7 * (v * 2 - 1) + 0.3 * (a * 2 - 1))) AS g, greatest(-1.0, least(1.0, -(a * 2 - 1))) AS t FROM x) SELECT lang, word, v, a, d, round(p + 1e-9, 4) AS power, round(g + 1e-9, 4) AS danger, round(t + 1e-9, 4) AS structure, CASE WHEN p >= 0 AND g >= 0 THEN 'Apex Threat' WHEN p >= 0 THEN 'Benevolent Authority' WHEN g < 0 THEN 'Composed Submission' ELSE 'Desperate Panic' END AS quadrant FROM y"
+    out["vad_agg"] = f"WITH {words}, pds AS ({out['pds_rotate']}) SELECT doc_id, count(*) AS matched, {', '.join(f'round(avg({c}) + 1e-9, 4) AS {c}_mean, round(stddev_pop({c}) + 1e-9, 4) AS {c}_sd' for c in 'vad')} FROM tw JOIN pds USING (lang, word) GROUP BY doc_id"
+    emo = ", ".join(f"max(mean_score) FILTER (WHERE emotion = '{e}') AS {e}" for e in ("anger", "disgust", "fear", "anticipation"))
+    out["pds_triggers"] = f"WITH v AS ({out['vad_agg']}), e AS (SELECT doc_id, {emo}, max(sd_score) FILTER (WHERE emotion = 'anger') AS anger_sd FROM ({out['pds_affect']}) GROUP BY doc_id), x AS (SELECT *, greatest(-1.0, least(1.0, d_mean * 2 - 1)) AS p, greatest(-1.0, least(1.0, -0.7 * (v_mean * 2 - 1) + 0.3 * (a_mean * 2 - 1))) AS g FROM v JOIN e USING (doc_id)) SELECT doc_id, p >= 0 AND g >= 0 AND (coalesce(anger, 0) > 0.75 OR coalesce(anger_sd, 0) > 0.4) AS escalation, p >= 0 AND g >= 0 AND coalesce(anger, 0) > 0.6 AND coalesce(disgust, 0) > 0.5 AS contempt, p < 0 AND g >= 0 AND coalesce(fear, 0) > 0.6 AND coalesce(anticipation, 0) > 0.6 AS paranoia FROM x"
+    out["lex_fallback"] = f"WITH lex AS ({out['lex_intensity']}), a AS (SELECT unnest(['de', 'es', 'en']) AS lang), b AS (SELECT a.lang, emotion, word FROM a JOIN lex ON lex.lang = CASE WHEN a.lang IN (SELECT lang FROM lex) THEN a.lang ELSE 'en' END) SELECT lang, emotion, count(*) AS words FROM b GROUP BY ALL"
+    cluster = "CASE " + " ".join(f"WHEN upper(substring(w, 1, 1)) IN ({quoted(tuple(of))}) THEN '{name}'" for name, of in lit.LETTER_CLUSTERS.items()) + " END"
+    out["lar_radar"] = f"WITH {TOK}, x AS (SELECT doc_id, unnest(w) AS w FROM tok), y AS (SELECT doc_id, {cluster} AS cluster FROM x WHERE w NOT IN ({fw})), n AS (SELECT doc_id, cluster, count(*) AS n FROM y WHERE cluster IS NOT NULL GROUP BY ALL) SELECT doc_id, cluster, round(100.0 * n / sum(n) OVER (PARTITION BY doc_id) + 1e-9, 1) AS percent FROM n"
+    out["lex_trend"] = f"WITH c AS ({out['lex_curve']}), d AS (SELECT doc_id, avg(ttr) FILTER (WHERE point > 4) - avg(ttr) FILTER (WHERE point <= 4) AS d, max(ttr) - min(ttr) AS s, count(*) AS n FROM c GROUP BY doc_id) SELECT doc_id, CASE WHEN d > 0.05 + 1e-9 THEN 'rising' WHEN d < -0.05 - 1e-9 THEN 'falling' ELSE 'stable' END AS trend, n >= 3 AND s > 0.25 + 1e-9 AS register_shift FROM d"
+    out["lex_label"] = f"SELECT doc_id, CASE WHEN mattr >= 0.75 THEN 'rich' WHEN mattr >= 0.5 THEN 'moderate' ELSE 'sparse' END AS label FROM ({out['nar_mattr']})"
+    found = f"SELECT DISTINCT 'd' || doc_id AS src, 'device_alliteration' AS dst, 'EXHIBITS_DEVICE' AS relation, 1.0::DOUBLE AS weight FROM ({out['rh_alliteration']}) UNION ALL SELECT DISTINCT 'd' || doc_id, 'device_anaphora', 'EXHIBITS_DEVICE', 1.0 FROM ({out['rh_anaphora']}) UNION ALL SELECT 'd' || doc_id, 'affect_' || emotion, 'HAS_AFFECT', mean_score FROM ({out['pds_affect']}) WHERE abs(mean_score) >= 0.05"
+    out["g_index_doc"] = f"{found} UNION ALL SELECT 'd' || doc_id, source, 'BELONGS_TO', 1.0 FROM documents WHERE source IS NOT NULL"
+    out["g_correlations"] = f"SELECT src, relation, count(DISTINCT dst) AS features FROM ({out['g_index_doc']}) GROUP BY ALL"
+    out["g_counts"] = f"SELECT type, count(*) AS nodes FROM (SELECT 'd' || doc_id AS id, 'Document' AS type FROM documents UNION SELECT source, 'Corpus' FROM documents WHERE source IS NOT NULL UNION SELECT dst, CASE relation WHEN 'HAS_AFFECT' THEN 'AffectNode' ELSE 'StylisticDevice' END FROM ({found})) GROUP BY type"
+    out["ent_records"] = "SELECT entity_id, count(DISTINCT doc_id) AS documents, round(least(1.0, count(DISTINCT doc_id) / 10) + 1e-9, 4) AS confidence FROM documents WHERE entity_id IS NOT NULL GROUP BY entity_id"
+    out["ent_ledger"] = "SELECT entity_id, trigger_type, algorithmic_conclusion AS conclusion, count(*) AS events, max(delta_score) AS worst FROM (SELECT DISTINCT event_id, request_id, trigger_type, algorithmic_conclusion, delta_score FROM dissonance_events) JOIN (SELECT DISTINCT request_id, entity_id FROM analysis_requests WHERE entity_id IS NOT NULL) USING (request_id) GROUP BY ALL"
     out["cmp_burrows"] = f"WITH r AS ({out['sty_funcwords']}), m AS (SELECT word, avg(rate) AS mu, stddev_samp(rate) AS sd FROM r GROUP BY word) SELECT doc_id, round(avg(abs((rate - mu) / sd)) + 1e-9, 6) AS delta FROM r JOIN m USING (word) WHERE sd > 0 GROUP BY doc_id"
     win_letters = f"WITH {WIN}, lt AS (SELECT doc_id, win_idx, letter, count(*) AS n FROM (SELECT doc_id, win_idx, unnest(string_split(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z]+', '', 'g'), '')) AS letter FROM win) WHERE letter <> '' GROUP BY ALL), ax AS ({out['micro_axes'].replace('SELECT doc_id,', 'SELECT doc_id, win_idx,', 1).replace(f'({latin})', 'lt').replace('GROUP BY doc_id', 'GROUP BY doc_id, win_idx')})"
     out["cmp_delta"] = f"{win_letters} SELECT count(*) AS windows, {', '.join(f'round(avg(abs(a.{v} - b.{v})) + 1e-9, 6) AS {v}' for v in ('anxiety', 'attention', 'emotion', 'agitation'))} FROM ax a JOIN ax b ON b.doc_id = a.doc_id + 1 AND b.win_idx = a.win_idx"

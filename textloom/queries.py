@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from textloom import oracle
 from textloom.functions import text as fx
-from textloom.operators import affect, baseline, compare, entropy, graph, literary, macro, micro, rejects, telemetry, wave, windows
+from textloom.operators import affect, baseline, compare, entity, entropy, graph, literary, macro, micro, rejects, telemetry, wave, windows
 from textloom.plans import analyze
 from textloom.sources import table
 
@@ -355,9 +355,44 @@ def pds_rotate(spark: SparkSession, folder: str) -> DataFrame:
     return affect.rotate(lex.agg(F.greatest(s["joy"], s["trust"]).alias("v"), F.greatest(s["anger"], s["surprise"]).alias("a"), F.greatest(s["disgust"], s["anticipation"]).alias("d")))
 
 
+def _vad_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    return pds_rotate(spark, folder).select("lang", "word", "v", "a", "d")
+
+
+@query
+def vad_agg(spark: SparkSession, folder: str) -> DataFrame:
+    return affect.valence(_tokens(spark, folder), _vad_lexicon(spark, folder), KEY)
+
+
+@query
+def pds_triggers(spark: SparkSession, folder: str) -> DataFrame:
+    return affect.triggers(vad_agg(spark, folder), pds_affect(spark, folder), KEY)
+
+
+@query
+def lex_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    lex = affect.intensity(rejects.loaded(table(spark, folder, "lexicon_raw")))
+    return affect.with_fallback(lex, ["de", "es", "en"]).groupBy("lang", "emotion").agg(F.count("*").alias("words"))
+
+
 # literary
 
 
+@query
+def lar_radar(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.letter_radar(docs(spark, folder), KEY)
+
+
+@query
+def lex_trend(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.progression(literary.curve(docs(spark, folder), KEY), KEY)
+
+
+@query
+def lex_label(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.moving_ttr(docs(spark, folder), KEY).select("doc_id", literary.richness_label(F.col("mattr")).alias("label"))
+
+
 @query
 def sty_ttr(spark: SparkSession, folder: str) -> DataFrame:
     return literary.variety(docs(spark, folder), KEY)
@@ -532,6 +567,39 @@ def g_bfs(spark: SparkSession, folder: str) -> DataFrame:
     return graph.reach(nodes, edges, [start] if start else [], 2).select("src", "dst") if start else edges.select("src", "dst").limit(0)
 
 
+def _features(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    d = docs(spark, folder, "source").select(F.concat(F.lit("d"), "doc_id").alias("doc"), F.col("source").alias("corpus"))
+    device = F.concat(F.lit("d"), "doc_id").alias("doc")
+    found = literary.alliteration(docs(spark, folder), KEY).select(device, F.lit("device_alliteration").alias("node")).distinct().unionAll(literary.repetition(docs(spark, folder), KEY).select(device, F.lit("device_anaphora")).distinct())
+    feelings = pds_affect(spark, folder).select(device, F.concat(F.lit("affect_"), "emotion").alias("node"), F.lit("AffectNode").alias("kind"), F.lit("HAS_AFFECT").alias("relation"), F.col("mean_score").alias("weight"))
+    return d, found.select("doc", "node", F.lit("StylisticDevice").alias("kind"), F.lit("EXHIBITS_DEVICE").alias("relation"), F.lit(1.0).alias("weight")).unionAll(feelings)
+
+
+@query
+def g_index_doc(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.index(*_features(spark, folder))[1]
+
+
+@query
+def g_correlations(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.degrees(graph.index(*_features(spark, folder))[1])
+
+
+@query
+def g_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.index(*_features(spark, folder))[0].groupBy("type").agg(F.count("*").alias("nodes"))
+
+
+@query
+def ent_records(spark: SparkSession, folder: str) -> DataFrame:
+    return entity.records(table(spark, folder, "documents", "doc_id", "entity_id"))
+
+
+@query
+def ent_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return entity.ledger(table(spark, folder, "dissonance_events"), table(spark, folder, "analysis_requests", "request_id", "entity_id"))
+
+
 # comparison
 
 
