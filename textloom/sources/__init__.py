@@ -25,3 +25,9 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 def with_text(df: DataFrame, column: str = "text") -> DataFrame:
     """Only rows with a text; null and empty texts have no content to work on."""
     return df.filter(F.length(column) > 0)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, if it comes in fewer parts than there are cores (a few small files before dear work)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
