@@ -16,7 +16,7 @@ from textloom.llm import pii as p10
 from textloom.llm import quality as p5
 from textloom.llm import reading as p3
 from textloom.llm import sentences as p2
-from textloom.sources import requests, table
+from textloom.sources import requests, spread, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,27 +54,27 @@ def p3_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4.restore(requests(spark, folder)).filter("garbled").select("request_id").distinct()
+    return p4.restore(spread(requests(spark, folder))).filter("garbled").select("request_id").distinct()
 
 
 def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
-    return p4.restore(requests(spark, folder)).filter("garbled").select("request_id", F.col("restored").alias("text")).distinct()
+    return p4.restore(spread(requests(spark, folder))).filter("garbled").select("request_id", F.col("restored").alias("text")).distinct()
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p5.shapes(requests(spark, folder)).filter("text_shape != 'prose'").select("request_id", "text_shape").distinct()
+    return p5.shapes(spread(requests(spark, folder))).filter("text_shape != 'prose'").select("request_id", "text_shape").distinct()
 
 
 def p5_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return p5.shapes(requests(spark, folder)).distinct()
+    return p5.shapes(spread(requests(spark, folder))).distinct()
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p7.wrong_labels(requests(spark, folder, "request_id", "text", "language_code"))
+    return p7.wrong_labels(spread(requests(spark, folder, "request_id", "text", "language_code")))
 
 
 def p7_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return p7.segments(requests(spark, folder, "request_id", "text", "language_code")).distinct()
+    return p7.segments(spread(requests(spark, folder, "request_id", "text", "language_code"))).distinct()
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
