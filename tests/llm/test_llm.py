@@ -180,6 +180,15 @@ def test_restore_frame(spark):
     assert got[n].restored == "Le café était fermé." and got[n + 1].restored is None
 
 
+@pytest.mark.parametrize(("right", "wrong"), [("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("gbk", "cp1251")])
+def test_a_resent_garbled_text_is_found(spark, right, wrong):
+    clean = [CLEAN[2], "Письмо рассмотрел совет, но письмо вернули.", "Вернули письмо в совет утром.", "Утром совет рассмотрел письмо.", CLEAN[3], "委员会没有回答这件事。没有证据。", "没有证据表明委员会。"]
+    text = clean[5] if right == "gbk" else "Утром совет вернули письмо, совет рассмотрел."
+    bad = text.encode(right, "ignore").decode(wrong, "ignore")
+    got = [r for r in garbled.restore(frame(spark, *clean, *[bad] * 30)).collect() if r.garbled]
+    assert {r.request_id for r in got} == set(range(len(clean), len(clean) + 30)) and {r.restored for r in got} == {text}
+
+
 # problem 5
 
 

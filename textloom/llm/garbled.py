@@ -124,11 +124,18 @@ for _c, (_w, _r) in enumerate(CHANNELS):
     BY_READER.setdefault(_w, []).append((_c, _r))
 
 
+class Vocabulary(dict[str, int]):
+    """Units with their counts; `single` are those that one text alone uses, however often it is there."""
+
+    single: frozenset[str] = frozenset()
+
+
 class Model:
     """The channel model over given unit counts."""
 
     def __init__(self, counts: dict[str, int]) -> None:
         self.log: dict[str, float] = {}
+        self.single = getattr(counts, "single", frozenset())
         total = sum(counts.values()) or 1
         for u, n in counts.items():
             self.log[u] = math.log(n / total)
@@ -136,8 +143,7 @@ class Model:
         for u in counts:
             if not u.isascii() and len(u) > 1 and (key := re.sub(r"[^\x00-\x7f]", "", u)):
                 self.by_ascii.setdefault(key, []).append(u)
-        odd = [n for u, n in counts.items() if not u.isascii() and u[0].isalpha()]
-        self.typical = sum(n * math.log(n / total) for n in odd) / (sum(odd) or 1)
+        self.top = max((p * (0.6 if IDEOGRAPH.match(u) else 1.0) for u, p in self.log.items() if len(u) > 1 and not u.isascii() and u[0].isalpha()), default=-math.inf)
         seen: Counter[str] = Counter()
         for u, n in counts.items():
             for ch in set(u):
@@ -145,11 +151,14 @@ class Model:
         self.characters = {ch for ch, n in seen.items() if n >= 5} | TYPOGRAPHIC
         self.candidates = lru_cache(100_000)(self._candidates)
 
-    def score(self, text: str) -> tuple[float, int, int]:
-        """Log probability; how many of the characters in words outside ASCII stand in known words; how many there are."""
+    def score(self, text: str, own: bool = False) -> tuple[float, int, int]:
+        """Log probability; how many of the characters in words outside ASCII stand in known words; how many there are.
+
+        own: the text stands there as it is, so that units of one text alone are its own and tell nothing of it.
+        """
         total, known, n = 0.0, 0, 0
         for u in units(text):
-            p = self.log.get(u)
+            p = None if own and not u.isascii() and u in self.single else self.log.get(u)
             if u[0] == "�":
                 total -= 6.0
             elif not u[0].isalpha():
@@ -164,23 +173,28 @@ class Model:
                     known += len(u) if met else 0
         return total - 4.0 * sum(1 for c in text if "\x80" <= c < "\xa0"), known, n
 
+    @staticmethod
+    def _asked(w: str, base: float) -> float:
+        """The gain that a reading needs, by a channel other than right UTF-8, where the piece's own words are known."""
+        return max(6.0, -(0.3 if w in DOUBLE else 0.15) * base)
+
     def _candidates(self, piece: str) -> list[tuple[float, str, int]]:
         """(gain over the piece as it is, reading, channel), the best readings first."""
         if 4 * sum(map(str.isalpha, piece)) < sum(1 for ch in piece if ord(ch) > 127) and not any(ch in TYPOGRAPHIC or ch.isalpha() for ch in piece if ord(ch) > 127):
             return []  # signs alone, no trace of a letter
-        base, base_known, base_n = max(self.score(piece), self.score(transducer().canonical(piece)))  # disguise isn't damage
+        base, base_known, base_n = max(self.score(piece, True), self.score(transducer().canonical(piece), True))  # disguise isn't damage
         seen = {piece}
         out = []
-        own = [self.log.get(u) for u in units(piece) if not u.isascii() and u[0].isalpha() and len(u) > 1]
-        # words as common as the corpus's words usually are were hardly made by a wrong decoding: only right UTF-8 could tell otherwise
-        usual = bool(own) and None not in own and sum(own) / len(own) > self.typical - 2.0
+        # a reading by such a channel has a known word, so it scores no more than the corpus's likeliest: is what is asked of it within reach?
+        reach = self.top - base if base_known > 0.5 * base_n else math.inf
         readings = []
         for w, of in BY_READER.items():
-            if usual and w in DOUBLE:
+            within = reach >= self._asked(w, base)
+            if not within and w in DOUBLE:
                 continue
             raw = _raw(piece, w)
             if raw is not None:
-                readings += [(c, w, r, raw) for c, r in of if r == "utf-8" or not usual]
+                readings += [(c, w, r, raw) for c, r in of if r == "utf-8" or within]
         for c, w, r, raw in sorted(readings):
             text = self._lattice(piece, w, raw) if r == "utf-8" and w in LOST and "�" in piece else _read(raw, r)
             if text is None or text in seen:
@@ -200,7 +214,7 @@ class Model:
                 odd = [ch for ch in text if ord(ch) > 127]
                 if n and known < 0.3 * n or all(ch.isspace() for ch in odd) or not self.characters.issuperset(odd):
                     continue
-            elif n < 3 or known < 0.6 * n or (base_known > 0.5 * base_n and gain < max(6.0, -(0.3 if w in DOUBLE else 0.15) * base)):
+            elif n < 3 or known < 0.6 * n or (base_known > 0.5 * base_n and gain < self._asked(w, base)):
                 continue
             elif any((x := _invert(text, v, "utf-8")) is not None and "�" not in x for v in SINGLE):
                 continue  # a reading that is garbled itself
@@ -282,24 +296,37 @@ class Model:
 
 
 def unit_counts(df: DataFrame, column: str = "text") -> DataFrame:
-    """unit, n over all texts; counted per batch first, so that only distinct units are shuffled."""
+    """unit, n over all texts, and how many texts use it; counted per batch first, so that only distinct units are shuffled.
+
+    A text that is there k times counts 1 + log2(k) times: a damaged text that is resent often doesn't make its damage usual.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             c: Counter[str] = Counter()
-            for t in b[column]:
-                if t:
-                    c.update(units(t))
+            of: Counter[str] = Counter()
+            for t, k in zip(b[column], b["copies"], strict=True):
+                for u, n in Counter(units(t)).items():
+                    c[u] += n * (1.0 + math.log2(k))
+                    of[u] += 1
             if c:
-                yield pd.DataFrame({"unit": list(c), "n": list(c.values())})
+                yield pd.DataFrame({"unit": list(c), "n": list(c.values()), "texts": [of[u] for u in c]})
 
-    return df.select(column).mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    texts = df.filter(F.length(column) > 0).groupBy(column).agg(F.count("*").alias("copies"))
+    units_of = texts.mapInPandas(count, "unit string, n double, texts long")
+    return units_of.groupBy("unit").agg(F.round(F.sum("n")).cast("long").alias("n"), F.sum("texts").alias("texts"))
 
 
-def vocabulary(df: DataFrame, column: str = "text", size: int = VOCABULARY) -> dict[str, int]:
-    """The `size` most frequent units (at least two uses) with their counts over all rows."""
+def vocabulary(df: DataFrame, column: str = "text", size: int = VOCABULARY) -> Vocabulary:
+    """The `size` most frequent units (at least two uses) with their counts over all texts, repeats damped."""
     top = unit_counts(df, column).filter("n > 1").orderBy(F.desc("n"), "unit").limit(size)
-    return {r["unit"]: r["n"] for r in top.toLocalIterator()}
+    out, single = Vocabulary(), set()
+    for r in top.toLocalIterator():
+        out[r["unit"]] = r["n"]
+        if r["texts"] == 1:
+            single.add(r["unit"])
+    out.single = frozenset(single)
+    return out
 
 
 def restore(df: DataFrame, key: str = "request_id", column: str = "text", size: int = VOCABULARY) -> DataFrame:
