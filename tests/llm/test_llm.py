@@ -364,6 +364,21 @@ def test_pii_frame(spark):
     assert red[1000] is None and red[1001] == "" and "<PHONE> and ask for <NAME>; it rained." in red[0]
 
 
+def test_names_met_once_and_rare_name_words(spark, monkeypatch, tmp_path):
+    first, last = ["Ada", "Brix", "Cora", "Dario", "Edna"], ["Quillmoor", "Varnstead", "Oldenby", "Prendal", "Sutherwick"]
+    docs = [(k, f"We met. Signed: {first[k % 5]} {last[k // 5 % 5]}\nThen {last[k % 5]}, {first[k // 5 % 5]} said no.") for k in range(100)]
+    docs += [(200, "It rained; please ask for Rémi Chastellin; he knows."), (201, "请联系上官霁川，谢谢。"), (202, "They write to Mr Otto Wexlund, they said.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    text = dict(docs)
+    whole = sorted(tuple(r) for r in pii.spans(df).collect())
+    got = {k: text[k][a:b] for k, a, b, _ in whole}
+    assert (got.get(200), got.get(201), got.get(202)) == ("Rémi Chastellin", "上官霁川", "Otto Wexlund") and len(whole) == 203
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    monkeypatch.setattr(pii, "GAZETTEER", 4)  # rarer name words are known all the same
+    assert sorted(tuple(r) for r in pii.spans(df).collect()) == whole
+    assert pii.redact(df).filter("doc_id = 200").first().redacted == "It rained; please ask for <NAME>; he knows."
+
+
 def test_reliability_learns_the_bad_labeler():
     import numpy as np
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.sentences import _clean
+from textloom.session import checkpoint
 
 #: Documents, about, (drawn by hash of their id) on whose candidates reliabilities and classifier are fitted.
 FIT_DOCS = 4_000
-#: Name words that the gazetteer holds at most (the most frequent); bounds what is broadcast.
+#: Name words that are broadcast at once; rarer ones are looked up in the texts block by block, and joined back.
 GAZETTEER = 200_000
 #: Mentions after a context word that make a word a name.
 MENTIONS = 2
@@ -177,7 +178,8 @@ def mentions(text: str) -> list[str]:
 class Finder:
     """Candidates with their votes, given the gazetteer (word -> number of mentions)."""
 
-    def __init__(self, gazetteer: dict[str, int]) -> None:
+    def __init__(self, gazetteer: Iterable[str], base: Finder | None = None) -> None:
+        self.base = base
         self.words = {w for w in gazetteer if w[0] != "="}
         whole = {w[1:] for w in gazetteer if w[0] == "="}
         table: dict[str, tuple] = {}
@@ -189,6 +191,25 @@ class Finder:
             table[w] = ("whole",)
         self.names = _automaton(table)
 
+    def known(self, word: str) -> bool:
+        return word in self.words or self.base is not None and self.base.known(word)
+
+    def hits(self, text: str) -> list[tuple[int, tuple[int, tuple]]]:
+        """Places of the gazetteer's words, by their ends."""
+        own = list(self.names.iter(text)) if self.names is not None else []
+        return sorted({*own, *self.base.hits(text)}) if self.base is not None else own
+
+    def met(self, text: str) -> set[str]:
+        """The words of the gazetteer (whole names with =) that a text may hold."""
+        out = {w for m in WORD.finditer(text) if (w := m.group().casefold()) in self.words}
+        for end, (n, kind) in self.hits(text):
+            form = text[end - n + 1 : end + 1]
+            if kind[0] == "whole":
+                out.add(f"={form}")
+            elif form.casefold() in self.words and not text[end + 1 : end + 2].isalnum():
+                out.add(form.casefold())
+        return out
+
     def candidates(self, text: str) -> list[tuple[int, int, str, tuple[int, ...]]]:
         """(start, end, type, votes 1 / 0 / -1 for abstains)."""
         out: list[tuple[int, int, str, tuple[int, ...]]] = []
@@ -334,32 +355,31 @@ class Finder:
 
     def _persons(self, text: str, cues) -> list[tuple[int, int, str, tuple[int, ...]]]:  # noqa: ANN001
         found: dict[tuple[int, int], list[int]] = {}
-        if self.names is not None:
-            last = -1
-            for end, (n, kind) in self.names.iter(text):
-                s, e = end - n + 1, end + 1
-                if kind[0] == "whole":
-                    if IDEOGRAPHIC.match(text[s]) or not (text[s - 1 : s].isalpha() or text[e : e + 1].isalpha()):
-                        found[s, e] = [1, 1, -1]
-                    continue
-                if s < last or text[e : e + 1].isalnum() or (s > 0 and (text[s - 1].isalnum() or text[s - 1] in "@._+-")) or text[e : e + 1] in ("@", "_", "＠"):
-                    continue
-                got = self._expand(text, s, e)
-                if got:
-                    a, b, known = got
-                    found[a, b] = [1, int(known > 1), -1]
-                    last = b
-        hits = cues() if "open" in self._quick(text) or found else {}
+        last = -1
+        for end, (n, kind) in self.hits(text):
+            s, e = end - n + 1, end + 1
+            if kind[0] == "whole":
+                if IDEOGRAPHIC.match(text[s]) or not (text[s - 1 : s].isalpha() or text[e : e + 1].isalpha()):
+                    found[s, e] = [1, 1, -1]
+                continue
+            if s < last or text[e : e + 1].isalnum() or (s > 0 and (text[s - 1].isalnum() or text[s - 1] in "@._+-")) or text[e : e + 1] in ("@", "_", "＠"):
+                continue
+            got = self._expand(text, s, e)
+            if got:
+                a, b, known = got
+                found[a, b] = [1, int(known > 1), -1]
+                last = b
+        hits = cues()
         if hits:
-            for a, b in _open_names(text, hits.get("open", [])):
-                found.setdefault((a, b), [0, 0, 1])[2] = 1
+            for a, b in _open_names(text, hits.get("open", [])) if self._quick(text) or found else ():
+                found.setdefault((a, b), [-1, -1, 1])[2] = 1
+            starts = {s for s, _ in hits.get("name", ())}
             for _, e in hits.get("name", ()):
-                m = _FULL.match(text, e)
+                m = _FULL.match(text, e) if e not in starts else None  # "write to Mr ": the name stands after the last
                 if m and "\n" not in m.group():
-                    known = [w for w in re.split(r"[ ,]+", m.group()) if w.casefold() in self.words]
+                    known = [w for w in re.split(r"[ ,]+", m.group()) if self.known(w.casefold())]
                     if (m.start(), m.end()) not in found and not any(x < m.end() and m.start() < y for x, y in found):
-                        if known:
-                            found[m.start(), m.end()] = [1, int(len(known) > 1), 1]
+                        found[m.start(), m.end()] = [1, int(len(known) > 1), 1] if known else [-1, -1, 1]  # a name that the gazetteer hasn't met: it abstains
                     elif (m.start(), m.end()) in found:
                         found[m.start(), m.end()][2] = 1
         return [(a, b, "name", (v[0], v[1], v[2], 1)) for (a, b), v in found.items()]
@@ -384,7 +404,7 @@ class Finder:
             return None
 
         def name_word(w: str) -> int:
-            return 1 if w.casefold() in self.words and w[0].isupper() or w[:2] in ("d'", "d’") and w.casefold() in self.words else 2 if re.fullmatch(INITIAL, w) else 0
+            return 1 if (w[0].isupper() or w[:2] in ("d'", "d’")) and self.known(w.casefold()) else 2 if re.fullmatch(INITIAL, w) else 0
 
         a, b, known, initials = s, e, 1, 0
         for _ in range(2):
@@ -505,8 +525,8 @@ class Tagger:
         return "".join((*out, text[at:]))
 
 
-def gather_names(df: DataFrame, column: str = "text", size: int = GAZETTEER) -> dict[str, int]:
-    """Name words (and, marked with =, whole names of scripts without capitals) with their mentions over all rows."""
+def name_words(df: DataFrame, column: str = "text") -> DataFrame:
+    """w, n: name words (and, marked with =, whole names of scripts without capitals) with their mentions over all rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -518,8 +538,35 @@ def gather_names(df: DataFrame, column: str = "text", size: int = GAZETTEER) ->
             if c:
                 yield pd.DataFrame({"w": list(c), "n": list(c.values())})
 
-    top = df.select(column).mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") >= MENTIONS)
-    return {r["w"]: r["n"] for r in top.orderBy(F.desc("n"), "w").limit(size).toLocalIterator()}
+    return df.select(column).mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") >= MENTIONS)
+
+
+def gather_names(df: DataFrame, column: str = "text", size: int | None = None) -> dict[str, int]:
+    """The `size` most frequent name words (GAZETTEER), and one more if there are rarer ones."""
+    top = name_words(df, column).orderBy(F.desc("n"), "w").limit((size or GAZETTEER) + 1)
+    return {r["w"]: r["n"] for r in top.toLocalIterator()}
+
+
+def rare_names(df: DataFrame, key: str, column: str, size: int) -> DataFrame:
+    """key, `rare`: the name words that a text holds, out of all of them, looked up in blocks of about `size`."""
+    names = checkpoint(name_words(df, column).select("w"))
+    blocks = -(-names.count() // size)
+    kind = df.schema[key].dataType.simpleString()
+    out = None
+    for k in range(blocks):
+        words = [r["w"] for r in names.filter(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k).toLocalIterator()]
+        shared = df.sparkSession.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            finder = Finder(shared.value)
+            for b in batches:
+                rows = [(i, w) for i, t in zip(b[key], b[column], strict=True) if t for w in sorted(finder.met(_clean(t)[0]))]
+                if rows:
+                    yield pd.DataFrame(rows, columns=[key, "w"])
+
+        part = df.select(key, column).mapInPandas(run, f"{key} {kind}, w string")
+        out = part if out is None else out.unionAll(part)
+    return out.groupBy(key).agg(F.collect_set("w").alias("rare"))
 
 
 def fit(df: DataFrame, key: str = "doc_id", column: str = "text") -> tuple[dict[str, int], SpanClassifier]:
@@ -533,31 +580,47 @@ def fit(df: DataFrame, key: str = "doc_id", column: str = "text") -> tuple[dict[
     return names, SpanClassifier(sample)
 
 
-def spans(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """One row per mention: key, start_char, end_char, pii_type."""
-    shared = df.sparkSession.sparkContext.broadcast(fit(df, key, column))
-    kind = df.schema[key].dataType.simpleString()
+def _tag(df: DataFrame, key: str, column: str, schema: str, rows: Callable[[Tagger, pd.DataFrame], pd.DataFrame | None]) -> DataFrame:
+    """What `rows` makes of the texts, with a tagger that knows all name words that stand in them."""
+    names, classifier = fit(df, key, column)
+    shared = df.sparkSession.sparkContext.broadcast((names, classifier))
+    texts = df.select(key, column)
+    if len(names) > GAZETTEER:
+        texts = texts.join(rare_names(df, key, column, GAZETTEER), key, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, classifier = shared.value
-        tagger = Tagger(Finder(names), classifier)
+        finder = Finder(names)
+        tagger = Tagger(finder, classifier)
         for b in batches:
-            out = [(k, *x) for k, t in zip(b[key], b[column], strict=True) if t for x in tagger.spans(t)]
-            if out:
-                yield pd.DataFrame(out, columns=[key, "start_char", "end_char", "pii_type"])
+            if "rare" not in b:
+                parts = [rows(tagger, b)]
+            else:
+                parts = []
+                for k, rare in enumerate(b["rare"]):
+                    more = [] if rare is None else [w for w in rare if w not in names]
+                    parts.append(rows(Tagger(Finder(more, finder), classifier) if more else tagger, b.iloc[k : k + 1]))
+            yield from (p for p in parts if p is not None)
+
+    return texts.mapInPandas(run, schema)
+
+
+def spans(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """One row per mention: key, start_char, end_char, pii_type."""
 
-    return df.select(key, column).mapInPandas(run, f"{key} {kind}, start_char long, end_char long, pii_type string")
+    def rows(tagger: Tagger, b: pd.DataFrame) -> pd.DataFrame | None:
+        out = [(k, *x) for k, t in zip(b[key], b[column], strict=True) if t for x in tagger.spans(t)]
+        return pd.DataFrame(out, columns=[key, "start_char", "end_char", "pii_type"]) if out else None
+
+    kind = df.schema[key].dataType.simpleString()
+    return _tag(df, key, column, f"{key} {kind}, start_char long, end_char long, pii_type string", rows)
 
 
 def redact(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key and the text with placeholders <EMAIL>, <PHONE>, <ID_NUMBER>, <ADDRESS>, <NAME>; null stays null."""
-    shared = df.sparkSession.sparkContext.broadcast(fit(df, key, column))
-    kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, classifier = shared.value
-        tagger = Tagger(Finder(names), classifier)
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "redacted": [tagger.redact(t) if isinstance(t, str) else None for t in b[column]]})
+    def rows(tagger: Tagger, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: b[key], "redacted": [tagger.redact(t) if isinstance(t, str) else None for t in b[column]]})
 
-    return df.select(key, column).mapInPandas(run, f"{key} {kind}, redacted string")
+    kind = df.schema[key].dataType.simpleString()
+    return _tag(df, key, column, f"{key} {kind}, redacted string", rows)
