@@ -241,6 +241,16 @@ def test_alphabets():
     assert micro.word_score("BT", micro.FR) == 7 * 1.5
 
 
+def test_stroke_table(spark):
+    from textloom.queries import STROKES
+
+    strokes = dict(STROKES)
+    assert len(strokes) == len(STROKES) == 309  # the reference's ideographs, each once
+    assert (strokes["露"], strokes["藏"], strokes["现"], strokes["力"]) == (21, 17, 8, 2)
+    got = micro.stroke_axes(docs(spark, "力力!", "藏龘"), spark.createDataFrame(STROKES, "ch string, n int"), ["doc_id"]).collect()
+    assert {r.doc_id: r.intensity for r in got} == {0: 16.0, 1: 100.0}
+
+
 def test_plan(spark):
     from textloom.plans import analyze
 

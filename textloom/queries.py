@@ -216,8 +216,28 @@ def micro_ja(spark: SparkSession, folder: str) -> DataFrame:
     return micro.script_axes(docs(spark, folder), KEY)
 
 
-#: A few ideographs with their strokes; a full table is a parameter.
-STROKES = [("一", 1), ("二", 2), ("三", 3), ("的", 8), ("了", 2), ("在", 6), ("不", 4), ("人", 2), ("大", 3), ("会", 6), ("是", 9), ("和", 8), ("年", 6), ("日", 4), ("月", 4)]
+# Ideographs by their strokes, as the reference counts them.
+_STROKES = {
+    1: "一",
+    2: "二七八九十了人力",
+    3: "三千万亿也与口山川土大小上下",
+    4: "五六元不从比为以月日分今手心木火水风云天长少中内开支止公文",
+    5: "四他它们让叫对可目头皮石旧东北左右外市民厅写去用出打发令示布业击乐",
+    6: "百在她那有向而如年后早过耳血肉江地多好西军会吃买关回问权导压字网传产争守",
+    7: "我你这没把但时足体身花低坏快冷里间县局听走来进找批报声财攻防兵忧",
+    8: "的和或到所周明现空金雨林河软国府官法委卖知使放取命制治服表泄话述经易贫武怕苦怀念",
+    9: "是将秒昨前草树重轻南省室政律院说看给带度则指统查封信音济贸战炸怒盼",
+    10: "被脸骨脑海高弱热旁家党读监配准秘透息钱资核爱恨恐恶",
+    11: "都晚眼雪强部做得规控理许隐密盖叙描银望",
+    12: "湖短硬喝挥属掩揭堵媒富税款悲喜痛善",
+    13: "腿新署想督禁暗愁",
+    14: "鼻慢领管语",
+    15: "审影播敌",
+    16: "器",
+    17: "臂藏讲",
+    21: "露",
+}
+STROKES = [(ch, n) for n, chars in _STROKES.items() for ch in chars]
 
 
 @query
