@@ -251,6 +251,22 @@ def test_stroke_table(spark):
     assert {r.doc_id: r.intensity for r in got} == {0: 16.0, 1: 100.0}
 
 
+def test_literary_lists_by_language(spark):
+    k = ["doc_id"]
+    de = docs(spark, "Laut Studien belegt die Analyse den Nachweis. Warum schweigt man? Er kam und sah und ging und blieb.", "Er ist so schnell wie ein Pfeil.")
+    fr = docs(spark, "Selon les études, la preuve est donc là. Pourquoi faut-il attendre ?", "Il est aussi rapide que le vent.")
+    en = docs(spark, "Research shows this. The survey confirms and suggests it. It was utterly devastating.")
+    score = {r.sent: (r.logos, r.ethos, r.pathos) for r in literary.arguments(en, k).collect()}
+    assert score == {0: (4, 2, 0), 1: (3, 0, 0), 2: (0, 0, 2)}
+    assert [r.dominant for r in literary.arguments(de, k, language="DE").collect()] == ["logos"] and literary.arguments(de, k).count() == 0
+    assert literary.arguments(fr, k, language="FR").count() == 1
+    assert [r.sent for r in literary.questions(de, k, language="DE").collect()] == [1] and literary.questions(fr, k, language="FR").count() == 1
+    assert [(r.conjunction, r.n) for r in literary.polysyndeton(de, k, language="DE").collect()] == [("und", 3)]
+    assert [r.doc_id for r in literary.by_pattern(de, k, literary.LISTS["DE"]["simile"]).collect()] == [1]
+    assert [r.doc_id for r in literary.by_pattern(fr, k, literary.LISTS["FR"]["simile"]).collect()] == [1]
+    assert {"die", "den"} <= {r.word for r in literary.function_words(de, k, language="DE").collect()}
+
+
 def test_plan(spark):
     from textloom.plans import analyze
 

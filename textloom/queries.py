@@ -538,6 +538,33 @@ def rh_litotes(spark: SparkSession, folder: str) -> DataFrame:
     return literary.litotes(docs(spark, folder), KEY)
 
 
+def _literary(f: Callable[[DataFrame, str], DataFrame], language: str) -> Query:
+    return lambda spark, folder: f(docs(spark, folder, "lang").filter(F.lower("lang") == language), language.upper())
+
+
+# the English lists run on all documents; the other languages' on their own
+_LITERARY = {
+    "sty_funcwords": lambda d, la: literary.function_words(d, KEY, language=la),
+    "cmp_burrows": lambda d, la: compare.burrows(literary.function_words(d, KEY, language=la), "doc_id"),
+    "arg_score": lambda d, la: literary.arguments(d, KEY, language=la),
+    "arg_ratios": lambda d, la: literary.argument_ratios(literary.arguments(d, KEY, language=la), KEY),
+    "rh_alliteration": lambda d, la: literary.alliteration(d, KEY, language=la),
+    "rh_assonance": lambda d, la: literary.assonance(d, KEY, language=la),
+    "rh_anaphora": lambda d, la: literary.repetition(d, KEY, language=la),
+    "rh_epistrophe": lambda d, la: literary.repetition(d, KEY, end=True, language=la),
+    "rh_polysyndeton": lambda d, la: literary.polysyndeton(d, KEY, language=la),
+    "rh_asyndeton": lambda d, la: literary.asyndeton(d, KEY, language=la),
+    "rh_question": lambda d, la: literary.questions(d, KEY, language=la),
+    "rh_antithesis": lambda d, la: literary.antithesis(d, KEY, language=la),
+    "rh_simile": lambda d, la: literary.by_pattern(d, KEY, literary.LISTS[la]["simile"]),
+}
+for _language in ("de", "fr"):
+    for _name, _measure in _LITERARY.items():
+        _f = _literary(_measure, _language)
+        _f.__name__ = f"{_name}_{_language}"
+        query(_f)
+
+
 # graph
 
 
