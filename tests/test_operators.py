@@ -267,6 +267,24 @@ def test_literary_lists_by_language(spark):
     assert {"die", "den"} <= {r.word for r in literary.function_words(de, k, language="DE").collect()}
 
 
+def test_graph_over_all_letters(spark):
+    from textloom import queries
+
+    folder = "/root/testdata/sf0.001"
+    d = queries.docs(spark, folder, "source").filter(F.col("source").isin("wire_dispatch", "op_ed"))
+    letters = {r.doc_id: {} for r in d.collect()}
+    for r in telemetry.latin_letters(d, ["doc_id"]).groupBy("doc_id", "letter").agg(F.sum("n").alias("n")).collect():
+        letters[r.doc_id][r.letter] = r.n
+    want = {}
+    for of in letters.values():
+        for i, a in of.items():
+            for j, b in of.items():
+                want[i, j] = want.get((i, j), 0.0) + a * b
+    got = {(r.i, r.j): r.value for r in queries.queries()["g_cooc_all"](spark, folder).collect()}
+    assert got == want and len({i for i, _ in got}) > 7
+    assert queries.queries()["g_divergence_all"](spark, folder).count() == len(got)
+
+
 def test_plan(spark):
     from textloom.plans import analyze
 

@@ -568,10 +568,11 @@ for _language in ("de", "fr"):
 # graph
 
 
-def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with some letters as features and their sources as corpora."""
+def _edges(spark: SparkSession, folder: str, only: str | None = "BKMQWXZ") -> DataFrame:
+    """Documents with letters (some, or all) as features and their sources as corpora."""
     d = docs(spark, folder, "source")
-    letters = telemetry.latin_letters(d, KEY).filter(F.col("letter").isin(*"BKMQWXZ"))
+    letters = telemetry.latin_letters(d, KEY)
+    letters = letters.filter(F.col("letter").isin(*only)) if only else letters
     features = letters.select(F.concat(F.lit("d"), "doc_id").alias("src"), F.col("letter").alias("dst"), F.lit("CO_OCCURS_WITH").alias("relation"), F.col("n").cast("double").alias("weight"))
     member = d.select(F.concat(F.lit("d"), "doc_id").alias("src"), F.coalesce("source", F.lit("none")).alias("dst"), F.lit("BELONGS_TO").alias("relation"), F.lit(1.0).alias("weight"))
     return features.unionAll(member)
@@ -603,6 +604,39 @@ def g_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(graph.divergence(graph.corpus_matrix(e, ["op_ed"]), graph.corpus_matrix(e, ["letters"])), 6, "value")
 
 
+#: All letters, and the largest source among the corpora; the five queries above have the SQL's seven letters.
+CORPORA = ["wire_dispatch", "op_ed"]
+
+
+def _whole(spark: SparkSession, folder: str, corpora: list[str] = CORPORA) -> DataFrame:
+    return graph.corpus_matrix(_edges(spark, folder, None), corpora)
+
+
+@query
+def g_cooc_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _whole(spark, folder)
+
+
+@query
+def g_laplacian_all(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.laplacian(_whole(spark, folder))
+
+
+@query
+def g_spectrum_all(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.spectrum(graph.laplacian(_whole(spark, folder)))
+
+
+@query
+def g_jaccard_all(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(graph.jaccard(_whole(spark, folder)), 6, "value")
+
+
+@query
+def g_divergence_all(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(graph.divergence(_whole(spark, folder, CORPORA[:1]), _whole(spark, folder, CORPORA[1:])), 6, "value")
+
+
 @query
 def g_bfs(spark: SparkSession, folder: str) -> DataFrame:
     """From the first entity to its sources, and from these to their entities."""
