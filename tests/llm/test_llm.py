@@ -219,6 +219,20 @@ def test_shapes_frame(spark):
     assert len(got) == len(texts) - 1 and got[len(texts) - 1] == "prose" and got[0] == "prose"
 
 
+def test_a_hot_text_fills_no_training_places(spark, monkeypatch):
+    texts = [f"- the old mill\n- a brass key {k}\n- two maps\n- a letter" for k in range(6)]
+    hot = max(texts, key=lambda t: -spark.sql("SELECT xxhash64(:t) AS h", {"t": t}).first().h)  # drawn first
+    seen = []
+    real = quality.train
+    monkeypatch.setattr(quality, "train", lambda sample, common: seen.extend(sample) or real(sample, common))
+    monkeypatch.setattr(quality, "TRAIN_TEXTS", 6)
+    quality.shapes(frame(spark, *texts, *[hot] * 20)).count()
+    assert len([v for _, v in seen if v == 1]) == len(texts)
+    seen.clear()
+    quality.shapes(frame(spark, *[hot] * 20)).count()
+    assert len([v for _, v in seen if v == 1]) == 1
+
+
 # problem 7
 
 

@@ -328,7 +328,7 @@ def shapes(df: DataFrame, key: str = "request_id", column: str = "text") -> Data
             yield pd.DataFrame({"h": b["h"], "stats": stats, "label": [weak_label(s) for s in stats]})
 
     every = max(1, rows.count())
-    drawn = rows.select(F.xxhash64(column).alias("h"), column).filter(F.pmod("h", F.lit(every)) < FIT_ROWS)
+    drawn = rows.select(F.xxhash64(column).alias("h"), column).filter(F.pmod("h", F.lit(every)) < FIT_ROWS).dropDuplicates(["h"])
     weak = drawn.mapInPandas(measure, "h long, stats array<double>, label int").filter("label >= 0")
     rank = F.row_number().over(W.partitionBy("label").orderBy("h", "stats"))
     sample = weak.withColumn("n", rank).filter(F.col("n") <= TRAIN_TEXTS).orderBy("label", "n").collect()
