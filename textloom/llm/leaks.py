@@ -1,14 +1,18 @@
 """Evaluation texts leaking into training text (problem 8).
 
-One Aho-Corasick automaton holds every run of five words of the normalised test items. Each document is
-normalised and scanned once; the runs found give the share of an item's words that the document holds. The scan
-folds accents and letters outside ASCII, which is fast and misses nothing; what it finds is checked again with the
-letters as they are, and the places of the words lead back to the original text.
+One rule makes words of every text, test item or document: widths, ligatures, accents and invisible characters are
+brought to one form, letters that look alike or differ by case only become one letter, marks stay with their
+letter, all else parts words; in scripts without spaces every character is a word. One Aho-Corasick automaton
+holds the normalised questions and answers, cut into all their runs of five words, and scans the normalised
+document once. Its hits alone decide which words of an item a document holds; the places of the first and the last
+are mapped back to the original text.
 
-The automaton is as large as the test items, not as the corpus; its size is checked before it is broadcast.
+The automaton grows with the test items, not with the corpus. Items whose runs have more than AUTOMATON_CHARS
+characters are parted by hash, and the corpus is scanned once for each part.
 
 Defined results: null and empty documents leak nothing, nor does an item of fewer than five words; an item
-whose words a document holds by half or more is leaked; every copy of a document counts; repeated items count once.
+whose words a document holds by half or more is leaked; every copy of a document counts; repeated items count
+once; where an id has several texts, each is looked for and the largest share is told.
 """
 
 from __future__ import annotations
@@ -23,120 +27,155 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.canonical import INVISIBLE, transducer
+from textloom.llm.canonical import INVISIBLE, looks_alike, transducer
+from textloom.llm.worker import Shared
 
 #: Words in an unbroken run, and the share of an item's words that make a leak.
 RUN, SHARE = 5, 0.5
-#: Characters of test items that one automaton may hold; more are scanned for in several passes.
-ITEM_CHARS = 20_000_000
-
-WORD = re.compile(r"[^\W_]+")
-ORIGINAL = re.compile(rf"[^\W_](?:[^\W_]|[{INVISIBLE}‌‍̀-ͯ])*")
-JOINERS = str.maketrans("", "", "‌‍")
-
-
-def words(text: str) -> list[str]:
-    """Words in lower case, look-alike characters set alike."""
-    if not text.isascii():
-        t = transducer()
-        text = t._pass(text).translate(JOINERS).translate(t.skeleton)
-    return WORD.findall(text.lower())
-
-
-OTHER = re.compile(r"[^\x00-\x7f]+")
-TO_SPACE = str.maketrans({chr(o): " " for o in range(128) if not chr(o).isalnum()} | {chr(o): chr(o).lower() for o in range(65, 91)})
-
-
-#: Runs up to this length are remembered by a worker.
-CACHED = 40
-
-
-def _fold(run: str) -> str:
-    t = transducer()
-    text = ud.normalize("NFKD", t._pass(run).translate(JOINERS).translate(t.skeleton)).lower()
-    return "".join(c if c.isascii() else chr(97 + ord(c) % 26) if c.isalnum() else "" if ud.combining(c) else " " for c in text)
+#: Characters of runs that one automaton may hold: a node takes about 50 bytes, so this bounds it to 200 MB a worker.
+AUTOMATON_CHARS = 4_000_000
+
+JOINERS = "‌‍"
+#: A character with what belongs to it: marks, invisible characters, vowels and finals of Hangul.
+CLUSTER = re.compile(rf"[\s\S][{INVISIBLE}{JOINERS}̀-ͯ҃-֑҇-ׇؐ-ًؚ-ٰٟۖ-ۭᅠ-ᇿ᪰-᫿᷀-᷿⃐-⃿゙゚ﾞﾟ︠-︯]*")
+#: Characters outside ASCII, with the ASCII character before them, to which a mark may belong.
+OTHER = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
+ALONE = re.compile("[฀-໿က-႟ក-៿ぁ-ヿㇰ-ㇿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+
+
+@lru_cache(1)
+def _letters() -> dict[int, str]:
+    """Letters that look alike or differ by case only -> one of them."""
+    parent: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    for a, b in looks_alike().items():
+        x, y = find(a.casefold()), find(b.casefold())
+        if x != y and len(x) == len(y) == 1:
+            parent[max(x, y)] = min(x, y)
+    return {ord(c): find(c) for c in parent}
+
+
+@lru_cache(1)
+def _ascii() -> dict[int, str]:
+    """ASCII in lower case, all but letters and digits a space."""
+    to = _letters()
+    return {o: to.get(ord(chr(o).lower()), chr(o).lower()) if chr(o).isalnum() else " " for o in range(128)}
+
+
+@lru_cache(100_000)
+def _cluster(cluster: str) -> str:
+    out = ""
+    for ch in transducer().resolve(cluster).casefold().translate(_letters()):
+        if ALONE.match(ch):
+            out += f" {ch} "
+        elif ch.isalnum() or ud.category(ch)[0] == "M" and out[-1:].strip():
+            out += ch
+        elif ch not in JOINERS:
+            out += " "
+    return out
 
 
-_fold_short = lru_cache(50_000)(_fold)
+@lru_cache(50_000)
+def _short(run: str) -> str:
+    return "".join(map(_cluster, CLUSTER.findall(run)))
 
 
-def _folded_run(m: re.Match) -> str:
+def _run(m: re.Match) -> str:
     run = m.group()
-    return _fold_short(run) if len(run) <= CACHED else _fold(run)
+    return _short(run) if len(run) <= 40 else "".join(map(_cluster, CLUSTER.findall(run)))
 
 
-def folded(text: str) -> str:
-    """The words in ASCII, one space around each; equal words stay equal."""
+def words(text: str) -> list[str]:
+    """The words of a text, in their one form."""
     if not text.isascii():
-        text = OTHER.sub(_folded_run, text)
-    return f" {' '.join(text.translate(TO_SPACE).split())} "
-
-
-def _places(text: str) -> list[tuple[str, int, int]]:
-    """The words with their offsets in the text as it is."""
-    out = []
-    for m in ORIGINAL.finditer(text):
-        out += [(w, m.start(), m.end()) for w in words(m.group())]
-    return out
+        text = OTHER.sub(_run, text)
+    return text.translate(_ascii()).split()
+
+
+def places(text: str) -> list[tuple[str, int, int]]:
+    """The same words, with their offsets in the text as it is."""
+    out: list[tuple[str, int, int]] = []
+    word, start, end = "", 0, 0
+    for m in CLUSTER.finditer(text):
+        c = m.group()
+        for ch in _cluster(c).translate(_ascii()) if not c.isascii() else c.translate(_ascii()):
+            if ch == " ":
+                if word:
+                    out.append((word, start, end))
+                word = ""
+            else:
+                start = start if word else m.start()
+                word, end = word + ch, m.end()
+    return [*out, (word, start, end)] if word else out
 
 
 class Scanner:
     """The automaton over items (id, text)."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.runs: dict[str, list[tuple[int, int]]] = {}
-        self.size: dict[int, int] = {}
-        fast: dict[str, set[tuple[int, int]]] = {}
-        for item, text in items:
+    def __init__(self, items: Iterable[tuple[int, str]]) -> None:
+        runs: dict[str, list[tuple[int, int]]] = {}
+        self.ids: list[int] = []
+        self.size: list[int] = []
+        for n, (item, text) in enumerate(items):
             w = words(text)
-            self.size[item] = len(w)
+            self.ids.append(item)
+            self.size.append(len(w))
             for k in range(len(w) - RUN + 1):
-                run = " ".join(w[k : k + RUN])
-                self.runs.setdefault(run, []).append((item, k))
-                fast.setdefault(folded(run), set()).add((item, k))
+                runs.setdefault(f" {' '.join(w[k : k + RUN])} ", []).append((n, k))
         self.automaton = ahocorasick.Automaton()
-        for n, (run, at) in enumerate(fast.items()):
-            self.automaton.add_word(run, (n, tuple(at)))
-        if fast:
+        for run, at in runs.items():
+            self.automaton.add_word(run, tuple(at))
+        if runs:
             self.automaton.make_automaton()
-
-    def _enough(self, hits: Iterable[tuple[tuple[int, int], ...]]) -> dict[int, float]:
-        """Item -> share, of the items that are held by SHARE or more."""
-        found: dict[int, set[int]] = {}
-        for at in hits:
-            for item, k in at:
-                found.setdefault(item, set()).update(range(k, k + RUN))
-        return {item: len(p) / self.size[item] for item, p in found.items() if len(p) >= SHARE * self.size[item]}
+        self.empty = not runs
 
     def leaks(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item, share of its words, start, end) of each leaked item."""
-        if not self.runs:
-            return []
-        hits = dict(v for _, v in self.automaton.iter(folded(text)))
-        if not hits or not self._enough(hits.values()):
+        if self.empty:
             return []
-        places = _places(text)
-        flat = [w for w, _, _ in places]
-        at = {k: self.runs[run] for k in range(len(flat) - RUN + 1) if (run := " ".join(flat[k : k + RUN])) in self.runs}
-        out = []
-        for item, share in self._enough(at.values()).items():
-            own = [k for k, v in at.items() if any(i == item for i, _ in v)]
-            out.append((item, share, places[own[0]][1], places[own[-1] + RUN - 1][2]))
-        return out
+        normal = f" {' '.join(words(text))} "
+        held: dict[int, set[int]] = {}
+        span: dict[int, tuple[int, int]] = {}
+        for end, at in self.automaton.iter(normal):
+            for n, k in at:
+                held.setdefault(n, set()).update(range(k, k + RUN))
+                span[n] = (span[n][0] if n in span else end, end)
+        out: dict[int, tuple[float, int, int]] = {}
+        where = None
+        for n, got in held.items():
+            share = len(got) / self.size[n]
+            if share < SHARE or self.ids[n] in out and out[self.ids[n]][0] >= share:
+                continue
+            where = where or places(text)
+            first, last = (normal.count(" ", 0, e) - 1 for e in span[n])  # the words at which the hits end
+            out[self.ids[n]] = (share, where[first - RUN + 1][1], where[last][2])
+        return [(item, *x) for item, x in out.items()]
+
+
+def _parts(items: DataFrame, item: str, column: str) -> int:
+    """Into how many parts the items are cut, so that each automaton keeps within its bound."""
+    chars = items.agg(F.sum(F.length(column).cast("long") * RUN)).first()[0] or 0
+    return max(1, -(-chars // AUTOMATON_CHARS))
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", column: str = "text") -> DataFrame:
     """One row per document and leaked item: key, item, share, start_char, end_char (from the first to the last word held)."""
     spark = docs.sparkSession
-    rows = items.filter((F.length(column) > 0) & F.col(item).isNotNull()).select(item, column).dropDuplicates([item])
+    rows = items.filter((F.length(column) > 0) & F.col(item).isNotNull()).select(item, column).distinct()
     kinds = f"{key} {docs.schema[key].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}, share double, start_char long, end_char long"
-    passes = _passes([(r[0], r[1]) for r in rows.orderBy(item).toLocalIterator()])
+    parts = _parts(rows, item, column)
     out = None
-    for part in passes:
-        shared = spark.sparkContext.broadcast(part)
+    for part in range(parts):
+        own = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64(item), F.lit(parts)) == part)
+        shared = Shared(spark, sorted(tuple(r) for r in own.toLocalIterator()), Scanner)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            scan = Scanner(shared.value)
+            scan = shared.get()
             for b in batches:
                 found = [(k, *x) for k, t in zip(b[key], b[column], strict=True) if t for x in scan.leaks(t)]
                 if found:
@@ -145,16 +184,3 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "i
         df = docs.select(key, column).mapInPandas(run, kinds)
         out = df if out is None else out.unionAll(df)
     return out
-
-
-def _passes(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
-    """Items cut into parts whose text keeps within ITEM_CHARS."""
-    out: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for i, t in items:
-        if size + len(t) > ITEM_CHARS and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((i, t))
-        size += len(t)
-    return out
