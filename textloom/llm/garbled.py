@@ -1,9 +1,13 @@
 """Text that was decoded with the wrong character encoding (problem 4).
 
 A noisy channel: each piece of a text (between ASCII white space) may have passed a channel "bytes of encoding
-R, read as encoding W". The channels' inverse gives a lattice of readings, a lost byte is a wildcard in it, and a
-Viterbi search over the pieces, under the frequencies of words (of character pairs in scripts without spaces) in
-the whole corpus, finds the likeliest original. A text with a piece that a channel other than none explains is garbled.
+R, read as encoding W". The channels' inverse gives byte lattices; a lost byte is a wildcard in them. A Viterbi search
+through a piece's lattice, whose states are the vocabulary's prefixes, finds its likeliest reading under the frequencies of
+words (of character pairs in scripts without spaces) in the whole corpus, and a second one over the pieces finds the
+likeliest channels. A text with a piece that a channel other than none explains is garbled.
+
+The VOCABULARY most frequent units are broadcast. Where the corpus has more, the rarer ones that a text or one of its
+readings needs are looked up by a join and travel with the text, so that no word is taken for unknown.
 
 Defined results: null, empty and pure ASCII texts are never garbled and come back as they are; a replacement
 character (U+FFFD) always is a trace of lost bytes; what can't be restored stays as it is.
@@ -13,17 +17,22 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import ChainMap, Counter
 from collections.abc import Iterator
+from copy import copy
 from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.canonical import transducer
+from textloom.llm.worker import Shared
+from textloom.session import checkpoint
 
-#: Most frequent units of the corpus that make up the language model; bounds what is broadcast (about 10 MB).
+#: Most frequent units of the corpus that are broadcast (about 10 MB); rarer ones are joined.
 VOCABULARY = 150_000
 
 #: Pieces up to this length are remembered by a worker.
@@ -45,6 +54,9 @@ NO_SPACE = "ᄀ-ᇿㄅ-㆏぀-ヿ㐀-鿿가-힯豈-﫿"
 UNIT = re.compile(rf"[{NO_SPACE}々ー]+|[^\W\d_{NO_SPACE}]+|[^\w\s]|�+")
 IDEOGRAPH = re.compile(rf"[{NO_SPACE}]")
 #: A text is cut into pieces at white space, where a script without spaces begins or ends, and after its full stops.
+BROKEN = re.compile(r"[^\W\d_]*(?:�+[^\W\d_]+)+�*|[^\W\d_]+�+")
+NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+NEXT_TO = re.compile(r"[^\x00-\x7f]{2}")
 WIDE = "　-〿！-ﾟ" + NO_SPACE
 MORE = f"[{WIDE}�]|[∀-⋿─-◿､](?=[{WIDE}�])"  # within such a run, what double-byte tables hold besides
 PIECE = re.compile(rf"[ \t\n\r]+|[{WIDE}](?:{MORE})*?(?:(?<=[。！？])|(?!{MORE}))|[^ \t\n\r{WIDE}]+")
@@ -102,8 +114,14 @@ def _raw(text: str, w: str) -> bytes | None:
     return None if None in parts else bytes([LOST.get(w, b"?")[0]]).join(parts)
 
 
+#: A whole character of UTF-8 beyond ASCII; bytes without one are no UTF-8 that some reader took for another encoding.
+MULTIBYTE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+
+
 def _read(raw: bytes, r: str) -> str | None:
     """Bytes read as r. A few lost ones are wildcards (U+FFFD)."""
+    if r == "utf-8" and not MULTIBYTE.search(raw):
+        return raw.decode("ascii") if raw.isascii() else None
     try:
         return raw.decode(r)
     except UnicodeDecodeError:
@@ -128,36 +146,58 @@ class Vocabulary(dict[str, int]):
     """Units with their counts; `single` are those that one text alone uses, however often it is there."""
 
     single: frozenset[str] = frozenset()
+    characters: frozenset[str] = frozenset()
+    total: int = 0
+    rest: DataFrame | None = None
 
 
 class Model:
     """The channel model over given unit counts."""
 
     def __init__(self, counts: dict[str, int]) -> None:
-        self.log: dict[str, float] = {}
         self.single = getattr(counts, "single", frozenset())
-        total = sum(counts.values()) or 1
-        for u, n in counts.items():
-            self.log[u] = math.log(n / total)
-        self.by_ascii: dict[str, list[str]] = {}
-        for u in counts:
-            if not u.isascii() and len(u) > 1 and (key := re.sub(r"[^\x00-\x7f]", "", u)):
-                self.by_ascii.setdefault(key, []).append(u)
+        self.total = getattr(counts, "total", 0) or sum(counts.values()) or 1
+        self.log: dict[str, float] = {u: math.log(n / self.total) for u, n in counts.items()}
+        self.sorted = sorted(u for u in counts if not u.isascii() and len(u) > 1 and u[0].isalpha())
+        self.by_ascii: dict[str, list[str]] = {}  # by the letters in ASCII, for words that have some
+        self.by_end: dict[object, list[str]] = {}  # the others by length, and by length with the first and the last letter
+        for u in self.sorted:
+            self._file(u)
         self.top = max((p * (0.6 if IDEOGRAPH.match(u) else 1.0) for u, p in self.log.items() if len(u) > 1 and not u.isascii() and u[0].isalpha()), default=-math.inf)
         seen: Counter[str] = Counter()
         for u, n in counts.items():
             for ch in set(u):
                 seen[ch] += n
-        self.characters = {ch for ch, n in seen.items() if n >= 5} | TYPOGRAPHIC
+        self.characters = {ch for ch, n in seen.items() if n >= 5} | TYPOGRAPHIC | getattr(counts, "characters", frozenset())
         self.candidates = lru_cache(100_000)(self._candidates)
 
-    def score(self, text: str, own: bool = False) -> tuple[float, int, int]:
+    def _file(self, u: str) -> None:
+        if key := NOT_ASCII.sub("", u):
+            self.by_ascii.setdefault(key, []).append(u)
+        else:
+            for k in (len(u), (len(u), 0, u[0]), (len(u), 1, u[-1])):
+                self.by_end.setdefault(k, []).append(u)
+
+    def knowing(self, rare: dict[str, tuple[int, bool]]) -> Model:
+        """This model and some rarer units: unit -> (count, in one text alone)."""
+        more = copy(self)
+        more.log = ChainMap({u: math.log(n / self.total) for u, (n, _) in rare.items()}, self.log)
+        more.single = self.single | {u for u, (_, single) in rare.items() if single}
+        words = [u for u in rare if not u.isascii() and len(u) > 1 and u[0].isalpha()]
+        more.sorted = sorted([*self.sorted, *words])
+        more.by_ascii, more.by_end = ({k: list(v) for k, v in x.items()} for x in (self.by_ascii, self.by_end)) if words else (self.by_ascii, self.by_end)
+        for u in words:
+            more._file(u)
+        more.candidates = more._candidates
+        return more
+
+    def score(self, text: str, own: bool = False, of: list[str] | None = None) -> tuple[float, int, int]:
         """Log probability; how many of the characters in words outside ASCII stand in known words; how many there are.
 
         own: the text stands there as it is, so that units of one text alone are its own and tell nothing of it.
         """
         total, known, n = 0.0, 0, 0
-        for u in units(text):
+        for u in units(text) if of is None else of:
             p = None if own and not u.isascii() and u in self.single else self.log.get(u)
             if u[0] == "�":
                 total -= 6.0
@@ -188,25 +228,29 @@ class Model:
         # a reading by such a channel has a known word, so it scores no more than the corpus's likeliest: is what is asked of it within reach?
         reach = self.top - base if base_known > 0.5 * base_n else math.inf
         readings = []
+        apart = "�" not in piece and not NEXT_TO.search(piece)  # UTF-8 has two bytes at least for each character
         for w, of in BY_READER.items():
             within = reach >= self._asked(w, base)
-            if not within and w in DOUBLE:
+            if not within and (apart or w in DOUBLE):
                 continue
             raw = _raw(piece, w)
             if raw is not None:
-                readings += [(c, w, r, raw) for c, r in of if r == "utf-8" or within]
+                readings += [(c, w, r, raw) for c, r in of if (not apart or w in DOUBLE if r == "utf-8" else within)]
         for c, w, r, raw in sorted(readings):
-            text = self._lattice(piece, w, raw) if r == "utf-8" and w in LOST and "�" in piece else _read(raw, r)
+            text = self._lattice(piece, w) if r == "utf-8" and w in LOST and "�" in piece else _read(raw, r)
             if text is None or text in seen:
                 continue
             seen.add(text)
+            if any(ord(ch) < 32 for ch in text):
+                continue
             if r == "utf-8":
                 again = _invert(text, w, r) if not text.isascii() else None
                 if again is not None and again != text and "�" not in again:
                     text = again
-            s, known, n = self.score(text)
-            if any(ord(ch) < 32 for ch in text):
+                us = units(text)
+            elif not self._words(us := units(text)):
                 continue
+            s, known, n = self.score(text, of=us)
             gain = s - base
             if r == "utf-8" and w in TABLES and "�" not in text:
                 # bytes that happen to be right UTF-8 are hardly chance
@@ -221,35 +265,139 @@ class Model:
             if gain > 0:
                 out.append((gain, text, c))
         out.sort(key=lambda x: (-x[0], x[2]))
-        return out[:4]
+        return out
+
+    def _words(self, us: list[str]) -> bool:
+        """Are six in ten of the characters in words outside ASCII in known words, and at least three? (A quick look, before `score`.)"""
+        known = n = 0
+        for u in us:
+            if len(u) > 1 and not u.isascii():
+                n += len(u)
+                known += len(u) if u in self.log else 0
+        return n >= 3 and known >= 0.6 * n
+
+    def _lattice(self, piece: str, w: str) -> str | None:
+        """The likeliest UTF-8 text whose bytes, read as w, with any of the bytes that w loses lost, give the piece."""
+        places = self._places(piece, w)
+        lost = sum(p == ["�"] for p in places)
+        return self._likeliest(places) if len(places) - lost > 2 * lost else None
 
-    def _lattice(self, piece: str, w: str, raw: bytes) -> str | None:
-        """The likeliest reading over the bytes that may have been lost, decided from left to right."""
+    @staticmethod
+    def _places(piece: str, w: str) -> list[list[str]]:
+        """The characters that each place of the UTF-8 text can have; none at all if w can't have read the piece."""
         parts = [_bytes(p, w) for p in piece.split("�")]
-        done = parts[0]
-        for part in parts[1:]:
-            left, right = done[-12:], part[:12]
-
-            def likely(x: int, left: bytes = left, right: bytes = right) -> tuple[float, int]:
-                t = (left + bytes([x]) + right).decode("utf-8", "replace")
-                return self.score(t)[0] - 6.0 * t.count("�"), -x
-
-            done += bytes([max(LOST[w], key=likely)]) + part
-        return _read(done, "utf-8")
+        if None in parts:
+            return []
+        row: list[int | None] = []
+        for k, part in enumerate(parts):
+            row += [*([None] if k else []), *part]
+        places: list[list[str]] = []
+        k = 0
+        while k < len(row):
+            b = row[k]
+            n = 1 if b is None or b < 0xC2 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
+            of = set()
+            if b is not None and (b < 0x80 or n > 1):
+                for bs in product([b], *([x] if x is not None else LOST[w] for x in row[k + 1 : k + n])):
+                    try:
+                        of.add(bytes(bs).decode("utf-8"))
+                    except UnicodeDecodeError:
+                        continue
+            places.append(sorted(c for c in of if len(c) == 1) or ["�"])
+            k += n if of else 1
+        return places
+
+    def _starts(self, prefix: str) -> bool:
+        k = bisect_left(self.sorted, prefix)
+        return k < len(self.sorted) and self.sorted[k].startswith(prefix)
+
+    def _likeliest(self, places: list[list[str]]) -> str:
+        """Viterbi through the alternatives of each place. A state is the part of a word read so far, if the vocabulary has a word
+        that starts with it, else that no known word can come of it any more; a word that ends gets its frequency. In scripts
+        without spaces the state is the last character, and each pair gets its frequency."""
+
+        def end(word: str) -> float:
+            if len(word) < 2 or word.isascii() or IDEOGRAPH.match(word):
+                return 0.0
+            p = self.log.get(word)
+            return p if p is not None else -6.0 - 3.5 * len(word)
+
+        states: dict[str, tuple[float, str, str]] = {"": (0.0, "", "")}  # prefix ("*" for none) -> score, text, word so far
+        for of in places:
+            new: dict[str, tuple[float, str, str]] = {}
+            for state, (score, text, word) in states.items():
+                for ch in of:
+                    if IDEOGRAPH.match(ch):  # pairs of characters are the units
+                        pair = word + ch if IDEOGRAPH.match(word) else ""
+                        to, got = ch, (score + (0.6 * self.log.get(pair, -22.0) if pair else end(word)), text + ch, ch)
+                    elif ch.isalpha():
+                        word = "" if IDEOGRAPH.match(word) else word
+                        low = word + ch.lower()
+                        to = "*" if state == "*" or not low.isascii() and not self._starts(low) else low
+                        got = (score - (0.5 if ch not in self.characters else 0.0), text + ch, low)
+                    else:
+                        got = (score + end(word) - (6.0 if ch == "�" else 0.0), text + ch, "")
+                        to = ""
+                    if to not in new or new[to][0] < got[0]:
+                        new[to] = got
+            states = new
+        return max(((score + end(word), text) for score, text, word in states.values()), key=lambda x: x[0])[1]
+
+    def _matching(self, broken: str) -> list[str]:
+        """Words of the vocabulary that a word with replacement characters can be; k of them stand for 1 to k characters outside ASCII."""
+        pattern = re.compile(re.sub("�+", lambda x: "[^\\x00-\\x7f]{1,%d}" % len(x.group()), re.escape(broken)))
+        if key := NOT_ASCII.sub("", broken):
+            of = self.by_ascii.get(key, [])
+        else:
+            longest, least = len(broken), len(re.sub("�+", "�", broken))
+            end, ch = (0, broken[0]) if broken[0] != "�" else (1, broken[-1])
+            of = [u for n in range(least, longest + 1) for u in self.by_end.get((n, end, ch) if ch != "�" else n, ())]
+        return [u for u in of if pattern.fullmatch(u)]
+
+    def unmatched(self, text: str) -> Iterator[tuple[str, str]]:
+        """(pattern, key) of the damaged words of a text that no word of the vocabulary fits; a rarer word that fits has the same key."""
+        for piece in PIECE.findall(text):
+            if "�" not in piece:
+                continue
+            words = [[[x] for x in m.group().lower()] for m in BROKEN.finditer(piece)]
+            for w in LOST:
+                word: list[list[str]] = []
+                for of in [*self._places(piece, w), [" "]]:
+                    if of[0].isalpha():
+                        word.append(sorted({c.lower() for c in of if c.isalpha()}))
+                        continue
+                    if any(len(x) > 1 for x in word):
+                        words.append(word)
+                    word = []
+            for word in words:
+                holes = sum(x == ["�"] for x in word)
+                fixed = "".join(x[0] for x in word if len(x) == 1 and x[0] != "�" and x[0].isascii())
+                runs = [re.escape(x[0]) if len(x) == 1 else f"[{''.join(map(re.escape, x))}]" for x in word]
+                pattern = re.sub("�+", lambda x: "[^\\x00-\\x7f]{1,%d}" % len(x.group()), "".join(runs))
+                exact = re.compile(pattern)
+                if fixed:
+                    keys, known = [f"a{fixed}"], self.by_ascii.get(fixed, [])
+                else:
+                    lengths = range(len(word) - holes + bool(holes), len(word) + 1)
+                    first, last = word[0], word[-1]
+                    keys = [f"f{n}{first[0]}" if len(first) == 1 and first[0] != "�" else f"z{n}{last[0]}" if len(last) == 1 and last[0] != "�" else f"n{n}" for n in lengths]
+                    known = [u for n in lengths for u in self.by_end.get(n, ())]
+                if not any(exact.fullmatch(u) for u in known):
+                    yield from ((pattern, k) for k in keys)
 
     def _fill(self, piece: str) -> str:
-        """Put the likeliest words in the place of replacement characters."""
+        """Put the likeliest words in the place of replacement characters, in any script."""
 
         def word(m: re.Match) -> str:
             w = m.group()
-            low = w.lower()
-            found = [u for u in self.by_ascii.get(re.sub("[^\\x00-\\x7f]", "", low), ()) if re.fullmatch(re.sub("�+", lambda x: "[^\\\\x00-\\\\x7f]{1,%d}" % len(x.group()), low), u)]
+            found = self._matching(w.lower())
             if not found:
                 return w
             best = max(found, key=lambda u: (self.log[u], u))
-            return best if w.islower() or not w[0].isupper() else best[0].upper() + best[1:]
+            upper = w.isupper() and sum(map(str.isalpha, w)) > 1
+            return best.upper() if upper else best[0].upper() + best[1:] if w[0].isupper() else best
 
-        return re.sub(r"[^\W\d_]*(?:�+[^\W\d_]+)+|[^\W\d_]+�+", word, piece)
+        return BROKEN.sub(word, piece)
 
     def restore(self, text: str) -> tuple[bool, str]:
         """(garbled, the restored text)."""
@@ -317,27 +465,117 @@ def unit_counts(df: DataFrame, column: str = "text") -> DataFrame:
     return units_of.groupBy("unit").agg(F.round(F.sum("n")).cast("long").alias("n"), F.sum("texts").alias("texts"))
 
 
+def _characters(units_of: DataFrame) -> frozenset[str]:
+    """Characters that stand in at least five units, by their counts: as many as Unicode has at most."""
+    of = units_of.select(F.explode(F.array_distinct(F.split("unit", ""))).alias("ch"), "n").groupBy("ch").agg(F.sum("n").alias("n")).filter("n >= 5 AND ch != ''")
+    return frozenset(r["ch"] for r in of.toLocalIterator())
+
+
 def vocabulary(df: DataFrame, column: str = "text", size: int = VOCABULARY) -> Vocabulary:
-    """The `size` most frequent units (at least two uses) with their counts over all texts, repeats damped."""
-    top = unit_counts(df, column).filter("n > 1").orderBy(F.desc("n"), "unit").limit(size)
-    out, single = Vocabulary(), set()
-    for r in top.toLocalIterator():
+    """The `size` most frequent units with their counts over all texts, repeats damped; `rest` has the table if there are more."""
+    counts = unit_counts(df, column)
+    out, single, more = Vocabulary(), set(), False
+    counts = counts.filter("n > 1")  # a unit used once speaks for nothing: damage makes such units
+    for r in counts.orderBy(F.desc("n"), "unit").limit(size + 1).toLocalIterator():
+        if len(out) == size:
+            more = True
+            break
         out[r["unit"]] = r["n"]
         if r["texts"] == 1:
             single.add(r["unit"])
     out.single = frozenset(single)
+    if more:
+        out.rest = checkpoint(counts)
+        out.total = out.rest.agg(F.sum("n")).first()[0]
+        out.characters = _characters(out.rest)
     return out
 
 
-def restore(df: DataFrame, key: str = "request_id", column: str = "text", size: int = VOCABULARY) -> DataFrame:
+class Asked(dict):
+    """A dictionary that remembers which keys it didn't have."""
+
+    def __init__(self, known: dict[str, float]) -> None:
+        super().__init__(known)
+        self.missed: set[str] = set()
+
+    def __contains__(self, key: object) -> bool:
+        if super().__contains__(key):
+            return True
+        self.missed.add(key)
+        return False
+
+    def get(self, key: str, default: float | None = None) -> float | None:
+        return self[key] if key in self else default
+
+
+def _needed(model: Model, text: str) -> set[str]:
+    """Units that the text's restoring asks for and the model lacks."""
+    asking = copy(model)
+    asking.log = log = Asked(model.log)
+    asking.top = math.inf  # no channel is out of reach
+    for p in PIECE.findall(text):
+        if not p.isascii():
+            asking._candidates(p)
+    return log.missed
+
+
+def with_rare(df: DataFrame, key: str, column: str, counts: Vocabulary) -> DataFrame:
+    """Adds `rare`: units beyond the broadcast ones that a text needs, with their counts. One shuffle by unit, one by text."""
+    plain = Vocabulary(counts)
+    plain.total, plain.characters, plain.single = counts.total, counts.characters, counts.single
+    shared = Shared(df.sparkSession, plain, Model)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.get()
+        for b in batches:
+            rows = [(t, u, None) for t in b[column] for u in sorted(_needed(model, t))]
+            rows += [(t, k, p) for t in b[column] if "�" in t for p, k in sorted(set(model.unmatched(t)))]
+            if rows:
+                yield pd.DataFrame(rows, columns=[column, "unit", "pattern"])
+
+    texts = df.filter(F.length(column) > 0).filter(F.col(column).rlike(r"[^\x00-\x7F]")).select(column).distinct()
+    asked = checkpoint(texts.mapInPandas(ask, f"{column} string, unit string, pattern string").select(F.md5(column).alias("_md5"), "unit", "pattern"))
+    whole = asked.filter("pattern IS NULL").drop("pattern").distinct().join(counts.rest, "unit")
+    # damaged words: every pattern's likeliest word, among the words of its key
+    ascii_letters, n = F.regexp_replace("unit", r"[^\x00-\x7F]+", ""), F.length("unit").cast("string")
+    keys = F.when(ascii_letters != "", F.array(F.concat(F.lit("a"), ascii_letters))).otherwise(F.array(F.concat(F.lit("f"), n, F.substring("unit", 1, 1)), F.concat(F.lit("z"), n, F.substring("unit", -1, 1)), F.concat(F.lit("n"), n)))
+    words = counts.rest.filter(F.col("unit").rlike(r"[^\x00-\x7F]") & F.col("unit").rlike(r"^\p{L}")).select(F.struct("unit", "n", "texts").alias("word"), F.explode(keys).alias("key"))
+    wanted = asked.filter("pattern IS NOT NULL").select(F.col("unit").alias("key"), "pattern").distinct()
+    fits = words.join(wanted, "key").filter(F.rlike(F.col("word.unit"), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))))
+    best = fits.groupBy("pattern").agg(F.max_by("word", F.struct("word.n", "word.unit")).alias("word"))
+    fitted = asked.filter("pattern IS NOT NULL").select("_md5", "pattern").join(best, "pattern").select("word.unit", "_md5", "word.n", "word.texts")
+    found = whole.unionByName(fitted).distinct().groupBy("_md5").agg(F.map_from_entries(F.collect_list(F.struct("unit", F.struct("n", (F.col("texts") == 1).alias("single"))))).alias("rare"))
+    return df.withColumn("_md5", F.md5(column)).join(found, "_md5", "left").drop("_md5")
+
+
+def shared_model(df: DataFrame, key: str, column: str, size: int | None = None) -> tuple[DataFrame, Vocabulary]:
+    """(the table, with the column `rare` in any case, and the vocabulary)."""
+    counts = vocabulary(df, column, size or VOCABULARY)
+    if counts.rest is None:
+        return df.withColumn("rare", F.lit(None).cast("map<string,struct<n:bigint,single:boolean>>")), counts
+    df = with_rare(df, key, column, counts)
+    counts.rest = None  # what is broadcast holds no table
+    return df, counts
+
+
+def model_for(model: Model, rare: object) -> Model:
+    """The model that knows a text's rare units too."""
+    if rare is None or not len(rare):
+        return model
+    pairs = rare.items() if isinstance(rare, dict) else rare
+    return model.knowing({u: (x["n"], x["single"]) if isinstance(x, dict) else tuple(x) for u, x in pairs})
+
+
+def restore(df: DataFrame, key: str = "request_id", column: str = "text", size: int | None = None) -> DataFrame:
     """key, `garbled`, and the text as restored, of every row."""
-    counts = df.sparkSession.sparkContext.broadcast(vocabulary(df, column, size))
+    rows, counts = shared_model(df.select(key, column), key, column, size)
+    shared = Shared(df.sparkSession, counts, Model)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(counts.value)
+        model = shared.get()
         for b in batches:
-            done = [model.restore(t) if isinstance(t, str) else (False, None) for t in b[column]]
+            done = [model_for(model, rare).restore(t) if isinstance(t, str) else (False, None) for t, rare in zip(b[column], b["rare"], strict=True)]
             yield pd.DataFrame({key: b[key], "garbled": [g for g, _ in done], "restored": [t for _, t in done]})
 
-    return df.select(key, column).mapInPandas(run, f"{key} {kind}, garbled boolean, restored string")
+    return rows.mapInPandas(run, f"{key} {kind}, garbled boolean, restored string")
