@@ -8,7 +8,7 @@ explains better are wrongly labelled and left out.
 
 Defined results: null, empty and letterless texts have no segment; a text that no language parses better than
 in pieces of a letter or two (random keys, encoded bytes) has none either. Confidence is 1 - phrases of the best
-language / phrases of the second.
+language / phrases of the second. The given label only decides between languages that need exactly the same.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,8 +28,10 @@ from pyspark.sql import types as T
 from textloom.llm import garbled
 from textloom.llm.canonical import transducer
 from textloom.llm.sentences import spans
+from textloom.llm.worker import Shared
 
-#: Labelled texts per language, about, that are drawn (by hash of their id), and the characters of them an automaton holds.
+#: Labelled texts per language, about, that are drawn (by hash of their id), and the characters of their sentences, in the
+#: order of their hashes, that an automaton holds: bounds of the fitting sample.
 SAMPLE_TEXTS = 400
 SAMPLE_CHARS = 24_000
 #: Price of a change of language, in phrases, and the phrases a letter beyond which a text is in no language.
@@ -38,8 +41,6 @@ NO_LANGUAGE = 0.25
 FREE, SHORT = 5.0, 0.45
 #: The least share of letters, in whole words, among the characters of a text.
 LETTER_SHARE = 0.22
-#: What the given label is worth, in phrases, where languages tie.
-GIVEN = 0.5
 
 # Codes and names of the ten languages.
 CODES = {
@@ -148,7 +149,7 @@ def clean_sample(labelled: list[tuple[str, str]]) -> dict[str, str]:
     for _ in range(2):
         best = model(keep)
         keep = [(code, own) for code, sentences in keep if (own := [s for s in sentences if best(s) == code])]
-    rows = list(dict.fromkeys((code, s) for code, sentences in keep for s in sentences))
+    rows = sorted({(code, s) for code, sentences in keep for s in sentences}, key=lambda r: blake2b(r[1].encode(), digest_size=8).digest())
     out: dict[str, str] = {}
     for code in sorted({c for c, _ in rows}):
         total, parts = 0, []
@@ -179,6 +180,7 @@ class Identifier:
         solid = sum(1 for c in text if not c.isspace())
         if not units or not self.codes or sum(len(s) for _, _, s in units) < LETTER_SHARE * solid:
             return []
+        own = self.codes.index(given) if given in self.codes else -1  # decides between languages that need the same
         weigh = [a.bits for a in self.automata]
         low = min(weigh)
         n = len(self.codes)
@@ -186,12 +188,12 @@ class Identifier:
         best = [0.0] * n
         back: list[list[int]] = []
         for row in table:
-            top = min(range(n), key=lambda k: (best[k], k))
+            top = min(range(n), key=lambda k: (best[k], own != k, k))
             turn = best[top] + CHANGE if back else 0.0
             came = [k if best[k] <= turn else top for k in range(n)] if back else list(range(n))
-            best = [(best[k] if came[k] == k else turn) + row[k] * weigh[k] / low - GIVEN * (self.codes[k] == given) for k in range(n)]
+            best = [(best[k] if came[k] == k else turn) + row[k] * weigh[k] / low for k in range(n)]
             back.append(came)
-        k = min(range(n), key=lambda k: (best[k], k))
+        k = min(range(n), key=lambda k: (best[k], own != k, k))
         path = []
         for came in reversed(back):
             path.append(k)
@@ -243,25 +245,24 @@ def segments(df: DataFrame, key: str = "request_id", column: str = "text", code:
     Wrongly decoded text is restored and disguised text brought to its canonical form first.
     """
     spark = df.sparkSession
-    counts = garbled.vocabulary(df, column)
+    rows, counts = garbled.shared_model(df.select(key, column, code), key, column)
     model = garbled.Model(counts)
     sample = [(c, _repair(model, t)) for c, t in labelled_sample(df, key, column, code)]
-    shared = spark.sparkContext.broadcast((counts, clean_sample(sample)))
+    shared = Shared(spark, (counts, clean_sample(sample)), lambda x: (garbled.Model(x[0]), Identifier(x[1])))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, texts = shared.value
-        model, find = garbled.Model(counts), Identifier(texts)
+        model, find = shared.get()
         for b in batches:
             out = []
-            for k, text, given in zip(b[key], b[column], b[code], strict=True):
+            for k, text, given, rare in zip(b[key], b[column], b[code], b["rare"], strict=True):
                 own = normal_code(given if isinstance(given, str) else None)
-                found = find.segments(_repair(model, text), own) if isinstance(text, str) and text else []
+                found = find.segments(_repair(garbled.model_for(model, rare), text), own) if isinstance(text, str) and text else []
                 out += [(k, own, n, c, conf, len(found)) for n, (c, conf, _, _) in enumerate(found)]
             if out:
                 yield pd.DataFrame(out, columns=[key, "given_code", "seg_no", "lang_code", "confidence", "n_segments"])
 
-    return df.select(key, column, code).mapInPandas(run, f"{key} {kind}, given_code string, seg_no long, lang_code string, confidence double, n_segments int")
+    return rows.mapInPandas(run, f"{key} {kind}, given_code string, seg_no long, lang_code string, confidence double, n_segments int")
 
 
 def wrong_labels(df: DataFrame, key: str = "request_id", column: str = "text", code: str = "language_code") -> DataFrame:
