@@ -2,8 +2,9 @@
 
 Every text gets its statistics (words, word length, symbols, lines, shares). Rules that abstain when in doubt
 label a part of the texts weakly; gradient-boosted trees (softmax over prose, list, table, junk) are trained on
-a bounded sample of these and grade every text; their scores are calibrated with one temperature on a small holdout
-that was checked by hand.
+a bounded sample of these and grade every text. That a text was decoded wrongly is one of the statistics: whoever
+reads it, it was written to be read, and the weak labels say so. The scores are calibrated (one temperature and one offset
+for each shape, fitted by gradient descent) on a holdout that was written and checked by hand.
 
 Defined results: a null text has no row; an empty or blank text has zero statistics and the shape prose (there is
 nothing that isn't written to be read); repeated rows give equal rows.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,13 +24,14 @@ from pyspark.sql.window import Window as W
 
 from textloom.llm import garbled
 from textloom.llm.canonical import transducer
+from textloom.llm.worker import Shared
 
 SHAPES = ("prose", "list", "table", "junk")
 #: Weakly labelled texts of each shape that the trees are trained on (the first by hash of the text).
 TRAIN_TEXTS = 1_500
 #: Rows, about, (drawn by hash of the text) that are looked at for weak labels.
 FIT_ROWS = 40_000
-#: Units of the corpus that count as common words.
+#: Common words are the so many most frequent units of the corpus: a definition, not a bound.
 COMMON = 20_000
 ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.25, 48
 
@@ -38,13 +40,13 @@ BULLET = re.compile(r"\s*(?:[-*•‣▪◦·–—+>]|\[[ xX]?\]|[☐☑✓✗]
 ENDS = re.compile(r"[.!?…。！？؟۔][\"'”“»’」』）)\]]*\s*$")
 TERMINATOR = re.compile(r"[.!?…؟۔](?=[\s\"'”“»’)]|$)|[。！？]")
 SEPARATORS = ("\t", "|", ";", ",", "  ")
-HEX = re.compile(r"[0-9a-f]{2}|[0-9a-f]{8}|[0-9A-F]{2}|[0-9A-F]{8}")
+HEX = re.compile(r"(?:[0-9a-f]{2}){1,8}|(?:[0-9A-F]{2}){1,8}")
 CELL = re.compile(r"^\s*(?:-|—|n/a|\d[\d.,:%]*|\d+%)\s*$")
 
 NAMES = (
     "n_chars n_words n_lines mean_word_length symbol_ratio digit_ratio upper_ratio common_share lines_ending_share bullet_share lower_start_share "
     "mean_line_length line_length_spread words_per_line terminators_per_word words_per_part parts separator_share columns column_spread cell_share "
-    "number_share top_token_share distinct_share letter_share wide_sign_share short_line_share longest_word vowelless_share sentence_char_share url_share wide_share hex_share upper_start_share line_weight part_weight"
+    "number_share top_token_share distinct_share letter_share wide_sign_share short_line_share longest_word vowelless_share sentence_char_share url_share wide_share hex_share upper_start_share line_weight part_weight damaged"
 ).split()
 
 
@@ -65,8 +67,15 @@ def _separator(lines: list[str]) -> tuple[float, float, float, float]:
     return best
 
 
-def statistics(text: str, common: frozenset[str] | set[str]) -> list[float]:
-    """The statistics of NAMES."""
+def _hex_share(tokens: list[str]) -> float:
+    """Share of the tokens that are bytes in hexadecimal; numbers alone, without a single letter among them, are none."""
+    found = [t for t in tokens if HEX.fullmatch(t)]
+    lettered = sum(not t.isdigit() for t in found)
+    return len(found) / max(1, len(tokens)) if 5 * lettered > len(found) else 0.0
+
+
+def statistics(text: str, common: frozenset[str] | set[str], damaged: bool = False) -> list[float]:
+    """The statistics of NAMES; `damaged`: the text was decoded wrongly (and is given as it was restored)."""
     n = len(text)
     lines = [x for x in text.split("\n") if x.strip()]
     words = WORD.findall(text)
@@ -118,10 +127,11 @@ def statistics(text: str, common: frozenset[str] | set[str]) -> list[float]:
         sentence_chars / max(1, sum(lengths)),
         sum("://" in t for t in tokens) / max(1, len(tokens)),
         wide,
-        sum(bool(HEX.fullmatch(t)) for t in tokens) / max(1, len(tokens)),
+        _hex_share(tokens),
         sum(x.lstrip("-–—•*¿¡“\"«„ ")[:1].isupper() for x in lines) / nl,
         nw / nl * (1 - 0.6 * wide),  # a word of a script without spaces counts two characters or so
         nw / max(1, len(parts)) * (1 - 0.6 * wide),
+        float(damaged),
     ]
 
 
@@ -130,6 +140,11 @@ AT = {name: k for k, name in enumerate(NAMES)}
 
 def weak_label(x: list[float]) -> int:
     """Index in SHAPES, or -1 in doubt."""
+    label = _rules(x)
+    return SHAPES.index("prose") if label == SHAPES.index("junk") and x[AT["damaged"]] else label
+
+
+def _rules(x: list[float]) -> int:
     v = {name: x[k] for name, k in AT.items()}
     prose, items, table, junk = range(4)
     words, known, lines, digits = v["n_words"], v["common_share"], v["n_lines"], v["digit_ratio"]
@@ -172,7 +187,7 @@ class Trees:
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         k = len(SHAPES)
         self.trees: list[list[list[tuple]]] = []
-        self.temperature = 1.0
+        self.temperature, self.offset = 1.0, np.zeros(k)
         if not len(y):  # nothing to learn from: all is prose
             self.cuts, self.base = [np.zeros(0) for _ in NAMES], np.log(np.array([0.97, 0.01, 0.01, 0.01]))
             return
@@ -183,8 +198,7 @@ class Trees:
         score = np.tile(self.base, (len(y), 1))
         target = np.eye(k)[y]
         for _ in range(ROUNDS):
-            p = np.exp(score - score.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
+            p = _softmax(score)
             grown = []
             for c in range(k):
                 g, h = weight * (target[:, c] - p[:, c]), weight * p[:, c] * (1 - p[:, c]) + 1e-6
@@ -232,19 +246,23 @@ class Trees:
         return score
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        s = self.raw(x) / self.temperature
-        p = np.exp(s - s.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        return _softmax(self.raw(x) / self.temperature + self.offset)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """The temperature under which the holdout is likeliest."""
+        """Temperature and offsets under which the holdout is likeliest; a small ridge holds them near 1 and 0."""
+        raw, target = self.raw(x), np.eye(len(SHAPES))[y]
+        inverse, offset = 1.0, np.zeros(len(SHAPES))
+        for step in range(400):
+            g = (_softmax(raw * inverse + offset) - target) / len(y)
+            rate = 0.5 / (1 + step / 100)
+            offset = offset - rate * (g.sum(0) + 0.05 * offset)
+            inverse = min(5.0, max(0.1, inverse - 0.1 * rate * float((g * raw).sum() + 0.05 * (inverse - 1.0))))
+        self.temperature, self.offset = 1.0 / inverse, offset
 
-        def loss(t: float) -> float:
-            s = self.raw(x) / t
-            s -= s.max(1, keepdims=True)
-            return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(y)), y]).mean())
 
-        self.temperature = min(np.geomspace(0.5, 5.0, 24), key=loss)
+def _softmax(s: np.ndarray) -> np.ndarray:
+    p = np.exp(s - s.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
 #: Holdout, written and checked by hand: (shape, text).
@@ -276,6 +294,40 @@ HOLDOUT = [
     ("junk", "QmFzZTY0IGlzIG5vdCBwcm9zZSBhdCBhbGwsIGl0IGlzIGp1c3QgYnl0ZXMgaW4gYW5vdGhlciBkcmVzcw=="),
     ("junk", "http://a1.invalid/x?id=1 http://b2.invalid/y?id=2 http://c3.invalid/z?id=3 http://d4.invalid/q?id=4"),
     ("junk", "00000000  4a ce 68 01 55 b1 77 c8 04 da 3b 6d\n00000010  da 1a 9e 31 d7 a0 4b b0 c0 ba b4 1d"),
+    ("prose", "Dear Mrs Hale,\n\nthank you for the lamp. It came on Friday and has not been out of use since.\n\nYours,\nT. Brook"),
+    ("prose", "Three things are needed:\n- rope\n- bread\n- a lamp\nWithout them nobody should go down, said the guide, and he meant it."),
+    ("prose", "Le conseil n'a pas répondu. Les lettres restaient sur la table, et personne n'osait les ouvrir avant le soir."),
+    ("prose", "El barco salió de noche. Nadie en el muelle dijo nada, aunque todos habían oído la noticia."),
+    ("prose", "Der Fluss steigt\nund keiner geht ans Tor\ndie Lampe brennt noch\nwo die Kinder schliefen"),
+    ("prose", "لم يصل الرسول إلا في المساء. لم يسأله أحد عن الرسالة، وكان الباب مغلقا."),
+    ("prose", "قایق سپیده دم رفت. کسی در اسکله دست تکان نداد و دفتردار کتابش را بست."),
+    ("prose", "배는 새벽에 떠났다. 부두에 있던 사람은 아무도 손을 흔들지 않았다."),
+    ("prose", "「手紙を読みましたか。」\n「まだ開けていません。」\n「では、誰が開けたのですか。」"),
+    ("prose", "— Ты видел письмо?\n— Нет, не видел.\n— Тогда кто его взял?"),
+    ("prose", "In 1921 the mill burned for 3 days; 14 men were hurt, and the loss was put at 2,400 crowns. It was never rebuilt."),
+    ("prose", "wir kamen spät an. das tor war zu. niemand öffnete, obwohl wir lange klopften."),
+    ("list", "Milch\nBrot\nKerzen\nSeil\nSalz\nZucker"),
+    ("list", "1) la clé du quai\n2) le vieux moulin\n3) deux cartes\n4) le train de nuit"),
+    ("list", "el molino viejo; dos mapas; la puerta del puerto; el tren nocturno; un abrigo rojo; la llave"),
+    ("list", "- مفتاح الميناء\n- خريطتان\n- القطار الليلي\n- معطف أحمر"),
+    ("list", "* کلید بندر\n* دو نقشه\n* قطار شب\n* کت قرمز"),
+    ("list", "・古い水車\n・二枚の地図\n・港の門\n・夜行列車\n・赤い上着"),
+    ("list", "낡은 방앗간\n지도 두 장\n항구의 문\n야간열차\n빨간 외투"),
+    ("list", "– the blue door\n– a pair of boots\n– the ferry clock\n– salt\n– the ledger"),
+    ("list", "a. the quay\nb. the mill\nc. the gate\nd. the bridge\ne. the tower"),
+    ("table", "Ort,Stunde,Betrag\nMühle,10:30,4.50\nKai,11:15,-\nTor,12:00,3.20"),
+    ("table", "место\tчас\tсумма\nмельница\t10:30\t450\nпричал\t11:15\t-\nворота\t12:00\t320"),
+    ("table", "项目\t数量\t比例\n绳子\t14\t12%\n罐头\t220\t41%\n地图\t7\t-"),
+    ("table", "lieu | heure | prix\nmoulin | 10:30 | 4,50\nquai | 11:15 | -\nporte | 12:00 | 3,20"),
+    ("table", "rope   14   12%   ok\ntins   220  41%   ok\nmaps   7    -     -"),
+    ("table", "2031-04-01;12;88.5\n2031-04-02;14;87.1\n2031-04-03;9;90.0\n2031-04-04;11;-"),
+    ("junk", "zzzz zzzz zzzz zzzz zzzz zzzz zzzz zzzz zzzz zzzz"),
+    ("junk", "x9$k2 !!pq0 ##zt7 v%%8r q@1w2 ~~m3 8^kk2 &&y7 p*4t n))3"),
+    ("junk", "aGVsbG8gd29ybGQgYW5kIG1vcmUgYnl0ZXMgdGhhdCBzYXkgbm90aGluZw== c29tZSBtb3JlIGJ5dGVzIGhlcmU="),
+    ("junk", "ff d8 ff e0 00 10 4a 46 49 46 00 01 01 01 00 48 00 48 00 00 ff db"),
+    ("junk", "████▓▓▒▒░░ ░░▒▒▓▓████ ▓▓▒▒░░ ████"),
+    ("junk", "test test test test test test test test test test test test test test"),
+    ("junk", "qwfpgj luyzxc vbkmnh rstdgh qwfpgj zxcvbk luymnh trsdfg pgjqwf"),
     ("junk", "=+=_~~_~--==#_~=~-:#*:--*==~\n~*:~~--~*=**~-++##:~_.__--~"),
     ("junk", "╻ ╍☆ ◕┒ ◬◖◍☠╨┹ ◐┠ ▍┝╤└ ▛├ ┓◴▲ ▋│╕▀◝ ┢┘☈"),
 ]
@@ -293,14 +345,9 @@ def train(sample: list[tuple[list[float], int]], common: set[str]) -> Trees:
     return model
 
 
-def _repairer(counts: dict[str, int]) -> Callable[[str], tuple[bool, str]]:
-    model, t = garbled.Model(counts), transducer()
-
-    def repair(text: str) -> tuple[bool, str]:
-        damaged, text = model.restore(text)
-        return damaged, t.canonical(text)
-
-    return repair
+def _repair(model: garbled.Model, text: str, rare: object) -> tuple[bool, str]:
+    damaged, text = garbled.model_for(model, rare).restore(text)
+    return damaged, transducer().canonical(text)
 
 
 COLUMNS = ", ".join(f"{name} double" for name in NAMES)
@@ -315,35 +362,33 @@ def shapes(df: DataFrame, key: str = "request_id", column: str = "text") -> Data
     spark = df.sparkSession
     rows = df.select(key, column).filter(F.col(column).isNotNull())
     kind = df.schema[key].dataType.simpleString()
-    counts = garbled.vocabulary(rows, column)
+    every = max(1, rows.count())
+    rows, counts = garbled.shared_model(rows, key, column)
     common = frozenset(sorted(counts, key=lambda u: (-counts[u], u))[:COMMON])
-    shared = spark.sparkContext.broadcast((counts, common))
+    shared = Shared(spark, (counts, common), lambda x: (garbled.Model(x[0]), x[1]))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repair = _repairer(shared.value[0])
+        model, known = shared.get()
         for b in batches:
-            if not len(b):
-                continue
-            stats = [statistics(repair(x)[1], shared.value[1]) for x in b[column]]
-            yield pd.DataFrame({"h": b["h"], "stats": stats, "label": [weak_label(s) for s in stats]})
+            if len(b):
+                repaired = [_repair(model, x, rare) for x, rare in zip(b[column], b["rare"], strict=True)]
+                stats = [statistics(x, known, damaged) for damaged, x in repaired]
+                yield pd.DataFrame({"h": b["h"], "stats": stats, "label": [weak_label(s) for s in stats]})
 
-    every = max(1, rows.count())
-    drawn = rows.select(F.xxhash64(column).alias("h"), column).filter(F.pmod("h", F.lit(every)) < FIT_ROWS).dropDuplicates(["h"])
+    drawn = rows.select(F.xxhash64(column).alias("h"), column, "rare").filter(F.pmod("h", F.lit(every)) < FIT_ROWS).dropDuplicates(["h"])
     weak = drawn.mapInPandas(measure, "h long, stats array<double>, label int").filter("label >= 0")
     rank = F.row_number().over(W.partitionBy("label").orderBy("h", "stats"))
     sample = weak.withColumn("n", rank).filter(F.col("n") <= TRAIN_TEXTS).orderBy("label", "n").collect()
-    model = spark.sparkContext.broadcast(train([(list(r["stats"]), r["label"]) for r in sample], common))
+    trees = Shared(spark, train([(list(r["stats"]), r["label"]) for r in sample], common), lambda x: x)
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repair = _repairer(shared.value[0])
+        (model, known), forest = shared.get(), trees.get()
         for b in batches:
             if not len(b):
                 continue
-            repaired = [repair(s) for s in b[column]]
-            x = np.array([statistics(s, shared.value[1]) for _, s in repaired], dtype=float)
-            p = model.value.probabilities(x)
-            damaged = np.array([d for d, _ in repaired])
-            p[damaged, SHAPES.index("junk")] = 0.0  # garbled text was written to be read
+            repaired = [_repair(model, x, rare) for x, rare in zip(b[column], b["rare"], strict=True)]
+            x = np.array([statistics(s, known, damaged) for damaged, s in repaired], dtype=float)
+            p = forest.probabilities(x)
             p[x[:, AT["n_chars"]] == 0] = np.eye(len(SHAPES))[0]
             out = pd.DataFrame(x, columns=NAMES)
             out.insert(0, key, b[key].to_numpy())
