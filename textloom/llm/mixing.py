@@ -26,9 +26,11 @@ from pyspark.sql.window import Window as W
 
 from textloom.session import checkpoint
 
+#: The vocabulary file; a parameter of every function that counts. It must be there on every executor.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Documents that one bucket of the range partition holds, about.
+#: Documents that one bucket of the range partition holds, about, and buckets of one span of the level above.
 BUCKET_ROWS = 5_000
+SPAN = 1_000
 # Fixed value: how byte-level BPE vocabularies of this kind split a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -75,22 +77,33 @@ def budgets(rows: DataFrame, targets: DataFrame, total_tokens: int | None = None
     return t.withColumn("epochs", epochs.cast("int")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("size"))
 
 
+def _before(parts: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Adds `before`: the sum of `part` over the earlier rows in `order`."""
+    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return parts.withColumn("before", F.coalesce(F.sum("part").over(w), F.lit(0)))
+
+
 def select(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """mix_name, key, source, tokens, repeats (how often the document stands in the mix)."""
+    """mix_name, key, source, tokens, repeats (how often the document stands in the mix).
+
+    Prefix sums have three levels: of spans within a source, of buckets within a span, of documents within a bucket. With
+    10^10 documents a source has 2000 spans, so that no level gathers much in one task.
+    """
     n = rows.count()
     buckets = max(1, -(-n // BUCKET_ROWS))
     # the key's range, cut into equal parts: parts in order are the source in order
-    rows = rows.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 1) / F.lit(float(2**63))) * buckets).cast("int"))
-    part = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("part"))
-    before = F.sum("part").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    part = part.withColumn("before", F.coalesce(before, F.lit(0)))
+    rows = rows.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 1) / F.lit(float(2**63))) * buckets).cast("long"))
+    part = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("part")).withColumn("span", F.floor(F.col("bucket") / SPAN))
+    spans = _before(part.groupBy("source", "span").agg(F.sum("part").alias("part")), ["source"], "span").select("source", "span", F.col("before").alias("lower"))
+    part = _before(part, ["source", "span"], "bucket").join(spans, ["source", "span"]).select("source", "bucket", (F.col("before") + F.col("lower")).alias("before"))
     order = W.partitionBy("source", "bucket").orderBy(F.shiftrightunsigned("h", 1), "h", "key").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.join(part.select("source", "bucket", "before"), ["source", "bucket"]).withColumn("upto", F.col("before") + F.sum("tokens").over(order))
+    rows = rows.join(part, ["source", "bucket"]).withColumn("upto", F.col("before") + F.sum("tokens").over(order))
     plan = plan.filter("budget > 0").select("mix_name", "source", "epochs", "rest", "max_repeats")
     # the document at the cut is in if more than half of it is within the budget
     cut = (F.col("upto") - F.col("tokens") / 2 <= F.col("rest")).cast("int")
     repeats = F.least(F.col("epochs") + cut, F.col("max_repeats").cast("int"))
-    return rows.join(F.broadcast(plan), "source").withColumn("repeats", repeats).filter("repeats > 0").select("mix_name", "key", "source", "tokens", "repeats")
+    # the plan has a row for each target, a table of a few rows that Spark may broadcast if it measures it to be small
+    return rows.join(plan, "source").withColumn("repeats", repeats).filter("repeats > 0").select("mix_name", "key", "source", "tokens", "repeats")
 
 
 def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
