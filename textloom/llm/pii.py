@@ -1,9 +1,11 @@
 """Personal information in free text (problem 10).
 
-Candidates (e-mail addresses, numbers, street addresses, names) are proposed by wide patterns. Labelers vote on
-each: formats (regular expressions), a gazetteer of names that is gathered from the whole corpus, and context words.
-Expectation-maximisation estimates from the votes how far each labeler can be relied on, and the posteriors train
-a logistic classifier over the votes, which decides on every candidate; accepted spans become typed placeholders.
+Candidates (e-mail addresses, numbers, street addresses, names) are proposed by wide patterns, by the gazetteer and
+by context: a name after a title or a signature is a candidate whether or not the gazetteer knows it, and so are its
+other mentions in the text. Labelers vote on each: formats (regular expressions), check digits, a gazetteer of
+names that is gathered from the whole corpus, and context words. Expectation-maximisation estimates from the votes
+how far each labeler can be relied on, and the posteriors train a logistic span classifier over the votes and features
+of the span and of what stands around it, which decides on every candidate; accepted spans become typed placeholders.
 
 Defined results: null and empty texts hold nothing and come back as they are; offsets count code points of the
 text as it is, end exclusive; where accepted spans overlap, the longer one stays.
@@ -15,6 +17,7 @@ import re
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.sentences import _clean
+from textloom.llm.worker import Shared
 from textloom.session import checkpoint
 
 #: Documents, about, (drawn by hash of their id) on whose candidates reliabilities and classifier are fitted.
@@ -39,7 +43,7 @@ FULL = rf"(?:(?:{CAP}|{INITIAL})(?:[ ]{INITIAL})?[ ]{CAP}|{CAP},[ ]{CAP})"
 WORD = re.compile(rf"{INITIAL}(?!\w)|(?:[dD]['’])?[^\W\d_](?:\w|['’\-](?=\w))*")
 
 # Context words before a name in scripts with capitals (titles, signatures, requests).
-NAME_CUES = ["Signed: ", "Dear Dr ", "Dear Dr. ", "Dear Mr ", "Dear Mrs ", "Dear Ms ", "Dear Prof ", "ask for ", "write to ", "intake form, ", "Attn: ", "Mr ", "Mrs ", "Ms ", "Mr. ", "Mrs. ",
+NAME_CUES = ["Signed: ", "Dear Dr ", "Dear Dr. ", "Dear Mr ", "Dear Mrs ", "Dear Ms ", "Dear Prof ", "ask for ", "write to ", "Attn: ", "Mr ", "Mrs ", "Ms ", "Mr. ", "Mrs. ",
     "Gezeichnet: ", "Frau ", "Herr ", "Herrn ", "beantwortet ", "schreiben Sie an ", "Signé : ", "Signé: ", "appelez ", "écrire à ", "Mme ", "Mlle ", " M. ", "Firmado: ", "pregunte por ",
     "por favor a ", "La señora ", "El señor ", "Sr. ", "Sra. ", "Подпись: ", "Гражданин ", "Гражданка ", "отвечает ", "спросить ", "Господин ", "Госпожа "]
 # The same where the script has no capitals; the name stands between two marks.
@@ -55,7 +59,10 @@ OPEN_MARKS = ["联系人", "聯繫人", "收件人", "签名", "姓名", "请联
 # Context words before an identity or account number, a telephone number, a number of neither kind.
 ID_CUES = ["social security no", "social security number", "passport", "account", "national id", "tax no", "Ausweisnr", "Konto", "Steuernr", "Pass", "sécurité sociale", "compte", "passeport", "DNI", "NIE", "cuenta", "pasaporte", "паспорт", "ИНН", "СНИЛС", "счёт", "身份证", "护照", "账号", "個人番号", "旅券", "口座", "رقم هوية", "جواز", "حساب", "کد ملی", "گذرنامه", "주민등록번호", "여권", "계좌"]
 PHONE_CUES = ["Call ", "call ", "phone ", "Tel.", "tel.", "Phone", "mobile", "Fax", "Telefon", "Tél.", "appelez ", "téléphone", "Llame al ", "teléfono", "Телефон", "телефон", "тел.", "电话", "電話", "さん（", "さん(", "على الرقم", "هاتف", "به شمارهٔ", "تلفن", "에게 ", "전화", "Rückfragen"]
-OTHER_CUES = ["file no", "paragraph ", "row ", "edition ", "section ", "page ", "table ", "dossier n", "Zeichen", "Akte", "expediente", "Дело", "档案编号", "文書番号", "الملف رقم", "پروندهٔ شمارهٔ", "문서 번호", "Ratings", "from ", "invoice", "version"]
+OTHER_CUES = ["file no", "paragraph ", "row ", "edition ", "section ", "page ", "table ", "dossier n", "Zeichen", "Akte", "expediente", "Дело", "档案编号", "文書番号", "الملف رقم", "پروندهٔ شمارهٔ", "문서 번호", "from ", "invoice", "version"]
+MAIL_CUES = ["mail", "Mail", "MAIL", "courriel", "correo", "почт", "邮", "メール", "بريد", "ایمیل", "이메일", "write to", "schreiben", "écrire", "escriba", "пишите"]
+# Words that make a place or a body of the name before them.
+BODIES = set("Institute Institut Bridge Bank University House Hall Foundation Company College School Museum Hospital Library Society Station Harbour Harbor Tower Park Gate River Lake Island Valley Press Group Party Award Prize Street Road Lane Avenue Square".split())
 # Words for streets.
 STREET_EN = "Street|St|Lane|Ln|Row|Yard|Road|Rd|Avenue|Ave|Drive|Dr|Close|Court|Ct|Place|Square|Terrace|Way|Walk|Hill|Gardens|Mews|Boulevard|Blvd|Crescent|Grove|Park|Quay"
 STREET_FR = "rue|avenue|av\\.|boulevard|bd|quai|impasse|place|allée|chemin|route|cours|passage|square|sentier"
@@ -71,6 +78,8 @@ AT = r"(?:[ ]?[@＠][ ]?|[ ]?[\[(（][ ]?at[ ]?[\])）][ ]?)"
 DOT = r"(?:\.|[ ]?[\[(（][ ]?dot[ ]?[\])）][ ]?)"
 EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+\-]*{AT}[A-Za-z0-9][A-Za-z0-9\-]*(?:{DOT}[A-Za-z0-9][A-Za-z0-9\-]*)+", re.I)
 AT_PARTS = ("@", "＠", "at]", "at)", "at ]", "at )", "AT]", "AT)", "At]", "At)", "at）", "AT）")
+LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+LOCAL_BEFORE = re.compile(r"[A-Za-z0-9._%+\-]*[ ]?$")
 AT_SIGN = re.compile(r"[@＠]|[\[(（][ ]?at[ ]?[\])）]", re.I)
 
 L = r"(?:,[ ]?|[ ]?\n[ ]?)"
@@ -127,7 +136,7 @@ def _free(kept: list[tuple], a: int, b: int) -> bool:
 
 
 _CUES: dict[str, tuple] = {}
-for _kind, _list in (("name", NAME_CUES), ("open", OPEN_MARKS), ("id", ID_CUES), ("phone", PHONE_CUES), ("other", OTHER_CUES)):
+for _kind, _list in (("name", NAME_CUES), ("open", OPEN_MARKS), ("id", ID_CUES), ("phone", PHONE_CUES), ("other", OTHER_CUES), ("mail", MAIL_CUES)):
     for _w in _list:
         _CUES[_w] = (*_CUES.get(_w, ()), _kind)
 _CUE_AUTOMATON = _automaton(_CUES)
@@ -175,11 +184,59 @@ def mentions(text: str) -> list[str]:
     return out
 
 
+def _around(p: re.Pattern, text: str, at: int, before: int = 70, after: int = 170, margin: int = 60) -> list[re.Match]:
+    """Matches of p over a place; the part of the text that is looked at grows until no match comes near its ends."""
+    while True:
+        lo, hi = max(0, at - before), min(len(text), at + after)
+        if not re.search(r"\d", text[lo:hi]):
+            return []
+        while 0 < lo < at and not text[lo - 1].isspace() and text[lo - 1] not in "：:，。往は":
+            lo += 1
+        found = [m for m in p.finditer(text, lo, hi) if m.start() <= at + 1 and at < m.end()]
+        if all((m.end() + margin <= hi or hi == len(text)) and (m.start() > lo or lo == 0 or text[lo - 1] in "\n：:，。往は") for m in found) or lo == 0 and hi == len(text) or before > 4000:
+            return found
+        before, after = 2 * before, 2 * after
+
+
+def _luhn(d: str) -> bool:
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def _weighed(d: str, weights: tuple[int, ...], mod: int = 11) -> int:
+    return sum(int(c) * w for c, w in zip(d, weights, strict=False)) % mod
+
+
+# Weights of check digits (tax numbers of 10 and 12 digits, resident numbers of 18).
+INN, INN_A, INN_B, RESIDENT = (2, 4, 10, 3, 5, 9, 4, 6, 8), (7, 2, 4, 10, 3, 5, 9, 4, 6, 8), (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8), (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
+
+
+def checked(number: str) -> bool:
+    """Do the check digits of a kind of number that has this form hold?"""
+    s = re.sub(r"[^0-9A-Z]", "", number)
+    if re.fullmatch(r"[A-Z]{2}\d{2}[0-9A-Z]{11,30}", s):  # account numbers
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    if re.fullmatch(r"[XYZ\d]\d{7}[A-Z]", s):  # national numbers with a letter
+        return "TRWAGMYFPDXBNJZSQVHLCKE"[int(s[:-1].translate(str.maketrans("XYZ", "012"))) % 23] == s[-1]
+    if re.fullmatch(r"\d{17}[\dX]", s):
+        return "10X98765432"[_weighed(s, RESIDENT)] == s[-1]
+    if not s.isdigit() or len(set(s)) == 1:
+        return False
+    if len(s) == 15 and s[0] in "12":
+        return 97 - int(s[:13]) % 97 == int(s[13:])
+    if len(s) == 10:
+        return _weighed(s, INN) % 10 == int(s[9])
+    if len(s) == 12:
+        return _weighed(s, INN_A) % 10 == int(s[10]) and _weighed(s, INN_B) % 10 == int(s[11])
+    if len(s) == 11:
+        return sum(int(c) * (9 - k) for k, c in enumerate(s[:9])) % 101 % 100 == int(s[9:])
+    return 13 <= len(s) <= 19 and _luhn(s)
+
+
 class Finder:
     """Candidates with their votes, given the gazetteer (word -> number of mentions)."""
 
     def __init__(self, gazetteer: Iterable[str], base: Finder | None = None) -> None:
-        self.base = base
+        self.base, self.names_given = base, frozenset(gazetteer)
         self.words = {w for w in gazetteer if w[0] != "="}
         whole = {w[1:] for w in gazetteer if w[0] == "="}
         table: dict[str, tuple] = {}
@@ -223,17 +280,19 @@ class Finder:
 
         emails = []
         for m in AT_SIGN.finditer(text) if any(x in text for x in AT_PARTS) else ():
-            lo = max(0, m.start() - 70)
-            for e in EMAIL.finditer(text, lo, min(len(text), m.end() + 100)):
+            lo = LOCAL_BEFORE.search(text[max(0, m.start() - 256) : m.start()]).start() + max(0, m.start() - 256)
+            while lo > 0 and text[lo - 1] in LOCAL:
+                lo -= 1
+            for e in EMAIL.finditer(text, lo):
                 if e.start() <= m.start() < e.end():
                     span = (e.start(), e.end())
-                    tail = re.search(rf"(?:{DOT})?[ ]?$", text[span[0] : span[1]])
                     host = re.split(AT, text[span[0] : span[1]], maxsplit=1, flags=re.I)[-1]
                     good = int(re.search(r"[A-Za-z]{2,}$", host) is not None)
                     local_letter = int(re.match(r"[A-Za-z]", text[span[0]]) is not None)
-                    if tail is not None and span not in emails:
+                    if span not in emails:
                         emails.append(span)
-                        out.append((*span, "email", (good, local_letter, 1)))
+                        out.append((*span, "email", (good, local_letter, 1 if _before(cues().get("mail", ()), span[0], 30) else -1)))
+                break
         emails.sort()
         addresses = []
         numbers = [m for m in ANCHOR.finditer(text)]
@@ -270,15 +329,9 @@ class Finder:
         for k, places in near.items():
             p = ADDRESS[k]
             for at in sorted(places):
-                lo, hi = max(0, at - 70), min(len(text), at + 110)
-                if not re.search(r"\d", text[lo:hi]):
-                    continue
-                while lo > 0 and lo < at and not text[lo - 1].isspace() and text[lo - 1] not in "：:，。往は":
-                    lo += 1
-                for m in p.finditer(text, lo, hi):
-                    if m.start() <= at + 1 and at < m.end():
-                        strong = int(bool(re.search(r"\d{5}|\d[A-Z]{2}$|,[ ][A-ZА-Я]|号|番|번지|，|،|\n", m.group())))
-                        found.append((m.start(), m.end(), strong))
+                for m in _around(p, text, at):
+                    strong = int(bool(re.search(r"\d{5}|\d[A-Z]{2}$|,[ ][A-ZА-Я]|号|番|번지|，|،|\n", m.group())))
+                    found.append((m.start(), m.end(), strong))
         found.sort(key=lambda x: (-(x[1] - x[0]), x[0]))
         kept: list[tuple[int, int, int]] = []
         for f in found:
@@ -291,11 +344,12 @@ class Finder:
         lo = at
         while lo > 0 and at - lo < 12 and (text[lo - 1] in "+(（ -" or text[lo - 1].isascii() and text[lo - 1].isupper()):
             lo -= 1
-        best = None
-        for m in NUMBER.finditer(text, lo, min(len(text), at + 60)):
-            if m.start() <= at < m.end():
-                best = m
+        best, reach = None, 60
+        while True:
+            best = next((m for m in NUMBER.finditer(text, lo, min(len(text), at + reach)) if m.start() <= at < m.end()), None)
+            if best is None or best.end() + 8 < at + reach or at + reach >= len(text):
                 break
+            reach *= 2
         if best is None:
             return None
         a, b = best.start(), best.end()
@@ -350,7 +404,7 @@ class Finder:
         c = -1 if cue is None else 1
         return [
             (a, end, "phone", (phone_form, 1 if asked or cue == "phone" else 0 if c == 1 else -1, 0 if cue == "other" and not asked else -1, 0 if cue == "id" and not asked else -1)),
-            (a, b, "id_number", (id_form, 1 if cue == "id" and not asked else 0 if c == 1 or asked else -1, 0 if cue == "other" else -1, 0 if cue == "phone" or asked else -1)),
+            (a, b, "id_number", (id_form, 1 if cue == "id" and not asked else 0 if c == 1 or asked else -1, 0 if cue == "other" else -1, 0 if cue == "phone" or asked else -1, 1 if checked(s) else -1)),
         ]
 
     def _persons(self, text: str, cues) -> list[tuple[int, int, str, tuple[int, ...]]]:  # noqa: ANN001
@@ -382,7 +436,22 @@ class Finder:
                         found[m.start(), m.end()] = [1, int(len(known) > 1), 1] if known else [-1, -1, 1]  # a name that the gazetteer hasn't met: it abstains
                     elif (m.start(), m.end()) in found:
                         found[m.start(), m.end()][2] = 1
-        return [(a, b, "name", (v[0], v[1], v[2], 1)) for (a, b), v in found.items()]
+            taken = sorted(found)
+            for name in {text[a:b] for (a, b), v in found.items() if v[2] == 1}:  # its other mentions in the text
+                at = text.find(name)
+                while at >= 0:
+                    b = at + len(name)
+                    if _free(taken, at, b) and (IDEOGRAPHIC.match(name) or not (text[at - 1 : at].isalnum() or text[b : b + 1].isalnum())):
+                        found[at, b] = [-1, -1, 1]
+                        insort(taken, (at, b))
+                    at = text.find(name, b)
+        return [(a, b, "name", (v[0], v[1], v[2], self._whole(text, b))) for (a, b), v in found.items()]
+
+    @staticmethod
+    def _whole(text: str, end: int) -> int:
+        """0 if the next word makes a place or a body of the name, else 1."""
+        m = re.compile(r" ([^\W\d_]+)").match(text, end)
+        return 0 if m and m.group(1) in BODIES else 1
 
     @staticmethod
     def _quick(text: str) -> tuple[str, ...]:
@@ -396,7 +465,7 @@ class Finder:
                 m = re.compile(r"(,?[ ])").match(text, at)
                 w = WORD.match(text, m.end()) if m else None
                 return (w.start(), w.end(), w.group(), m.group(1)) if w else None
-            lo = max(0, at - 26)
+            lo = max(0, at - 64)
             part = text[lo:at]
             m = re.search(rf"({INITIAL}|(?:[dD]['’])?[^\W\d_](?:\w|['’\-](?=\w))*)(,?[ ])$", part)
             if m and (m.start() == 0 or not part[m.start() - 1].isalnum()):
@@ -457,26 +526,37 @@ class Reliability:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _features(votes: np.ndarray) -> np.ndarray:
-    """Votes for, votes against, and pairs of votes for."""
+#: What the classifier sees of a span and its surroundings.
+SHAPE = ("digits", "letters", "words", "plus", "brackets", "starts_line", "ends_clause", "long")
+
+
+def shape(text: str, a: int, b: int) -> tuple[int, ...]:
+    """The features of SHAPE, in steps, so that few different ones occur."""
+    s = text[a:b]
+    digits, letters = sum(map(str.isdigit, s)), sum(map(str.isalpha, s))
+    return (min(digits // 3, 5), min(letters // 6, 5), min(s.count(" "), 5), int("+" in s), int(any(c in "()（）" for c in s)), int(text[a - 1 : a] in ("", "\n")), int(text[b : b + 1] in (*".,;:!?。，、\n", "")), int(b - a > 30))
+
+
+def _features(votes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """Votes for, votes against, pairs of votes for, and the shape of the span."""
     yes, no = (votes == 1).astype(float), (votes == 0).astype(float)
     k = votes.shape[1]
     pairs = [yes[:, i] * yes[:, j] for i in range(k) for j in range(i + 1, k)]
-    return np.stack([np.ones(len(votes)), *yes.T, *no.T, *pairs], 1)
+    return np.stack([np.ones(len(votes)), *yes.T, *no.T, *pairs, *(shapes.T / 5.0)], 1)
 
 
 class SpanClassifier:
-    """Logistic regression on the votes, one for each type, trained on the label model's posteriors."""
+    """Logistic regression on votes and shapes, one for each type, trained on the label model's posteriors."""
 
-    def __init__(self, sample: list[tuple[str, tuple[int, ...]]]) -> None:
+    def __init__(self, sample: list[tuple[str, tuple[int, ...], tuple[int, ...]]]) -> None:
         self.weights: dict[str, np.ndarray] = {}
         for kind in TYPES:
-            rows = [v for t, v in sample if t == kind]
+            rows = [(v, f) for t, v, f in sample if t == kind]
             if not rows:
                 continue
-            votes = np.array(rows)
+            votes = np.array([v for v, _ in rows])
             target = Reliability(votes).posterior(votes)
-            x = _features(votes)
+            x = _features(votes, np.array([f for _, f in rows], dtype=float))
             w = np.zeros(x.shape[1])
             for _ in range(25):  # Newton steps with a small ridge
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -484,12 +564,12 @@ class SpanClassifier:
                 w += np.linalg.solve(h, x.T @ (target - p) - 0.5 * w)
             self.weights[kind] = w
 
-    def probability(self, kind: str, votes: tuple[int, ...]) -> float:
+    def probability(self, kind: str, votes: tuple[int, ...], features: tuple[int, ...]) -> float:
         w = self.weights.get(kind)
         if w is None:  # nothing to learn from: the share of votes for
             known = [v for v in votes if v >= 0]
             return sum(known) / max(1, len(known))
-        return float(1 / (1 + np.exp(-np.clip(_features(np.array([votes])) @ w, -30, 30))[0]))
+        return float(1 / (1 + np.exp(-np.clip(_features(np.array([votes]), np.array([features], dtype=float)) @ w, -30, 30))[0]))
 
 
 class Tagger:
@@ -497,15 +577,13 @@ class Tagger:
 
     def __init__(self, finder: Finder, classifier: SpanClassifier) -> None:
         self.finder, self.classifier = finder, classifier
-        self.cache: dict[tuple[str, tuple[int, ...]], float] = {}
+        self.probability = lru_cache(100_000)(classifier.probability)
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         clean, places = _clean(text)
         scored = []
         for a, b, kind, votes in self.finder.candidates(clean):
-            p = self.cache.get((kind, votes))
-            if p is None:
-                p = self.cache[kind, votes] = self.classifier.probability(kind, votes)
+            p = self.probability(kind, votes, shape(clean, a, b))
             if p > 0.5:
                 scored.append((a, b, kind, p))
         scored.sort(key=lambda x: (-(x[1] - x[0]) if x[2] == "address" else 0, -x[3], -(x[1] - x[0]), x[0]))
@@ -555,10 +633,10 @@ def rare_names(df: DataFrame, key: str, column: str, size: int) -> DataFrame:
     out = None
     for k in range(blocks):
         words = [r["w"] for r in names.filter(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k).toLocalIterator()]
-        shared = df.sparkSession.sparkContext.broadcast(words)
+        shared = Shared(df.sparkSession, words, Finder)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            finder = Finder(shared.value)
+            finder = shared.get()
             for b in batches:
                 rows = [(i, w) for i, t in zip(b[key], b[column], strict=True) if t for w in sorted(finder.met(_clean(t)[0]))]
                 if rows:
@@ -576,30 +654,29 @@ def fit(df: DataFrame, key: str = "doc_id", column: str = "text") -> tuple[dict[
     rows = df.filter(F.length(column) > 0)
     every = max(1, rows.count())  # about FIT_DOCS rows, wherever they lie: nothing is sorted or gathered but these
     rows = rows.filter(F.pmod(F.xxhash64(key), F.lit(every)) < FIT_DOCS).select(column).toLocalIterator()
-    sample = [(kind, votes) for r in rows for _, _, kind, votes in finder.candidates(_clean(r[0])[0])]
+    texts = (_clean(r[0])[0] for r in rows)
+    sample = [(kind, votes, shape(t, a, b)) for t in texts for a, b, kind, votes in finder.candidates(t)]
     return names, SpanClassifier(sample)
 
 
 def _tag(df: DataFrame, key: str, column: str, schema: str, rows: Callable[[Tagger, pd.DataFrame], pd.DataFrame | None]) -> DataFrame:
     """What `rows` makes of the texts, with a tagger that knows all name words that stand in them."""
     names, classifier = fit(df, key, column)
-    shared = df.sparkSession.sparkContext.broadcast((names, classifier))
+    shared = Shared(df.sparkSession, (names, classifier), lambda x: Tagger(Finder(x[0]), x[1]))
     texts = df.select(key, column)
     if len(names) > GAZETTEER:
         texts = texts.join(rare_names(df, key, column, GAZETTEER), key, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, classifier = shared.value
-        finder = Finder(names)
-        tagger = Tagger(finder, classifier)
+        tagger = shared.get()
         for b in batches:
             if "rare" not in b:
                 parts = [rows(tagger, b)]
             else:
                 parts = []
                 for k, rare in enumerate(b["rare"]):
-                    more = [] if rare is None else [w for w in rare if w not in names]
-                    parts.append(rows(Tagger(Finder(more, finder), classifier) if more else tagger, b.iloc[k : k + 1]))
+                    more = [] if rare is None else [w for w in rare if w not in tagger.finder.names_given]
+                    parts.append(rows(Tagger(Finder(more, tagger.finder), tagger.classifier) if more else tagger, b.iloc[k : k + 1]))
             yield from (p for p in parts if p is not None)
 
     return texts.mapInPandas(run, schema)
