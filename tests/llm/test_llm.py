@@ -37,6 +37,28 @@ def test_different_looks(a, b):
     assert T.key(a) != T.key(b)
 
 
+@pytest.mark.parametrize(("a", "b"), [("Օne", "One"), ("Ꭺsk", "Ask"), ("ꓐob", "Bob"), ("Ⅳ", "IV"), ("ёж", "ëж"), ("𐓪n", "on"), ("ⲟn", "on")])
+def test_equal_looks_of_other_scripts(a, b):
+    assert T.key(a) == T.key(b)
+
+
+def test_a_key_has_one_output():
+    table = {"a": "b"}
+    canonical._put(table, "a", "b")
+    with pytest.raises(ValueError):
+        canonical._put(table, "a", "c")
+
+
+def test_words_of_a_script_stay_in_it():
+    assert T.canonical("no one on. Совет рассмотрел письмо") == "no one on. Совет рассмотрел письмо"
+
+
+def test_classes(spark):
+    rows = [(1, "Моscow"), (2, "Moscow"), (3, "Moscow"), (4, "Minsk"), (5, None), (6, "")]
+    got = {r.request_id: (r.class_id, r.links) for r in canonical.classes(spark.createDataFrame([*rows, rows[1]], ROWS)).collect()}
+    assert got == {1: (1, 2), 2: (1, 1), 3: (1, 1), 4: (4, 0), 6: (6, 0)}
+
+
 def test_mapping_is_closed_and_idempotent():
     assert T.canonical("") == ""
     for s in ("Сhаріtrе ﬁ​x", "ｄéｊà vu", "الأٔ", ud.normalize("NFD", "Ünïcödé ệ")):
@@ -90,11 +112,29 @@ def test_headings_paragraphs_and_missing_blanks():
     assert sentences.spans("") == [] and sentences.spans(" \n ") == []
 
 
-def test_blocks_compose(monkeypatch):
-    text = " ".join(["“Go! Now!” he said.", "It ended. (So.)", "„Ja? Nein!“, rief er."] * 80)
-    whole = sentences.spans(text)
-    monkeypatch.setattr(sentences, "BLOCK", 3)
-    assert sentences.spans(text) == whole
+MIXED = " ".join(["“Go! Now!” he said.", "It ended. (So.)", "„Ja? Nein!“, rief er.", "See fig. 3 there.\n\nChapter 4\nIt rained.“Then?", "他问：“为什么？”没有人回答。", "«Да! Нет!» — сказал он.\n- one\n- two", "A “quote that never ends. It goes on.\n\n„Offen. Weiter."] * 6)
+
+
+@pytest.mark.parametrize("length", [1, 3, 7, 40, 333, 10_000])
+def test_blocks_of_any_length_give_the_same_sentences(length):
+    assert sentences.spans_in_blocks(MIXED, length) == sentences.spans(MIXED)
+
+
+def test_scan_composes_like_a_loop():
+    rng = random.Random(7)
+    functions = [tuple(rng.randrange(4) for _ in range(4)) for _ in range(13)]
+    got = sentences._scan(functions, lambda a, b: tuple(b[x] for x in a))
+    want = [functions[0]]
+    for f in functions[1:]:
+        want.append(tuple(f[x] for x in want[-1]))
+    assert got == want
+
+
+def test_long_texts_are_rows_of_blocks(spark):
+    rows = [(1, MIXED), (2, None), (3, ""), (4, "Short. Two."), (5, "\n\n" + MIXED + "  "), (5, "\n\n" + MIXED + "  "), (6, "!" * 3000)]
+    df = spark.createDataFrame(rows, "request_id long, text string")
+    got = sorted(tuple(r) for r in sentences.sentences(df, length=100).collect())
+    assert got == sorted({(k, n, a, b) for k, t in rows if t for n, (a, b) in enumerate(sentences.spans(t))})
 
 
 def test_sentence_offsets_of_disguised_text(spark):
@@ -125,6 +165,16 @@ def test_reading_levels_on_held_out_texts(spark):
     assert {r.request_id: r.reading_level for r in rows} == {0: 1, 3: 3}
 
 
+def test_interpolated_probabilities_sum_to_one():
+    model = reading.Grader([("The dog ran home. The boy ate bread. The dog saw us.", 1), ("The council denied the report.", 2)] * 6)
+    m, v = model.models[1], model.mix.vocabulary
+    known = [g[0] for g in m.adds[0]]
+    for context in (["never", "met"], ["the", "dog"], ["never", "dog"]):
+        base = m.bits(context)
+        total = sum(2 ** (base - m.bits([*context, w])) for w in known) + (v - len(known)) * 2 ** (base - m.bits([*context, "unheard-of"]))
+        assert total == pytest.approx(1.0)
+
+
 def test_isotonic_is_monotone():
     import numpy as np
 
@@ -172,6 +222,45 @@ def test_lost_bytes_and_decoys(channel):
     assert channel.restore("") == (False, "") and channel.restore("plain") == (False, "plain")
 
 
+@pytest.mark.parametrize(("bad", "good"), [("Совет расс�отрел п�сьмо.", "Совет рассмотрел письмо."), ("П�сьмо", "Письмо"), ("ferm�", "fermé"), ("�té", "été")])
+def test_lost_letters_in_any_script(channel, bad, good):
+    assert channel.restore(bad) == (True, good)
+
+
+@pytest.mark.parametrize(("text", "wrong"), [("Совет рассмотрел письмо.", "cp1251"), ("没有证据表明这件事。", "cp1252"), ("Größere Schäden entstünden überall.", "cp1250"), ("naïve été", "cp1252")])
+def test_lost_bytes_are_wildcards(channel, text, wrong):
+    bad = text.encode("utf-8").decode(wrong, "replace")
+    assert channel.restore(bad) == (True, text)
+
+
+def test_lattice_equals_brute_force(channel):
+    from itertools import product
+
+    for text in ("рассмотрел", "письмо", "Größere"):
+        for w in ("cp1251", "cp1252"):
+            bad = text.encode().decode(w, "replace")
+            if "�" not in bad:
+                continue
+            parts = [garbled._bytes(p, w) for p in bad.split("�")]
+            readings = []
+            for fill in product(garbled.LOST[w], repeat=len(parts) - 1):
+                raw = parts[0] + b"".join(bytes([x]) + p for x, p in zip(fill, parts[1:], strict=True))
+                try:
+                    readings.append(raw.decode())
+                except UnicodeDecodeError:
+                    continue
+            known = [r for r in readings if r.lower() in channel.log]
+            assert known and channel._lattice(bad, w) in known
+
+
+def test_rare_units_are_joined(spark):
+    texts = [*CLEAN * 3, "Le cafÃ© Ã©tait fermÃ©.", "Совет рассмотрел письмо.".encode("koi8-r").decode("cp1251"), "Le caf� �tait ferm�.", None, ""]
+    df = frame(spark, *texts)
+    whole = {tuple(r) for r in garbled.restore(df).collect()}
+    assert {tuple(r) for r in garbled.restore(df, size=5).collect()} == whole
+    assert sum(r[1] for r in whole) == 3
+
+
 def test_restore_frame(spark):
     df = frame(spark, *CLEAN * 3, "Le cafÃ© Ã©tait fermÃ©.", None, "")
     got = {r.request_id: r for r in garbled.restore(df).collect()}
@@ -213,6 +302,29 @@ def test_statistics_and_trees(spark):
     assert np.allclose(p.sum(1), 1)
 
 
+def test_numbers_alone_are_no_bytes_and_damage_is_no_junk():
+    common = {w for _, t in quality.HOLDOUT for w in garbled.units(t)}
+    at = quality.AT
+    assert quality.statistics("12 14 99 10 11 42", common)[at["hex_share"]] == 0
+    assert quality.statistics("4a ce 68 01 55 b1", common)[at["hex_share"]] == 1
+    noise = "╻ ╍☆ ◕┒ ◬◖◍☠╨┹ ◐┠ ▍┝╤└ ▛├ ┓◴▲ ▋│╕▀◝ ┢┘☈"
+    assert quality.SHAPES[quality.weak_label(quality.statistics(noise, common))] == "junk"
+    assert quality.SHAPES[quality.weak_label(quality.statistics(noise, common, True))] == "prose"
+
+
+def test_calibration_lowers_the_loss_of_the_holdout():
+    import numpy as np
+
+    common = {w for _, t in quality.HOLDOUT for w in garbled.units(t)}
+    x = np.array([quality.statistics(t, common) for _, t in quality.HOLDOUT])
+    y = np.array([quality.SHAPES.index(s) for s, _ in quality.HOLDOUT])
+    assert min(np.bincount(y)) >= 10
+    model = quality.Trees(x[::2], y[::2], np.ones(len(y[::2])))
+    before = -np.log(model.probabilities(x)[np.arange(len(y)), y]).mean()
+    model.calibrate(x, y)
+    assert -np.log(model.probabilities(x)[np.arange(len(y)), y]).mean() <= before
+
+
 def test_shapes_frame(spark):
     texts = ["The ferry left at dawn. Nobody on the pier waved, and the clerk shut his book."] * 8 + ["- the old mill\n- a brass key\n- two maps\n- a letter"] * 6 + ["!!! !!! !!! !!! !!! !!! !!! !!! !!! !!! !!! !!!"] * 6 + [None, ""]
     got = {r.request_id: r.text_shape for r in quality.shapes(frame(spark, *texts)).collect()}
@@ -256,6 +368,14 @@ def test_automaton_equals_brute_force():
         assert a.phrases(s) == n
 
 
+def test_the_label_decides_between_equals_only(monkeypatch):
+    find = language.Identifier({"DE": "ab", "EN": "cd"})
+    monkeypatch.setattr(language.Automaton, "phrases", lambda self, text: 0)
+    for costs, given, want in [((13, 12), "DE", "EN"), ((12, 13), "EN", "DE"), ((12, 12), "EN", "EN"), ((12, 12), "DE", "DE"), ((12, 12), None, "DE")]:
+        find.costs = find._costs = lambda s, costs=costs: costs
+        assert find.segments("Abcdefghijklm nopqrstuvwxyz abcdefghijklm nopqrstuvwxyz. " * 4, given)[0][0] == want
+
+
 EN = "The council met again. The harbour committee rejected the plan. Nobody knew why the gate was shut. The envoy waited for an answer."
 DE = "Der Rat traf sich wieder. Der Hafenausschuss verwarf den Plan. Niemand wusste, warum das Tor zu war. Der Gesandte wartete auf eine Antwort."
 
@@ -312,6 +432,34 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.leaks(d, e.limit(0)).count() == 0
 
 
+TEN = {
+    "en": "The harbour committee met twice and rejected every plan that was made", "de": "Der Hafenausschuss traf sich zweimal und verwarf jeden Plan für die große Straße", "fr": "L'évêque protégea à l'été tous ceux qui n'avaient pas répondu",
+    "es": "El señor de la montaña no respondió a ninguna de las cartas", "ru": "Ёлка стояла у ворот, и никто не знал, чей это был подарок", "zh": "河务局在海关后面拒绝了宵禁命令。没有人知道这是为什么。", "ja": "河川局は谷の下流ですべての電報を検討した。誰も知らない。",
+    "ar": "كَتَبَ الوَلَدُ الدَّرْسَ في البَيْتِ مَسَاءً ثُمَّ نَامَ", "fa": "نایب پیر می‌دانست که کسی در اسکله دست تکان نمی‌دهد و رفت", "ko": "배는 새벽에 떠났다 부두에 있던 사람은 아무도 손을 흔들지 않았다",
+}
+
+
+@pytest.mark.parametrize("lang", TEN)
+def test_items_of_every_script_are_found(lang):
+    item = TEN[lang]
+    text = f"Before, 12. {item.upper()} After."
+    (found,) = leaks.Scanner([(1, item), (2, "nothing of this stands there at all")]).leaks(text)
+    assert found[0] == 1 and found[1] == 1.0 and text[found[2] : found[3]] in item.upper()
+    assert brute(text, [(1, item)]) == {1} and [w for w, _, _ in leaks.places(text)] == leaks.words(text)
+    decomposed = ud.normalize("NFD", item)
+    assert leaks.words(decomposed) == leaks.words(item)
+    assert brute(item, [(k, t) for k, t in enumerate(TEN.values())]) == {list(TEN).index(lang)}
+
+
+def test_an_id_with_two_texts_and_several_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "red green blue white black")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two three four five"), (7, "red green blue white black"), (8, "one two three four five six")], "item_id long, text string")
+    want = {(1, 7), (2, 7), (1, 8)}
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(docs, items).collect()} == want
+    monkeypatch.setattr(leaks, "AUTOMATON_CHARS", 150)
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(docs, items).collect()} == want
+
+
 def test_leak_places():
     text = "Before. Ａ quick brown fоx jumps\nover it. After."
     (item, share, a, b), = leaks.Scanner([(7, "a quick brown fox jumps over")]).leaks(text)
@@ -335,10 +483,28 @@ def test_mixing(spark):
     assert abs(asked.agg(F.sum(F.col("tokens") * F.col("repeats"))).first()[0] - 500) < 60
 
 
+def test_shares_of_the_test_tables_reach_their_targets(spark):
+    """Tokens against budgets, as measured: each source is off by half its largest document at most, none repeated too often."""
+    folder = "/root/testdata/sf0.01/"
+    docs, targets = spark.read.parquet(folder + "documents.parquet"), spark.read.parquet(folder + "mix_targets.parquet")
+    rows = mixing.sized(docs.select("doc_id", "source", "text"))
+    plan = mixing.budgets(rows, targets)
+    budget = {(r.mix_name, r.source): r for r in plan.collect()}
+    largest = {r.source: r.m for r in rows.groupBy("source").agg(F.max("tokens").alias("m")).collect()}
+    shares = mixing.shares(mixing.select(rows, plan), plan).collect()
+    assert len(shares) == len(budget) == 21
+    for r in shares:
+        b = budget[r.mix_name, r.source]
+        assert abs(r.tokens - b.budget) <= largest.get(r.source, 0) / 2 + 1 and r.repeats <= r.max_repeats
+    for mix in {r.mix_name for r in shares}:
+        assert sum(r.actual_share for r in shares if r.mix_name == mix) == pytest.approx(1.0)
+
+
 def test_mixing_cuts_like_a_sorted_source(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
     d = spark.createDataFrame([(k, "a b c d", "s") for k in range(300)], "doc_id long, text string, source string")
     t = spark.createDataFrame([("m", "s", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixing, "SPAN", 3)
     rows = mixing.sized(d)
     mixed = mixing.select(rows, mixing.budgets(rows, t, 400)).collect()
     by_key = sorted(rows.collect(), key=lambda r: ((r.h % 2**64) >> 1, r.h))
@@ -356,6 +522,27 @@ def test_pii_formats():
     assert [text[a:b] for a, b, kind, _ in find.candidates(text) if kind == "address"] == ["Flat 5, 12 Mill Row, Ostby, AB12 3CD"]
 
 
+def test_pii_candidates_without_windows():
+    find = pii.Finder({})
+    mail = f"{'a' * 300}.b@mail.{'host-' * 60}x.example.org"
+    text = f"Write to {mail} now. Please ask for Jorvik Quandt. Then Jorvik Quandt left. Mr Otto Vex came."
+    got = [(text[a:b], kind) for a, b, kind, _ in find.candidates(text)]
+    assert got == [(mail, "email"), ("Jorvik Quandt", "name"), ("Otto Vex", "name"), ("Jorvik Quandt", "name")]
+    number = "1234 " * 60 + "5"
+    assert (number, "id_number") in [(t[a:b], k) for t in [f"See {number}; it ends."] for a, b, k, _ in find.candidates(t)]
+
+
+@pytest.mark.parametrize(("number", "want"), [("DE89 3704 0044 0532 0130 00", True), ("DE88 3704 0044 0532 0130 00", False), ("12345678Z", True), ("12345678A", False), ("4539 1488 0343 6467", True), ("7707083893", True), ("7707083894", False), ("11010519491231002X", True), ("0000000000", False)])
+def test_check_digits(number, want):
+    assert pii.checked(number) is want
+
+
+def test_the_classifier_sees_the_span():
+    sample = [("id_number", (1, -1), pii.shape("no. 123456789,", 4, 13))] * 40 + [("id_number", (1, 0), pii.shape("in 12, he", 3, 5))] * 40
+    c = pii.SpanClassifier(sample)
+    assert c.probability("id_number", (1, -1), pii.shape("no. 123456789,", 4, 13)) > c.probability("id_number", (1, -1), pii.shape("in 12, he", 3, 5))
+
+
 def test_pii_frame(spark):
     first, last = ["Ada", "Brix", "Cora", "Dario", "Edna"], ["Quillmoor", "Varnstead", "Oldenby", "Prendal", "Sutherwick"]
     rng = random.Random(5)
