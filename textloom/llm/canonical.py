@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.session import checkpoint
+
 # Characters that show nothing. U+200C and U+200D show in the joining of Arabic letters, see _joined.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufeff"
 JOINERS = "\u200c\u200d"
@@ -281,9 +283,9 @@ GROUP_ROWS = 10_000
 
 
 def _looked_at(df: DataFrame, key: str, column: str) -> DataFrame:
-    """id, k (16-byte key of the look), h (16-byte hash of the text) of the rows with an id and a text."""
+    """id, k (16-byte key of the look), h (16-byte hash of the text) of the rows with an id and a text; kept, for the keys are dear."""
     rows = df.filter(F.col(column).isNotNull() & F.col(key).isNotNull())
-    return rows.select(F.col(key).alias("id"), _key(F.col(column)).alias("k"), F.unhex(F.md5(column)).alias("h")).distinct()
+    return checkpoint(rows.select(F.col(key).alias("id"), _key(F.col(column)).alias("k"), F.unhex(F.md5(column)).alias("h")).distinct())
 
 
 def classes(df: DataFrame, key: str = "request_id", column: str = "text") -> DataFrame:
