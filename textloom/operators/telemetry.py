@@ -26,10 +26,23 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"total_words": F.size(w), "total_chars": chars, "avg_word_length": F.round(chars / F.greatest(F.lit(1), F.size(w)) + 1e-9, 2)})
 
 
+def counts_of(only: Column, alphabet: str) -> Column:
+    """(letter, n) of the letters that occur in a text that has no others: one pass for each letter, no row for each character."""
+    n = [F.struct(F.lit(x).alias("letter"), (F.length(only) - F.length(F.replace(only, F.lit(x), F.lit("")))).cast("bigint").alias("n")) for x in alphabet]
+    return F.filter(F.array(*n), lambda c: c["n"] > 0)
+
+
 def letters(df: DataFrame, key: list[str], text: Column, alphabet: str) -> DataFrame:
-    """key, letter, n: counts of the letters of `alphabet` that occur. Partial counts are combined before the shuffle."""
-    only = F.regexp_replace(text, f"[^{alphabet}]+", "")
-    return df.select(*key, F.explode(F.split(only, "")).alias("letter")).filter("letter != ''").groupBy(*key, "letter").agg(F.count("*").alias("n"))
+    """key, letter, n: counts of the letters of `alphabet` that occur in each row."""
+    only = df.select(*key, F.regexp_replace(text, f"[^{alphabet}]+", "").alias("_o")).filter(F.length("_o") > 0)
+    return only.select(*key, F.explode(counts_of(F.col("_o"), alphabet)).alias("c")).select(*key, "c.letter", "c.n")
+
+
+def all_letters(df: DataFrame, key: list[str], text: str = "text", alphabet: str = LATIN) -> DataFrame:
+    """key, letter, n of every letter of the alphabet, 0 where it doesn't occur."""
+    u = df.filter(F.col(text).isNotNull()).select(*key, F.upper(text).alias("_o"))
+    n = [F.struct(F.lit(x).alias("letter"), (F.length("_o") - F.length(F.replace(F.col("_o"), F.lit(x), F.lit("")))).cast("bigint").alias("n")) for x in alphabet]
+    return u.select(*key, F.explode(F.array(*n)).alias("c")).select(*key, "c.letter", "c.n")
 
 
 def latin_letters(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
