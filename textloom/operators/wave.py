@@ -7,11 +7,14 @@ the smaller root, the lower tier and the first category of CATEGORIES.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from textloom.functions.arrays import let, total
+
 # Categories of letters and the values of umlauts; A to Z count 1 to 26.
 CATEGORIES = {"origin": "A", "kinetic": "BEFJPSV", "resonant": "CHLMOUY", "sovereign": "DIKQTWXZ", "liminal": "GNRÄÖÜ"}
 UMLAUTS = {"Ä": 1.5, "Ö": 15.5, "Ü": 21.5}
@@ -55,26 +58,71 @@ def words(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumns({"root": root, "tier": tier})
 
 
+def _sigma(word: Column) -> Column:
+    """Population deviation of a word's letter values, rounded."""
+
+    def of(x: Column) -> Column:
+        mean = total(x, F.lit(0.0)) / F.size(x)
+        return let(F.struct(x.alias("x"), mean.alias("m")), lambda s: F.sqrt(total(F.transform(s["x"], lambda v: (v - s["m"]) * (v - s["m"])), F.lit(0.0)) / F.size(s["x"])))
+
+    return F.round(let(_values(word), of) + 1e-9, 4)
+
+
+def _values(letters: Column) -> Column:
+    return F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), value)
+
+
+def _tier(sigma: Column) -> Column:
+    return F.when(sigma < 2, 1).when(sigma < 5, 2).otherwise(3)
+
+
+def _equal(c: int) -> Callable[[Column], Column]:
+    return lambda x: x == c
+
+
+def _mode(values: Column, choices: list[int]) -> Column:
+    """The most frequent of the choices, the first among equals."""
+    counts = F.array(*[F.struct(F.size(F.filter(values, _equal(c))).alias("n"), F.lit(-c).alias("c")) for c in choices])
+    return -F.array_max(counts)["c"]
+
+
 def summary(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """key, mean_sigma, root, tier, label: means and modes over the words of a text."""
-    uses = df.select(*key, F.explode(F.filter(F.split(folded(F.col(text)), r"\s+"), lambda c: c != "")).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("uses"))
-    s = uses.join(words(df, text), "word")
-    mean = s.groupBy(*key).agg(F.round(F.sum(F.col("sigma") * F.col("uses")) / F.sum("uses") + 1e-9, 4).alias("mean_sigma"))
+    """key, mean_sigma, root, tier, label, and shares of the tiers and of the categories: over the words of each row, without a shuffle."""
+    ws = F.filter(F.split(folded(F.col(text)), r"\s+"), lambda c: c != "")
+    w = df.select(*key, ws.alias("_w")).filter(F.size("_w") > 0)
 
-    def mode(of: str) -> DataFrame:
-        n = s.groupBy(*key, of).agg(F.sum("uses").alias("n"))
-        return n.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("n"), of))).filter("r = 1").select(*key, of)
+    def word(x: Column) -> Column:
+        whole = F.floor(total(_values(x), F.lit(0.0))).cast("int")
+        return F.struct(_sigma(x).alias("sigma"), ((whole - 1) % 9 + 1).cast("int").alias("root"))
 
+    w = w.select(*key, F.array_join("_w", "").alias("_o"), F.transform("_w", word).alias("_s"))
+    w = w.select("*", F.transform("_s", lambda s: s["sigma"]).alias("_sigma"), F.transform("_s", lambda s: s["root"]).alias("_root"))
+    w = w.select("*", F.transform("_sigma", _tier).alias("_tier"))
     label = F.element_at(F.create_map(*[F.lit(x) for kv in ROOTS.items() for x in kv]), F.col("root"))
-    return mean.join(mode("root"), key).join(mode("tier"), key).withColumn("label", label)
+    out = w.select("*", F.round(total(F.col("_sigma"), F.lit(0.0)) / F.size("_sigma") + 1e-9, 4).alias("mean_sigma"), _mode(F.col("_root"), list(ROOTS)).alias("root"), _mode(F.col("_tier"), [1, 2, 3]).alias("tier"))
+    tiers = [F.round(F.size(F.filter("_tier", _equal(c))) / F.size("_tier") + 1e-9, 4).alias(f"tier_{c}") for c in (1, 2, 3)]
+    kinds = [F.round(F.regexp_count("_o", F.lit(f"[{of}]")) / F.length("_o") + 1e-9, 4).alias(name) for name, of in CATEGORIES.items()]
+    return out.select(*key, "mean_sigma", "root", "tier", label.alias("label"), *tiers, *kinds)
+
+
+def envelope(df: DataFrame, key: list[str], text: str = "text", buckets: int = 100, empty: bool = False) -> DataFrame:
+    """key, bucket, value: mean letter value of each of `buckets` equal parts; with `empty` also of parts without letters, as 0."""
+    x = F.transform(F.filter(F.split(F.regexp_replace(folded(F.col(text)), r"\s+", ""), ""), lambda c: c != ""), value)
+    s = df.select(*key, x.alias("_x")).filter(F.size("_x") > 0)
+
+    def part(b: Column) -> Column:  # bucket b holds the positions from floor(b n / B) to floor((b + 1) n / B)
+        first = F.floor(b * F.size("_x") / buckets).cast("int")
+        own = F.slice("_x", first + 1, F.floor((b + 1) * F.size("_x") / buckets).cast("int") - first)
+        return F.struct(b.alias("bucket"), let(own, lambda v: F.when(F.size(v) > 0, F.round(total(v, F.lit(0.0)) / F.size(v) + 1e-9, 4))).alias("value"))
+
+    out = s.select(*key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), part)).alias("p")).select(*key, "p.bucket", "p.value")
+    return out.na.fill(0.0, ["value"]) if empty else out.filter("value IS NOT NULL")
 
 
-def envelope(df: DataFrame, key: list[str], text: str = "text", buckets: int = 100) -> DataFrame:
-    """key, bucket, value: mean letter value of each of `buckets` equal parts; only parts with letters have a row."""
-    s = signal(df, key, text).withColumn("n", F.count("*").over(W.partitionBy(*key)))
-    # bucket b holds the positions from floor(b n / B) to floor((b + 1) n / B)
-    b = F.floor(((F.col("pos") + 1) * buckets - 1) / F.col("n")).cast("int")
-    return s.withColumn("bucket", b).groupBy(*key, "bucket").agg(F.round(F.avg("x") + 1e-9, 4).alias("value"))
+def pattern(df: DataFrame, key: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
+    """key, pos, value: the first `samples` letter values less their mean, the signal that `spectrum` transforms."""
+    s = signal(df, key, text).filter(F.col("pos") < samples)
+    return s.select(*key, "pos", F.round(F.col("x") - F.avg("x").over(W.partitionBy(*key)) + 1e-9, 4).alias("value"))
 
 
 def spectrum(df: DataFrame, key: list[str], text: str = "text", peaks: int = PEAKS) -> DataFrame:
@@ -92,4 +140,6 @@ def spectrum(df: DataFrame, key: list[str], text: str = "text", peaks: int = PEA
 
 def categories(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, category, n of the letters."""
-    return signal(df, key, text).withColumn("category", category(F.col("letter"))).groupBy(*key, "category").agg(F.count("*").alias("n"))
+    only = df.select(*key, F.regexp_replace(folded(F.col(text)), r"\s+", "").alias("_o"))
+    n = [F.struct(F.lit(name).alias("category"), F.regexp_count("_o", F.lit(f"[{of}]")).cast("bigint").alias("n")) for name, of in CATEGORIES.items()]
+    return only.select(*key, F.explode(F.filter(F.array(*n), lambda c: c["n"] > 0)).alias("c")).select(*key, "c.category", "c.n")
