@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from textloom.operators.rejects import EMOTIONS
+
 
 def cleanse(word: Column) -> Column:
     """Lower case and stripped; null if blank, with inner white space, or of less than half letters and digits."""
@@ -79,3 +81,38 @@ def triggers(vad: DataFrame, emotions: DataFrame, key: list[str]) -> DataFrame:
         (threat & (F.col("anger") > 0.6) & (F.col("disgust") > 0.5)).alias("contempt"),
         (panic & (F.col("fear") > 0.6) & (F.col("anticipation") > 0.6)).alias("paranoia"),
     )
+
+
+def _pds(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """tokens (key..., lang, word) that the lexicon has, with power, danger and structure, not rounded."""
+    m = tokens.join(lexicon.select("lang", "word", "v", "a", "d"), ["lang", "word"])
+    v, a, d = (F.col(c) * 2 - 1 for c in "vad")
+
+    def clip(x: Column) -> Column:
+        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
+
+    return m.withColumns({"power": clip(d), "danger": clip(-0.7 * v + 0.3 * a), "structure": clip(-a)})
+
+
+def pds(tokens: DataFrame, lexicon: DataFrame, emotions: DataFrame, key: list[str]) -> DataFrame:
+    """key, matched, and mean and deviation (population) of power, danger, structure and the eight emotions over the matched tokens; a word without an emotion counts 0 for it."""
+    names = sorted(EMOTIONS)
+    wide = emotions.groupBy("lang", "word").agg(*[F.max(F.when(F.col("emotion") == e, F.col("score"))).alias(e) for e in names])
+    m = _pds(tokens, lexicon).join(wide, ["lang", "word"], "left").na.fill(0.0, names)
+    axes = ["power", "danger", "structure", *names]
+    return m.groupBy(*key).agg(F.count("*").alias("matched"), *[f for c in axes for f in (F.round(F.avg(c) + 1e-9, 4).alias(f"{c}_mean"), F.round(F.stddev_pop(c) + 1e-9, 4).alias(f"{c}_sd"))])
+
+
+def extremes(tokens: DataFrame, lexicon: DataFrame, key: list[str], most: int = 60) -> DataFrame:
+    """key, rank, word, power, danger: the matched tokens (with `pos`) farthest from the middle of the plane of power and danger."""
+    m = _pds(tokens, lexicon).select(*key, "pos", "word", F.round(F.col("power") + 1e-9, 4).alias("power"), F.round(F.col("danger") + 1e-9, 4).alias("danger"))
+    far = F.round(F.sqrt(F.col("power") * F.col("power") + F.col("danger") * F.col("danger")), 9)
+    rank = F.row_number().over(W.partitionBy(*key).orderBy(far.desc(), "pos"))
+    return m.withColumn("rank", rank).filter(F.col("rank") <= most).select(*key, "rank", "word", "power", "danger")
+
+
+def valence_of_all(texts: DataFrame, matched: DataFrame, key: list[str]) -> DataFrame:
+    """`valence` with a row for every text: one without a matched word has means of 0.5, deviations of 0 and a note."""
+    out = texts.select(*key).distinct().join(matched, key, "left")
+    out = out.withColumn("note", F.when(F.col("matched").isNull(), "no word of the text is in the lexicon"))
+    return out.na.fill(0, ["matched"]).na.fill(0.5, [f"{c}_mean" for c in "vad"]).na.fill(0.0, [f"{c}_sd" for c in "vad"])

@@ -33,3 +33,10 @@ def burrows(rates: DataFrame, key: str, value: str = "rate", word: str = "word")
     s = rates.groupBy(word).agg(F.avg(value).alias("mu"), F.stddev_samp(value).alias("sd"))
     z = rates.join(s, word).filter("sd > 0").withColumn("z", F.abs((F.col(value) - F.col("mu")) / F.col("sd")))
     return z.groupBy(key).agg(F.round(F.avg("z") + 1e-9, 6).alias("delta"))
+
+
+def event_counts(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """by, events_a, events_b, difference (b - a): events of two sides, 0 where one has none."""
+    left, right = (x.groupBy(*by).agg(F.count("*").alias(name)) for x, name in ((a, "events_a"), (b, "events_b")))
+    out = left.join(right, by, "full").na.fill(0, ["events_a", "events_b"])
+    return out.withColumn("difference", F.col("events_b") - F.col("events_a"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 FEATURES = ("EXHIBITS_DEVICE", "CO_OCCURS_WITH", "HAS_AFFECT")
 #: Nodes that a dense spectrum is computed for.
@@ -84,8 +85,11 @@ def reach(nodes: DataFrame, edges: DataFrame, start: list[str], depth: int = 2)
 
 
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows replace those of the same id."""
-    return nodes.join(new.select("id"), "id", "left_anti").unionByName(new.dropDuplicates(["id"]))
+    """New rows replace those of the same id; of several new ones the largest row counts, so that the result doesn't hang on their order."""
+    rest = [c for c in new.columns if c != "id"]
+    plain = [F.to_json(F.col(c)) if isinstance(new.schema[c].dataType, MapType) else F.col(c) for c in rest]
+    best = new.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(*plain)).alias("s")).select("id", "s.*")
+    return nodes.join(new.select("id"), "id", "left_anti").unionByName(best)
 
 
 def remove_document(nodes: DataFrame, edges: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
@@ -112,3 +116,51 @@ def index(docs: DataFrame, features: DataFrame, least: float = 0.05) -> tuple[Da
 def degrees(edges: DataFrame) -> DataFrame:
     """src, relation, features: how many nodes each node reaches by each relation."""
     return edges.groupBy("src", "relation").agg(F.countDistinct("dst").alias("features"))
+
+
+def corpora(edges: DataFrame) -> DataFrame:
+    """corpus, documents: every corpus with the number of its documents."""
+    return edges.filter("relation = 'BELONGS_TO'").groupBy(F.col("dst").alias("corpus")).agg(F.countDistinct("src").alias("documents"))
+
+
+def corpus_documents(nodes: DataFrame, edges: DataFrame, corpus: str) -> DataFrame:
+    """id and all else that is known of the documents of a corpus."""
+    members = edges.filter((F.col("relation") == "BELONGS_TO") & (F.col("dst") == corpus)).select(F.col("src").alias("id")).distinct()
+    return nodes.join(members, "id", "left_semi")
+
+
+def document_matrix(edges: DataFrame, doc: str) -> DataFrame:
+    """i, j, value of one document alone."""
+    return cooccurrence(weights(edges.filter(F.col("src") == doc)))
+
+
+def window_matrices(features: DataFrame, key: list[str]) -> DataFrame:
+    """i, j, value over the windows of one analysis: features (key..., node, weight), of a window or of a text."""
+    w = features.groupBy(F.concat_ws(" ", *[F.col(k).cast("string") for k in key]).alias("doc"), F.col("node").alias("feature")).agg(F.sum("weight").alias("w"))
+    return cooccurrence(w)
+
+
+def frobenius(d: DataFrame) -> DataFrame:
+    """norm: the Frobenius norm of a matrix (i, j, value)."""
+    return d.agg(F.round(F.coalesce(F.sqrt(F.sum(F.col("value") * F.col("value"))), F.lit(0.0)) + 1e-9, 6).alias("norm"))
+
+
+def fiedler(spectrum_: DataFrame) -> DataFrame:
+    """fiedler: the second smallest eigenvalue, how well the graph hangs together."""
+    return spectrum_.filter("rank = 1").select(F.col("eigenvalue").alias("fiedler"))
+
+
+def related(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 2) -> DataFrame:
+    """relation, features: how many nodes, without the start, the edges within `depth` steps of a node lead to."""
+    return reach(nodes, edges, [start], depth).filter(F.col("dst") != start).groupBy("relation").agg(F.countDistinct("dst").alias("features"))
+
+
+def set_property(nodes: DataFrame, node: str, name: str, value: str) -> DataFrame:
+    """A property (in `props`, a map) of one node set anew."""
+    rest = F.map_filter(F.coalesce("props", F.expr("map()").cast("map<string,string>")), lambda k, _: k != name)
+    return nodes.withColumn("props", F.when(F.col("id") == node, F.map_concat(rest, F.create_map(F.lit(name), F.lit(value)))).otherwise(F.col("props")))
+
+
+def remove_corpus(nodes: DataFrame, edges: DataFrame, corpus: str) -> tuple[DataFrame, DataFrame]:
+    """The graph without a corpus; its documents stay."""
+    return nodes.filter(F.col("id") != corpus), edges.filter(~((F.col("relation") == "BELONGS_TO") & (F.col("dst") == corpus)))
