@@ -27,7 +27,11 @@ def with_text(df: DataFrame, column: str = "text") -> DataFrame:
     return df.filter(F.length(column) > 0)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores, if it comes in fewer parts than there are cores (a few small files before dear work)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (the file's path) and text of plain text files, one row for each."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
+
+
+def arriving(spark: SparkSession, path: str, schema: str, files_at_once: int = 100) -> DataFrame:
+    """Parquet files as they arrive, as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
