@@ -47,8 +47,8 @@ def test_stride_must_be_smaller_than_window(spark):
 
 
 @pytest.mark.parametrize(("word", "want"), [("A", 12.0), ("MOON", 28.5), ("WM", 38.4), ("MESS", 32.16), ("HOB", 15.5)])
-def test_word_scores(word, want):
-    assert micro.word_score(word) == pytest.approx(want)
+def test_word_scores(spark, word, want):
+    assert micro.score_words(spark.createDataFrame([(word,)], "word string")).first().score == pytest.approx(want)
 
 
 def test_doubles(spark):
@@ -225,7 +225,7 @@ def test_sinks_and_udtf(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in (1, 2):
         sinks.replace_table(spark.range(n), path)
-    assert spark.read.parquet(path).count() == 2
+    assert sinks.read_table(spark, path).count() == 2
     sinks.export(spark.range(3), str(tmp_path / "c"), "csv")
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 3
     udtf.register(spark)
@@ -233,16 +233,19 @@ def test_sinks_and_udtf(spark, tmp_path):
     assert [r.start_char for r in rows] == [0, 500, 1000]
 
 
-def test_alphabets():
-    assert micro.word_score("Я", micro.RU) == 12.0
-    assert micro.word_score("ЖЖ", micro.RU) == pytest.approx(8 * 1.8 * 1.2)
-    assert micro.word_score("جع", micro.AR) == pytest.approx(((8 + 9) * 2.0) * 1.2)
-    assert micro.word_score("AS", micro.FR) == micro.word_score("AS", micro.EN)  # consumed by the pair before it could be silent
-    assert micro.word_score("BT", micro.FR) == 7 * 1.5
+def test_alphabets(spark):
+    def score(word, language):
+        return micro.score_words(spark.createDataFrame([(word,)], "word string"), language).first().score
+
+    assert score("Я", "RU") == 12.0
+    assert score("ЖЖ", "RU") == pytest.approx(8 * 1.8 * 1.2)
+    assert score("جع", "AR") == pytest.approx(((8 + 9) * 2.0) * 1.2)
+    assert score("AS", "FR") == score("AS", "EN")  # the pair counts before it could be silent
+    assert score("BT", "FR") == 7 * 1.5
 
 
 def test_stroke_table(spark):
-    from textloom.queries import STROKES
+    from textloom.parameters import STROKES
 
     strokes = dict(STROKES)
     assert len(strokes) == len(STROKES) == 309  # the reference's ideographs, each once
@@ -290,3 +293,111 @@ def test_plan(spark):
 
     out = analyze.analyze(docs(spark, "The cat sat. It ran!", None, ""))
     assert {name: df.count() for name, df in out.items()} == {"windows": 1, "telemetry": 1, "micro": 1, "entropy": 1, "wave": 1, "baselines": 6}
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    from textloom.sources import sinks
+
+    path = str(tmp_path / "t")
+    first = sinks.replace_table(spark.range(3), path)
+    old = sinks.read_table(spark, path)
+    sinks.replace_table(spark.range(5), path)
+    assert sinks.read_table(spark, path).count() == 5 and old.count() == 3 and sinks.current(spark, path) != first
+    with pytest.raises(Exception, match="boom"):
+        sinks.replace_table(spark.range(9).select(F.raise_error(F.lit("boom")).alias("x")), path)
+    assert sinks.read_table(spark, path).count() == 5
+    assert sinks.prune(spark, path) >= 1 and sinks.read_table(spark, path).count() == 5
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, str(tmp_path / "none"))
+
+
+def test_graphs_and_exports_come_back(spark, tmp_path):
+    from textloom.sources import sinks, texts
+
+    nodes = spark.createDataFrame([("a", "Document"), ("c", "Corpus")], "id string, type string")
+    edges = spark.createDataFrame([("a", "c", "BELONGS_TO", 1.0)], "src string, dst string, relation string, weight double")
+    sinks.save_graph(nodes, edges, str(tmp_path / "g"))
+    n, e = sinks.load_graph(spark, str(tmp_path / "g"))
+    assert sorted(n.collect()) == sorted(nodes.collect()) and e.collect() == edges.collect()
+    for fmt in ("json", "csv"):
+        sinks.export(edges, str(tmp_path / fmt), fmt)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1 and spark.read.json(str(tmp_path / "json")).count() == 1
+    (tmp_path / "one.txt").write_text("A text.\nOf two lines.")
+    assert texts(spark, str(tmp_path / "one.txt")).first().text == "A text.\nOf two lines."
+
+
+@pytest.mark.parametrize("rows", [1, 7, 40, 10_000])
+def test_ranges_compose(spark, rows):
+    import random
+
+    rng = random.Random(3)
+    xs = [(rng.choice(["hot"] * 8 + ["cold", None]), k // 2, k, rng.choice([None, 1e6 + rng.random(), 1e6 - rng.random()])) for k in range(500)]
+    df = spark.createDataFrame(xs, "variable string, at long, id long, value double")
+    got = {r.id: r for r in baseline.running(df, ["variable"], ["at", "id"], rows=rows).collect()}
+    ema = {r.id: r.ema for r in baseline.moving_average(df, ["variable"], ["at", "id"], rows=rows).collect()}
+    state = {}
+    for variable, _, k, x in xs:
+        if x is None:
+            assert k not in got and k not in ema
+            continue
+        state[variable], sigma, z = baselines.absorb(state.get(variable, (0, 0.0, 0.0, 0.0)), x)
+        n, mu, _, e = state[variable]
+        r = got[k]
+        assert r.n == n and math.isclose(r.mu, mu, rel_tol=1e-12) and math.isclose(r.sigma, sigma, rel_tol=1e-6) and abs(r.z - z) < 1e-4 * max(1, abs(z)) and math.isclose(ema[k], e, rel_tol=1e-9)
+
+
+def test_seeded_baselines_absorb_the_control_first(spark):
+    schema = "variable string, seq long, value double"
+    control = spark.createDataFrame([("v", 9, 1.0), ("v", 10, 4.0)], schema)
+    r = baseline.seeded(control, spark.createDataFrame([("v", 1, 2.0)], schema), ["variable"], ["seq"]).collect()
+    assert len(r) == 1 and r[0].n == 3 and round(r[0].z, 4) == -0.2182
+
+
+def test_prefix_sums(spark):
+    from textloom.functions.arrays import prefix_sums
+
+    d = spark.createDataFrame([([],), (list(range(200)),), ([5],)], "x array<int>")
+    assert [r[0] for r in d.select(prefix_sums(F.col("x"))).collect()] == [[], [k * (k - 1) // 2 for k in range(200)], [0]]
+
+
+def test_windows_of_a_long_part_and_odd_strides(spark):
+    text = "x\n" * 2500 + "😀" * 700
+    got = windows.windows(docs(spark, text), 1000, 300).orderBy("win_idx").collect()
+    for r in got:
+        assert r.text == text[r.start_char : r.end_char] and r.start_line == text[: r.start_char].count("\n") + 1 and r.end_line == text[: r.end_char].count("\n") + 1
+    assert got[-1].end_char == len(text)
+
+
+def test_lexicon_files(spark, tmp_path):
+    from textloom.operators import lexicons
+
+    (tmp_path / "vad_de.tsv").write_text("Word\tV\tA\tD\tT\ncouncil\t0.6\t0.4\t1.8\tRat\nnight\t0.1\t0.2\t0.3\t\nnight\t0.4\t0.5\t0.6\n")
+    raw = lexicons.lines(spark, str(tmp_path))
+    assert {tuple(r) for r in lexicons.vad(raw).collect()} == {("de", "rat", 0.6, 0.4, 1.8), ("de", "night", 0.4, 0.5, 0.6)}
+    assert {tuple(r) for r in lexicons.vad(raw, "first").collect()} == {("de", "rat", 0.6, 0.4, 1.0), ("de", "night", 0.1, 0.2, 0.3)}
+    assert lexicons.vad(raw.limit(0)).count() == 0
+
+
+def test_similar_beyond_the_bound(spark, monkeypatch):
+    v = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 2.0], 1), (3, [0.0, 0.0], 1), (4, [3.0, 3.0], 0)], "vec_id long, embedding array<float>, label int")
+    c = macro.centroids(v)
+    want = sorted((r.vec_id, r.pole, round(r.sim, 6)) for r in macro.similar(v, c, least=0.5).collect())
+    monkeypatch.setattr(macro, "CENTROID_VALUES", 1)
+    assert want and sorted((r.vec_id, r.pole, round(r.sim, 6)) for r in macro.similar(v, c, least=0.5).collect()) == want
+
+
+def test_upserts_and_properties(spark):
+    s = "id string, type string, props map<string,string>"
+    nodes = spark.createDataFrame([("a", "Document", {"x": "1"}), ("b", "Corpus", None)], s)
+    new = spark.createDataFrame([("a", "Document", {"x": "2"}), ("a", "Document", {"x": "3"})], s)
+    got = {r.id: r.props for r in graph.upsert_nodes(nodes, new).collect()}
+    assert got == {"a": {"x": "3"}, "b": None}
+    assert {r.id: r.props for r in graph.set_property(nodes, "a", "y", "5").collect()} == {"a": {"x": "1", "y": "5"}, "b": {}} or {r.id: r.props for r in graph.set_property(nodes, "a", "y", "5").collect()}["a"] == {"x": "1", "y": "5"}
+
+
+def test_ledgers(spark):
+    from textloom.operators import entity
+
+    s = "event_id string, delta double"
+    old, new = spark.createDataFrame([("a", 1.0)], s), spark.createDataFrame([("a", 2.0), ("b", 3.0)], s)
+    assert {tuple(r) for r in entity.append(old, new).collect()} == {("a", 1.0), ("b", 3.0)} and entity.cleared(old).count() == 0

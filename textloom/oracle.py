@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from textloom import oracle_values as v
+
 HEADING = r"(?:chapter|section|part|prologue|epilogue|\d+\.)\s+"
 WIN = rf"""
 p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([^\n])(\n\n+)', '\1' || chr(1) || '\2' || chr(1), 'g'),
@@ -27,19 +29,91 @@ def quoted(words: list[str] | tuple[str, ...]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-def sql() -> dict[str, str]:
-    from textloom.operators import literary as lit
-    from textloom.operators import baseline, micro, telemetry, wave
+def letter_scores(arabic: str) -> dict[str, str]:
+    """Word scores, one row for each letter, and what windows make of them."""
+
+    def scores(source: str, language: str, text: str, weights: dict, doubles: dict, pairs: dict, marks: str, silent: str = "") -> str:
+        """CTEs: uses (key..., word, uses), scored (word, score) of a source with `text`."""
+
+        def case(letter: str, table: dict, other: str) -> str:
+            return f"CASE {letter} " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in table.items()) + f" ELSE {other} END"
+
+        def acts(other: str) -> str:
+            return "CASE " + " ".join(f"WHEN c || {other} IN ('{p}', '{p[::-1]}') THEN {f}" for p, f in pairs.items()) + " END"
+
+        def half(other: str, reach: float) -> str:
+            return f"({case('c', weights, '0')} + {case(other, weights, '0')}) * {acts(other)} * {reach} / 2"
+
+        last = f"CASE WHEN c IN ({quoted(tuple(silent))}) THEN 0.0 ELSE 0.75 END" if silent else "0.75"
+        return f"""u AS (SELECT * EXCLUDE (text), unnest(regexp_extract_all({text}, '[{''.join(weights)}]+')) AS word FROM {source}),
+dw AS (SELECT DISTINCT word, regexp_replace(word, '{"|".join(x * 2 for x in weights)}', '12', 'g') AS d FROM u),
+lk AS (SELECT word, d, '  ' || word || '  ' AS p, unnest(range(1, length(word) + 1)) AS k FROM dw),
+lt AS (SELECT word, k, substring(p, k + 2, 1) AS c, substring(d, k, 1) AS f, substring(p, k, 1) AS a, substring(p, k + 1, 1) AS b, substring(p, k + 3, 1) AS e, substring(p, k + 4, 1) AS g FROM lk),
+scored AS (SELECT word, sum(CASE WHEN f IN ('1', '2') THEN {case('c', weights, '0')} * {case('c', doubles, '1.0')} / 2
+ ELSE coalesce({half('a', 0.5)}, {half('b', 1.0)}, {half('e', 1.0)}, {half('g', 0.5)}, {case('c', weights, '0')} * CASE WHEN k = 1 THEN 1.5 WHEN k = length(word) THEN {last} ELSE 1.0 END) END)
+ * CASE WHEN regexp_matches(word, '[{marks}]') THEN 1.2 ELSE 1.0 END AS score FROM lt GROUP BY word)"""
+
+    def window(by: str, marks: str) -> str:
+        return f"ws AS (SELECT {by}, round(sum(score) + 1e-9, 4) AS raw_score, CAST(sum(length(word)) AS BIGINT) AS total_chars, CAST(sum(CASE WHEN regexp_matches(word, '[{marks}]') THEN 1 ELSE 0 END) AS BIGINT) AS words_with_visual, sum(score) AS raw FROM u JOIN scored USING (word) GROUP BY {by})"
+
+    def shares(by: str, weights: dict, axes: dict) -> str:
+        w = "CASE l " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in weights.items()) + " END"
+        parts = ", ".join(f"100.0 * sum(CASE WHEN l IN ({quoted(tuple(of))}) THEN {w} ELSE 0 END) / sum({w}) AS {name}" for name, of in axes.items())
+        return f"ll AS (SELECT {by}, unnest(string_split(word, '')) AS l FROM u), sh AS (SELECT {by}, {parts} FROM ll GROUP BY {by})"
 
-    weight = "CASE letter " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in micro.EN.table.items()) + " END"
-    fw, pron = quoted(lit.FUNCTION_WORDS), quoted((*lit.FIRST, *lit.SECOND, *lit.THIRD))
+    def vectors(source: str, by: str, language: str, text: str, agitation: str = "agitation", anxiety: str = "anxiety", more: str = "") -> str:
+        w, d, p = tables[language]
+        m, ax = v.MARKS.get(language, v.MARKS["AR" if language == "FA" else "EN"]), v.AXES.get(language, v.AXES["AR" if language == "FA" else "EN"])
+        return f"""{scores(source, language, text, w, d, p, m, "STXD" if language == "FR" else "")}, {window(by, m)}, {shares(by, w, ax)}{more}
+SELECT {by}, round(raw_score / greatest(1, total_chars) + 1e-9, 4) AS intensity, round({anxiety} + 1e-9, 6) AS anxiety, round(attention + 1e-9, 6) AS attention, round(emotion + 1e-9, 6) AS emotion, round({agitation} + 1e-9, 6) AS agitation, words_with_visual::DOUBLE AS complexity FROM ws JOIN sh USING ({by})"""
+
+    def documents(language: str) -> str:
+        return f"WITH s AS (SELECT doc_id, text FROM documents WHERE lower(lang) = '{language}' AND text IS NOT NULL), "
+
+    tables = {
+        "EN": (v.EN_WEIGHTS, v.EN_DOUBLES, v.EN_PAIRS), "ES": (v.EN_WEIGHTS, v.EN_DOUBLES | {"R": 2.0, "L": 1.5}, v.EN_PAIRS), "FR": (v.EN_WEIGHTS, v.EN_DOUBLES, v.EN_PAIRS),
+        "RU": (v.RU_WEIGHTS, v.RU_DOUBLES, v.RU_PAIRS), "AR": (v.AR_WEIGHTS, v.AR_DOUBLES, v.AR_PAIRS), "FA": (v.AR_WEIGHTS | v.FA_MORE, v.AR_DOUBLES | v.FA_DOUBLES, v.AR_PAIRS),
+    }
+    upper, bare = "upper(replace(text, 'ß', 'ss'))", arabic.replace("(text,", r"(regexp_replace(text, '[\x{064B}-\x{065F}\x{0640}]', '', 'g'),")
+    folded = "replace(replace(replace(replace(replace(replace(replace(text, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ß', 'ss')"
+    w, d, p = tables["EN"]
+    whole = scores("src", "EN", upper, w, d, p, v.MARKS["EN"])
+    win = f"WITH {WIN}, src AS (SELECT doc_id, win_idx, text FROM win), "
+    by = "doc_id, win_idx"
+    rr = ", rr AS (SELECT doc_id, sum(len(regexp_extract_all(word, 'RR'))) * 14.0 / greatest(1.0, any_value(raw)) * 100 AS boost FROM u JOIN ws USING (doc_id) GROUP BY doc_id)"
+    mute = ", mt AS (SELECT doc_id, avg(CASE WHEN regexp_matches(word, '[STXD]$') THEN 1.0 ELSE 0 END) AS mute FROM u GROUP BY doc_id)"
+    events = f"WITH s AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, l[n] AS word, n - 1 AS word_no FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, regexp_extract_all({upper}, '[A-Z]+') AS l FROM s)))"
+    weigh = "CASE {} " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in v.EN_WEIGHTS.items()) + " END"
+    act = "CASE " + " ".join(f"WHEN pair IN ('{x}', '{x[::-1]}') THEN {f}" for x, f in v.EN_PAIRS.items()) + " END"
+    twice = "CASE substring(pair, 1, 1) " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in v.EN_DOUBLES.items()) + " ELSE 1.0 END"
+    first, second = weigh.format("substring(pair, 1, 1)"), weigh.format("substring(pair, 2, 1)")
+    return {
+        "bpv_words": f"WITH src AS (SELECT text FROM documents), {whole} SELECT word, score::DOUBLE AS score FROM scored",
+        "bpv_window": f"{win}{whole}, {window(by, 'WMK')} SELECT {by}, raw_score, total_chars, words_with_visual FROM ws",
+        "micro_vectors": win + vectors("src", by, "EN", upper),
+        "micro_es": documents("es") + vectors("s", "doc_id", "ES", upper, agitation="agitation + (SELECT boost FROM rr WHERE rr.doc_id = ws.doc_id)", more=rr),
+        "micro_fr": documents("fr") + vectors("s", "doc_id", "FR", upper, anxiety="anxiety * (1 - 0.3 * (SELECT mute FROM mt WHERE mt.doc_id = ws.doc_id))", more=mute),
+        "micro_de": documents("de") + vectors("s", "doc_id", "EN", f"upper({folded})"),
+        "micro_ru": documents("ru") + vectors("s", "doc_id", "RU", "upper(text)"),
+        "micro_ar": documents("ar") + vectors("s", "doc_id", "AR", bare),
+        "micro_fa": documents("fa") + vectors("s", "doc_id", "FA", bare),
+        "bpv_pairs": f"{events}, x AS (SELECT doc_id, word_no, word, unnest(range(1, length(word) + 1)) AS k FROM w), y AS (SELECT doc_id, word_no, dist AS distance, substring(word, k, 1) || substring(word, k + dist, 1) AS pair FROM x, (VALUES (1), (2)) AS t(dist) WHERE k + dist <= length(word)) SELECT doc_id, CAST(word_no AS BIGINT) AS word_no, pair, CAST(distance AS BIGINT) AS distance, round(({first} + {second}) * {act} / distance + 1e-9, 4)::DOUBLE AS score FROM y WHERE {act} IS NOT NULL",
+        "bpv_doubles": f"{events}, x AS (SELECT doc_id, CAST(word_no AS BIGINT) AS word_no, unnest(regexp_extract_all(word, '{'|'.join(c * 2 for c in v.LATIN)}')) AS pair FROM w) SELECT *, round({first} * {twice} + 1e-9, 4)::DOUBLE AS score FROM x",
+        "bpv_letters": f"WITH lt AS (SELECT doc_id, unnest(string_split(regexp_replace({upper}, '[^A-Z]+', '', 'g'), '')) AS letter FROM documents) SELECT doc_id, letter, CAST(sum({weigh.format('letter')}) AS DOUBLE) AS total FROM lt WHERE letter <> '' GROUP BY ALL",
+        "letter_freq_latin26": f"SELECT doc_id, chr(64 + k::INT) AS letter, length({upper}) - length(replace({upper}, chr(64 + k::INT), '')) AS n FROM (SELECT doc_id, text, unnest(range(1, 27)) AS k FROM documents WHERE text IS NOT NULL)",
+    }
+
+
+def sql() -> dict[str, str]:
+    weight = "CASE letter " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in v.EN_WEIGHTS.items()) + " END"
+    fw, pron = quoted(v.FUNCTION_WORDS), quoted((*v.FIRST, *v.SECOND, *v.THIRD))
     latin = "SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z]+', '', 'g'), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY ALL"
-    fold_from, fold_to = wave.FOLD
+    fold_from, fold_to = v.WAVE_FOLD
     folded = f"regexp_replace(translate(upper(replace(text, 'ß', 'ss')), '{fold_from}', '{fold_to}'), '[^A-ZÄÖÜ\\s]+', '', 'g')"
     value = "CASE letter WHEN 'Ä' THEN 1.5 WHEN 'Ö' THEN 15.5 WHEN 'Ü' THEN 21.5 ELSE unicode(letter) - 64.0 END"
     signal = f"""sg AS (SELECT doc_id, unnest(l) AS letter, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace({folded}, '\\s+', '', 'g'), ''), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)),
 sig AS (SELECT *, CAST({value} AS DOUBLE) AS x FROM sg)"""
-    category = "CASE " + " ".join(f"WHEN letter IN ({quoted(tuple(of))}) THEN '{name}'" for name, of in wave.CATEGORIES.items()) + " END"
+    category = "CASE " + " ".join(f"WHEN letter IN ({quoted(tuple(of))}) THEN '{name}'" for name, of in v.WAVE_CATEGORIES.items()) + " END"
     somatic = f"""ws AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array({folded}, '\\s+'), lambda x: x <> '')) AS word FROM documents WHERE text IS NOT NULL),
 dw AS (SELECT DISTINCT word FROM ws), dl AS (SELECT word, unnest(string_split(word, '')) AS letter FROM dw),
 wd AS (SELECT word, sum(CAST({value} AS DOUBLE)) AS total, round(stddev_pop(CAST({value} AS DOUBLE)) + 1e-9, 4) AS sigma FROM dl GROUP BY word),
@@ -90,11 +164,11 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
         "german_fold": "SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(text, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ß', 'ss') AS folded FROM documents WHERE text IS NOT NULL",
         "tel_words": f"WITH {WIN} SELECT doc_id, win_idx, len(regexp_extract_all(text, '[A-Za-z]+')) AS total_words, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS total_chars, round(length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) / greatest(1, len(regexp_extract_all(text, '[A-Za-z]+'))) + 1e-9, 2) AS avg_word_length FROM win",
         "tel_top5": f"SELECT * FROM (SELECT doc_id, letter, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, letter) AS rank FROM ({latin})) WHERE rank <= 5",
-        "tel_doubles": "SELECT doc_id, pair, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z]+', ' ', 'g'), '" + "|".join(c * 2 for c in telemetry.LATIN) + "')) AS pair FROM documents) GROUP BY ALL",
+        "tel_doubles": "SELECT doc_id, pair, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z]+', ' ', 'g'), '" + "|".join(c * 2 for c in v.LATIN) + "')) AS pair FROM documents) GROUP BY ALL",
         "letter_freq_latin": latin,
-        "letter_freq_ru": f"SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(upper(text), '[^{telemetry.CYRILLIC}]+', '', 'g'), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY ALL",
-        "letter_freq_ar": f"SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(translate(text, '{telemetry.ARABIC_FOLD[0]}', '{telemetry.ARABIC_FOLD[1]}'), '[^{telemetry.ARABIC}]+', '', 'g'), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY ALL",
-        "letter_freq_fa": f"SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(translate(text, '{telemetry.ARABIC_FOLD[0]}', '{telemetry.ARABIC_FOLD[1]}'), '[^{telemetry.FARSI}]+', '', 'g'), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY ALL",
+        "letter_freq_ru": f"SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(upper(text), '[^{v.CYRILLIC}]+', '', 'g'), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY ALL",
+        "letter_freq_ar": f"SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(translate(text, '{v.ARABIC_FOLD[0]}', '{v.ARABIC_FOLD[1]}'), '[^{v.ARABIC}]+', '', 'g'), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY ALL",
+        "letter_freq_fa": f"SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(translate(text, '{v.ARABIC_FOLD[0]}', '{v.ARABIC_FOLD[1]}'), '[^{v.FARSI}]+', '', 'g'), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY ALL",
         "letter_freq_ko": r"SELECT doc_id, CAST(floor((unicode(ch) - 44032) / 588) AS BIGINT) AS onset, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^\x{AC00}-\x{D7A3}]+', '', 'g'), '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ALL",
         "stego_flag": f"WITH x AS (SELECT doc_id, length(text) - length(translate(text, {ZERO}, '')) + length(text) - length(regexp_replace(text, '(?m)[ \\t]+$', '', 'g')) AS hidden_unicode_count FROM documents WHERE text IS NOT NULL) SELECT *, hidden_unicode_count > 0 AS stego_anomaly_flag FROM x",
         "punct_wave": f"SELECT doc_id, pos, CAST({pauses} AS BIGINT) AS value FROM (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[,.:\\-–;—!?،؟]') AS l FROM documents))",
@@ -102,10 +176,12 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
         "micro_axes": f"SELECT doc_id, {', '.join(f'round(100.0 * sum(CASE WHEN letter IN ({quoted(tuple(of))}) THEN n * {weight} ELSE 0 END) / sum(n * {weight}) + 1e-9, 6) AS {name}' for name, of in (('anxiety', 'SN'), ('attention', 'AK'), ('emotion', 'MW'), ('agitation', 'RZ')))} FROM ({latin}) GROUP BY doc_id",
         "ent_burstiness": f"WITH c AS (SELECT doc_id, {prose} AS t FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: len(regexp_extract_all(x, '[A-Za-z'']+'))), lambda n: n > 0) AS l, regexp_extract_all(lower(t), '[a-z'']+') AS w FROM c), b AS (SELECT doc_id, greatest(1, len(l)) AS n_sentences, CASE WHEN len(l) < 2 THEN 0 ELSE list_stddev_samp(l) END AS b, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(w)) / len(w) END AS e FROM l) SELECT doc_id, n_sentences, round(b + 1e-9, 4) AS burstiness, round(e + 1e-9, 4) AS lexical, round(0.65 * greatest(0, 1 - b / 10) + 0.35 * least(1, greatest(0, (e - 0.4) / 0.4)) + 1e-9, 4) AS ai_score FROM b",
         "som_word": f"WITH {somatic} SELECT * FROM wr",
-        "som_window": f"WITH {somatic}, u AS (SELECT doc_id, word, count(*) AS uses FROM ws GROUP BY ALL), j AS (SELECT * FROM u JOIN wr USING (word)), m AS (SELECT doc_id, round(sum(sigma * uses) / sum(uses) + 1e-9, 4) AS mean_sigma FROM j GROUP BY doc_id), r AS (SELECT doc_id, root FROM (SELECT doc_id, root, row_number() OVER (PARTITION BY doc_id ORDER BY sum(uses) DESC, root) AS k FROM j GROUP BY doc_id, root) WHERE k = 1), t AS (SELECT doc_id, tier FROM (SELECT doc_id, tier, row_number() OVER (PARTITION BY doc_id ORDER BY sum(uses) DESC, tier) AS k FROM j GROUP BY doc_id, tier) WHERE k = 1) SELECT doc_id, mean_sigma, root, CAST(tier AS BIGINT) AS tier, CASE root " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in wave.ROOTS.items()) + " END AS label FROM m JOIN r USING (doc_id) JOIN t USING (doc_id)",
+        "som_window": f"WITH {somatic}, u AS (SELECT doc_id, word, count(*) AS uses FROM ws GROUP BY ALL), j AS (SELECT * FROM u JOIN wr USING (word)), m AS (SELECT doc_id, round(sum(sigma * uses) / sum(uses) + 1e-9, 4) AS mean_sigma FROM j GROUP BY doc_id), r AS (SELECT doc_id, root FROM (SELECT doc_id, root, row_number() OVER (PARTITION BY doc_id ORDER BY sum(uses) DESC, root) AS k FROM j GROUP BY doc_id, root) WHERE k = 1), t AS (SELECT doc_id, tier FROM (SELECT doc_id, tier, row_number() OVER (PARTITION BY doc_id ORDER BY sum(uses) DESC, tier) AS k FROM j GROUP BY doc_id, tier) WHERE k = 1) SELECT doc_id, mean_sigma, root, CAST(tier AS BIGINT) AS tier, CASE root " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in v.WAVE_ROOTS.items()) + " END AS label FROM m JOIN r USING (doc_id) JOIN t USING (doc_id)",
         "som_envelope": f"WITH {signal}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM sig) SELECT doc_id, CAST(floor(((pos + 1) * 100 - 1) / n) AS BIGINT) AS bucket, round(avg(x) + 1e-9, 4) AS value FROM n GROUP BY ALL",
         "som_categories": f"WITH {signal} SELECT doc_id, {category} AS category, count(*) AS n FROM sig GROUP BY ALL",
         "base_welford": f"WITH x AS (SELECT event_id, event_type, value, count(value) OVER ({run}) AS n, avg(value) OVER ({run}) AS mu, var_samp(value) OVER ({run}) AS v FROM events WHERE value IS NOT NULL), y AS (SELECT *, CASE WHEN n < 2 THEN 1.0 ELSE sqrt(greatest(v, 1e-9)) END AS sigma FROM x) SELECT event_id, event_type, n, round(mu + 1e-9, 5) AS mu, round(sigma + 1e-9, 5) AS sigma, round(CASE WHEN n < 2 THEN value ELSE (value - mu) / sigma END + 1e-9, 4) AS z FROM y",
+        "base_seed": "WITH h AS (SELECT CAST(floor((epoch_us(min(ts)) + epoch_us(max(ts))) / 2) AS BIGINT) AS half FROM events), t AS (SELECT *, CASE WHEN epoch_us(ts) < half THEN 0 ELSE 1 END AS turn FROM events, h WHERE value IS NOT NULL), x AS (SELECT *, count(value) OVER r AS n, avg(value) OVER r AS mu, var_samp(value) OVER r AS v FROM t WINDOW r AS (PARTITION BY event_type ORDER BY turn, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), y AS (SELECT *, CASE WHEN n < 2 THEN 1.0 ELSE sqrt(greatest(v, 1e-9)) END AS sigma FROM x) SELECT event_id, event_type, n, round(mu + 1e-9, 5) AS mu, round(sigma + 1e-9, 5) AS sigma, round(CASE WHEN n < 2 THEN value ELSE (value - mu) / sigma END + 1e-9, 4) AS z FROM y WHERE turn = 1",
+        "base_state": "WITH x AS (SELECT event_type, event_id, list_reduce(list_prepend(0.0::DOUBLE, list(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 400 PRECEDING AND CURRENT ROW)), lambda a, x: 0.1 * x + 0.9 * a) AS ema FROM events WHERE value IS NOT NULL), l AS (SELECT event_type, arg_max(ema, event_id) AS ema FROM x GROUP BY event_type) SELECT event_type, count(value) AS n, round(avg(value) + 1e-9, 5) AS mu, round(sqrt(greatest(var_samp(value), 1e-9)) + 1e-9, 5) AS sigma, round(any_value(ema) + 1e-9, 5) AS ema FROM events JOIN l USING (event_type) GROUP BY event_type",
         "base_ema": "SELECT event_id, event_type, round(list_reduce(list_prepend(0.0::DOUBLE, list(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 400 PRECEDING AND CURRENT ROW)), lambda a, x: 0.1 * x + 0.9 * a) + 1e-9, 5) AS ema FROM events WHERE value IS NOT NULL",
         "base_snapshot": "SELECT event_type, count(value) AS n, round(avg(value) + 1e-9, 5) AS mu, round(sqrt(greatest(var_samp(value), 1e-9)) + 1e-9, 5) AS sigma FROM events GROUP BY event_type",
         "macro_centroids": "WITH x AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), m AS (SELECT label, dim, avg(CAST(x AS DOUBLE)) AS x FROM x GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label) SELECT CAST(label AS BIGINT) AS label, dim, round(x / n + 1e-9, 5) AS value FROM m JOIN n USING (label)",
@@ -116,7 +192,7 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
         "sty_sentlen": f"WITH {SENT}, x AS (SELECT doc_id, len(w) AS n FROM sw WHERE len(w) > 0) SELECT doc_id, count(*) AS n_sentences, round(avg(n) + 1e-9, 4) AS mean_length, round(stddev_pop(n) + 1e-9, 4) AS sd_length, min(n) AS shortest, max(n) AS longest, round(stddev_pop(n) / avg(n) + 1e-9, 4) AS cv FROM x GROUP BY doc_id",
         "sty_wordlen": f"WITH {TOK}, x AS (SELECT doc_id, length(unnest(w)) AS n FROM tok) SELECT doc_id, round(avg(n) + 1e-9, 4) AS mean_length, round(avg(CASE WHEN n <= 3 THEN 1.0 ELSE 0 END) + 1e-9, 4) AS short_share, round(avg(CASE WHEN n BETWEEN 4 AND 6 THEN 1.0 ELSE 0 END) + 1e-9, 4) AS middle_share, round(avg(CASE WHEN n >= 7 THEN 1.0 ELSE 0 END) + 1e-9, 4) AS long_share FROM x GROUP BY doc_id",
         "sty_punct": f"WITH {TOK}, x AS (SELECT doc_id, len(w) AS total, unnest(regexp_extract_all(text, '[,.;:!?—–]')) AS mark FROM tok) SELECT doc_id, mark, round(1000.0 * count(*) / total + 1e-9, 2) AS rate FROM x GROUP BY doc_id, mark, total",
-        "nar_voice": f"WITH {TOK}, x AS (SELECT doc_id, unnest(w) AS w FROM tok) SELECT doc_id, {', '.join(f'round(avg(CASE WHEN w IN ({quoted(ws)}) THEN 1.0 ELSE 0 END) + 1e-9, 4) AS voice_{name}' for name, ws in (('first', lit.FIRST), ('second', lit.SECOND), ('third', lit.THIRD)))} FROM x WHERE w IN ({pron}) GROUP BY doc_id",
+        "nar_voice": f"WITH {TOK}, x AS (SELECT doc_id, unnest(w) AS w FROM tok) SELECT doc_id, {', '.join(f'round(avg(CASE WHEN w IN ({quoted(ws)}) THEN 1.0 ELSE 0 END) + 1e-9, 4) AS voice_{name}' for name, ws in (('first', v.FIRST), ('second', v.SECOND), ('third', v.THIRD)))} FROM x WHERE w IN ({pron}) GROUP BY doc_id",
         "nar_speech": "SELECT doc_id, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '\"[^\"]*\"|“[^”]*”|‘[^’]*’|«[^»]*»'), lambda x: length(x))), 0) / length(text) + 1e-9, 4) AS direct_speech_ratio FROM documents WHERE length(text) > 0",
         "nar_mattr": f"WITH {TOK}, x AS (SELECT doc_id, len(w) AS n, least(len(w), 100) AS k, w FROM tok), r AS (SELECT doc_id, k, len(list_distinct(w[s:s + k - 1])) / k AS t FROM (SELECT *, unnest(range(1, n - k + 2)) AS s FROM x)) SELECT doc_id, round(avg(t) + 1e-9, 4) AS mattr FROM r GROUP BY doc_id",
         "lex_curve": f"WITH {TOK}, x AS (SELECT doc_id, w, len(w) AS n, unnest(range(0, 10)) AS point FROM tok WHERE len(w) >= 10), y AS (SELECT *, CAST(floor(point / 9.0::DOUBLE * (n - 1)) AS BIGINT) AS c FROM x) SELECT doc_id, point, round(len(list_distinct(w[greatest(0, c - 25) + 1:least(n, c + 25)])) / (least(n, c + 25) - greatest(0, c - 25)) + 1e-9, 3) AS ttr FROM y",
@@ -128,7 +204,7 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
         "rh_epistrophe": f"WITH {SENT}, x AS (SELECT doc_id, sent, list_filter(w, lambda v: v NOT IN ('the', 'a', 'an', 'this', 'that', 'these', 'those'))[-1] AS word FROM sw), y AS (SELECT *, CASE WHEN word IS NOT NULL AND word = lag(word) OVER (PARTITION BY doc_id ORDER BY sent) THEN 0 ELSE 1 END AS new FROM x), z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY sent) AS run FROM y) SELECT doc_id, word, min(sent) AS first_sent, count(*) AS n, CASE WHEN count(*) >= 3 THEN 0.88::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM z WHERE word IS NOT NULL GROUP BY doc_id, run, word HAVING count(*) >= 2",
         "rh_polysyndeton": f"WITH {SENT}, x AS (SELECT doc_id, sent, unnest(w) AS conjunction FROM sw) SELECT doc_id, sent, conjunction, count(*) AS n FROM x WHERE conjunction IN ('and', 'or', 'nor', 'but') GROUP BY ALL HAVING count(*) >= 3",
         "rh_asyndeton": f"WITH {SENT} SELECT doc_id, sent FROM sw WHERE len(regexp_extract_all(s, ',')) >= 2 AND len(list_filter(w, lambda v: v IN ('and', 'or', 'nor', 'but'))) = 0",
-        "rh_question": f"WITH {SENT} SELECT doc_id, sent, CASE WHEN len(list_filter(w, lambda v: v IN ('anyone', 'everyone', 'nobody', 'no', 'one', 'whoever', 'whatever', 'we', 'you'))) > 0 OR len(list_filter(w, lambda v: v NOT IN ({fw}))) <= 8 THEN 0.78::DOUBLE ELSE 0.55::DOUBLE END AS confidence FROM sw WHERE s LIKE '%?' AND len(list_filter(w, lambda v: v IN ({quoted(lit.INTERROGATIVES)}))) > 0",
+        "rh_question": f"WITH {SENT} SELECT doc_id, sent, CASE WHEN len(list_filter(w, lambda v: v IN ('anyone', 'everyone', 'nobody', 'no', 'one', 'whoever', 'whatever', 'we', 'you'))) > 0 OR len(list_filter(w, lambda v: v NOT IN ({fw}))) <= 8 THEN 0.78::DOUBLE ELSE 0.55::DOUBLE END AS confidence FROM sw WHERE s LIKE '%?' AND len(list_filter(w, lambda v: v IN ({quoted(v.INTERROGATIVES)}))) > 0",
         "g_cooc": f"WITH {graph}, {matrix('m', 'op_ed')} SELECT i, j, value FROM m",
         "g_laplacian": f"WITH {graph}, {matrix('m', 'op_ed')}, o AS (SELECT i, j, -value AS value FROM m WHERE i <> j) SELECT i, j, value FROM o UNION ALL SELECT i, i AS j, -sum(value) AS value FROM o GROUP BY i",
         "g_jaccard": f"WITH {graph}, {matrix('m', 'op_ed')}, {jac('jj', 'm')} SELECT i, j, round(value + 1e-9, 6) AS value FROM jj",
@@ -139,33 +215,35 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
     def count_in(ws: list[str]) -> str:
         return f"len(list_filter(w, lambda v: v IN ({quoted(ws)})))"
 
-    appeal = {n: count_in(ws) + "".join(f" + CASE WHEN contains(lower(s), '{p}') THEN 2 ELSE 0 END" for p in lit.PHRASES[n]) for n, ws in (("logos", lit.LOGOS), ("ethos", lit.ETHOS), ("pathos", lit.PATHOS))}
+    appeal = {n: count_in(ws) + "".join(f" + CASE WHEN contains(lower(s), '{p}') THEN 2 ELSE 0 END" for p in v.PHRASES[n]) for n, ws in (("logos", v.LOGOS), ("ethos", v.ETHOS), ("pathos", v.PATHOS))}
     args = f"WITH {SENT}, x AS (SELECT doc_id, sent, {', '.join(f'{e} AS {n}' for n, e in appeal.items())} FROM sw), y AS (SELECT *, CASE WHEN logos >= ethos AND logos >= pathos THEN 'logos' WHEN ethos >= pathos THEN 'ethos' ELSE 'pathos' END AS dominant FROM x WHERE greatest(logos, ethos, pathos) >= 2)"
     out["arg_score"] = f"{args} SELECT * FROM y"
     out["arg_ratios"] = f"{args}, r AS (SELECT doc_id, {', '.join(f'round(avg(CASE WHEN dominant = {chr(39)}{n}{chr(39)} THEN 1.0 ELSE 0 END) + 1e-9, 4) AS {n}' for n in appeal)} FROM y GROUP BY doc_id) SELECT *, CASE WHEN greatest(logos, ethos, pathos) < 0.4 THEN 'balanced' WHEN logos = greatest(logos, ethos, pathos) THEN 'logos' WHEN ethos = greatest(logos, ethos, pathos) THEN 'ethos' ELSE 'pathos' END AS balance FROM r"
     out["rh_assonance"] = f"WITH {SENT}, x AS (SELECT doc_id, sent, unnest(w) AS w FROM sw), y AS (SELECT doc_id, sent, regexp_extract(w, '[aeiou]+') AS vowels FROM x WHERE length(w) > 2 AND w NOT IN ({fw})) SELECT doc_id, sent, vowels, count(*) AS n FROM y WHERE vowels <> '' GROUP BY ALL HAVING count(*) >= 3"
-    out["rh_simile"] = f"WITH {SENT} SELECT doc_id, sent FROM sw WHERE regexp_matches(s, '{lit.SIMILE}')"
-    out["rh_hyperbole"] = f"WITH {SENT} SELECT doc_id, sent FROM sw WHERE regexp_matches(s, '{lit.HYPERBOLE}')"
-    table = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(p.strip().split() for p in lit.OXYMORA.split(",")))
+    out["rh_simile"] = f"WITH {SENT} SELECT doc_id, sent FROM sw WHERE regexp_matches(s, '{v.SIMILE}')"
+    out["rh_hyperbole"] = f"WITH {SENT} SELECT doc_id, sent FROM sw WHERE regexp_matches(s, '{v.HYPERBOLE}')"
+    table = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(v.OXYMORA))
     toks = f"WITH {SENT}, x AS (SELECT doc_id, sent, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM sw)"
     out["rh_oxymoron"] = f"{toks} SELECT a.doc_id, a.sent, arg_min(o.a || ' ' || o.b, o.ord) AS pair FROM x a JOIN (VALUES {table}) AS o(ord, a, b) ON a.word = o.a JOIN x b ON b.doc_id = a.doc_id AND b.sent = a.sent AND b.word = o.b WHERE abs(a.pos - b.pos) <= 7 GROUP BY a.doc_id, a.sent"
-    side = f"CASE WHEN word IN ({fw}, {quoted(lit.CONTRASTIVE)}) THEN 0 ELSE 1 END"
-    out["rh_antithesis"] = f"{toks}, y AS (SELECT *, sum({side}) OVER (PARTITION BY doc_id, sent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, sum({side}) OVER (PARTITION BY doc_id, sent ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f FROM x) SELECT doc_id, sent, arg_min(word, pos) AS pivot FROM y WHERE word IN ({quoted(lit.CONTRASTIVE)}) AND p >= 3 AND f >= 3 GROUP BY doc_id, sent"
-    out["rh_litotes"] = f"{toks} SELECT DISTINCT a.doc_id, a.sent FROM x a JOIN x b ON b.doc_id = a.doc_id AND b.sent = a.sent AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 WHERE a.word = 'not' AND (b.word IN ({quoted(lit.NEGATIVE)}) OR regexp_matches(b.word, '^(?:un|in|im|ir|il|dis|non)[a-z]{{4,}}$'))"
+    side = f"CASE WHEN word IN ({fw}, {quoted(v.CONTRASTIVE)}) THEN 0 ELSE 1 END"
+    out["rh_antithesis"] = f"{toks}, y AS (SELECT *, sum({side}) OVER (PARTITION BY doc_id, sent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, sum({side}) OVER (PARTITION BY doc_id, sent ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f FROM x) SELECT doc_id, sent, arg_min(word, pos) AS pivot FROM y WHERE word IN ({quoted(v.CONTRASTIVE)}) AND p >= 3 AND f >= 3 GROUP BY doc_id, sent"
+    out["rh_litotes"] = f"{toks} SELECT DISTINCT a.doc_id, a.sent FROM x a JOIN x b ON b.doc_id = a.doc_id AND b.sent = a.sent AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 WHERE a.word = 'not' AND (b.word IN ({quoted(v.NEGATIVE)}) OR regexp_matches(b.word, '^(?:un|in|im|ir|il|dis|non)[a-z]{{4,}}$'))"
 
-    def axes_of(alphabet: micro.Alphabet, text: str) -> str:
-        w = "CASE letter " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in alphabet.table.items()) + " END"
-        shares = ", ".join(f"round(100.0 * sum(CASE WHEN letter IN ({quoted(tuple(of))}) THEN n * {w} ELSE 0 END) / sum(n * {w}) + 1e-9, 6) AS {name}" for name, of in alphabet.axes.items())
-        return f"SELECT doc_id, {shares} FROM (SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace({text}, '[^{alphabet.letters}]+', '', 'g'), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY ALL) GROUP BY doc_id"
+    def axes_of(weights: dict[str, int], axes: dict[str, str], text: str) -> str:
+        w = "CASE letter " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in weights.items()) + " END"
+        shares = ", ".join(f"round(100.0 * sum(CASE WHEN letter IN ({quoted(tuple(of))}) THEN n * {w} ELSE 0 END) / sum(n * {w}) + 1e-9, 6) AS {name}" for name, of in axes.items())
+        return f"SELECT doc_id, {shares} FROM (SELECT doc_id, letter, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace({text}, '[^{''.join(weights)}]+', '', 'g'), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY ALL) GROUP BY doc_id"
 
-    arabic = f"translate(text, '{telemetry.ARABIC_FOLD[0]}', '{telemetry.ARABIC_FOLD[1]}')"
-    out |= {"micro_axes_ru": axes_of(micro.RU, "upper(text)"), "micro_axes_ar": axes_of(micro.AR, arabic), "micro_axes_fa": axes_of(micro.FA, arabic)}
+    arabic = f"translate(text, '{v.ARABIC_FOLD[0]}', '{v.ARABIC_FOLD[1]}')"
+    out |= {"micro_axes_ru": axes_of(v.RU_WEIGHTS, v.AXES["RU"], "upper(text)"), "micro_axes_ar": axes_of(v.AR_WEIGHTS, v.AXES["AR"], arabic), "micro_axes_fa": axes_of(v.AR_WEIGHTS | v.FA_MORE, v.AXES["AR"], arabic)}
     out["micro_ja"] = f"SELECT doc_id, round(kanji_ratio * 100 + 1e-9, 4) AS intensity, round(kanji_ratio * 80 + 1e-9, 4) AS attention, round(hiragana_ratio * 100 + 1e-9, 4) AS emotion, round(katakana_ratio * 100 + 1e-9, 4) AS agitation, 0.0::DOUBLE AS anxiety FROM ({out['ja_scripts']}) WHERE kanji + hiragana + katakana > 0"
-    from textloom.queries import STROKES
+    from textloom.parameters import STROKES
 
     strokes = "CASE ch " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in STROKES) + " ELSE 8 END"
     out["micro_zh"] = f"WITH c AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^\\x{{4E00}}-\\x{{9FFF}}]+', '', 'g'), '')) AS ch FROM documents), m AS (SELECT doc_id, avg({strokes}) AS d FROM c WHERE ch <> '' GROUP BY doc_id) SELECT doc_id, {', '.join(f'round(least(100.0, {f} * d) + 1e-9, 4) AS {n}' for n, f in (('intensity', 8), ('attention', 6), ('complexity', 10)))} FROM m"
 
+    out |= letter_scores(arabic)
+
     def script(marks: str, ends: str) -> str:
         t = "text"
         for p, by in (("(?s)```.*?```", " "), ("`[^`\\n]+`", " "), ("(?m)^[ \\t]*[-*=]{3,}[ \\t]*$", " "), ("(?m)^[ \\t]*(?:#{1,6}|[*\\->|]|=>)[ \\t]*", ""), ("[A-Za-z]+", " "), (marks, ""), ("[\\t\\f\\r ]+", " "), (f"(?m)([^\\s{ends}])[ \\t]*$", "\\1."), ("\\s+", " "), ("^\\s+|\\s+$", "")):
@@ -173,9 +251,7 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
         return f"SELECT doc_id, {t} AS prose FROM documents WHERE text IS NOT NULL"
 
     out |= {"sanitize_ru": script("", ".!?"), "sanitize_abjad": script("[\\x{0610}-\\x{061A}\\x{0640}\\x{064B}-\\x{065F}\\x{0670}]", ".!?،؟")}
-    from textloom.operators.macro import KEIGO
-
-    forms = {s: " + ".join(f"(length(text) - length(replace(text, '{p}', ''))) / {len(p)} * {abs(w)}" for p, w in KEIGO.items() if w * s > 0) for s in (1, -1)}
+    forms = {s: " + ".join(f"(length(text) - length(replace(text, '{p}', ''))) / {len(p)} * {abs(w)}" for p, w in v.KEIGO.items() if w * s > 0) for s in (1, -1)}
     out["macro_keigo"] = f"SELECT doc_id, round(({forms[1]}) * 100 / length(text) + 1e-9, 4) AS formal, round(({forms[-1]}) * 100 / length(text) + 1e-9, 4) AS casual FROM documents WHERE length(text) > 0"
 
     def z(source: str, name: str) -> str:
@@ -184,7 +260,7 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
 (SELECT doc_id, variable, value, count(*) OVER ({r}) AS n, avg(value) OVER ({r}) AS mu, var_samp(value) OVER ({r}) AS v FROM (UNPIVOT ({source}) ON COLUMNS(* EXCLUDE (doc_id)) INTO NAME variable VALUE value)))"""
 
     lengths = out["sty_wordlen"].replace("AS mean_length", "AS kinetic_aggression").replace("AS short_share", "AS power_control").replace("AS middle_share", "AS power_submission").replace("AS long_share", "AS visibility_exposure")
-    pairs = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in baseline.BRIDGE) + ") AS bridge(micro_var, macro_var)"
+    pairs = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in v.BRIDGE) + ") AS bridge(micro_var, macro_var)"
     verdict = "CASE WHEN d > 4 THEN 'fracture' WHEN y > x THEN 'posturing' ELSE 'suppressed' END"
     events = f"WITH {z(out['micro_axes'], 'a')}, {z(lengths, 'b')}, ev AS (SELECT a.doc_id, micro_var, macro_var, a.z AS x, b.z AS y, abs(b.z - a.z) AS d FROM a JOIN {pairs} ON a.variable = micro_var JOIN b ON b.doc_id = a.doc_id AND b.variable = macro_var)"
     out["dis_bridge"] = f"{events} SELECT doc_id, micro_var, macro_var, round(d + 1e-9, 4) AS delta, {verdict} AS conclusion FROM ev WHERE d > 2.5"
@@ -202,7 +278,7 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
     emo = ", ".join(f"max(mean_score) FILTER (WHERE emotion = '{e}') AS {e}" for e in ("anger", "disgust", "fear", "anticipation"))
     out["pds_triggers"] = f"WITH v AS ({out['vad_agg']}), e AS (SELECT doc_id, {emo}, max(sd_score) FILTER (WHERE emotion = 'anger') AS anger_sd FROM ({out['pds_affect']}) GROUP BY doc_id), x AS (SELECT *, greatest(-1.0, least(1.0, d_mean * 2 - 1)) AS p, greatest(-1.0, least(1.0, -0.7 * (v_mean * 2 - 1) + 0.3 * (a_mean * 2 - 1))) AS g FROM v JOIN e USING (doc_id)) SELECT doc_id, p >= 0 AND g >= 0 AND (coalesce(anger, 0) > 0.75 OR coalesce(anger_sd, 0) > 0.4) AS escalation, p >= 0 AND g >= 0 AND coalesce(anger, 0) > 0.6 AND coalesce(disgust, 0) > 0.5 AS contempt, p < 0 AND g >= 0 AND coalesce(fear, 0) > 0.6 AND coalesce(anticipation, 0) > 0.6 AS paranoia FROM x"
     out["lex_fallback"] = f"WITH lex AS ({out['lex_intensity']}), a AS (SELECT unnest(['de', 'es', 'en']) AS lang), b AS (SELECT a.lang, emotion, word FROM a JOIN lex ON lex.lang = CASE WHEN a.lang IN (SELECT lang FROM lex) THEN a.lang ELSE 'en' END) SELECT lang, emotion, count(*) AS words FROM b GROUP BY ALL"
-    cluster = "CASE " + " ".join(f"WHEN upper(substring(w, 1, 1)) IN ({quoted(tuple(of))}) THEN '{name}'" for name, of in lit.LETTER_CLUSTERS.items()) + " END"
+    cluster = "CASE " + " ".join(f"WHEN upper(substring(w, 1, 1)) IN ({quoted(tuple(of))}) THEN '{name}'" for name, of in v.LETTER_CLUSTERS.items()) + " END"
     out["lar_radar"] = f"WITH {TOK}, x AS (SELECT doc_id, unnest(w) AS w FROM tok), y AS (SELECT doc_id, {cluster} AS cluster FROM x WHERE w NOT IN ({fw})), n AS (SELECT doc_id, cluster, count(*) AS n FROM y WHERE cluster IS NOT NULL GROUP BY ALL) SELECT doc_id, cluster, round(100.0 * n / sum(n) OVER (PARTITION BY doc_id) + 1e-9, 1) AS percent FROM n"
     out["lex_trend"] = f"WITH c AS ({out['lex_curve']}), d AS (SELECT doc_id, avg(ttr) FILTER (WHERE point > 4) - avg(ttr) FILTER (WHERE point <= 4) AS d, max(ttr) - min(ttr) AS s, count(*) AS n FROM c GROUP BY doc_id) SELECT doc_id, CASE WHEN d > 0.05 + 1e-9 THEN 'rising' WHEN d < -0.05 - 1e-9 THEN 'falling' ELSE 'stable' END AS trend, n >= 3 AND s > 0.25 + 1e-9 AS register_shift FROM d"
     out["lex_label"] = f"SELECT doc_id, CASE WHEN mattr >= 0.75 THEN 'rich' WHEN mattr >= 0.5 THEN 'moderate' ELSE 'sparse' END AS label FROM ({out['nar_mattr']})"
@@ -216,4 +292,6 @@ d AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(v) <> want THEN 'column
     win_letters = f"WITH {WIN}, lt AS (SELECT doc_id, win_idx, letter, count(*) AS n FROM (SELECT doc_id, win_idx, unnest(string_split(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z]+', '', 'g'), '')) AS letter FROM win) WHERE letter <> '' GROUP BY ALL), ax AS ({out['micro_axes'].replace('SELECT doc_id,', 'SELECT doc_id, win_idx,', 1).replace(f'({latin})', 'lt').replace('GROUP BY doc_id', 'GROUP BY doc_id, win_idx')})"
     out["cmp_delta"] = f"{win_letters} SELECT count(*) AS windows, {', '.join(f'round(avg(abs(a.{v} - b.{v})) + 1e-9, 6) AS {v}' for v in ('anxiety', 'attention', 'emotion', 'agitation'))} FROM ax a JOIN ax b ON b.doc_id = a.doc_id + 1 AND b.win_idx = a.win_idx"
     out["som_fft"] = f"WITH {signal}, f AS (SELECT doc_id, pos, x - avg(x) OVER (PARTITION BY doc_id) AS x FROM sig WHERE pos < 256), b AS (SELECT doc_id, pos, x, unnest(range(1, 128)) AS bin FROM f), m AS (SELECT doc_id, bin, round(sqrt(pow(sum(x * cos(2 * pi() * ((pos * bin) % 256) / 256)), 2) + pow(sum(x * sin(2 * pi() * ((pos * bin) % 256) / 256)), 2)) + 1e-9, 4) AS magnitude FROM b GROUP BY ALL) SELECT doc_id, bin, magnitude, round(bin / 256, 6) AS norm_freq FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY magnitude DESC, bin) AS k FROM m) WHERE k <= 5"
-    return out
+    from textloom.oracle_layers import layers
+
+    return out | layers(out)

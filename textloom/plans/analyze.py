@@ -29,5 +29,5 @@ def flagship(docs: DataFrame) -> DataFrame:
     """Windows with their telemetry and letter-weight axes."""
     w = windows.windows(docs)
     t = telemetry.word_counts(w).drop("text")
-    axes = micro.axes(telemetry.latin_letters(w, ["doc_id", "win_idx"]), ["doc_id", "win_idx"])
+    axes = micro.axes(w, ["doc_id", "win_idx"])
     return t.join(axes, ["doc_id", "win_idx"], "left").withColumn("words_per_line", F.round(F.col("total_words") / (F.col("end_line") - F.col("start_line") + 1), 2))

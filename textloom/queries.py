@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from textloom import oracle
+from textloom import oracle, parameters
 from textloom.functions import text as fx
-from textloom.operators import affect, baseline, compare, entity, entropy, graph, literary, macro, micro, rejects, telemetry, wave, windows
+from textloom.operators import affect, baseline, compare, entity, entropy, graph, lexicons, literary, macro, micro, rejects, telemetry, wave, windows
 from textloom.plans import analyze
 from textloom.sources import table
 
@@ -68,9 +68,7 @@ def win_counts_per_doc(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def line_index(spark: SparkSession, folder: str) -> DataFrame:
-    lines = docs(spark, folder).filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    before = F.sum(F.length("line") + 1).over(W.partitionBy("doc_id").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
-    return lines.select("doc_id", (F.col("k") + 1).alias("line_no"), F.coalesce(before, F.lit(0)).alias("start_char"))
+    return windows.line_index(docs(spark, folder))
 
 
 @query
@@ -156,7 +154,7 @@ def ja_scripts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def micro_axes(spark: SparkSession, folder: str) -> DataFrame:
-    return micro.axes(telemetry.latin_letters(docs(spark, folder), KEY), KEY)
+    return micro.axes(docs(spark, folder), KEY)
 
 
 @query
@@ -169,6 +167,26 @@ def bpv_window(spark: SparkSession, folder: str) -> DataFrame:
     return micro.window_scores(windows.plain_windows(docs(spark, folder)), ["doc_id", "win_idx"])
 
 
+@query
+def bpv_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.pair_events(docs(spark, folder), KEY)
+
+
+@query
+def bpv_doubles(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.double_events(docs(spark, folder), KEY)
+
+
+@query
+def bpv_letters(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.letter_totals(docs(spark, folder), KEY)
+
+
+@query
+def letter_freq_latin26(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.all_letters(docs(spark, folder), KEY)
+
+
 @query
 def micro_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return micro.vectors(windows.plain_windows(docs(spark, folder)), ["doc_id", "win_idx"])
@@ -196,8 +214,7 @@ def _vectors(language: str) -> Query:
 
 def _letter_axes(language: str) -> Query:
     def f(spark: SparkSession, folder: str) -> DataFrame:
-        a = micro.ALPHABETS[language.upper()]
-        return micro.axes(telemetry.letters(docs(spark, folder), KEY, micro.prepared(F.col("text"), language.upper()), a.letters), KEY, language.upper())
+        return micro.axes(docs(spark, folder), KEY, language=language.upper())
 
     return f
 
@@ -216,33 +233,9 @@ def micro_ja(spark: SparkSession, folder: str) -> DataFrame:
     return micro.script_axes(docs(spark, folder), KEY)
 
 
-# Ideographs by their strokes, as the reference counts them.
-_STROKES = {
-    1: "一",
-    2: "二七八九十了人力",
-    3: "三千万亿也与口山川土大小上下",
-    4: "五六元不从比为以月日分今手心木火水风云天长少中内开支止公文",
-    5: "四他它们让叫对可目头皮石旧东北左右外市民厅写去用出打发令示布业击乐",
-    6: "百在她那有向而如年后早过耳血肉江地多好西军会吃买关回问权导压字网传产争守",
-    7: "我你这没把但时足体身花低坏快冷里间县局听走来进找批报声财攻防兵忧",
-    8: "的和或到所周明现空金雨林河软国府官法委卖知使放取命制治服表泄话述经易贫武怕苦怀念",
-    9: "是将秒昨前草树重轻南省室政律院说看给带度则指统查封信音济贸战炸怒盼",
-    10: "被脸骨脑海高弱热旁家党读监配准秘透息钱资核爱恨恐恶",
-    11: "都晚眼雪强部做得规控理许隐密盖叙描银望",
-    12: "湖短硬喝挥属掩揭堵媒富税款悲喜痛善",
-    13: "腿新署想督禁暗愁",
-    14: "鼻慢领管语",
-    15: "审影播敌",
-    16: "器",
-    17: "臂藏讲",
-    21: "露",
-}
-STROKES = [(ch, n) for n, chars in _STROKES.items() for ch in chars]
-
-
 @query
 def micro_zh(spark: SparkSession, folder: str) -> DataFrame:
-    return micro.stroke_axes(docs(spark, folder), spark.createDataFrame(STROKES, "ch string, n int"), KEY)
+    return micro.stroke_axes(docs(spark, folder), spark.createDataFrame(parameters.STROKES, "ch string, n int"), KEY)
 
 
 @query
@@ -275,7 +268,7 @@ def som_word(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def som_window(spark: SparkSession, folder: str) -> DataFrame:
-    return wave.summary(docs(spark, folder), KEY)
+    return wave.summary(docs(spark, folder), KEY).select("doc_id", "mean_sigma", "root", "tier", "label")
 
 
 @query
@@ -312,10 +305,26 @@ def base_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(baseline.snapshot(table(spark, folder, "events"), ["event_type"]), 5, "mu", "sigma")
 
 
+@query
+def base_seed(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of the first half of the time are the control, the others are scored."""
+    e = table(spark, folder, "events", "event_id", "event_type", "ts", "value")
+    first, last = e.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    e = e.withColumn("early", F.unix_micros(F.col("ts").cast("timestamp")) < ((first or 0) + (last or 0)) // 2)
+    out = baseline.seeded(e.filter("early"), e.filter("NOT early"), ["event_type"], ["event_id"]).select("event_id", "event_type", "n", "mu", "sigma", "z")
+    return rounded(rounded(out, 5, "mu", "sigma"), 4, "z")
+
+
+@query
+def base_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The state of each variable after its last value, moving average included."""
+    return rounded(baseline.states(table(spark, folder, "events"), ["event_type"], ["event_id"]), 5, "mu", "sigma", "ema")
+
+
 def _z_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Micro axes and, standing in for a seed table, word measures as the other side; z over all documents."""
     d = docs(spark, folder)
-    a = micro.axes(telemetry.latin_letters(d, KEY), KEY).unpivot(KEY, ["anxiety", "attention", "emotion", "agitation"], "variable", "value")
+    a = micro.axes(d, KEY).unpivot(KEY, ["anxiety", "attention", "emotion", "agitation"], "variable", "value")
     b = literary.word_lengths(d, KEY).select("doc_id", F.col("short_share").alias("power_control"), F.col("middle_share").alias("power_submission"), F.col("long_share").alias("visibility_exposure"), F.col("mean_length").alias("kinetic_aggression"))
     b = b.unpivot(KEY, ["power_control", "power_submission", "visibility_exposure", "kinetic_aggression"], "variable", "value")
     return baseline.running(a, ["variable"], KEY), baseline.running(b, ["variable"], KEY)
@@ -699,7 +708,7 @@ def cmp_align(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def cmp_delta(spark: SparkSession, folder: str) -> DataFrame:
     w = windows.plain_windows(docs(spark, folder))
-    v = micro.axes(telemetry.latin_letters(w, ["doc_id", "win_idx"]), ["doc_id", "win_idx"])
+    v = micro.axes(w, ["doc_id", "win_idx"])
     return compare.delta(v, v.withColumn("doc_id", F.col("doc_id") - 1), ["doc_id", "win_idx"], ["anxiety", "attention", "emotion", "agitation"])
 
 
@@ -708,6 +717,306 @@ def cmp_burrows(spark: SparkSession, folder: str) -> DataFrame:
     return compare.burrows(literary.function_words(docs(spark, folder), KEY), "doc_id")
 
 
+# lexicons of lines, seeds, poles
+
+
+def _vad_lines(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(parameters.VAD_LINES, "file_name string, line_no long, raw_line string")
+
+
+@query
+def src_vad_tsv(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicons.vad(_vad_lines(spark))
+
+
+@query
+def src_lex_vad(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicons.vad(_vad_lines(spark), "first")
+
+
+def _intensity(spark: SparkSession, folder: str) -> DataFrame:
+    return affect.intensity(rejects.loaded(table(spark, folder, "lexicon_raw")))
+
+
+@query
+def lex_axis(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicons.axis(_intensity(spark, folder), "fear")
+
+
+@query
+def lex_installed(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicons.installed(_intensity(spark, folder))
+
+
+def _seeds(spark: SparkSession, of: dict = parameters.SEEDS) -> DataFrame:
+    return spark.createDataFrame(parameters.rows(of), "lang string, cluster string, pole string, word string, ord int")
+
+
+def _content(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, sent, pos, lang, word of the content words, looked up as English ones."""
+    s = docs(spark, folder).filter("text IS NOT NULL").select("doc_id", F.posexplode(fx.sentences(F.col("text"))).alias("sent", "s"))
+    w = s.select("doc_id", "sent", F.posexplode(literary.tokens(F.col("s"))).alias("k", "word"))
+    w = w.filter(~F.col("word").isin(*literary.FUNCTION_WORDS))
+    return w.select("doc_id", "sent", (F.col("sent") * 100000 + F.col("k")).alias("pos"), F.lit("en").alias("lang"), "word")
+
+
+@query
+def macro_seed_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return macro.pole_scores(_content(spark, folder), _seeds(spark), KEY)
+
+
+@query
+def macro_normalise(spark: SparkSession, folder: str) -> DataFrame:
+    t = macro.pole_table(_content(spark, folder), _seeds(spark), KEY)
+    return t.unpivot(["doc_id"], [c for c in t.columns if c not in ("doc_id", "total")], "pole_name", "score")
+
+
+@query
+def macro_pos_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    return macro.fallback(_content(spark, folder), _seeds(spark), KEY)
+
+
+@query
+def macro_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Two capitalised words in a row stand in for named entities."""
+    s = docs(spark, folder).filter("text IS NOT NULL").select("doc_id", F.posexplode(fx.sentences(F.col("text"))).alias("sent", "s"))
+    named = s.select("doc_id", "sent", F.explode(F.regexp_extract_all("s", F.lit("[A-Z][a-z]+ [A-Z][a-z]+"), F.lit(0))).alias("entity"))
+    return macro.entities(named, _content(spark, folder), _seeds(spark), KEY)
+
+
+@query
+def tel_drivers(spark: SparkSession, folder: str) -> DataFrame:
+    return macro.drivers(_content(spark, folder), _seeds(spark), KEY)
+
+
+@query
+def macro_multi(spark: SparkSession, folder: str) -> DataFrame:
+    """Arabic words, with the particles that are written together with them."""
+    w = docs(spark, folder).filter("text IS NOT NULL").select("doc_id", F.lit("ar").alias("lang"), F.explode(F.regexp_extract_all(F.regexp_replace("text", macro.AR_MARKS, ""), F.lit(r"\p{IsArabic}+"), F.lit(0))).alias("word"))
+    return macro.pole_scores(w, macro.variants(_seeds(spark, parameters.OTHER_SEEDS)), KEY)
+
+
+@query
+def macro_ko(spark: SparkSession, folder: str) -> DataFrame:
+    """Korean words between blanks, stop words included."""
+    w = docs(spark, folder).filter("text IS NOT NULL").select("doc_id", F.lit("ko").alias("lang"), F.explode(F.regexp_extract_all("text", F.lit("[가-힣]+"), F.lit(0))).alias("word"))
+    return macro.pole_scores(w, _seeds(spark, parameters.OTHER_SEEDS), KEY)
+
+
+@query
+def macro_zh(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of ideographs: each takes the first seed that it contains."""
+    w = docs(spark, folder).filter("text IS NOT NULL").select("doc_id", F.lit("zh").alias("lang"), F.explode(F.regexp_extract_all("text", F.lit(r"[\x{4E00}-\x{9FFF}]+"), F.lit(0))).alias("word"))
+    return macro.first_contained(w, _seeds(spark, parameters.OTHER_SEEDS), KEY).groupBy("doc_id", "cluster", "pole").agg(F.count("*").alias("hits"))
+
+
+@query
+def wf_score(spark: SparkSession, folder: str) -> DataFrame:
+    fields = spark.createDataFrame([(f, w) for f, ws in parameters.FIELDS.items() for w in ws.split()], "field string, word string")
+    return macro.densities(_content(spark, folder), fields, KEY)
+
+
+def _poles_z(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """z over all documents of the six letter axes, and of all poles with the politeness of the text."""
+    d = docs(spark, folder)
+    a = micro.vectors(d, KEY).unpivot(KEY, ["intensity", "anxiety", "attention", "emotion", "agitation", "complexity"], "variable", "value")
+    t = macro.pole_table(_content(spark, folder), _seeds(spark), KEY).drop("total")
+    polite = macro.politeness(d, KEY).select("doc_id", F.col("formal").alias("keigo_formal"), F.col("casual").alias("keigo_casual"))
+    t = t.join(polite, KEY)
+    b = t.unpivot(KEY, [c for c in t.columns if c != "doc_id"], "variable", "value")
+    return baseline.running(a, ["variable"], KEY), baseline.running(b, ["variable"], KEY)
+
+
+@query
+def dis_bridge_poles(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(baseline.bridge_events(*_poles_z(spark, folder), KEY), 4, "delta")
+
+
+@query
+def dis_fallback_poles(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = _poles_z(spark, folder)
+    return rounded(baseline.ranked_events(a, b, baseline.bridge_events(a, b, KEY), KEY), 4, "delta")
+
+
+@query
+def vad_all(spark: SparkSession, folder: str) -> DataFrame:
+    return affect.valence_of_all(docs(spark, folder), affect.valence(_content(spark, folder), lexicons.vad(_vad_lines(spark), "first"), KEY), KEY)
+
+
+@query
+def pds_agg(spark: SparkSession, folder: str) -> DataFrame:
+    return affect.pds(_content(spark, folder), lexicons.vad(_vad_lines(spark), "first"), _intensity(spark, folder), KEY)
+
+
+@query
+def pds_top60(spark: SparkSession, folder: str) -> DataFrame:
+    return affect.extremes(_content(spark, folder), lexicons.vad(_vad_lines(spark), "first"), KEY)
+
+
+# Korean, excerpts, waves
+
+
+@query
+def sanitize_ko(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).filter("text IS NOT NULL").select("doc_id", fx.prose_ko(F.col("text")).alias("prose"))
+
+
+@query
+def hangul_decompose(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).filter("text IS NOT NULL").select("doc_id", micro.jamo(F.col("text")).alias("jamo"))
+
+
+@query
+def letter_freq_ko24(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.hangul_letters(docs(spark, folder), KEY)
+
+
+@query
+def bpv_archetype(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.archetypes(docs(spark, folder), KEY)
+
+
+@query
+def micro_ko(spark: SparkSession, folder: str) -> DataFrame:
+    return micro.vectors(docs(spark, folder), KEY, language="KO")
+
+
+@query
+def truncate140(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).filter("text IS NOT NULL").select("doc_id", windows.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query
+def som_wave(spark: SparkSession, folder: str) -> DataFrame:
+    return wave.pattern(docs(spark, folder), KEY)
+
+
+@query
+def som_envelope20(spark: SparkSession, folder: str) -> DataFrame:
+    return wave.envelope(docs(spark, folder), KEY, buckets=20, empty=True)
+
+
+@query
+def som_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return wave.summary(docs(spark, folder), KEY).drop("mean_sigma", "root", "tier", "label")
+
+
+# narrative, argument, devices on made texts
+
+
+@query
+def nar_tense(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.tense(docs(spark, folder), KEY)
+
+
+@query
+def nar_subord(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.subordination(docs(spark, folder), KEY)
+
+
+@query
+def rh_places(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.sentence_places(docs(spark, folder), KEY)
+
+
+@query
+def arg_function(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.argument_findings(docs(spark, folder).unionAll(_devices(spark)), KEY)
+
+
+@query
+def lar_posturing(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.posturing(lar_radar(spark, folder), macro_seed_hits(spark, folder), KEY)
+
+
+def _devices(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(parameters.DEVICES, "doc_id long, text string")
+
+
+for _name, _measure in {
+    "rh_simile": lambda d: literary.by_pattern(d, KEY, literary.SIMILE),
+    "rh_hyperbole": lambda d: literary.by_pattern(d, KEY, literary.HYPERBOLE),
+    "rh_litotes": lambda d: literary.litotes(d, KEY),
+    "rh_polysyndeton": lambda d: literary.polysyndeton(d, KEY),
+    "rh_oxymoron": lambda d: literary.oxymora(d, KEY),
+    "rh_personification": lambda d: literary.personification(d, KEY),
+}.items():
+    _f = (lambda measure: lambda spark, folder: measure(docs(spark, folder).unionAll(_devices(spark))))(_measure)
+    _f.__name__ = f"{_name}_made"
+    query(_f)
+
+
+# more of the graph, of comparison and of entities
+
+
+@query
+def g_corpora(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.corpora(_edges(spark, folder, None))
+
+
+@query
+def g_corpus_docs(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = table(spark, folder, "documents", "doc_id", "title", "lang").select(F.concat(F.lit("d"), "doc_id").alias("id"), "title", "lang")
+    return graph.corpus_documents(nodes, _edges(spark, folder, None), "wire_dispatch")
+
+
+@query
+def g_doc_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the first English document."""
+    first = table(spark, folder, "documents", "doc_id", "lang").filter("lang = 'en'").agg(F.min("doc_id")).first()[0]
+    return graph.document_matrix(_edges(spark, folder, None), f"d{first}")
+
+
+@query
+def g_ephemeral(spark: SparkSession, folder: str) -> DataFrame:
+    """Letters of the windows of the largest source's documents."""
+    d = docs(spark, folder, "source").filter("source = 'wire_dispatch'")
+    w = telemetry.latin_letters(windows.plain_windows(d), ["doc_id", "win_idx"])
+    return graph.window_matrices(w.select("doc_id", "win_idx", F.col("letter").alias("node"), F.col("n").cast("double").alias("weight")), ["doc_id", "win_idx"])
+
+
+@query
+def g_frobenius(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.frobenius(graph.divergence(_whole(spark, folder, CORPORA[:1]), _whole(spark, folder, CORPORA[1:])))
+
+
+@query
+def g_fiedler(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.fiedler(g_spectrum_all(spark, folder))
+
+
+@query
+def g_related(spark: SparkSession, folder: str) -> DataFrame:
+    """From the first document, two steps."""
+    e = _edges(spark, folder, None)
+    first = table(spark, folder, "documents", "doc_id").agg(F.min("doc_id")).first()[0]
+    return graph.related(e.select(F.col("src").alias("id")).distinct(), e, f"d{first}")
+
+
+@query
+def g_remove_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left without the largest source."""
+    e = _edges(spark, folder, None)
+    nodes = e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct()
+    nodes, e = graph.remove_corpus(nodes, e, "wire_dispatch")
+    return e.groupBy("relation").agg(F.count("*").alias("edges")).unionAll(nodes.select(F.lit("any node").alias("relation"), "id").groupBy("relation").agg(F.count("*")))
+
+
+@query
+def cmp_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of entities' requests against those of requests without one."""
+    own = table(spark, folder, "analysis_requests", "request_id", "entity_id").distinct()
+    e = table(spark, folder, "dissonance_events", "event_id", "request_id", "trigger_type").distinct().join(own, "request_id")
+    return compare.event_counts(e.filter("entity_id IS NOT NULL"), e.filter("entity_id IS NULL"), ["trigger_type"])
+
+
+@query
+def ent_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents", "doc_id", "entity_id")
+    a = micro.axes(docs(spark, folder), KEY).unpivot(KEY, ["anxiety", "attention", "emotion", "agitation"], "variable", "value")
+    return rounded(entity.baselines(a.join(d, KEY)), 4, "mu", "sigma")
+
+
 @query
 def analyze_windows(spark: SparkSession, folder: str) -> DataFrame:
     return analyze.flagship(docs(spark, folder))
