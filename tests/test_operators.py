@@ -401,3 +401,15 @@ def test_ledgers(spark):
     s = "event_id string, delta double"
     old, new = spark.createDataFrame([("a", 1.0)], s), spark.createDataFrame([("a", 2.0), ("b", 3.0)], s)
     assert {tuple(r) for r in entity.append(old, new).collect()} == {("a", 1.0), ("b", 3.0)} and entity.cleared(old).count() == 0
+
+
+@pytest.mark.parametrize("language", ["EN", "ES", "FR", "RU", "AR", "FA", "KO"])
+def test_scores_of_words_met_one_by_one(spark, language):
+    import random
+
+    rng = random.Random(1)
+    a = micro.ALPHABETS[language]
+    words = ["".join(rng.choice(a.letters[:12]) for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    score = micro.scorer(language)
+    for r in micro.score_words(spark.createDataFrame([(w,) for w in words], "word string"), language).collect():
+        assert score(r.word) == pytest.approx(r.score), r.word

@@ -2,15 +2,20 @@
 
 Where a letter stands in its word decides what it counts, and no letter's part depends on the score of another: a half
 of a doubled pair; else half of the first pair it forms with a letter one or two places away; else its weight by place.
-So a word's score is a sum over its letters, and a window's one expression over its words; nothing is shuffled.
+So a word's score is a sum over its letters: an expression for distinct words, and for windows a lookup among the words that a
+worker has met (Arrow batches). Nothing is shuffled.
 
 Defined results: texts without letters have no row; a window without words has raw score 0.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,16 +197,62 @@ def double_events(df: DataFrame, key: list[str], text: str = "text", language: s
     return w.select(*key, "word_no", "pair", F.round(_at(a.weights, letter) * F.coalesce(_at(a.doubles, letter), F.lit(1.0)) + 1e-9, 4).alias("score"))
 
 
+def scorer(language: str) -> Callable[[str], float]:
+    """`word_score` for words met one by one; words that were met lately are remembered."""
+    a = ALPHABETS[language]
+    pairs = {q: f for pair, f in a.pairs.items() for q in (pair, pair[::-1])}
+    kinds = str.maketrans(a.kinds)
+    marks = frozenset(a.marks)
+
+    @lru_cache(200_000)
+    def score(word: str) -> float:
+        kind = word.translate(kinds)
+        doubled = re.sub(r"(.)\1", "12", kind)
+        weight = [a.weights[c] for c in word]
+        last = len(word) - 1
+
+        def part(k: int) -> float:
+            if doubled[k] in "12":
+                return weight[k - (doubled[k] == "2")] * a.doubles.get(kind[k], 1.0) / 2
+            for step, reach in ((-2, 0.5), (-1, 1.0), (1, 1.0), (2, 0.5)):
+                if 0 <= k + step <= last and (f := pairs.get(kind[k] + kind[k + step])) is not None:
+                    return (weight[k] + weight[k + step]) * f * reach / 2
+            return weight[k] * (FIRST if k == 0 else (0.0 if kind[k] in a.silent else LAST) if k == last else 1.0)
+
+        return sum(map(part, range(last + 1))) * (1.0 if marks.isdisjoint(kind) else MARKED)
+
+    return score
+
+
+SUMS = "raw double, chars bigint, words bigint, visual bigint, twice bigint, mute bigint"
+
+
+def _sums(language: str) -> Callable[[Column], Column]:
+    """Sums over the words of a prepared text: scores, letters, words, words with a marking letter, RR, mute ends.
+
+    The words of a window are looked up in what the worker remembers, for most have been met before.
+    """
+    a = ALPHABETS[language]
+
+    @F.pandas_udf(SUMS)
+    def sums(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        score, words = scorer(language), re.compile(f"[{a.letters}]+").findall
+        marked = re.compile(f"[{''.join(c for c in a.letters if a.kinds.get(c, c) in a.marks)}]").search
+        mute = frozenset(a.silent)
+        for s in texts:
+            rows = []
+            for t in s:
+                w = words(t) if isinstance(t, str) else []
+                rows.append((sum(map(score, w)), sum(map(len, w)), len(w), sum(marked(x) is not None for x in w), sum(x.count("RR") for x in w) if language == "ES" else 0, sum(x[-1] in mute for x in w) if mute else 0))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUMS.split(", ")])
+
+    return sums
+
+
 def window_scores(df: DataFrame, key: list[str], text: str = "text", language: str = "EN") -> DataFrame:
     """key, raw_score, total_chars, words_with_visual of each row with words."""
-    a = ALPHABETS[language]
-    w = df.select(*key, words_of(F.col(text), language).alias("_w")).filter(F.size("_w") > 0)
-    return w.select(
-        *key,
-        F.round(total(F.transform("_w", lambda x: word_score(x, a)), F.lit(0.0)) + 1e-9, 4).alias("raw_score"),
-        total(F.transform("_w", F.length)).alias("total_chars"),
-        total(F.transform("_w", lambda x: a.kind(x).rlike(f"[{a.marks}]").cast("bigint"))).alias("words_with_visual"),
-    )
+    w = df.select(*key, _sums(language)(prepared(F.col(text), language)).alias("_s")).filter("_s.words > 0")
+    return w.select(*key, F.round(F.col("_s.raw") + 1e-9, 4).alias("raw_score"), F.col("_s.chars").alias("total_chars"), F.col("_s.visual").alias("words_with_visual"))
 
 
 def letter_totals(df: DataFrame, key: list[str], text: str = "text", language: str = "EN") -> DataFrame:
@@ -236,20 +287,16 @@ def vectors(df: DataFrame, key: list[str], text: str = "text", language: str = "
     in Korean the characters are syllables.
     """
     a = ALPHABETS[language]
-    w = df.select(*key, words_of(F.col(text), language).alias("_w"), *([F.regexp_count(text, F.lit("[가-힣]")).alias("_n")] if language == "KO" else [])).filter(F.size("_w") > 0)
-    raw = total(F.transform("_w", lambda x: word_score(x, a)), F.lit(0.0))
-    w = w.select("*", F.array_join("_w", "").alias("_o"), raw.alias("_raw"))
-    chars = F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.length("_o")) if language == "KO" else F.length("_o")
-    visual = total(F.transform("_w", lambda x: a.kind(x).rlike(f"[{a.marks}]").cast("bigint")))
-    out = w.select(*key, "_w", "_raw", F.round(F.round(F.col("_raw") + 1e-9, 4) / F.greatest(F.lit(1), chars) + 1e-9, 4).alias("intensity"), *_shares(F.col("_o"), a), visual.cast("double").alias("complexity"))
+    w = df.select(*key, prepared(F.col(text), language).alias("_t"), *([F.regexp_count(text, F.lit("[가-힣]")).alias("_n")] if language == "KO" else []))
+    w = w.select("*", _sums(language)(F.col("_t")).alias("_s"), F.regexp_replace("_t", f"[^{a.letters}]+", "").alias("_o")).filter("_s.words > 0")
+    chars = F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.col("_s.chars")) if language == "KO" else F.col("_s.chars")
+    out = w.select(*key, "_s", F.round(F.round(F.col("_s.raw") + 1e-9, 4) / F.greatest(F.lit(1), chars) + 1e-9, 4).alias("intensity"), *_shares(F.col("_o"), a), F.col("_s.visual").cast("double").alias("complexity"))
     if language == "ES":
-        rr = total(F.transform("_w", lambda x: F.regexp_count(x, F.lit("RR")).cast("bigint")))
-        boost = rr * (a.weights["R"] * a.doubles["R"]) / F.greatest(F.lit(1.0), F.col("_raw")) * 100
+        boost = F.col("_s.twice") * (a.weights["R"] * a.doubles["R"]) / F.greatest(F.lit(1.0), F.col("_s.raw")) * 100
         out = out.withColumn("agitation", F.round(F.col("agitation") + boost + 1e-9, 6))
     if language == "FR":
-        mute = F.size(F.filter("_w", lambda x: x.rlike(f"[{a.silent}]$"))) / F.size("_w")
-        out = out.withColumn("anxiety", F.round(F.col("anxiety") * (1 - 0.3 * mute) + 1e-9, 6))
-    return out.drop("_w", "_raw")
+        out = out.withColumn("anxiety", F.round(F.col("anxiety") * (1 - 0.3 * F.col("_s.mute") / F.col("_s.words")) + 1e-9, 6))
+    return out.drop("_s")
 
 
 def script_axes(df: DataFrame, key: list[str], text: str = "text", strokes: DataFrame | None = None) -> DataFrame:
