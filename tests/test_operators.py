@@ -413,3 +413,15 @@ def test_scores_of_words_met_one_by_one(spark, language):
     score = micro.scorer(language)
     for r in micro.score_words(spark.createDataFrame([(w,) for w in words], "word string"), language).collect():
         assert score(r.word) == pytest.approx(r.score), r.word
+
+
+def test_spectrum_beyond_the_driver(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    m = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", float(w)) for a in range(40) for b in range(40) for w in [rng.randint(0, 5)] if w and (a + b) % 3], "i string, j string, value double")
+    lap = graph.laplacian(m)
+    want = [r.eigenvalue for r in graph.spectrum(lap, 5).orderBy("rank").collect()]
+    monkeypatch.setattr(graph, "SPECTRUM_NODES", 5)
+    got = [r.eigenvalue for r in graph.spectrum(lap, 5).orderBy("rank").collect()]
+    assert got == pytest.approx(want, abs=1e-4) and abs(got[0]) < 1e-4

@@ -6,14 +6,20 @@ doesn't exist is followed no further.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
+from pyspark.sql.window import Window as W
+
+from textloom.session import checkpoint
 
 FEATURES = ("EXHIBITS_DEVICE", "CO_OCCURS_WITH", "HAS_AFFECT")
-#: Nodes that a dense spectrum is computed for.
-SPECTRUM_NODES = 2000
+#: Nodes that a dense spectrum is computed for on the driver, and that one sort numbers.
+SPECTRUM_NODES, NUMBERED_AT_ONCE = 2_000, 1_000_000
 
 
 def weights(edges: DataFrame) -> DataFrame:
@@ -44,17 +50,66 @@ def laplacian(m: DataFrame) -> DataFrame:
 
 
 def spectrum(lap: DataFrame, k: int = 10) -> DataFrame:
-    """rank, eigenvalue: the k smallest. The matrix is as large as the feature set, whose size is checked."""
-    nodes = lap.filter("i = j").count()
-    if nodes > SPECTRUM_NODES:
-        raise ValueError(f"{nodes} nodes; a dense spectrum is computed for at most {SPECTRUM_NODES}")
-    rows = lap.collect()
-    at = {n: k_ for k_, n in enumerate(sorted({r["i"] for r in rows}))}
-    dense = np.zeros((len(at), len(at)))
-    for r in rows:
-        dense[at[r["i"]], at[r["j"]]] = r["value"]
-    values = [(n, round(float(v), 6)) for n, v in enumerate(np.linalg.eigvalsh(dense)[:k])] if at else []
-    return lap.sparkSession.createDataFrame(values, "rank int, eigenvalue double")
+    """rank, eigenvalue: the k smallest.
+
+    Up to SPECTRUM_NODES nodes the matrix is solved whole on the driver. Beyond, a Lanczos iteration works on it where it lies: the
+    driver holds vectors of one number a node, and each step is one pass over the matrix.
+    """
+    nodes = lap.filter("i = j").select("i").distinct()
+    n = nodes.count()
+    if n <= SPECTRUM_NODES:
+        rows = lap.collect()
+        at = {name: k_ for k_, name in enumerate(sorted({r["i"] for r in rows}))}
+        dense = np.zeros((len(at), len(at)))
+        for r in rows:
+            dense[at[r["i"]], at[r["j"]]] = r["value"]
+        values = np.linalg.eigvalsh(dense)[:k] if at else []
+    else:
+        values = _lanczos(lap, nodes, n, k)
+    return lap.sparkSession.createDataFrame([(r, round(float(v), 6)) for r, v in enumerate(values)], "rank int, eigenvalue double")
+
+
+def _lanczos(lap: DataFrame, nodes: DataFrame, n: int, k: int, steps: int | None = None) -> np.ndarray:
+    """The k smallest eigenvalues of a Laplacian of n nodes, by Lanczos with full reorthogonalisation on (bound - L)."""
+    number = checkpoint(nodes.withColumn("k", F.row_number().over(W.orderBy("i")) - 1)) if n <= NUMBERED_AT_ONCE else checkpoint(nodes.rdd.zipWithIndex().map(lambda r: (r[0]["i"], r[1])).toDF("i string, k long"))
+    m = lap.join(number.withColumnRenamed("k", "a"), "i").join(number.select(F.col("i").alias("j"), F.col("k").alias("b")), "j")
+    m = checkpoint(m.select("a", "b", "value"))
+    bound = 2.0 * (m.filter("a = b").agg(F.max("value")).first()[0] or 0.0)  # no eigenvalue is above twice the largest degree
+    sc = lap.sparkSession.sparkContext
+
+    def times(v: np.ndarray) -> np.ndarray:
+        shared = sc.broadcast(v)
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    x = b["value"].to_numpy() * shared.value[b["b"].to_numpy()]
+                    a, at = np.unique(b["a"].to_numpy(), return_inverse=True)
+                    yield pd.DataFrame({"a": a, "x": np.bincount(at, x, len(a))})
+
+        out = np.zeros(n)
+        for r in m.mapInPandas(part, "a long, x double").groupBy("a").agg(F.sum("x").alias("x")).toLocalIterator():
+            out[r["a"]] = r["x"]
+        shared.unpersist()
+        return bound * v - out
+
+    steps = min(n, steps or 4 * k + 20)
+    q = np.random.default_rng(0).standard_normal(n)
+    basis, alpha, beta = [q / np.linalg.norm(q)], [], []
+    for _ in range(steps):
+        w = times(basis[-1])
+        alpha.append(float(w @ basis[-1]))
+        for b in basis:
+            w = w - (w @ b) * b
+        for b in basis:  # once more, for what rounding left
+            w = w - (w @ b) * b
+        size = float(np.linalg.norm(w))
+        if size < 1e-9 * max(1.0, bound):
+            break
+        beta.append(size)
+        basis.append(w / size)
+    t = np.diag(alpha) + np.diag(beta[: len(alpha) - 1], 1) + np.diag(beta[: len(alpha) - 1], -1)
+    return np.sort(bound - np.linalg.eigvalsh(t))[:k]
 
 
 def jaccard(m: DataFrame) -> DataFrame:

@@ -144,6 +144,30 @@ def layers(out: dict[str, str]) -> dict[str, str]:
         sql[f"{name}_made"] = on_made(out[name])
     pattern = f"(?i)\\b(?:the|a|an|this|that|these|those)\\s+([a-z]+)\\s+((?:{'|'.join(HUMAN)})(?:s|es|ed|d)?)\\b"
     sql["rh_personification_made"] = on_made(f"WITH {SENT} SELECT doc_id, sent, lower(regexp_extract(s, '{pattern}', 1)) AS noun, lower(regexp_extract(s, '{pattern}', 2)) AS verb FROM sent WHERE regexp_matches(s, '{pattern}')")
+    extent = r"(?i)\b(?:in\s+(?:the\s+)?(?:world|history|existence|all\s+creation)|of\s+all\s+time|ever(?:\s+made|\s+seen|\s+written|\s+lived)?|since\s+(?:the\s+)?(?:beginning|dawn)\s+of\s+(?:time|history))\b"
+    likers = quoted("i you we they to would not don t people who ll d could might will".split())
+    no_top = quoted("forest interest request harvest honest protest contest guest west rest test quest priest chest arrest invest suggest modest earnest tempest conquest".split())
+    like = f"len(list_filter(range(2, len(w) + 1), lambda k: w[k] = 'like' AND w[k - 1] NOT IN ({likers}))) > 0"
+    best = f"len(list_filter(w, lambda x: regexp_matches(x, '^(?:most|best|worst|least|[a-z]{{3,}}est)$') AND x NOT IN ({no_top}))) > 0"
+    three = "len(list_filter(string_split(s, ','), lambda x: regexp_matches(x, '\p{L}'))) >= 3"
+
+    def device(name: str, confidence: str, source: str) -> str:
+        return f"SELECT doc_id, sent, '{name}' AS device, round(max({confidence}), 2)::DOUBLE AS confidence FROM ({source}) GROUP BY doc_id, sent"
+
+    toks = f"WITH {SENT}, x AS (SELECT doc_id, sent, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM sw)"
+    deny = f"{toks} SELECT a.doc_id, a.sent, CASE WHEN regexp_matches(b.word, '^(?:un|in|im|ir|il|dis|non)[a-z]{{4,}}$') THEN 0.8 WHEN b.word IN ({quoted(v.NEGATIVE)}) THEN 0.7 END AS c FROM x a JOIN x b ON b.doc_id = a.doc_id AND b.sent = a.sent AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 WHERE a.word = 'not'"
+    sql["rh_findings"] = on_made(" UNION ALL ".join([
+        f"SELECT * FROM (WITH {SENT} SELECT doc_id, sent, 'simile' AS device, (CASE WHEN {like} THEN 0.88 WHEN regexp_matches(s, '{v.SIMILE}') THEN 0.82 END)::DOUBLE AS confidence FROM sw) WHERE confidence IS NOT NULL",
+        f"SELECT * FROM (WITH {SENT} SELECT doc_id, sent, 'hyperbole' AS device, (CASE WHEN {best} AND regexp_matches(s, '{extent}') THEN 0.82 WHEN regexp_matches(s, '{v.HYPERBOLE}') THEN 0.75 END)::DOUBLE AS confidence FROM sw) WHERE confidence IS NOT NULL",
+        f"SELECT * FROM (WITH {SENT} SELECT doc_id, sent, 'asyndeton' AS device, 0.8::DOUBLE AS confidence FROM sw WHERE len(regexp_extract_all(s, ',')) >= 2 AND len(list_filter(w, lambda q: q IN ('and', 'or', 'nor', 'but'))) = 0 AND {three})",
+        device("polysyndeton", "least(0.92, 0.68 + 0.06 * n)", out["rh_polysyndeton"]),
+        device("litotes", "c", f"SELECT * FROM ({deny}) WHERE c IS NOT NULL"),
+        device("antithesis", "CASE WHEN \"pivot\" IN ('but', 'yet', 'whereas') THEN 0.8 ELSE 0.65 END", out["rh_antithesis"]),
+        device("oxymoron", "0.85", out["rh_oxymoron"]),
+        device("alliteration", "confidence", out["rh_alliteration"]),
+        device("assonance", "least(0.78, 0.52 + 0.08 * n)", out["rh_assonance"]),
+        f"SELECT doc_id, sent, 'personification' AS device, 0.82::DOUBLE AS confidence FROM (WITH {SENT} SELECT doc_id, sent FROM sent WHERE regexp_matches(s, '{pattern}'))",
+    ]))
     order = "CASE cluster " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(v.LETTER_CLUSTERS)) + " END"
     sql["lar_posturing"] = f"WITH r AS (SELECT doc_id, cluster AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY percent DESC, {order}) AS k FROM ({out['lar_radar']})) WHERE k = 1), b AS (SELECT doc_id, pole_name AS pole FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pole_name) AS k FROM ({sql['macro_seed_hits']})) WHERE k = 1) SELECT doc_id, dominant, pole, coalesce(pole = 'kinetic_aggression' AND dominant = 'structural', false) AS is_posturing FROM r LEFT JOIN b USING (doc_id)"
 

@@ -64,5 +64,6 @@ VAD_LINES = [
 #: Texts that hold devices which the test documents lack, made for the tests.
 DEVICES = [
     (1, "He was as brave as a lion. She was as quiet as the snow."), (2, "I told you a million times. It lasted for a thousand years. We waited forever and ever."), (3, "That is not bad. It was not an unkind word."), (4, "He came and saw and spoke and left. Ships or boats or rafts or planks."),
+    (8, "It spread like a fog. I like music. It was the greatest storm in history. The forest was the best ever. They came, they saw, they left."),
     (5, "It was an open secret. The living and the dead met."), (6, "The river whispers at night. A storm raged. They whisper."), (7, "I believe the data shows a clear result. According to experts the evidence proves it. Because of this we fear for our children."),
 ]

@@ -946,6 +946,11 @@ for _name, _measure in {
     query(_f)
 
 
+@query
+def rh_findings(spark: SparkSession, folder: str) -> DataFrame:
+    return literary.findings(docs(spark, folder).unionAll(_devices(spark)), KEY)
+
+
 # more of the graph, of comparison and of entities
 
 
