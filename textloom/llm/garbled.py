@@ -56,6 +56,8 @@ IDEOGRAPH = re.compile(rf"[{NO_SPACE}]")
 #: A text is cut into pieces at white space, where a script without spaces begins or ends, and after its full stops.
 BROKEN = re.compile(r"[^\W\d_]*(?:�+[^\W\d_]+)+�*|[^\W\d_]+�+")
 NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+CONTROL = re.compile("[\x00-\x1f]")
+C1 = re.compile("[\x80-\x9f]")
 NEXT_TO = re.compile(r"[^\x00-\x7f]{2}")
 WIDE = "　-〿！-ﾟ" + NO_SPACE
 MORE = f"[{WIDE}�]|[∀-⋿─-◿､](?=[{WIDE}�])"  # within such a run, what double-byte tables hold besides
@@ -69,7 +71,7 @@ def units(text: str) -> list[str]:
     out = []
     for m in UNIT.finditer(text):
         w = m.group()
-        if IDEOGRAPH.match(w):
+        if w[0] >= "ᄀ" and IDEOGRAPH.match(w):
             out += [w[k : k + 2] for k in range(len(w) - 1)] or [w]
         elif w[0].isalpha():
             out.append(w.lower())
@@ -118,6 +120,9 @@ def _raw(text: str, w: str) -> bytes | None:
 MULTIBYTE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
+HIGH = bytes(range(0x80, 0x100))
+
+
 def _read(raw: bytes, r: str) -> str | None:
     """Bytes read as r. A few lost ones are wildcards (U+FFFD)."""
     if r == "utf-8" and not MULTIBYTE.search(raw):
@@ -125,9 +130,11 @@ def _read(raw: bytes, r: str) -> str | None:
     try:
         return raw.decode(r)
     except UnicodeDecodeError:
+        if r == "utf-8" and sum(map(len, MULTIBYTE.findall(raw))) < len(raw) - len(raw.translate(None, HIGH)) >> 1:
+            return None  # fewer than half of the bytes beyond ASCII are in whole characters
         out = raw.decode(r, "replace")
-        solid = sum(1 for c in out if ord(c) > 127 and c != "�")
-        return out if solid > 2 * out.count("�") else None
+        lost = out.count("�")
+        return out if len(out) - len(NOT_ASCII.sub("", out)) - lost > 2 * lost else None
 
 
 def _invert(text: str, w: str, r: str) -> str | None:
@@ -191,27 +198,27 @@ class Model:
         more.candidates = more._candidates
         return more
 
-    def score(self, text: str, own: bool = False, of: list[str] | None = None) -> tuple[float, int, int]:
+    def score(self, text: str, own: bool = False) -> tuple[float, int, int]:
         """Log probability; how many of the characters in words outside ASCII stand in known words; how many there are.
 
         own: the text stands there as it is, so that units of one text alone are its own and tell nothing of it.
         """
         total, known, n = 0.0, 0, 0
-        for u in units(text) if of is None else of:
+        for u in units(text):
             p = None if own and not u.isascii() and u in self.single else self.log.get(u)
             if u[0] == "�":
                 total -= 6.0
             elif not u[0].isalpha():
                 total -= 6.0 if u in TYPOGRAPHIC else 11.0
             else:
-                wide, met = IDEOGRAPH.match(u), p is not None
+                wide, met = u[0] >= "ᄀ" and IDEOGRAPH.match(u), p is not None
                 if p is None:
                     p = -22.0 if wide else -6.0 - (2.5 if u.isascii() else 3.5) * len(u)
                 total += 0.6 * p if wide else p  # pairs overlap
                 if len(u) > 1 and not u.isascii():
                     n += len(u)
                     known += len(u) if met else 0
-        return total - 4.0 * sum(1 for c in text if "\x80" <= c < "\xa0"), known, n
+        return total - 4.0 * len(C1.findall(text)), known, n
 
     @staticmethod
     def _asked(w: str, base: float) -> float:
@@ -241,16 +248,15 @@ class Model:
             if text is None or text in seen:
                 continue
             seen.add(text)
-            if any(ord(ch) < 32 for ch in text):
+            if CONTROL.search(text):
                 continue
             if r == "utf-8":
                 again = _invert(text, w, r) if not text.isascii() else None
                 if again is not None and again != text and "�" not in again:
                     text = again
-                us = units(text)
-            elif not self._words(us := units(text)):
+            elif not self._words(text):
                 continue
-            s, known, n = self.score(text, of=us)
+            s, known, n = self.score(text)
             gain = s - base
             if r == "utf-8" and w in TABLES and "�" not in text:
                 # bytes that happen to be right UTF-8 are hardly chance
@@ -267,13 +273,32 @@ class Model:
         out.sort(key=lambda x: (-x[0], x[2]))
         return out
 
-    def _words(self, us: list[str]) -> bool:
-        """Are six in ten of the characters in words outside ASCII in known words, and at least three? (A quick look, before `score`.)"""
-        known = n = 0
-        for u in us:
-            if len(u) > 1 and not u.isascii():
-                n += len(u)
-                known += len(u) if u in self.log else 0
+    def _words(self, text: str) -> bool:
+        """Are six in ten of the characters in words outside ASCII in known words, and at least three? (A quick look, before `score`.)
+
+        It ends as soon as too many are not: no more than two for each character of the text can be counted at all.
+        """
+        known = unknown = 0
+        most = 0.8 * len(text)
+        log = self.log
+        for m in UNIT.finditer(text):
+            w = m.group()
+            if w[0] >= "ᄀ" and IDEOGRAPH.match(w):
+                for u in [w[k : k + 2] for k in range(len(w) - 1)]:
+                    if u in log:
+                        known += 2
+                    else:
+                        unknown += 2
+                        if unknown > most:
+                            return False
+            elif len(w) > 1 and w[0].isalpha() and not w.isascii():
+                if w.lower() in log:
+                    known += len(w)
+                else:
+                    unknown += len(w)
+                    if unknown > most:
+                        return False
+        n = known + unknown
         return n >= 3 and known >= 0.6 * n
 
     def _lattice(self, piece: str, w: str) -> str | None:
