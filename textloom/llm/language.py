@@ -161,17 +161,33 @@ def clean_sample(labelled: list[tuple[str, str]]) -> dict[str, str]:
     return out
 
 
+# Where scripts lie; other letters are of none of them.
+SCRIPTS = re.compile("(?P<latin>[A-Za-zÀ-ɏ])|(?P<cyrillic>[Ѐ-ӿ])|(?P<arabic>[؀-ݿ])|(?P<hangul>[ᄀ-ᇿ가-힣])|(?P<kana>[぀-ヿ])|(?P<han>[㐀-鿿])")
+
+
+def alphabet(text: str) -> frozenset[str]:
+    """The letters of a text but those of a script that holds less than a twentieth of them: foreign words among a language's own."""
+    count: Counter[str | None] = Counter()
+    letters: dict[str | None, set[str]] = defaultdict(set)
+    for ch, n in Counter(text).items():
+        if not ch.isspace():
+            m = SCRIPTS.match(ch)
+            count[m and m.lastgroup] += n
+            letters[m and m.lastgroup].add(ch)
+    return frozenset(ch for script, of in letters.items() if 20 * count[script] >= sum(count.values()) for ch in of)
+
+
 class Identifier:
     """Segments of texts, by the automata of the given training texts."""
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.codes = sorted(texts)
         self.automata = [Automaton(texts[c]) for c in self.codes]
-        self.alphabets = [frozenset(texts[c]) - {" ", "\n"} for c in self.codes]
+        self.alphabets = [alphabet(texts[c]) for c in self.codes]
         self.costs = lru_cache(50_000)(self._costs)
 
     def _costs(self, letters: str) -> tuple[int, ...]:
-        own = set(letters) - {" "}
+        own = set(letters) - {" "}  # where no letter is the language's own, each is a phrase
         return tuple(len(letters) if own.isdisjoint(alphabet) else a.phrases(letters) for a, alphabet in zip(self.automata, self.alphabets, strict=True))
 
     def segments(self, text: str, given: str | None = None) -> list[tuple[str, float, int, int]]:
