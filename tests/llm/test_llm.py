@@ -600,3 +600,21 @@ def test_registered_queries_run(spark):
     for name, f in entry.queries().items():
         if re.match(r"p\d+_found$", name):
             assert f(spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None), (1, None, "EN"), (2, "", None), (2, "", None), (3, " \n\t", ""), (4, "�", "xx"), (5, "a" * 30_000, "EN"), (6, "é" * 30_000, "FR")]])
+def test_empty_tables_nulls_and_odd_texts(spark, rows):
+    """Every operator on nothing, and on nulls, blanks, repeats and very long texts beside columns of clashing names."""
+    df = spark.createDataFrame([(k, t, c, "x", 1.0, "y") for k, t, c in rows], "request_id long, text string, language_code string, unit string, h double, k string")
+    n = len(rows)
+    assert canonical.look_alikes(df).count() == 0 and canonical.canonical(df).count() == n and canonical.classes(df).count() == len({r[:2] for r in rows if r[0] is not None and r[1] is not None})
+    assert sentences.sentences(df, length=10_000).filter("end_char <= start_char").count() == 0
+    assert reading.levels(df, reading.grader(df.select("text", F.lit(2).alias("known_level")))).count() <= n
+    assert garbled.restore(df).count() == n and quality.shapes(df).count() == len([r for r in rows if r[1] is not None])
+    assert language.wrong_labels(df).count() <= n
+    docs = df.select(F.col("request_id").alias("doc_id"), "text", F.col("k").alias("source"), "unit", "h")
+    items = spark.createDataFrame([(1, None), (None, "a b c d e f"), (2, "")], "item_id long, text string")
+    assert leaks.leaks(docs, items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
+    targets = spark.createDataFrame([("m", "y", 0.5, 1), ("m", None, None, None), (None, "y", 0.1, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    assert all(m.count() >= 0 for m in mixing.mix(docs, targets))
+    assert pii.redact(docs).count() == n and pii.spans(docs).count() == 0
