@@ -425,3 +425,18 @@ def test_spectrum_beyond_the_driver(spark, monkeypatch):
     monkeypatch.setattr(graph, "SPECTRUM_NODES", 5)
     got = [r.eigenvalue for r in graph.spectrum(lap, 5).orderBy("rank").collect()]
     assert got == pytest.approx(want, abs=1e-4) and abs(got[0]) < 1e-4
+
+
+def test_many_values_at_once_equal_one_by_one():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    xs = 1e5 + rng.standard_normal(300)
+    one = many = (0, 0.0, 0.0, 0.0)
+    rows = []
+    for part in np.array_split(xs, [1, 7, 150]):
+        many, out = baselines.absorb_all(many, part)
+        rows.append(out)
+    for x, row in zip(xs, np.concatenate(rows), strict=True):
+        one, sigma, z = baselines.absorb(one, float(x))
+        assert row[0] == one[0] and row[1] == pytest.approx(one[1]) and row[2] == pytest.approx(sigma, rel=1e-6) and row[3] == pytest.approx(one[3]) and row[4] == pytest.approx(z, abs=1e-5 * max(1, abs(z)))
