@@ -45,6 +45,8 @@ RANGES = (("L", 0x41, 0x24F), ("G", 0x370, 0x3FF), ("C", 0x400, 0x52F), ("A", 0x
 # Other characters with one look.
 SAME_LOOK = {"‐": "-", "‑": "-", "ʼ": "’", "µ": "μ", "Ω": "Ω"} | dict(zip("۰۱۲۳۷۸۹", "٠١٢٣٧٨٩", strict=True))
 
+APART = re.compile(r"[.!?…。！？\n]")
+WORDS = re.compile(r"[^\W\d_]+")
 WIDTH_TAGS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
 LIGATURES = ((0xFB00, 0xFB07), (0xFB13, 0xFB18), (0x2E80, 0x2FD6), (0x0132, 0x0134), (0x01C4, 0x01CD), (0x01F1, 0x01F4), (0x2160, 0x2180))
 # Arabic letters that join only to the letter before them, or to none: nothing joins after them.
@@ -195,28 +197,37 @@ class Transducer:
         return forms | {own: ch}
 
     def _own_script(self, text: str) -> str:
-        """A word of look-alike letters takes the script that all its letters have a form in: the text's most frequent one, if there are several."""
+        """A word of look-alike letters takes the script that all its letters have a form in; of several the one of the nearest word that leaves no doubt, in its sentence if there is one."""
         if not self.foreign.search(text):
             return text
         has = {s for s in map(self._script, set(text)) if s}
         if len(has) < 2 and has <= {"L", "C", "G"}:
             return text
-        sure: Counter[str] = Counter()
-        for ch, n in Counter(text).items():
-            f = self.forms(ch)
-            if len(f) == 1:
-                sure[next(iter(f))] += n
-        main = max(sure, key=lambda s: (sure[s], s)) if sure else "L"
-
-        def word(m: re.Match) -> str:
+        words = list(WORDS.finditer(text))
+        choice: list[set[str]] = []
+        for m in words:
             forms = [f for ch in m.group() if (f := self.forms(ch))]
-            to = set(forms[0]).intersection(*forms) if forms else ()
-            if not to:
-                return m.group()
-            name = main if main in to else "L" if "L" in to else min(to)
-            return "".join(self.forms(ch).get(name, ch) for ch in m.group())
-
-        return re.sub(r"[^\W\d_]+", word, text)
+            choice.append(set(forms[0]).intersection(*forms) if forms else set())
+        before: list[tuple[int, str] | None] = []
+        part: list[int] = []  # the sentence or line of each word, about
+        last = None
+        for k, to in enumerate(choice):
+            part.append(part[-1] + (APART.search(text, words[k - 1].end(), words[k].start()) is not None) if part else 0)
+            last = (k, next(iter(to))) if len(to) == 1 else last
+            before.append(last)
+        out, at, after = [], len(text), None
+        for k in range(len(words) - 1, -1, -1):
+            to, m = choice[k], words[k]
+            if len(to) == 1:
+                after = (k, next(iter(to)))
+            near = sorted((part[x[0]] != part[k], abs(x[0] - k), x[0] > k, x[1]) for x in (before[k], after) if x and x[1] in to)
+            name = near[0][3] if near else "L" if "L" in to else min(to, default=None)
+            word = m.group()
+            out.append(text[m.end() : at])
+            out.append("".join(self.forms(ch).get(name, ch) for ch in word) if name else word)
+            at = m.start()
+        out.append(text[:at])
+        return "".join(reversed(out))
 
     def _joined(self, run: str, left: str, right: str) -> str:
         """A run with joiners between its neighbours: a (non-)joiner stays only where it changes how letters are drawn."""
