@@ -53,6 +53,11 @@ def test_words_of_a_script_stay_in_it():
     assert T.canonical("no one on. Совет рассмотрел письмо") == "no one on. Совет рассмотрел письмо"
 
 
+def test_foreign_sentences_keep_their_script():
+    text = "Совет рассмотрел. El miedo creció sobre el puente de la casa. Совет хо рассмотрел"
+    assert T.canonical(text) == text and T.canonical(text.replace("хо", "xo").replace("casa", "саsa")) == text
+
+
 def test_classes(spark):
     rows = [(1, "Моscow"), (2, "Moscow"), (3, "Moscow"), (4, "Minsk"), (5, None), (6, "")]
     got = {r.request_id: (r.class_id, r.links) for r in canonical.classes(spark.createDataFrame([*rows, rows[1]], ROWS)).collect()}
