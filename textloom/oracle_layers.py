@@ -197,6 +197,9 @@ def layers(out: dict[str, str]) -> dict[str, str]:
     sql["g_related"] = f"SELECT relation, count(DISTINCT dst) AS features FROM (SELECT 'd' || doc_id AS src, letter AS dst, 'CO_OCCURS_WITH' AS relation FROM ({out['letter_freq_latin']}) UNION ALL SELECT 'd' || doc_id, coalesce(source, 'none'), 'BELONGS_TO' FROM documents) WHERE src = {first} GROUP BY relation"
     edges = f"(SELECT 'd' || doc_id AS src, letter AS dst, 'CO_OCCURS_WITH' AS relation FROM ({out['letter_freq_latin']}) UNION ALL SELECT 'd' || doc_id, coalesce(source, 'none'), 'BELONGS_TO' FROM documents)"
     sql["g_remove_corpus"] = f"SELECT relation, count(*) AS edges FROM {edges} WHERE NOT (relation = 'BELONGS_TO' AND dst = 'wire_dispatch') GROUP BY relation UNION ALL SELECT 'any node', count(DISTINCT id) FROM (SELECT src AS id FROM {edges} UNION ALL SELECT dst FROM {edges}) WHERE id <> 'wire_dispatch'"
+    axes_of = out["cmp_delta"].split(" SELECT count(*) AS windows")[0]
+    sql["analyze_windows"] = f"{axes_of} SELECT w.* EXCLUDE (digest), total_words, total_chars, avg_word_length, anxiety, attention, emotion, agitation, round(total_words / (end_line - start_line + 1), 2) AS words_per_line FROM ({out['win_slide']}) w JOIN ({out['tel_words']}) t USING (doc_id, win_idx) LEFT JOIN ax USING (doc_id, win_idx)"
+    sql["g_trace"] = f"SELECT round(sum(value), 3)::DOUBLE AS trace FROM ({out['g_laplacian']}) WHERE i = j"
     sql["cmp_events"] = "WITH o AS (SELECT DISTINCT request_id, entity_id FROM analysis_requests), e AS (SELECT DISTINCT event_id, request_id, trigger_type FROM dissonance_events) SELECT trigger_type, count(*) FILTER (WHERE entity_id IS NOT NULL) AS events_a, count(*) FILTER (WHERE entity_id IS NULL) AS events_b, count(*) FILTER (WHERE entity_id IS NULL) - count(*) FILTER (WHERE entity_id IS NOT NULL) AS difference FROM e JOIN o USING (request_id) GROUP BY trigger_type"
     sql["ent_baseline"] = f"WITH a AS (UNPIVOT (SELECT * FROM ({out['micro_axes']})) ON COLUMNS(* EXCLUDE (doc_id)) INTO NAME variable VALUE value) SELECT entity_id, variable, count(*) AS n, round(round(avg(value) + 1e-9, 6) + 1e-9, 4) AS mu, round(round(CASE WHEN count(*) < 2 THEN 1.0 ELSE sqrt(greatest(var_samp(value), 1e-9)) END + 1e-9, 6) + 1e-9, 4) AS sigma FROM a JOIN (SELECT doc_id, entity_id FROM documents WHERE entity_id IS NOT NULL) USING (doc_id) GROUP BY ALL"
     weights = {"first": [7, 9, 5, 7, 9, 6, 6, 7, 9, 8, 9, 5, 7, 9, 8, 8, 8, 8, 6], "vowel": [7, 6, 6, 5, 6, 5, 5, 5, 7, 6, 5, 6, 5, 7, 6, 5, 6, 5, 5, 5, 7], "final": [7, 9, 7, 5, 5, 5, 7, 6, 6, 6, 6, 6, 6, 6, 6, 6, 7, 7, 8, 9, 5, 7, 8, 8, 8, 8, 6]}

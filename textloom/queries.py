@@ -985,6 +985,12 @@ def g_frobenius(spark: SparkSession, folder: str) -> DataFrame:
     return graph.frobenius(graph.divergence(_whole(spark, folder, CORPORA[:1]), _whole(spark, folder, CORPORA[1:])))
 
 
+@query
+def g_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """The eigenvalues of a matrix of fewer than ten nodes add up to its trace."""
+    return g_spectrum(spark, folder).agg(F.round(F.sum("eigenvalue"), 3).alias("trace"))
+
+
 @query
 def g_fiedler(spark: SparkSession, folder: str) -> DataFrame:
     return graph.fiedler(g_spectrum_all(spark, folder))
