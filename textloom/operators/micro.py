@@ -338,3 +338,16 @@ def archetypes(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     for name, of in ARCHETYPES["KO"].items():
         kind = F.when(F.col("letter").isin(*of), name).otherwise(kind)
     return hangul_letters(df, key, text).groupBy(*key, kind.alias("archetype")).agg(F.sum("n").alias("n"))
+
+
+def japanese(df: DataFrame, strokes: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """key, and the six axes of Japanese with shares of all characters that are neither blanks nor punctuation; complexity is the mean of strokes.
+
+    Texts without such a character have no row; kanji that the table of strokes (ch, n) lacks count 8.
+    """
+    n = {name: F.regexp_count(F.col(text), F.lit(p)) for name, p in (("kanji", r"[\x{4E00}-\x{9FFF}]"), ("hiragana", r"[\x{3040}-\x{309F}]"), ("katakana", r"[\x{30A0}-\x{30FF}]"))}
+    solid = F.length(F.regexp_replace(text, r"[\p{P}\p{Z}\n\t]+", ""))
+    s = df.select(*key, *[c.alias(name) for name, c in n.items()], solid.alias("_n")).filter("_n > 0")
+    axes_ = [F.round(100.0 * F.col(c) * f / F.col("_n") + 1e-9, 4).alias(name) for name, c, f in (("intensity", "kanji", 1.0), ("attention", "kanji", 0.8), ("emotion", "hiragana", 1.0), ("agitation", "katakana", 1.0))]
+    means = stroke_means(df, strokes, key, text)
+    return s.select(*key, *axes_, F.lit(0.0).alias("anxiety")).join(means, key, "left").withColumn("complexity", F.round(F.coalesce("d", F.lit(0.0)) + 1e-9, 4)).drop("d")

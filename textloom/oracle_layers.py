@@ -111,6 +111,8 @@ def layers(out: dict[str, str]) -> dict[str, str]:
     sql["letter_freq_ko24"] = f"WITH {ko24} SELECT * FROM kc"
     kind = "CASE WHEN letter IN ('ㅏ','ㅓ','ㅗ','ㅜ','ㅣ') THEN 'origin' WHEN letter IN ('ㄱ','ㄷ','ㅂ','ㅈ','ㅊ','ㅋ','ㅌ','ㅍ') THEN 'kinetic' WHEN letter IN ('ㄴ','ㄹ','ㅁ','ㅅ','ㅎ') THEN 'resonant' WHEN letter = 'ㅇ' THEN 'sovereign' ELSE 'liminal' END"
     sql["bpv_archetype"] = f"WITH {ko24} SELECT doc_id, {kind} AS archetype, CAST(sum(n) AS BIGINT) AS n FROM kc GROUP BY ALL"
+    strokes = "CASE ch " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in p.STROKES) + " ELSE 8 END"
+    sql["micro_ja_all"] = f"WITH c AS (SELECT doc_id, text, length(regexp_replace(text, '[\\p{{P}}\\p{{Z}}\\n\\t]+', '', 'g')) AS n, len(regexp_extract_all(text, '[\\x{{4E00}}-\\x{{9FFF}}]')) AS k, len(regexp_extract_all(text, '[\\x{{3040}}-\\x{{309F}}]')) AS h, len(regexp_extract_all(text, '[\\x{{30A0}}-\\x{{30FF}}]')) AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, avg({strokes}) AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\x{{4E00}}-\\x{{9FFF}}]')) AS ch FROM c) GROUP BY doc_id) SELECT doc_id, round(100.0 * k / n + 1e-9, 4)::DOUBLE AS intensity, round(80.0 * k / n + 1e-9, 4)::DOUBLE AS attention, round(100.0 * h / n + 1e-9, 4)::DOUBLE AS emotion, round(100.0 * t / n + 1e-9, 4)::DOUBLE AS agitation, 0.0::DOUBLE AS anxiety, round(coalesce(d, 0.0) + 1e-9, 4)::DOUBLE AS complexity FROM c LEFT JOIN s USING (doc_id) WHERE n > 0"
     sql["truncate140"] = "SELECT doc_id, CASE WHEN length(text) <= 140 THEN text ELSE regexp_replace(substring(text, 1, 139), ' [^ ]*$', '') || '…' END AS excerpt FROM documents WHERE text IS NOT NULL"
     signal = out["som_categories"].split(" SELECT doc_id, CASE")[0]
     sql["som_wave"] = f"{signal} SELECT doc_id, pos, round(x - avg(x) OVER (PARTITION BY doc_id) + 1e-9, 4) AS value FROM sig WHERE pos < 256"

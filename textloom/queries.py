@@ -233,6 +233,12 @@ def micro_ja(spark: SparkSession, folder: str) -> DataFrame:
     return micro.script_axes(docs(spark, folder), KEY)
 
 
+@query
+def micro_ja_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of all characters but blanks and punctuation, and the mean of strokes."""
+    return micro.japanese(docs(spark, folder), spark.createDataFrame(parameters.STROKES, "ch string, n int"), KEY)
+
+
 @query
 def micro_zh(spark: SparkSession, folder: str) -> DataFrame:
     return micro.stroke_axes(docs(spark, folder), spark.createDataFrame(parameters.STROKES, "ch string, n int"), KEY)
