@@ -34,6 +34,39 @@ JAMO = {  # Hangul letters in the order of their code points, as the 24 they cou
 }
 
 
+def literary(out: dict[str, str], language: str) -> dict[str, str]:
+    """The English literary SQL with the lists of another language, on the documents of that language."""
+    own = v.LANGUAGES[language]
+    vowels = own["vowels"]
+    like = {"DE": ("so", "wie"), "FR": ("aussi", "que")}[language]
+    swaps = [
+        (quoted(v.FUNCTION_WORDS), quoted(own["function_words"])), (quoted(v.CONTRASTIVE), quoted(own["contrastive"])), (quoted(v.INTERROGATIVES), quoted(own["interrogatives"])),
+        ("'the', 'a', 'an', 'this', 'that', 'these', 'those'", quoted(own["determiners"])), ("'and', 'or', 'nor', 'but'", quoted(own["coordinating"])),
+        ("'anyone', 'everyone', 'nobody', 'no', 'one', 'whoever', 'whatever', 'we', 'you'", quoted(own["rhetorical"])),
+        ("regexp_matches(initial, '^[b-df-hj-np-tv-z]$')", f"regexp_matches(initial, '^\\p{{L}}$') AND NOT regexp_matches(initial, '[{vowels}]')"), ("'[aeiou]+'", f"'[{vowels}]+'"),
+        (v.SIMILE, v.SIMILE.replace("as\\s+", f"{like[0]}\\s+", 1).replace("\\s+as(", f"\\s+{like[1]}(")),
+        ("FROM documents", f"FROM (SELECT * FROM documents WHERE lower(lang) = '{language.lower()}')"),
+    ]
+
+    def count_in(ws: list[str]) -> str:
+        return f"len(list_filter(w, lambda v: v IN ({quoted(ws)})))"
+
+    def has(phrase: str) -> str:
+        return " + CASE WHEN contains(lower(s), '" + phrase.replace("'", "''") + "') THEN 2 ELSE 0 END"
+
+    appeal = {n: count_in(own[n]) + "".join(map(has, own["phrases"][n])) for n in ("logos", "ethos", "pathos")}
+    args = f"WITH {SENT}, x AS (SELECT doc_id, sent, {', '.join(f'{e} AS {n}' for n, e in appeal.items())} FROM sw), y AS (SELECT *, CASE WHEN logos >= ethos AND logos >= pathos THEN 'logos' WHEN ethos >= pathos THEN 'ethos' ELSE 'pathos' END AS dominant FROM x WHERE greatest(logos, ethos, pathos) >= 2)"
+    of = out["arg_ratios"].split(", r AS (", 1)[1]
+    sql = {name: out[name] for name in ("sty_funcwords", "cmp_burrows", "rh_alliteration", "rh_assonance", "rh_anaphora", "rh_epistrophe", "rh_polysyndeton", "rh_asyndeton", "rh_question", "rh_antithesis", "rh_simile")}
+    sql |= {"arg_score": f"{args} SELECT * FROM y", "arg_ratios": f"{args}, r AS ({of}"}
+    done = {}
+    for name, text in sql.items():
+        for a, b in swaps:
+            text = text.replace(a, b)
+        done[f"{name}_{language.lower()}"] = text
+    return done
+
+
 def layers(out: dict[str, str]) -> dict[str, str]:
     sql: dict[str, str] = {}
     fw = quoted(v.FUNCTION_WORDS)
@@ -151,7 +184,7 @@ def layers(out: dict[str, str]) -> dict[str, str]:
     no_top = quoted("forest interest request harvest honest protest contest guest west rest test quest priest chest arrest invest suggest modest earnest tempest conquest".split())
     like = f"len(list_filter(range(2, len(w) + 1), lambda k: w[k] = 'like' AND w[k - 1] NOT IN ({likers}))) > 0"
     best = f"len(list_filter(w, lambda x: regexp_matches(x, '^(?:most|best|worst|least|[a-z]{{3,}}est)$') AND x NOT IN ({no_top}))) > 0"
-    three = "len(list_filter(string_split(s, ','), lambda x: regexp_matches(x, '\p{L}'))) >= 3"
+    three = r"len(list_filter(string_split(s, ','), lambda x: regexp_matches(x, '\p{L}'))) >= 3"
 
     def device(name: str, confidence: str, source: str) -> str:
         return f"SELECT doc_id, sent, '{name}' AS device, round(max({confidence}), 2)::DOUBLE AS confidence FROM ({source}) GROUP BY doc_id, sent"
@@ -223,4 +256,4 @@ sc AS (SELECT word, sum(CASE f WHEN '1' THEN {case.format('c')} * {twice.format(
 ws AS (SELECT doc_id, round(sum(score) + 1e-9, 4) AS raw, sum(length(word)) AS chars, sum(visual)::DOUBLE AS complexity FROM u JOIN sc USING (word) GROUP BY doc_id), sy AS (SELECT doc_id, len(regexp_extract_all(text, '[가-힣]')) AS n FROM documents),
 ll AS (SELECT doc_id, unnest(string_split(word, '')) AS l FROM u), lw AS (SELECT doc_id, translate(l, '{single}', '{counted}') AS kind, {case.format('l')} AS w FROM ll), sh AS (SELECT doc_id, {share} FROM lw GROUP BY doc_id)
 SELECT doc_id, round(raw / greatest(1, CASE WHEN n > 0 THEN n ELSE chars END) + 1e-9, 4) AS intensity, anxiety, attention, emotion, agitation, complexity FROM ws JOIN sy USING (doc_id) JOIN sh USING (doc_id)"""
-    return sql
+    return sql | literary(out, "DE") | literary(out, "FR")
