@@ -266,18 +266,18 @@ def letter_totals(df: DataFrame, key: list[str], text: str = "text", language: s
     return found.groupBy(*key, a.kind(F.col("c.letter")).alias("letter")).agg(F.sum(weight * F.col("c.n")).alias("total"))
 
 
-def _shares(only: Column, a: Alphabet) -> list[Column]:
-    """The axes that only need letter counts, in per cent of all weight."""
+def _shares(only: Column, a: Alphabet) -> dict[str, Column]:
+    """The axes that only need letter counts, in per cent of all weight, not rounded."""
     weigh = {x: (F.length(only) - F.length(F.replace(only, F.lit(x), F.lit("")))) * w for x, w in a.weights.items()}
     everything = sum(weigh.values(), F.lit(0))
-    return [F.round(100.0 * sum((c for x, c in weigh.items() if a.kinds.get(x, x) in of), F.lit(0)) / everything + 1e-9, 6).alias(name) for name, of in a.axes.items()]
+    return {name: 100.0 * sum((c for x, c in weigh.items() if a.kinds.get(x, x) in of), F.lit(0)) / everything for name, of in a.axes.items()}
 
 
 def axes(df: DataFrame, key: list[str], text: str = "text", language: str = "EN") -> DataFrame:
     """key, anxiety, attention, emotion, agitation of each row with letters."""
     a = ALPHABETS[language]
     only = df.select(*key, F.regexp_replace(prepared(F.col(text), language), f"[^{a.letters}]+", "").alias("_o")).filter(F.length("_o") > 0)
-    return only.select(*key, *_shares(F.col("_o"), a))
+    return only.select(*key, *[F.round(c + 1e-9, 6).alias(name) for name, c in _shares(F.col("_o"), a).items()])
 
 
 def vectors(df: DataFrame, key: list[str], text: str = "text", language: str = "EN") -> DataFrame:
@@ -290,13 +290,13 @@ def vectors(df: DataFrame, key: list[str], text: str = "text", language: str = "
     w = df.select(*key, prepared(F.col(text), language).alias("_t"), *([F.regexp_count(text, F.lit("[가-힣]")).alias("_n")] if language == "KO" else []))
     w = w.select("*", _sums(language)(F.col("_t")).alias("_s"), F.regexp_replace("_t", f"[^{a.letters}]+", "").alias("_o")).filter("_s.words > 0")
     chars = F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.col("_s.chars")) if language == "KO" else F.col("_s.chars")
-    out = w.select(*key, "_s", F.round(F.round(F.col("_s.raw") + 1e-9, 4) / F.greatest(F.lit(1), chars) + 1e-9, 4).alias("intensity"), *_shares(F.col("_o"), a), F.col("_s.visual").cast("double").alias("complexity"))
+    share = _shares(F.col("_o"), a)
     if language == "ES":
-        boost = F.col("_s.twice") * (a.weights["R"] * a.doubles["R"]) / F.greatest(F.lit(1.0), F.col("_s.raw")) * 100
-        out = out.withColumn("agitation", F.round(F.col("agitation") + boost + 1e-9, 6))
+        share["agitation"] += F.col("_s.twice") * (a.weights["R"] * a.doubles["R"]) / F.greatest(F.lit(1.0), F.col("_s.raw")) * 100
     if language == "FR":
-        out = out.withColumn("anxiety", F.round(F.col("anxiety") * (1 - 0.3 * F.col("_s.mute") / F.col("_s.words")) + 1e-9, 6))
-    return out.drop("_s")
+        share["anxiety"] *= 1 - 0.3 * F.col("_s.mute") / F.col("_s.words")
+    intensity = F.round(F.round(F.col("_s.raw") + 1e-9, 4) / F.greatest(F.lit(1), chars) + 1e-9, 4).alias("intensity")
+    return w.select(*key, intensity, *[F.round(c + 1e-9, 6).alias(name) for name, c in share.items()], F.col("_s.visual").cast("double").alias("complexity"))
 
 
 def script_axes(df: DataFrame, key: list[str], text: str = "text", strokes: DataFrame | None = None) -> DataFrame:
