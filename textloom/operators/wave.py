@@ -7,10 +7,14 @@ the smaller root, the lower tier and the first category of CATEGORIES.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from textloom.functions.arrays import let, total
@@ -58,51 +62,44 @@ def words(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumns({"root": root, "tier": tier})
 
 
-def _sigma(word: Column) -> Column:
-    """Population deviation of a word's letter values, rounded."""
-
-    def of(x: Column) -> Column:
-        mean = total(x, F.lit(0.0)) / F.size(x)
-        return let(F.struct(x.alias("x"), mean.alias("m")), lambda s: F.sqrt(total(F.transform(s["x"], lambda v: (v - s["m"]) * (v - s["m"])), F.lit(0.0)) / F.size(s["x"])))
-
-    return F.round(let(_values(word), of) + 1e-9, 4)
-
-
 def _values(letters: Column) -> Column:
     return F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), value)
 
 
-def _tier(sigma: Column) -> Column:
-    return F.when(sigma < 2, 1).when(sigma < 5, 2).otherwise(3)
+@lru_cache(200_000)
+def _word(word: str) -> tuple[float, int, int]:
+    """Deviation, root and tier of one word, as `words` gives them; words met lately are remembered."""
+    x = [UMLAUTS.get(c, ord(c) - 64.0) for c in word]
+    mean = sum(x) / len(x)
+    sigma = math.floor((math.sqrt(sum((v - mean) ** 2 for v in x) / len(x)) + 1e-9) * 1e4 + 0.5) / 1e4
+    return sigma, (math.floor(sum(x)) - 1) % 9 + 1, 1 if sigma < 2 else 2 if sigma < 5 else 3
 
 
-def _equal(c: int) -> Callable[[Column], Column]:
-    return lambda x: x == c
+OF_WORDS = {"words": T.LongType(), "sigma": T.DoubleType(), "root": T.IntegerType(), "tier": T.IntegerType(), "tier_1": T.LongType(), "tier_2": T.LongType(), "tier_3": T.LongType()}
 
 
-def _mode(values: Column, choices: list[int]) -> Column:
-    """The most frequent of the choices, the first among equals."""
-    counts = F.array(*[F.struct(F.size(F.filter(values, _equal(c))).alias("n"), F.lit(-c).alias("c")) for c in choices])
-    return -F.array_max(counts)["c"]
+@F.pandas_udf(T.StructType([T.StructField(*x) for x in OF_WORDS.items()]))
+def _of_words(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for s in texts:
+        rows = []
+        for t in s:
+            w = [_word(x) for x in t.split()] if isinstance(t, str) else []
+            root, tier = Counter(x[1] for x in w), Counter(x[2] for x in w)
+            first = [min(c, key=lambda k: (-c[k], k)) if c else 0 for c in (root, tier)]
+            rows.append((len(w), sum(x[0] for x in w), *first, tier[1], tier[2], tier[3]))
+        yield pd.DataFrame(rows, columns=list(OF_WORDS))
 
 
 def summary(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """key, mean_sigma, root, tier, label, and shares of the tiers and of the categories: over the words of each row, without a shuffle."""
-    ws = F.filter(F.split(folded(F.col(text)), r"\s+"), lambda c: c != "")
-    w = df.select(*key, ws.alias("_w")).filter(F.size("_w") > 0)
-
-    def word(x: Column) -> Column:
-        whole = F.floor(total(_values(x), F.lit(0.0))).cast("int")
-        return F.struct(_sigma(x).alias("sigma"), ((whole - 1) % 9 + 1).cast("int").alias("root"))
-
-    w = w.select(*key, F.array_join("_w", "").alias("_o"), F.transform("_w", word).alias("_s"))
-    w = w.select("*", F.transform("_s", lambda s: s["sigma"]).alias("_sigma"), F.transform("_s", lambda s: s["root"]).alias("_root"))
-    w = w.select("*", F.transform("_sigma", _tier).alias("_tier"))
-    label = F.element_at(F.create_map(*[F.lit(x) for kv in ROOTS.items() for x in kv]), F.col("root"))
-    out = w.select("*", F.round(total(F.col("_sigma"), F.lit(0.0)) / F.size("_sigma") + 1e-9, 4).alias("mean_sigma"), _mode(F.col("_root"), list(ROOTS)).alias("root"), _mode(F.col("_tier"), [1, 2, 3]).alias("tier"))
-    tiers = [F.round(F.size(F.filter("_tier", _equal(c))) / F.size("_tier") + 1e-9, 4).alias(f"tier_{c}") for c in (1, 2, 3)]
+    """key, mean_sigma, root, tier, label, and shares of the tiers and of the categories, over the words of each row.
+
+    The words are looked up among those that a worker has met; nothing is shuffled. Ties between modes go to the smaller one.
+    """
+    w = df.select(*key, folded(F.col(text)).alias("_t")).select(*key, _of_words("_t").alias("_w"), F.regexp_replace("_t", r"\s+", "").alias("_o")).filter("_w.words > 0")
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in ROOTS.items() for x in kv]), F.col("_w.root"))
+    tiers = [F.round(F.col(f"_w.tier_{c}") / F.col("_w.words") + 1e-9, 4).alias(f"tier_{c}") for c in (1, 2, 3)]
     kinds = [F.round(F.regexp_count("_o", F.lit(f"[{of}]")) / F.length("_o") + 1e-9, 4).alias(name) for name, of in CATEGORIES.items()]
-    return out.select(*key, "mean_sigma", "root", "tier", label.alias("label"), *tiers, *kinds)
+    return w.select(*key, F.round(F.col("_w.sigma") / F.col("_w.words") + 1e-9, 4).alias("mean_sigma"), "_w.root", "_w.tier", label.alias("label"), *tiers, *kinds)
 
 
 def envelope(df: DataFrame, key: list[str], text: str = "text", buckets: int = 100, empty: bool = False) -> DataFrame:
