@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata as ud
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +267,43 @@ def test_rare_units_are_joined(spark):
     assert sum(r[1] for r in whole) == 3
 
 
+def test_only_units_of_the_corpus_are_asked_for(spark, monkeypatch):
+    units_of = spark.createDataFrame([("café",), ("письмо",), ("совет",), ("没有",)], "unit string")
+    others = garbled.Filter.of(units_of)
+    assert all(u in others for u in ("café", "письмо", "совет", "没有"))
+    assert sum(f"{k}é" in others for k in range(1000)) < 50
+    asking = garbled.Asking(garbled.Model({"the": 9}), others)
+    right = "Совет рассмотрел письмо."
+    assert asking.needed(right) == asking.needed(right.encode("koi8-r").decode("cp1251")) == {"совет", "письмо"}
+    assert not asking.needed("Le cafe était fermé, немногие пришли.")
+
+    sizes = []
+    rows = pd.DataFrame
+    monkeypatch.setattr(garbled, "ASKED_ROWS", 3)
+    monkeypatch.setattr(garbled.pd, "DataFrame", lambda data, **x: sizes.append(len(data)) or rows(data, **x))
+    b = rows({"text": [right, *CLEAN]})
+    ask = garbled.asking_rows("text", lambda: garbled.Asking(garbled.Model({"the": 9}), others))
+    out = pd.concat(list(ask(iter([b, b]))))
+    assert max(sizes) <= 3 and list(out.columns) == ["_md5", "unit", "pattern"] and {len(x) for x in out["_md5"]} == {32}  # no text goes on
+
+
+def test_a_model_with_rare_units_copies_nothing():
+    model = garbled.Model({u: 5 for u in ("café", "письмо", "совет", "fermé")})
+    more = model.knowing({"été": (3, True), "вечер": (2, False)})
+    assert more.by_ascii is model.by_ascii and more.by_end is model.by_end and more.sorted is model.sorted and more.single is model.single
+    assert more._starts("вече") and more._starts("пись") and not model._starts("вече")
+    assert more._matching("�t�") == ["été"] and more._matching("веч�р") == ["вечер"] and more._matching("с�вет") == ["совет"]
+    assert more.score("été", True)[0] < more.score("été")[0] and "été" in more.log and "café" in more.log
+
+
+def test_a_packed_vocabulary_is_whole():
+    v = garbled.Vocabulary({"café": 7, "没有": 3, "“": 2})
+    v.single, v.characters, v.total = frozenset(["没有"]), frozenset("aé"), 99
+    u = garbled.Vocabulary.unpacked(v.packed())
+    assert list(u.items()) == list(v.items()) and (u.single, u.characters, u.total) == (v.single, v.characters, v.total)
+    assert garbled.Vocabulary.unpacked(garbled.Vocabulary().packed()) == {}
+
+
 def test_restore_frame(spark):
     df = frame(spark, *CLEAN * 3, "Le cafÃ© Ã©tait fermÃ©.", None, "")
     got = {r.request_id: r for r in garbled.restore(df).collect()}

@@ -7,7 +7,8 @@ words (of character pairs in scripts without spaces) in the whole corpus, and a
 likeliest channels. A text with a piece that a channel other than none explains is garbled.
 
 The VOCABULARY most frequent units are broadcast. Where the corpus has more, the rarer ones that a text or one of its
-readings needs are looked up by a join and travel with the text, so that no word is taken for unknown.
+readings needs are looked up by a join and travel with the text, so that no word is taken for unknown. A Bloom filter of the
+corpus's units goes before that join, so that of the many units of wrong readings hardly one is asked for.
 
 Defined results: null, empty and pure ASCII texts are never garbled and come back as they are; a replacement
 character (U+FFFD) always is a trace of lost bytes; what can't be restored stays as it is.
@@ -17,15 +18,20 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+from array import array
 from bisect import bisect_left
 from collections import ChainMap, Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from copy import copy
 from functools import lru_cache
-from itertools import product
+from hashlib import md5
+from itertools import chain, compress, islice, product
+from struct import Struct
+from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.canonical import transducer
@@ -35,9 +41,15 @@ from textloom.session import checkpoint
 #: Most frequent units of the corpus that are broadcast (about 10 MB); rarer ones are joined.
 VOCABULARY = 150_000
 
+#: Most bits of the filter of all units (8 MB), and bits a unit below that; with more units it only lets more through.
+FILTER_BITS, UNIT_BITS = 1 << 26, 32
+
 #: Pieces up to this length are remembered by a worker.
 CACHED = 300
 
+#: Rows of asked units that a worker holds before it passes them on.
+ASKED_ROWS = 10_000
+
 SINGLE = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac_roman", "mac_cyrillic", "iso8859-2", "iso8859-5", "iso8859-6", "iso8859-15")
 DOUBLE = ("gbk", "big5", "cp932", "cp949", "euc_jp")
 LATIN_READERS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "iso8859-15", "koi8-r", "cp866", "cp1254", "cp852")
@@ -149,6 +161,10 @@ for _c, (_w, _r) in enumerate(CHANNELS):
     BY_READER.setdefault(_w, []).append((_c, _r))
 
 
+#: Places of a unit in the filter, from its MD5; one more is from its CRC.
+PLACES = Struct(">4I").unpack
+
+
 class Vocabulary(dict[str, int]):
     """Units with their counts; `single` are those that one text alone uses, however often it is there."""
 
@@ -156,6 +172,54 @@ class Vocabulary(dict[str, int]):
     characters: frozenset[str] = frozenset()
     total: int = 0
     rest: DataFrame | None = None
+    _models: Shared | None = None
+
+    def packed(self) -> tuple[bytes, bytes, bytes, frozenset[str], int]:
+        """What a model is built of, in little memory: a worker keeps it as long as the model."""
+        return "\n".join(self).encode("utf-8", "surrogatepass"), array("q", self.values()).tobytes(), bytes(u in self.single for u in self), self.characters, self.total
+
+    @classmethod
+    def unpacked(cls, packed: tuple[bytes, bytes, bytes, frozenset[str], int]) -> Vocabulary:
+        names, counts, single, characters, total = packed
+        names = names.decode("utf-8", "surrogatepass").split("\n") if counts else []
+        out = cls(zip(names, memoryview(counts).cast("q"), strict=True))
+        out.single, out.characters, out.total = frozenset(compress(names, single)), characters, total
+        return out
+
+    def models(self, spark: SparkSession) -> Shared:
+        """The workers' model, one for all that use this vocabulary."""
+        if self._models is None:
+            self._models = Shared(spark, self.packed(), lambda x: Model(Vocabulary.unpacked(x)))
+        return self._models
+
+
+class Filter:
+    """A Bloom filter of units: what it lacks, the corpus lacks."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.mask = data, 8 * len(data) - 1
+
+    def __contains__(self, unit: str) -> bool:
+        data, mask, raw = self.data, self.mask, unit.encode("utf-8", "surrogatepass")
+        k = crc32(raw) & mask  # most units are off here
+        return data[k >> 3] >> (k & 7) & 1 == 1 and all(data[(k & mask) >> 3] >> (k & 7) & 1 for k in PLACES(md5(raw).digest()))
+
+    @classmethod
+    def of(cls, counts: DataFrame) -> Filter:
+        """Of the column `unit`; what comes to the driver is bounded by the filter's size."""
+        bits = 1 << 16
+        while bits < FILTER_BITS and bits < UNIT_BITS * counts.count():
+            bits *= 2
+        hashes = [F.crc32("unit"), *(F.conv(F.substring(F.md5("unit"), k, 8), 16, 10).cast("long") for k in (1, 9, 17, 25))]
+        places = F.array(*(F.pmod(h, F.lit(bits)) for h in hashes))
+        place = F.explode(places).alias("place")
+        words = counts.select(place).groupBy(F.expr("place DIV 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(place % 64))")).alias("set"))
+        data = array("q", bytes(bits // 8))
+        for r in words.toLocalIterator():
+            data[r["word"]] = r["set"]
+        if sys.byteorder == "big":
+            data.byteswap()
+        return cls(data.tobytes())
 
 
 class Model:
@@ -170,6 +234,7 @@ class Model:
         self.by_end: dict[object, list[str]] = {}  # the others by length, and by length with the first and the last letter
         for u in self.sorted:
             self._file(u)
+        self.rarer: Model | None = None  # what a text's rare units add
         self.top = max((p * (0.6 if IDEOGRAPH.match(u) else 1.0) for u, p in self.log.items() if len(u) > 1 and not u.isascii() and u[0].isalpha()), default=-math.inf)
         seen: Counter[str] = Counter()
         for u, n in counts.items():
@@ -186,18 +251,30 @@ class Model:
                 self.by_end.setdefault(k, []).append(u)
 
     def knowing(self, rare: dict[str, tuple[int, bool]]) -> Model:
-        """This model and some rarer units: unit -> (count, in one text alone)."""
-        more = copy(self)
+        """This model and some rarer units: unit -> (count, in one text alone). What it has itself isn't copied."""
+        more, add = copy(self), Model.__new__(Model)
         more.log = ChainMap({u: math.log(n / self.total) for u, (n, _) in rare.items()}, self.log)
-        more.single = self.single | {u for u, (_, single) in rare.items() if single}
-        words = [u for u in rare if not u.isascii() and len(u) > 1 and u[0].isalpha()]
-        more.sorted = sorted([*self.sorted, *words])
-        more.by_ascii, more.by_end = ({k: list(v) for k, v in x.items()} for x in (self.by_ascii, self.by_end)) if words else (self.by_ascii, self.by_end)
-        for u in words:
-            more._file(u)
-        more.candidates = more._candidates
+        add.single = frozenset(u for u, (_, single) in rare.items() if single)
+        add.sorted = sorted(u for u in rare if not u.isascii() and len(u) > 1 and u[0].isalpha())
+        add.by_ascii, add.by_end, add.rarer = {}, {}, None
+        for u in add.sorted:
+            add._file(u)
+        more.rarer, more.candidates = add, more._candidates
         return more
 
+    def _single(self, u: str) -> bool:
+        return u in self.single or self.rarer is not None and u in self.rarer.single
+
+    def _with_letters(self, key: str) -> list[str]:
+        """Words by their letters in ASCII."""
+        of = self.by_ascii.get(key, [])
+        return of + self.rarer._with_letters(key) if self.rarer else of
+
+    def _with_end(self, key: object) -> list[str]:
+        """Words without letters in ASCII by a key of `by_end`."""
+        of = self.by_end.get(key, [])
+        return of + self.rarer._with_end(key) if self.rarer else of
+
     def score(self, text: str, own: bool = False) -> tuple[float, int, int]:
         """Log probability; how many of the characters in words outside ASCII stand in known words; how many there are.
 
@@ -205,7 +282,7 @@ class Model:
         """
         total, known, n = 0.0, 0, 0
         for u in units(text):
-            p = None if own and not u.isascii() and u in self.single else self.log.get(u)
+            p = None if own and not u.isascii() and self._single(u) else self.log.get(u)
             if u[0] == "�":
                 total -= 6.0
             elif not u[0].isalpha():
@@ -334,7 +411,7 @@ class Model:
 
     def _starts(self, prefix: str) -> bool:
         k = bisect_left(self.sorted, prefix)
-        return k < len(self.sorted) and self.sorted[k].startswith(prefix)
+        return k < len(self.sorted) and self.sorted[k].startswith(prefix) or self.rarer is not None and self.rarer._starts(prefix)
 
     def _likeliest(self, places: list[list[str]]) -> str:
         """Viterbi through the alternatives of each place. A state is the part of a word read so far, if the vocabulary has a word
@@ -372,11 +449,11 @@ class Model:
         """Words of the vocabulary that a word with replacement characters can be; k of them stand for 1 to k characters outside ASCII."""
         pattern = re.compile(re.sub("�+", lambda x: "[^\\x00-\\x7f]{1,%d}" % len(x.group()), re.escape(broken)))
         if key := NOT_ASCII.sub("", broken):
-            of = self.by_ascii.get(key, [])
+            of = self._with_letters(key)
         else:
             longest, least = len(broken), len(re.sub("�+", "�", broken))
             end, ch = (0, broken[0]) if broken[0] != "�" else (1, broken[-1])
-            of = [u for n in range(least, longest + 1) for u in self.by_end.get((n, end, ch) if ch != "�" else n, ())]
+            of = [u for n in range(least, longest + 1) for u in self._with_end((n, end, ch) if ch != "�" else n)]
         return [u for u in of if pattern.fullmatch(u)]
 
     def unmatched(self, text: str) -> Iterator[tuple[str, str]]:
@@ -401,12 +478,12 @@ class Model:
                 pattern = re.sub("�+", lambda x: "[^\\x00-\\x7f]{1,%d}" % len(x.group()), "".join(runs))
                 exact = re.compile(pattern)
                 if fixed:
-                    keys, known = [f"a{fixed}"], self.by_ascii.get(fixed, [])
+                    keys, known = [f"a{fixed}"], self._with_letters(fixed)
                 else:
                     lengths = range(len(word) - holes + bool(holes), len(word) + 1)
                     first, last = word[0], word[-1]
                     keys = [f"f{n}{first[0]}" if len(first) == 1 and first[0] != "�" else f"z{n}{last[0]}" if len(last) == 1 and last[0] != "�" else f"n{n}" for n in lengths]
-                    known = [u for n in lengths for u in self.by_end.get(n, ())]
+                    known = [u for n in lengths for u in self._with_end(n)]
                 if not any(exact.fullmatch(u) for u in known):
                     yield from ((pattern, k) for k in keys)
 
@@ -498,9 +575,8 @@ def _characters(units_of: DataFrame) -> frozenset[str]:
 
 def vocabulary(df: DataFrame, column: str = "text", size: int = VOCABULARY) -> Vocabulary:
     """The `size` most frequent units with their counts over all texts, repeats damped; `rest` has the table if there are more."""
-    counts = unit_counts(df, column)
     out, single, more = Vocabulary(), set(), False
-    counts = counts.filter("n > 1")  # a unit used once speaks for nothing: damage makes such units
+    counts = checkpoint(unit_counts(df, column).filter("n > 1"))  # a unit used once speaks for nothing: damage makes such units
     for r in counts.orderBy(F.desc("n"), "unit").limit(size + 1).toLocalIterator():
         if len(out) == size:
             more = True
@@ -510,57 +586,88 @@ def vocabulary(df: DataFrame, column: str = "text", size: int = VOCABULARY) -> V
             single.add(r["unit"])
     out.single = frozenset(single)
     if more:
-        out.rest = checkpoint(counts)
+        out.rest = counts
         out.total = out.rest.agg(F.sum("n")).first()[0]
         out.characters = _characters(out.rest)
     return out
 
 
-class Asked(dict):
-    """A dictionary that remembers which keys it didn't have."""
+class Asked:
+    """Known units, and those that the corpus has besides, by its filter: they are remembered and taken for known ones."""
 
-    def __init__(self, known: dict[str, float]) -> None:
-        super().__init__(known)
+    def __init__(self, known: dict[str, float], others: Filter) -> None:
+        self.known, self.others = known, others
         self.missed: set[str] = set()
 
-    def __contains__(self, key: object) -> bool:
-        if super().__contains__(key):
+    def __contains__(self, unit: str) -> bool:
+        if unit in self.known:
+            return True
+        if unit in self.missed or unit in self.others:
+            self.missed.add(unit)
             return True
-        self.missed.add(key)
         return False
 
-    def get(self, key: str, default: float | None = None) -> float | None:
-        return self[key] if key in self else default
+    def get(self, unit: str, default: float | None = None) -> float | None:
+        p = self.known.get(unit)
+        if p is None:
+            unit in self  # noqa: B015
+            return default
+        return p
 
 
-def _needed(model: Model, text: str) -> set[str]:
-    """Units that the text's restoring asks for and the model lacks."""
-    asking = copy(model)
-    asking.log = log = Asked(model.log)
-    asking.top = math.inf  # no channel is out of reach
-    for p in PIECE.findall(text):
-        if not p.isascii():
-            asking._candidates(p)
-    return log.missed
+class Asking:
+    """What rarer units do texts need that a model lacks?"""
 
+    def __init__(self, model: Model, others: Filter) -> None:
+        self.model, self.top = copy(model), model.top
+        self.model.log = self.log = Asked(model.log, others)
+        self.of_piece = lru_cache(100_000)(self._of_piece)
 
-def with_rare(df: DataFrame, key: str, column: str, counts: Vocabulary) -> DataFrame:
-    """Adds `rare`: units beyond the broadcast ones that a text needs, with their counts. One shuffle by unit, one by text."""
-    plain = Vocabulary(counts)
-    plain.total, plain.characters, plain.single = counts.total, counts.characters, counts.single
-    shared = Shared(df.sparkSession, plain, Model)
+    def _of_piece(self, piece: str) -> frozenset[str]:
+        self.log.missed = set()
+        self.model.score(piece, True)
+        self.model.score(transducer().canonical(piece), True)
+        self.model.top = math.inf if self.log.missed else self.top  # a piece with a rarer unit of its own: no channel is out of reach
+        self.model._candidates(piece)
+        return frozenset(self.log.missed) or NOTHING
+
+    def needed(self, text: str) -> set[str]:
+        """Units that the text's restoring asks for and the model lacks."""
+        return set().union(*(self.of_piece(p) if len(p) <= CACHED else self._of_piece(p) for p in PIECE.findall(text) if not p.isascii()))
+
+
+NOTHING: frozenset[str] = frozenset()
+
+
+def asking_rows(column: str, asking: Callable[[], Asking]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What batches of texts ask for, a few rows at once: MD5 of the text, unit, or key and pattern of a damaged word."""
+
+    def of(text: str, asker: Asking) -> Iterator[tuple[str, str, str | None]]:
+        name = md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+        yield from ((name, u, None) for u in sorted(asker.needed(text)))
+        if "�" in text:
+            yield from ((name, k, p) for p, k in sorted(set(asker.model.unmatched(text))))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.get()
+        asker = asking()
         for b in batches:
-            rows = [(t, u, None) for t in b[column] for u in sorted(_needed(model, t))]
-            rows += [(t, k, p) for t in b[column] if "�" in t for p, k in sorted(set(model.unmatched(t)))]
-            if rows:
-                yield pd.DataFrame(rows, columns=[column, "unit", "pattern"])
-
-    texts = df.filter(F.length(column) > 0).filter(F.col(column).rlike(r"[^\x00-\x7F]")).select(column).distinct()
-    asked = checkpoint(texts.mapInPandas(ask, f"{column} string, unit string, pattern string").select(F.md5(column).alias("_md5"), "unit", "pattern"))
-    whole = asked.filter("pattern IS NULL").drop("pattern").distinct().join(counts.rest, "unit")
+            rows = chain.from_iterable(of(t, asker) for t in b[column].drop_duplicates())
+            while some := list(islice(rows, ASKED_ROWS)):
+                yield pd.DataFrame(some, columns=["_md5", "unit", "pattern"])
+
+    return ask
+
+
+def with_rare(df: DataFrame, key: str, column: str, counts: Vocabulary) -> DataFrame:
+    """Adds `rare`: units beyond the broadcast ones that a text needs, with their counts. One shuffle by unit, one by text.
+
+    Texts are asked for their units where they stand; only the MD5 of a text goes on, with what it needs.
+    """
+    shared = counts.models(df.sparkSession)
+    asking = Shared(df.sparkSession, Filter.of(counts.rest), lambda x: Asking(shared.get(), x))
+    texts = df.filter(F.length(column) > 0).filter(F.col(column).rlike(r"[^\x00-\x7F]")).select(column)
+    asked = checkpoint(texts.mapInPandas(asking_rows(column, asking.get), "_md5 string, unit string, pattern string").distinct())
+    whole = asked.filter("pattern IS NULL").drop("pattern").join(counts.rest, "unit")
     # damaged words: every pattern's likeliest word, among the words of its key
     ascii_letters, n = F.regexp_replace("unit", r"[^\x00-\x7F]+", ""), F.length("unit").cast("string")
     keys = F.when(ascii_letters != "", F.array(F.concat(F.lit("a"), ascii_letters))).otherwise(F.array(F.concat(F.lit("f"), n, F.substring("unit", 1, 1)), F.concat(F.lit("z"), n, F.substring("unit", -1, 1)), F.concat(F.lit("n"), n)))
@@ -594,7 +701,7 @@ def model_for(model: Model, rare: object) -> Model:
 def restore(df: DataFrame, key: str = "request_id", column: str = "text", size: int | None = None) -> DataFrame:
     """key, `garbled`, and the text as restored, of every row."""
     rows, counts = shared_model(df.select(key, column), key, column, size)
-    shared = Shared(df.sparkSession, counts, Model)
+    shared = counts.models(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

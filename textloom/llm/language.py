@@ -264,11 +264,11 @@ def segments(df: DataFrame, key: str = "request_id", column: str = "text", code:
     rows, counts = garbled.shared_model(df.select(key, column, code), key, column)
     model = garbled.Model(counts)
     sample = [(c, _repair(model, t)) for c, t in labelled_sample(df, key, column, code)]
-    shared = Shared(spark, (counts, clean_sample(sample)), lambda x: (garbled.Model(x[0]), Identifier(x[1])))
+    models, finders = counts.models(spark), Shared(spark, clean_sample(sample), Identifier)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, find = shared.get()
+        model, find = models.get(), finders.get()
         for b in batches:
             out = []
             for k, text, given, rare in zip(b[key], b[column], b[code], b["rare"], strict=True):

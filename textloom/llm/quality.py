@@ -375,10 +375,10 @@ def shapes(df: DataFrame, key: str = "request_id", column: str = "text") -> Data
     every = max(1, rows.count())
     rows, counts = garbled.shared_model(rows, key, column)
     common = frozenset(sorted(counts, key=lambda u: (-counts[u], u))[:COMMON])
-    shared = Shared(spark, (counts, common), lambda x: (garbled.Model(x[0]), x[1]))
+    models, words = counts.models(spark), Shared(spark, common, lambda x: x)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known = shared.get()
+        model, known = models.get(), words.get()
         for b in batches:
             if len(b):
                 repaired = [_repair(model, x, rare) for x, rare in zip(b[column], b["rare"], strict=True)]
@@ -392,7 +392,7 @@ def shapes(df: DataFrame, key: str = "request_id", column: str = "text") -> Data
     trees = Shared(spark, train([(list(r["stats"]), r["label"]) for r in sample], common), lambda x: x)
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (model, known), forest = shared.get(), trees.get()
+        model, known, forest = models.get(), words.get(), trees.get()
         for b in batches:
             if not len(b):
                 continue
