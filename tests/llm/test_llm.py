@@ -432,6 +432,15 @@ def test_segments(spark):
     assert all(0 <= c <= 1 for c in conf)
 
 
+def test_labels_are_read_by_one_worker_a_task(spark):
+    df = spark.createDataFrame([(1, "Ein Tor.", "ger"), (2, "A gate.", None), (3, "", "en"), (4, "A gate.", "xx")], "request_id long, text string, language_code string")
+    rows = language.labelled(df, "request_id", "text", "language_code")
+    for x in (rows.groupBy("c").count(), rows.filter("c = 'DE' AND pmod(xxhash64(request_id), 2) < 2").select("c", "t").distinct()):
+        assert x._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("ArrowEvalPython [") == 1
+    assert [tuple(r) for r in rows.collect()] == [(1, "Ein Tor.", "DE")]
+    assert language.labelled_sample(df, "request_id", "text", "language_code") == [("DE", "Ein Tor.")]
+
+
 # problem 8
 
 

@@ -241,9 +241,15 @@ def _normal_code(codes: pd.Series) -> pd.Series:
     return codes.map(normal_code, na_action="ignore")
 
 
+def labelled(df: DataFrame, key: str, column: str, code: str) -> DataFrame:
+    """key, text and code (t, c) of the rows with a text and a usable label."""
+    read_once = _normal_code.asNondeterministic()  # else filters repeat it, and a task has two Python workers, each with all models later on
+    return df.filter(F.length(column) > 0).select(key, F.col(column).alias("t"), read_once(F.col(code)).alias("c")).filter("c IS NOT NULL")
+
+
 def labelled_sample(df: DataFrame, key: str, column: str, code: str) -> list[tuple[str, str]]:
     """About SAMPLE_TEXTS texts of each usable label, drawn by the hash of their id."""
-    rows = df.filter(F.length(column) > 0).select(key, F.col(column).alias("t"), _normal_code(F.col(code)).alias("c")).filter("c IS NOT NULL")
+    rows = labelled(df, key, column, code)
     sizes = [(r["c"], r["count"]) for r in rows.groupBy("c").count().collect()]  # one row for each of ten labels
     chosen = F.lit(False)
     for c, n in sizes:
