@@ -388,6 +388,15 @@ def test_a_hot_text_fills_no_training_places(spark, monkeypatch):
     assert len([v for _, v in seen if v == 1]) == 1
 
 
+def test_workers_hold_one_vocabulary(spark, monkeypatch):
+    init, sent = garbled.Shared.__init__, []
+    monkeypatch.setattr(garbled.Shared, "__init__", lambda self, session, value, build: (sent.append(value), init(self, session, value, build))[1])
+    monkeypatch.setattr(garbled, "VOCABULARY", 5)
+    out = quality.shapes(frame(spark, *CLEAN * 3, "Le cafÃ© Ã©tait fermÃ©."))
+    assert sum(isinstance(x, dict) or isinstance(x, tuple) and any(isinstance(y, dict | bytes) for y in x) for x in sent) == 1
+    assert [r.request_id for r in out.filter("damaged > 0").collect()] == [3 * len(CLEAN)]
+
+
 # problem 7
 
 
