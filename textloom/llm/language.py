@@ -243,7 +243,7 @@ def _normal_code(codes: pd.Series) -> pd.Series:
 
 def labelled(df: DataFrame, key: str, column: str, code: str) -> DataFrame:
     """key, text and code (t, c) of the rows with a text and a usable label."""
-    read_once = _normal_code.asNondeterministic()  # else filters repeat it, and a task has two Python workers, each with all models later on
+    read_once = _normal_code.asNondeterministic()  # else filters repeat it, and a task has two Python workers, which may each build all models later on
     return df.filter(F.length(column) > 0).select(key, F.col(column).alias("t"), read_once(F.col(code)).alias("c")).filter("c IS NOT NULL")
 
 
