@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import canonical, garbled, language, leaks, mixing, pii, quality, reading, sentences
+from textloom.llm import canonical, garbled, language, leaks, mixing, pii, quality, reading, sentences, worker
 from textloom.llm.canonical import Transducer
 
 T = Transducer()
@@ -397,6 +397,31 @@ def test_workers_hold_one_vocabulary(spark, monkeypatch):
     assert [r.request_id for r in out.filter("damaged > 0").collect()] == [3 * len(CLEAN)]
 
 
+def test_a_worker_holds_little_for_a_batch(spark, monkeypatch):
+    bad = "Le cafÃ© Ã©tait fermÃ©."
+    rows, _ = garbled.shared_model(frame(spark, *CLEAN * 3, bad), "request_id", "text", 5)
+    assert rows.schema["rare"].dataType.simpleString() == "string"  # no objects for each unit of each text
+    found = next(r.rare for r in rows.collect() if r.text == bad)
+    assert {"café", "était", "fermé"} & {x.split(" ")[0] for x in found.split("\n")}
+    more = garbled.model_for(garbled.Model({"the": 9}), "été 3 1\nвечер 2 0")
+    assert more._single("été") and not more._single("вечер") and more.log["été"] > more.log["вечер"]
+
+    monkeypatch.setattr(garbled, "REMEMBERED", ((3, 4), (5, 1)))
+    met = []
+    length = garbled.remembering(lambda piece: met.append(piece) or len(piece))
+    assert [length(x) for x in ("abc", "abc", "abcde", "abcde", "edcba", "abcde", "abcdef", "abcdef")] == [3, 3, 5, 5, 5, 5, 6, 6]
+    assert met == ["abc", "abcde", "edcba", "abcde", "abcdef", "abcdef"]
+
+    monkeypatch.setattr(quality, "ROWS", 2)
+    b = pd.DataFrame({"x": range(5)})
+    assert [list(x["x"]) for x in quality._parts(iter([b[:0], b]))] == [[0, 1], [2, 3], [4]]
+
+    one, two = (worker.Shared(spark, k, lambda x: [x]) for k in (1, 2))
+    kept = one.get()
+    two.get()
+    assert worker.only(one) == [[1]] and one.get() is kept and two.name not in worker._models
+
+
 # problem 7
 
 

@@ -28,6 +28,7 @@ from functools import lru_cache
 from hashlib import md5
 from itertools import chain, compress, islice, product
 from struct import Struct
+from typing import Any
 from zlib import crc32
 
 import pandas as pd
@@ -44,8 +45,8 @@ VOCABULARY = 150_000
 #: Most bits of the filter of all units (8 MB), and bits a unit below that; with more units it only lets more through.
 FILTER_BITS, UNIT_BITS = 1 << 26, 32
 
-#: Pieces up to this length are remembered by a worker.
-CACHED = 300
+#: Pieces that a worker remembers: (up to so many characters, so many of them). Long ones take the room and hardly come again.
+REMEMBERED = ((40, 100_000), (300, 5_000))
 
 #: Rows of asked units that a worker holds before it passes them on.
 ASKED_ROWS = 10_000
@@ -193,6 +194,13 @@ class Vocabulary(dict[str, int]):
         return self._models
 
 
+def remembering(of: Callable[[str], Any]) -> Callable[[str], Any]:
+    """A function of pieces that remembers what it gave for them, within the bounds of REMEMBERED."""
+    (short, many), (long, few) = REMEMBERED
+    often, seldom = lru_cache(many)(of), lru_cache(few)(of)
+    return lambda piece: often(piece) if len(piece) <= short else seldom(piece) if len(piece) <= long else of(piece)
+
+
 class Filter:
     """A Bloom filter of units: what it lacks, the corpus lacks."""
 
@@ -241,7 +249,7 @@ class Model:
             for ch in set(u):
                 seen[ch] += n
         self.characters = {ch for ch, n in seen.items() if n >= 5} | TYPOGRAPHIC | getattr(counts, "characters", frozenset())
-        self.candidates = lru_cache(100_000)(self._candidates)
+        self.candidates = remembering(self._candidates)
 
     def _file(self, u: str) -> None:
         if key := NOT_ASCII.sub("", u):
@@ -506,7 +514,7 @@ class Model:
         if text.isascii():
             return False, text
         parts = PIECE.findall(text)
-        readings = [[] if p.isascii() else self.candidates(p) if len(p) <= CACHED else self._candidates(p) for p in parts]
+        readings = [[] if p.isascii() else self.candidates(p) for p in parts]
         lost = "�" in text
         if not lost and not any(readings):
             return False, text
@@ -621,7 +629,7 @@ class Asking:
     def __init__(self, model: Model, others: Filter) -> None:
         self.model, self.top = copy(model), model.top
         self.model.log = self.log = Asked(model.log, others)
-        self.of_piece = lru_cache(100_000)(self._of_piece)
+        self.of_piece = remembering(self._of_piece)
 
     def _of_piece(self, piece: str) -> frozenset[str]:
         self.log.missed = set()
@@ -633,7 +641,7 @@ class Asking:
 
     def needed(self, text: str) -> set[str]:
         """Units that the text's restoring asks for and the model lacks."""
-        return set().union(*(self.of_piece(p) if len(p) <= CACHED else self._of_piece(p) for p in PIECE.findall(text) if not p.isascii()))
+        return set().union(*(self.of_piece(p) for p in PIECE.findall(text) if not p.isascii()))
 
 
 NOTHING: frozenset[str] = frozenset()
@@ -661,6 +669,8 @@ def asking_rows(column: str, asking: Callable[[], Asking]) -> Callable[[Iterator
 def with_rare(df: DataFrame, key: str, column: str, counts: Vocabulary) -> DataFrame:
     """Adds `rare`: units beyond the broadcast ones that a text needs, with their counts. One shuffle by unit, one by text.
 
+    It is one string (lines of unit, count, 1 if in one text alone), so that a batch of texts holds no object for each of their units.
+
     Texts are asked for their units where they stand; only the MD5 of a text goes on, with what it needs.
     """
     shared = counts.models(df.sparkSession)
@@ -676,7 +686,8 @@ def with_rare(df: DataFrame, key: str, column: str, counts: Vocabulary) -> DataF
     fits = words.join(wanted, "key").filter(F.rlike(F.col("word.unit"), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))))
     best = fits.groupBy("pattern").agg(F.max_by("word", F.struct("word.n", "word.unit")).alias("word"))
     fitted = asked.filter("pattern IS NOT NULL").select("_md5", "pattern").join(best, "pattern").select("word.unit", "_md5", "word.n", "word.texts")
-    found = whole.unionByName(fitted).distinct().groupBy("_md5").agg(F.map_from_entries(F.collect_list(F.struct("unit", F.struct("n", (F.col("texts") == 1).alias("single"))))).alias("rare"))
+    line = F.concat_ws(" ", "unit", F.col("n").cast("string"), (F.col("texts") == 1).cast("int").cast("string"))  # no unit has white space
+    found = whole.unionByName(fitted).distinct().groupBy("_md5").agg(F.array_join(F.collect_list(line), "\n").alias("rare"))
     return df.withColumn("_md5", F.md5(column)).join(found, "_md5", "left").drop("_md5")
 
 
@@ -684,7 +695,7 @@ def shared_model(df: DataFrame, key: str, column: str, size: int | None = None)
     """(the table, with the column `rare` in any case, and the vocabulary)."""
     counts = vocabulary(df, column, size or VOCABULARY)
     if counts.rest is None:
-        return df.withColumn("rare", F.lit(None).cast("map<string,struct<n:bigint,single:boolean>>")), counts
+        return df.withColumn("rare", F.lit(None).cast("string")), counts
     df = with_rare(df, key, column, counts)
     counts.rest = None  # what is broadcast holds no table
     return df, counts
@@ -692,10 +703,9 @@ def shared_model(df: DataFrame, key: str, column: str, size: int | None = None)
 
 def model_for(model: Model, rare: object) -> Model:
     """The model that knows a text's rare units too."""
-    if rare is None or not len(rare):
+    if not isinstance(rare, str) or not rare:
         return model
-    pairs = rare.items() if isinstance(rare, dict) else rare
-    return model.knowing({u: (x["n"], x["single"]) if isinstance(x, dict) else tuple(x) for u, x in pairs})
+    return model.knowing({u: (int(n), single == "1") for u, n, single in (x.rsplit(" ", 2) for x in rare.split("\n"))})
 
 
 def restore(df: DataFrame, key: str = "request_id", column: str = "text", size: int | None = None) -> DataFrame:

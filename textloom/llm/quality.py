@@ -24,7 +24,7 @@ from pyspark.sql.window import Window as W
 
 from textloom.llm import garbled
 from textloom.llm.canonical import transducer
-from textloom.llm.worker import Shared
+from textloom.llm.worker import Shared, only
 
 SHAPES = ("prose", "list", "table", "junk")
 #: Weakly labelled texts of each shape that the trees are trained on (the first by hash of the text).
@@ -35,6 +35,8 @@ FIT_ROWS = 40_000
 COMMON = 20_000
 #: Texts that were decoded wrongly are few: each weighs as much in the training as so many others.
 DAMAGED = 5.0
+#: Rows of a batch that a worker restores and measures at once.
+ROWS = 1_000
 ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.25, 48
 
 WORD = re.compile(rf"[{garbled.NO_SPACE}]|[^\W\d_{garbled.NO_SPACE}]+(?:['’‌][^\W\d_]+)*")
@@ -360,6 +362,13 @@ def _repair(model: garbled.Model, text: str, rare: object) -> tuple[bool, str]:
     return damaged, transducer().canonical(text)
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches, a few rows at once: restored texts and statistics of a whole batch would take several times its memory."""
+    for b in batches:
+        for k in range(0, len(b), ROWS):
+            yield b.iloc[k : k + ROWS]
+
+
 COLUMNS = ", ".join(f"{name} double" for name in NAMES)
 
 
@@ -378,12 +387,11 @@ def shapes(df: DataFrame, key: str = "request_id", column: str = "text") -> Data
     models, words = counts.models(spark), Shared(spark, common, lambda x: x)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known = models.get(), words.get()
-        for b in batches:
-            if len(b):
-                repaired = [_repair(model, x, rare) for x, rare in zip(b[column], b["rare"], strict=True)]
-                stats = [statistics(x, known, damaged) for damaged, x in repaired]
-                yield pd.DataFrame({"h": b["h"], "stats": stats, "label": [weak_label(s) for s in stats]})
+        model, known = only(models, words)
+        for b in _parts(batches):
+            repaired = (_repair(model, x, rare) for x, rare in zip(b[column], b["rare"], strict=True))
+            stats = [statistics(x, known, damaged) for damaged, x in repaired]
+            yield pd.DataFrame({"h": b["h"].to_numpy(), "stats": stats, "label": [weak_label(s) for s in stats]})
 
     drawn = rows.select(F.xxhash64(column).alias("h"), column, "rare").filter(F.pmod("h", F.lit(every)) < FIT_ROWS).dropDuplicates(["h"])
     weak = drawn.mapInPandas(measure, "h long, stats array<double>, label int").filter("label >= 0")
@@ -392,11 +400,9 @@ def shapes(df: DataFrame, key: str = "request_id", column: str = "text") -> Data
     trees = Shared(spark, train([(list(r["stats"]), r["label"]) for r in sample], common), lambda x: x)
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known, forest = models.get(), words.get(), trees.get()
-        for b in batches:
-            if not len(b):
-                continue
-            repaired = [_repair(model, x, rare) for x, rare in zip(b[column], b["rare"], strict=True)]
+        model, known, forest = only(models, words, trees)
+        for b in _parts(batches):
+            repaired = (_repair(model, x, rare) for x, rare in zip(b[column], b["rare"], strict=True))
             x = np.array([statistics(s, known, damaged) for damaged, s in repaired], dtype=float)
             p = forest.probabilities(x)
             p[x[:, AT["n_chars"]] == 0] = np.eye(len(SHAPES))[0]

@@ -28,3 +28,10 @@ class Shared:
                 _models.popitem(last=False)
             _models[self.name] = self.build(self.value.value)
         return _models[self.name]
+
+
+def only(*shared: Shared) -> list[Any]:
+    """The built models of this worker, which forgets all others: those of earlier stages would only take memory."""
+    for name in set(_models) - {x.name for x in shared}:
+        del _models[name]
+    return [x.get() for x in shared]
